@@ -7,27 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, winnow
-from .common import table
+from . import bpe, langid, licenses, linededup, quality, simhash, toxicity, winnow
+from .common import crc_mod, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], with_ids=False)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = langid.train(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
+    found = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_dropped")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text and toxic of the labelled documents that are not held out; a document of several labels has the largest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(crc_mod("doc_id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = toxicity.train(toxicity_labels(spark, sf_dir))
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), chain, keep=["doc_id"])
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("toxic_spans").cast("long").alias("n_spans"))
+
+
 def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op4_simhash, op9_winnow)}
+    return {f.__name__: f for f in (op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op8_toxicity, op9_winnow, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lines": linededup.ORACLE}
