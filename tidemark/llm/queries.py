@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linededup, quality, simhash, toxicity, winnow
+from . import bpe, langid, licenses, linededup, quality, simhash, substrings, toxicity, winnow
 from .common import crc_mod, table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed_spans")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], with_ids=False)
 
@@ -61,7 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op8_toxicity, op9_winnow, op10_licenses)}
+    return {f.__name__: f for f in (op1_substrings, op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op8_toxicity, op9_winnow, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
