@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linededup, quality, simhash, substrings, toxicity, winnow
+from . import bpe, langid, licenses, linededup, lm, quality, simhash, substrings, toxicity, winnow
 from .common import crc_mod, table
 
 
@@ -41,6 +41,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 10) != 0)
+    return found.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text and toxic of the labelled documents that are not held out; a document of several labels has the largest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(crc_mod("doc_id", 5) != 0)
@@ -65,7 +70,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op8_toxicity, op9_winnow, op10_licenses)}
+    return {f.__name__: f for f in (op1_substrings, op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op7_lm, op8_toxicity, op9_winnow, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
