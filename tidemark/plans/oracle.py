@@ -1,3 +1,298 @@
-"""The same queries in SQL."""
+"""The same queries in SQL, composed from common table expressions over the raw tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = """
+raw_words AS (
+  SELECT CAST(conv_id AS VARCHAR) AS job_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: len(w) > 0) AS parts FROM conversations
+), spread AS (
+  SELECT job_id, turn, unnest(parts) AS word, unnest(range(1, len(parts) + 1)) AS pos FROM raw_words
+), numbered AS (
+  SELECT job_id, turn, word, row_number() OVER (PARTITION BY job_id ORDER BY turn, pos) - 1 AS k FROM spread
+), words AS (
+  SELECT job_id, CAST(k AS INTEGER) AS word_idx, turn, k * 40 + turn * 150 AS start_cs, k * 40 + turn * 150 + 36 AS end_cs, word FROM numbered
+)"""
+_SEGMENTS = """
+marked AS (
+  SELECT *, CASE WHEN coalesce(right(lag(word) OVER o, 1) IN ('.', '!', '?') OR lag(turn) OVER o <> turn, true) THEN 1 ELSE 0 END AS fresh
+  FROM words WINDOW o AS (PARTITION BY job_id ORDER BY word_idx)
+), grouped AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY word_idx ROWS UNBOUNDED PRECEDING) - 1 AS seg FROM marked
+), segments AS (
+  SELECT job_id, CAST(seg AS INTEGER) AS seg_idx, min(start_cs) / 100.0::DOUBLE AS start_s, max(end_cs) / 100.0::DOUBLE AS end_s, string_agg(word, ' ' ORDER BY word_idx) AS text
+  FROM grouped GROUP BY job_id, seg
+)"""
+_PAIRS = """
+pairs AS (
+  SELECT a.job_id, a.seg_idx AS i, b.seg_idx AS j, a.start_s, b.end_s, b.end_s - a.start_s AS d
+  FROM segments a JOIN segments b ON a.job_id = b.job_id AND b.seg_idx >= a.seg_idx AND b.start_s <= a.start_s + 60.0::DOUBLE
+), open_pairs AS (
+  SELECT *, max(d) OVER (PARTITION BY job_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pairs
+), spans AS (
+  SELECT job_id, i, j, start_s, end_s FROM open_pairs WHERE d BETWEEN 20.0::DOUBLE AND 60.0::DOUBLE AND (before IS NULL OR before < 40.0::DOUBLE)
+)"""
+_WINDOWS = """
+windows AS (
+  SELECT p.job_id, p.i, p.j, p.start_s, p.end_s, string_agg(s.text, ' ' ORDER BY s.seg_idx) AS text
+  FROM spans p JOIN segments s ON s.job_id = p.job_id AND s.seg_idx BETWEEN p.i AND p.j
+  GROUP BY p.job_id, p.i, p.j, p.start_s, p.end_s
+)"""
+_THIN = """
+bucketed AS (
+  SELECT job_id, CAST(floor(start_s / 8.0::DOUBLE) AS BIGINT) AS bucket, i, j, start_s, end_s, text FROM windows
+), thin AS (
+  SELECT * EXCLUDE (r) FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id, bucket ORDER BY abs(end_s - start_s - 40.0::DOUBLE), i, j) AS r FROM bucketed
+  ) WHERE r = 1
+)"""
+_NUMBER = """
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_s) - 1 AS p, count(*) OVER (PARTITION BY job_id) AS n FROM thin
+), picks AS (
+  SELECT DISTINCT job_id, n, k, CASE WHEN n <= 40 THEN k ELSE CAST(floor(k * (n / 40.0::DOUBLE)) AS BIGINT) END AS p
+  FROM (SELECT DISTINCT job_id, n FROM placed), range(0, 40) AS r(k)
+), candidates AS (
+  SELECT c.job_id, CAST(k.k AS INTEGER) AS id, c.start_s, c.end_s, c.text FROM placed c JOIN picks k ON c.job_id = k.job_id AND c.p = k.p
+)"""
+_SCORED = """
+scored AS (
+  SELECT *, len(string_split_regex(text, '\\s+')) / greatest(end_s - start_s, 1.0::DOUBLE) * 2
+    + (1.0::DOUBLE - abs(end_s - start_s - 40.0::DOUBLE) / 40.0::DOUBLE) * 3
+    + (CASE WHEN right(text, 1) IN ('.', '!', '?') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * 2 AS score
+  FROM candidates
+)"""
+_CHOSEN = """
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, id) AS r FROM scored
+), picked AS (
+  SELECT job_id, r, CASE WHEN true THEN [struct_pack(s := start_s, e := end_s)] END AS taken, true AS kept FROM ordered WHERE r = 1
+  UNION ALL
+  SELECT o.job_id, o.r,
+    CASE WHEN len(p.taken) < 5 AND len(list_filter(p.taken, lambda t: o.start_s < t.e AND t.s < o.end_s)) = 0 THEN list_append(p.taken, struct_pack(s := o.start_s, e := o.end_s)) ELSE p.taken END,
+    len(p.taken) < 5 AND len(list_filter(p.taken, lambda t: o.start_s < t.e AND t.s < o.end_s)) = 0
+  FROM picked p JOIN ordered o ON o.job_id = p.job_id AND o.r = p.r + 1
+), chosen AS (
+  SELECT o.job_id, CAST(row_number() OVER (PARTITION BY o.job_id ORDER BY o.start_s) - 1 AS INTEGER) AS clip_idx, o.id, o.start_s, o.end_s, o.text, o.score
+  FROM ordered o JOIN picked p ON o.job_id = p.job_id AND o.r = p.r WHERE p.kept
+)"""
+_CLIP_WORDS = """
+clips AS (
+  SELECT job_id, clip_idx, CAST(round_even(start_s * 100, 0) AS BIGINT) AS start_cs, CAST(round_even(end_s * 100, 0) AS BIGINT) AS end_cs FROM chosen
+), clip_words AS (
+  SELECT w.job_id, c.clip_idx, w.word_idx, w.start_cs - c.start_cs AS from_cs, w.end_cs - c.start_cs AS to_cs, w.word
+  FROM words w JOIN clips c ON w.job_id = c.job_id AND w.end_cs > c.start_cs AND w.start_cs < c.end_cs
+)"""
+_CHUNKS = """
+cuts AS (
+  SELECT *, CASE WHEN coalesce(from_cs - lag(to_cs) OVER o > 100 OR right(lag(word) OVER o, 1) IN ('.', '!', '?', ','), false) THEN 1 ELSE 0 END AS cut
+  FROM clip_words WINDOW o AS (PARTITION BY job_id, clip_idx ORDER BY word_idx)
+), sessions AS (
+  SELECT *, sum(cut) OVER (PARTITION BY job_id, clip_idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS session FROM cuts
+), parts AS (
+  SELECT *, (row_number() OVER (PARTITION BY job_id, clip_idx, session ORDER BY word_idx) - 1) // 4 AS part FROM sessions
+), chunk_rows AS (
+  SELECT job_id, clip_idx, session, part, arg_min(from_cs, word_idx) AS from_cs, arg_max(to_cs, word_idx) AS to_cs, string_agg(word, ' ' ORDER BY word_idx) AS text
+  FROM parts GROUP BY job_id, clip_idx, session, part
+), chunks AS (
+  SELECT job_id, clip_idx, CAST(row_number() OVER (PARTITION BY job_id, clip_idx ORDER BY session, part) - 1 AS INTEGER) AS chunk_idx, from_cs, to_cs, text FROM chunk_rows
+)"""
+_TIME = "(t // 360000) || ':' || lpad(CAST(t // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(t // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(t % 100 AS VARCHAR), 2, '0')"
+_LINES = f"""
+dialogue AS (
+  SELECT job_id, clip_idx, chunk_idx,
+    'Dialogue: 0,' || {_TIME.replace("t //", "greatest(from_cs, 0) //").replace("t %", "greatest(from_cs, 0) %")} || ',' || {_TIME.replace("t //", "greatest(to_cs, 0) //").replace("t %", "greatest(to_cs, 0) %")}
+    || ',Default,,0,0,0,,' || translate(replace(text, '\\', '\\\\'), '{{}}', '()') AS line
+  FROM chunks
+)"""
+_BINS = """
+bins AS (
+  SELECT CAST(user_id AS VARCHAR) AS clip_id, event_type, value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 2 + hour(ts) // 12 AS INTEGER) AS sample_idx FROM events
+), event_bins AS (
+  SELECT * FROM bins WHERE sample_idx BETWEEN 0 AND 59
+)"""
+_TRACKS = """
+centres AS (
+  SELECT clip_id, event_type, sample_idx, median(value) AS cx FROM event_bins GROUP BY clip_id, event_type, sample_idx
+), firsts AS (
+  SELECT clip_id, event_type, min(sample_idx) AS f FROM centres GROUP BY clip_id, event_type
+), ids AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY f, event_type) - 1 AS INTEGER) AS track_id FROM firsts
+), boxes AS (
+  SELECT c.clip_id, i.track_id, c.sample_idx, c.cx - 4 AS x, c.cx / 2 AS y, 8.0::DOUBLE AS w, 10.0::DOUBLE AS h,
+    c.sample_idx - lag(c.sample_idx) OVER (PARTITION BY c.clip_id, i.track_id ORDER BY c.sample_idx) - 1 AS gap
+  FROM centres c JOIN ids i ON c.clip_id = i.clip_id AND c.event_type = i.event_type
+), stats AS (
+  SELECT clip_id, track_id, CAST(count(*) AS INTEGER) AS samples, count(*) / 60.0::DOUBLE AS coverage, (max(sample_idx) - min(sample_idx) + 1) / 60.0::DOUBLE AS span,
+    coalesce(max(gap), 0) / 2.0::DOUBLE AS longest_gap, min(sample_idx) AS first_idx,
+    median(x) AS median_x, median(y) AS median_y, median(w) AS median_w, median(h) AS median_h, median(x) + median(w) / 2 AS center_x
+  FROM boxes GROUP BY clip_id, track_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY coverage DESC, first_idx, track_id) AS INTEGER) AS rank,
+    coverage >= 0.4::DOUBLE OR (coverage >= 0.25::DOUBLE AND span >= 0.7::DOUBLE) AS persistent
+  FROM stats
+)"""
+_LAYOUT = """
+good AS (
+  SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY rank) AS k FROM ranked WHERE persistent
+), event_clips AS (
+  SELECT DISTINCT CAST(user_id AS VARCHAR) AS clip_id FROM events
+), joined AS (
+  SELECT c.clip_id, r.track_id AS t0, r.coverage AS c0, a.track_id AS t1, b.track_id AS t2, a.coverage AS c1, b.coverage AS c2, b.span AS s2,
+    a.center_x AS x1, b.center_x AS x2, abs(a.center_x - b.center_x) / 60 AS separation
+  FROM event_clips c LEFT JOIN ranked r ON r.clip_id = c.clip_id AND r.rank = 1
+  LEFT JOIN good a ON a.clip_id = c.clip_id AND a.k = 1 LEFT JOIN good b ON b.clip_id = c.clip_id AND b.k = 2
+), decided AS (
+  SELECT *, CASE
+      WHEN t0 IS NULL THEN 'no faces'
+      WHEN t2 IS NOT NULL AND separation < 0.15::DOUBLE THEN 'too close'
+      WHEN t2 IS NOT NULL AND c2 < 0.5::DOUBLE * c1 AND s2 < 0.7::DOUBLE THEN 'second face dominated'
+      WHEN t2 IS NOT NULL THEN 'two persistent faces'
+      WHEN c0 >= 0.3::DOUBLE THEN 'one persistent face'
+      ELSE 'faces too sporadic' END AS reason
+  FROM joined
+), planned AS (
+  SELECT *, CASE WHEN reason IN ('no faces', 'faces too sporadic') THEN 'CENTER_CROP' WHEN reason = 'two persistent faces' THEN 'TWO_PERSON' ELSE 'SINGLE_PERSON' END AS layout FROM decided
+)"""
+_SERIES = """
+points AS (
+  SELECT clip_id, sample_idx, median(value) AS v FROM event_bins GROUP BY clip_id, sample_idx
+), grid AS (
+  SELECT c.clip_id, CAST(r.i AS INTEGER) AS sample_idx, p.v, CASE WHEN p.v IS NOT NULL THEN CAST(r.i AS INTEGER) END AS s
+  FROM (SELECT DISTINCT clip_id FROM points) c CROSS JOIN range(0, 60) AS r(i) LEFT JOIN points p ON p.clip_id = c.clip_id AND p.sample_idx = r.i
+), sided AS (
+  SELECT clip_id, sample_idx,
+    last_value(v IGNORE NULLS) OVER b AS v0, last_value(s IGNORE NULLS) OVER b AS s0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(s IGNORE NULLS) OVER a AS s1
+  FROM grid
+  WINDOW b AS (PARTITION BY clip_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         a AS (PARTITION BY clip_id ORDER BY sample_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), filled AS (
+  SELECT clip_id, sample_idx, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR s0 = s1 THEN v0 ELSE v0 + (v1 - v0) / (s1 - s0) * (sample_idx - s0) END AS v FROM sided
+)"""
+
+
+def _average(source: str, name: str, half: int) -> str:
+    return f"""
+{name} AS (
+  SELECT a.clip_id, a.sample_idx, sum(b.v ORDER BY o.o) / {2 * half + 1}.0::DOUBLE AS v
+  FROM {source} a CROSS JOIN range(-{half}, {half + 1}) AS o(o) JOIN {source} b ON b.clip_id = a.clip_id AND b.sample_idx = greatest(0, least(59, a.sample_idx + o.o))
+  GROUP BY a.clip_id, a.sample_idx
+)"""
+
+
+def _dead(source: str, name: str, dead: str) -> str:
+    return f"""
+{name} AS (
+  SELECT clip_id, sample_idx, v FROM {source} WHERE sample_idx = 0
+  UNION ALL
+  SELECT x.clip_id, x.sample_idx, CASE WHEN abs(x.v - d.v) > {dead} THEN x.v ELSE d.v END
+  FROM {name} d JOIN {source} x ON x.clip_id = d.clip_id AND x.sample_idx = d.sample_idx + 1
+)"""
+
+
+def _with(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
+
+
+_TO_WINDOWS = (_WORDS, _SEGMENTS, _PAIRS, _WINDOWS)
+_TO_CANDIDATES = (*_TO_WINDOWS, _THIN, _NUMBER)
+_TO_CHOSEN = (*_TO_CANDIDATES, _SCORED, _CHOSEN)
+_TO_CHUNKS = (*_TO_CHOSEN, _CLIP_WORDS, _CHUNKS)
+_TO_TRACKS = (_BINS, _TRACKS)
+_TO_SERIES = (_BINS, _SERIES)
+_DOCUMENT_WORDS = _WORDS.replace("CAST(conv_id AS VARCHAR) AS job_id, turn,", "CAST(doc_id AS VARCHAR) AS job_id, 0::BIGINT AS turn,").replace("FROM conversations", "FROM documents")
+_KEYS = """
+coarse AS (
+  SELECT clip_id, sample_idx, floor(v * 4) / 4.0::DOUBLE AS v FROM filled
+), sides AS (
+  SELECT clip_id, sample_idx, round_even(v, 1) AS r, lag(v) OVER o AS a, lead(v) OVER o AS b FROM coarse WINDOW o AS (PARTITION BY clip_id ORDER BY sample_idx)
+)"""
+_REPLY = """
+replies AS (
+  SELECT DISTINCT CAST(conv_id AS VARCHAR) AS job_id, conv_id % 6 AS shape FROM conversations
+), replied AS (
+  SELECT job_id, id, score FROM replies JOIN (VALUES (0, 0, 7.0), (0, 1, 3.0), (1, 0, 7.0), (2, 0, 7.0), (2, 1, 3.0), (3, 0, 7.0), (5, 0, 2.0)) AS x(shape, id, score) USING (shape)
+)"""
+_JOBS = """
+jobs AS (
+  SELECT CAST(event_id AS VARCHAR) AS id, (['queued', 'importing', 'transcribing', 'ranking', 'clipping', 'done', 'error'])[event_id % 7 + 1] AS stage FROM events
+)"""
+
+SQL: dict[str, str] = {
+    "word_timeline": _with(_WORDS, select="SELECT job_id, word_idx, start_cs / 100.0::DOUBLE AS start_s, end_cs / 100.0::DOUBLE AS end_s, word FROM words"),
+    "segments": _with(_WORDS, _SEGMENTS, select="SELECT job_id, seg_idx, start_s, end_s, text FROM segments"),
+    "window_enumeration": _with(*_TO_WINDOWS, select="SELECT job_id, i, j, start_s, end_s, text FROM windows"),
+    "window_enumeration_binned": _with(_WORDS, _SEGMENTS, _PAIRS, select="SELECT job_id, i, j, start_s, end_s FROM spans"),
+    "window_thinning": _with(*_TO_WINDOWS, _THIN, select="SELECT job_id, bucket, i, j, start_s, end_s, text FROM thin"),
+    "even_sampling": _with(_DOCUMENT_WORDS, _SEGMENTS, _PAIRS, "windows AS (SELECT *, '' AS text FROM spans)", _THIN, _NUMBER, select="SELECT job_id, id, start_s, end_s FROM candidates"),
+    "candidate_ids": _with(*_TO_CANDIDATES, select="SELECT job_id, id, start_s, end_s, text FROM candidates"),
+    "prompt_listing": _with(*_TO_CANDIDATES, select="SELECT job_id, string_agg('[id=' || id || '] (' || CAST(round_even(end_s - start_s, 0) AS INTEGER) || 's) ' || text, chr(10) || chr(10) ORDER BY id) AS listing FROM candidates GROUP BY job_id"),
+    "heuristic_scores": _with(*_TO_CANDIDATES, _SCORED, select="SELECT job_id, id, round(score, 6) AS score FROM scored"),
+    "parse_scores_tolerant": _with(_REPLY, select="SELECT job_id, CAST(id AS BIGINT) AS id, CAST(score AS DOUBLE) AS score FROM replied"),
+    "score_dedup": "SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(turn % 3 AS INTEGER) AS id, CAST(arg_max(length(text), turn) AS DOUBLE) AS score FROM conversations GROUP BY conv_id, turn % 3",
+    "score_join": _with(*_TO_CANDIDATES, _REPLY, select="SELECT c.job_id, c.id, coalesce(CAST(r.score AS DOUBLE), 0.0::DOUBLE) AS score FROM candidates c LEFT JOIN replied r ON c.job_id = r.job_id AND c.id = r.id"),
+    "ranked_candidates": _with(
+        *_TO_CANDIDATES,
+        _SCORED,
+        _REPLY,
+        select="""SELECT c.job_id, c.id, CASE WHEN h.job_id IS NULL THEN round(c.score, 6) ELSE coalesce(CAST(r.score AS DOUBLE), 0.0::DOUBLE) END AS score,
+  CASE WHEN h.job_id IS NULL THEN 'no usable reply; used heuristic ranking' ELSE 'ranked by model' END AS note
+FROM scored c LEFT JOIN (SELECT DISTINCT job_id FROM replied) h ON h.job_id = c.job_id LEFT JOIN replied r ON r.job_id = c.job_id AND r.id = c.id""",
+    ),
+    "greedy_selection": _with(*_TO_CHOSEN, select="SELECT job_id, clip_idx, id, start_s, end_s, text, round(score, 6) AS score FROM chosen"),
+    "clip_words": _with(*_TO_CHOSEN, _CLIP_WORDS, select="SELECT job_id, clip_idx, word_idx, from_cs, to_cs, word FROM clip_words"),
+    "caption_chunks": _with(*_TO_CHUNKS, select="SELECT job_id, clip_idx, chunk_idx, from_cs, to_cs, text FROM chunks"),
+    "caption_lines": _with(*_TO_CHUNKS, _LINES, select="SELECT job_id, clip_idx, chunk_idx, line FROM dialogue"),
+    "track_coverage": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, samples, round(coverage, 6) AS coverage FROM stats"),
+    "track_span": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, round(span, 6) AS span FROM stats"),
+    "track_longest_gap": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, longest_gap FROM stats"),
+    "track_median_box": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, round(median_x, 6) AS median_x, round(median_y, 6) AS median_y, round(median_w, 6) AS median_w, round(median_h, 6) AS median_h, round(center_x, 6) AS center_x FROM stats"),
+    "track_ranking": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, rank FROM ranked"),
+    "persistent_tracks": _with(*_TO_TRACKS, select="SELECT clip_id, track_id FROM ranked WHERE persistent"),
+    "layout_classification": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        select="""SELECT clip_id, layout, reason, CASE WHEN layout = 'CENTER_CROP' THEN '' WHEN layout = 'TWO_PERSON' THEN CASE WHEN x1 <= x2 THEN t1 || ',' || t2 ELSE t2 || ',' || t1 END
+  WHEN t2 IS NOT NULL THEN CAST(t1 AS VARCHAR) ELSE CAST(t0 AS VARCHAR) END AS tracks, round(separation, 6) AS separation FROM planned""",
+    ),
+    "series_gap_fill": _with(*_TO_SERIES, select="SELECT clip_id, sample_idx, round(v, 6) AS v FROM filled"),
+    "series_moving_average": _with(*_TO_SERIES, _average("filled", "averaged", 3), select="SELECT clip_id, sample_idx, round(v, 6) AS v FROM averaged"),
+    "series_deadzone": _with(*_TO_SERIES, _dead("filled", "dead", "5.0::DOUBLE"), select="SELECT clip_id, sample_idx, round(v, 6) AS v FROM dead"),
+    "series_smooth": _with(
+        *_TO_SERIES, _average("filled", "a1", 3), _dead("a1", "d1", "(0.06::DOUBLE * 20.0::DOUBLE)"), _average("d1", "a2", 2), select="SELECT clip_id, sample_idx, round(least(greatest(v - 10, 0.0::DOUBLE), 40.0::DOUBLE), 6) AS v FROM a2"
+    ),
+    "series_keyframes": _with(*_TO_SERIES, _KEYS, select="SELECT clip_id, sample_idx / 2.0::DOUBLE AS t, r AS v FROM sides WHERE sample_idx IN (0, 59) OR NOT (abs(r - a) < 0.5 AND abs(r - b) < 0.5)"),
+    "crop_geometry": """
+SELECT event_id,
+  CAST(CASE WHEN w9 > width THEN round_even(width / 2.0::DOUBLE, 0) * 2 ELSE w9 END AS INTEGER) AS single_w,
+  CAST(CASE WHEN w9 > width THEN round_even(width * 16 / 9.0::DOUBLE / 2, 0) * 2 ELSE height END AS INTEGER) AS single_h,
+  CAST(round_even((CASE WHEN h * 9 / 8 > width THEN width ELSE h * 9 / 8 END) / 2, 0) * 2 AS INTEGER) AS half_w,
+  CAST(round_even((CASE WHEN h * 9 / 8 > width THEN width * 8 / 9.0::DOUBLE ELSE h END) / 2, 0) * 2 AS INTEGER) AS half_h,
+  CAST(round_even(width / 2.0::DOUBLE, 0) * 2 AS INTEGER) AS even_w
+FROM (
+  SELECT *, round_even(height * 9 / 16.0::DOUBLE / 2, 0) * 2 AS w9, least(greatest(value * 3.2::DOUBLE, height * 0.45::DOUBLE), height::DOUBLE) AS h
+  FROM (SELECT event_id, CAST(event_id % 1500 + 300 AS INTEGER) AS width, CAST(event_id % 900 + 200 AS INTEGER) AS height, value FROM events)
+)""",
+    "detection_filter": _with(_BINS, select="SELECT clip_id, count(*) AS n FROM event_bins WHERE value >= 22 GROUP BY clip_id"),
+    "detections_best_first": _with(_BINS, select="SELECT clip_id, sample_idx, CAST(count(*) AS INTEGER) AS n, round(max(value), 6) AS best FROM event_bins GROUP BY clip_id, sample_idx"),
+    "job_status_counts": _with(_JOBS, select="SELECT stage, count(*) AS n FROM jobs GROUP BY stage"),
+    "job_health": _with(_JOBS, select="SELECT 'ok' AS status, count(*) FILTER (stage IN ('importing', 'transcribing', 'ranking', 'clipping')) AS running, count(*) FILTER (stage = 'queued') AS queued, count(*) AS known FROM jobs"),
+    "job_public_view": _with(
+        _JOBS,
+        select="""SELECT id, stage, CASE stage WHEN 'queued' THEN 'Waiting for a free slot...' WHEN 'importing' THEN 'Importing video...' WHEN 'transcribing' THEN 'Transcribing...'
+  WHEN 'ranking' THEN 'Finding best moments...' WHEN 'clipping' THEN 'Creating clips...' WHEN 'done' THEN 'Done.' ELSE 'Error.' END AS status FROM jobs""",
+    ),
+    "job_lookup": _with(_JOBS, select="SELECT id, stage FROM jobs WHERE id = '7'"),
+    "url_validation": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true ELSE contains(url, 'youtube.com/') OR contains(url, 'youtu.be/') END AS ok FROM pages",
+    "public_files": "SELECT page_id, page_id % 4 IN (2, 3) AS ok FROM pages",
+    "source_pick": """
+SELECT job_id, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY NOT ends_with(path, '.mp4'), path) AS r
+  FROM (SELECT CAST(page_id % 20 AS VARCHAR) AS job_id, 'source.' || lpad(CAST(page_id AS VARCHAR), 9, '0') || CASE WHEN page_id % 5 = 3 THEN '.mp4' ELSE '.webm' END AS path FROM pages)
+) WHERE r = 1""",
+    "encoder_versions": """
+SELECT page_id, CAST(major AS INTEGER) AS major, CASE WHEN major < 7 THEN '-filter_complex_script' ELSE '-/filter_complex' END AS option
+FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 10 WHEN 1 THEN page_id % 12 END AS major FROM pages)""",
+    "page_clock": """
+SELECT event_id, (CAST(floor(value * 10) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(value * 10) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock,
+  replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS props FROM events""",
+}

@@ -1,3 +1,377 @@
-"""Queries over the driver's tables, one for each operator."""
+"""Queries over the driver's tables, one for each operator. Each takes (spark, sf_dir) and covers its whole tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.numeric import even
+from ..operators import captions, layout, scoring, selection, series, tracking, windows
+from ..sources import ingest, jobs, sinks
+from . import render
+
+N = 60  # samples of an event clip
+WIDTH = 60
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(column: str):
+    """Six decimals: sums of doubles differ in the last bits between engines."""
+    return F.round(F.col(column), 6).alias(column)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.timeline(ingest.conversations(spark, sf_dir))
+
+
+def segments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.seconds(ingest.sentences(words(spark, sf_dir)))
+
+
+def candidates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.candidates(segments_of(spark, sf_dir))
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_best(scoring.heuristic(candidates_of(spark, sf_dir)))
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cs = lambda c: F.bround(F.col(c) * 100).cast("long")
+    return chosen(spark, sf_dir).select("job_id", "clip_idx", cs("start_s").alias("start_cs"), cs("end_s").alias("end_cs"))
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.track_stats(ingest.event_boxes(spark, sf_dir), N)
+
+
+def event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("clip_id")).distinct().withColumn("width", F.lit(WIDTH))
+
+
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = series.gather(ingest.event_series(spark, sf_dir))
+    return points.select("clip_id", series.fill(F.col("points"), N).alias("v"))
+
+
+def unrolled(rows: DataFrame, column: str = "v") -> DataFrame:
+    out = rows.select("clip_id", F.posexplode(column).alias("sample_idx", "v"))
+    return out.select("clip_id", F.col("sample_idx").cast("int").alias("sample_idx"), six("v"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply for each conversation, in one of the shapes that replies take."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+    shape = F.col("conv_id") % 6
+    raw = (
+        F.when(shape == 0, '[{"id":0,"score":7},{"id":"1","score":"3"},5]')
+        .when(shape == 1, '{"scores":[{"id":0,"score":7}]}')
+        .when(shape == 2, '{"0":7,"1":3}')
+        .when(shape == 3, 'Sure: [{"id":0,"score":7}] ok')
+        .when(shape == 4, '{"id":0,"score":7}')
+        .otherwise('[{"id":0,"score":1},{"id":0,"score":2}]')
+    )
+    return rows.select(F.col("conv_id").cast("string").alias("job_id"), raw.alias("raw"))
+
+
+def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs: the event's number names the stage."""
+    names = F.array(*[F.lit(x) for x in ("queued", "importing", "transcribing", "ranking", "clipping", "done", "error")])
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select(F.col("event_id").cast("string").alias("id"), F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("stage"), F.lit("hidden").alias("traceback"))
+
+
+@query
+def word_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.seconds(words(spark, sf_dir)).select("job_id", "word_idx", "start_s", "end_s", "word")
+
+
+@query
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments_of(spark, sf_dir).select("job_id", "seg_idx", "start_s", "end_s", "text")
+
+
+@query
+def window_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.enumerate_windows(segments_of(spark, sf_dir))
+
+
+@query
+def window_enumeration_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.binned_windows(segments_of(spark, sf_dir))
+
+
+@query
+def window_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.thin(windows.enumerate_windows(segments_of(spark, sf_dir))).select("job_id", "bucket", "i", "j", "start_s", "end_s", "text")
+
+
+@query
+def even_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_jobs = ingest.seconds(ingest.sentences(ingest.timeline(ingest.documents(spark, sf_dir))))
+    return windows.candidates(long_jobs).select("job_id", "id", "start_s", "end_s")
+
+
+@query
+def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates_of(spark, sf_dir)
+
+
+@query
+def prompt_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.prompt_listing(candidates_of(spark, sf_dir))
+
+
+@query
+def heuristic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.heuristic(candidates_of(spark, sf_dir)).select("job_id", "id", six("score"))
+
+
+@query
+def parse_scores_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.parse_replies(replies(spark, sf_dir))
+
+
+@query
+def score_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = turns.select(F.col("conv_id").cast("string").alias("job_id"), (F.col("turn") % 3).cast("int").alias("id"), F.col("turn").alias("pos"), F.length("text").cast("double").alias("score"))
+    return scoring.last_scores(rows)
+
+
+@query
+def score_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.join_scores(candidates_of(spark, sf_dir), scoring.parse_replies(replies(spark, sf_dir))).select("job_id", "id", "score")
+
+
+@query
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.rank(candidates_of(spark, sf_dir), scoring.parse_replies(replies(spark, sf_dir))).select("job_id", "id", six("score"), "note")
+
+
+@query
+def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen(spark, sf_dir).select("job_id", "clip_idx", "id", "start_s", "end_s", "text", six("score"))
+
+
+@query
+def clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.clip_words(words(spark, sf_dir), clips(spark, sf_dir))
+
+
+@query
+def caption_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.chunks(clip_words(spark, sf_dir))
+
+
+@query
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.lines(caption_chunks(spark, sf_dir))
+
+
+@query
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.caption_files(caption_lines(spark, sf_dir)).select("job_id", "clip_idx", F.md5("value").alias("md5"), F.length("value").cast("long").alias("size"))
+
+
+@query
+def track_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(spark, sf_dir).select("clip_id", "track_id", "samples", six("coverage"))
+
+
+@query
+def track_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(spark, sf_dir).select("clip_id", "track_id", six("span"))
+
+
+@query
+def track_longest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(spark, sf_dir).select("clip_id", "track_id", "longest_gap")
+
+
+@query
+def track_median_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(spark, sf_dir).select("clip_id", "track_id", *[six(f"median_{c}") for c in "xywh"], six("center_x"))
+
+
+@query
+def track_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.ranked(stats(spark, sf_dir)).select("clip_id", "track_id", "rank")
+
+
+@query
+def persistent_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.ranked(stats(spark, sf_dir)).where("persistent").select("clip_id", "track_id")
+
+
+@query
+def layout_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir))
+    return plan.select("clip_id", "layout", "reason", F.array_join(F.transform("tracks", lambda t: t.cast("string")), ",").alias("tracks"), six("separation"))
+
+
+@query
+def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.as_json(layout.metrics(stats(spark, sf_dir), n_samples=N), "clip_id")
+
+
+@query
+def layout_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)))
+    return plan.select("clip_id", "note", text.layout_label(F.col("layout")).alias("label"))
+
+
+@query
+def series_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unrolled(filled(spark, sf_dir))
+
+
+@query
+def series_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unrolled(filled(spark, sf_dir).withColumn("v", series.moving_average(F.col("v"), 3)))
+
+
+@query
+def series_deadzone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unrolled(filled(spark, sf_dir).withColumn("v", series.dead_zone(F.col("v"), F.lit(5.0))))
+
+
+@query
+def series_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unrolled(series.smooth(filled(spark, sf_dir), F.lit(20.0), F.lit(float(WIDTH))), "origin")
+
+
+@query
+def series_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coarse = filled(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.floor(x * 4) / F.lit(4.0)))
+    rows = coarse.select("clip_id", F.explode(series.keyframes(F.col("v"))).alias("k"))
+    return rows.select("clip_id", "k.t", "k.v")
+
+
+@query
+def keyframe_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = filled(spark, sf_dir).withColumn("keys", series.keyframes(F.col("v")))
+    return keys.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("i"), "keys").select("clip_id", F.col("i").cast("int").alias("sample_idx"), F.round(series.value_at(F.col("keys"), F.col("i") / F.lit(2.0)), 6).alias("v"))
+
+
+@query
+def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = events.select("event_id", (F.col("event_id") % 1500 + 300).cast("int").alias("width"), (F.col("event_id") % 900 + 200).cast("int").alias("height"), "value")
+    w, h = series.single_size(F.col("width"), F.col("height"))
+    w2, h2 = series.half_size(F.col("width"), F.col("height"), F.col("value"))
+    return size.select("event_id", w.cast("int").alias("single_w"), h.cast("int").alias("single_h"), w2.cast("int").alias("half_w"), h2.cast("int").alias("half_h"), even(F.col("width")).alias("even_w"))
+
+
+@query
+def debug_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stats(spark, sf_dir).select("clip_id", "track_id", F.col("samples").alias("n"))
+    return sizes.select("clip_id", "track_id", F.array_join(F.transform(series.debug_tiles(F.col("n")), lambda i: i.cast("string")), ",").alias("tiles"))
+
+
+@query
+def filter_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smooth = series.smooth(filled(spark, sf_dir), F.lit(20.0), F.lit(float(WIDTH)))
+    still = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("v")))
+    region = F.struct(F.lit(20).alias("w"), F.lit(36).alias("h"), F.col("keys").alias("x_keys"), still.alias("y_keys"))
+    plan = layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir))
+    rows = smooth.withColumn("keys", series.keyframes(F.col("origin"))).join(plan.select("clip_id", "layout"), "clip_id")
+    return rows.select("clip_id", "layout", render.filter_graph(F.col("layout"), F.array(region, region), text.filter_path(F.concat(F.lit("C:\\clips\\"), "clip_id", F.lit(".ass")))).alias("graph"))
+
+
+@query
+def render_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clips(spark, sf_dir).withColumn("out", F.concat(F.lit("clip_"), (F.col("clip_idx") + 1).cast("string"), F.lit(".mp4")))
+    script = F.when(F.col("clip_idx") % 2 == 0, F.replace("out", F.lit(".mp4"), F.lit(".filter")))
+    args = render.command(F.lit("source.mp4"), F.col("start_cs") / F.lit(100.0), F.col("end_cs") / F.lit(100.0), text.filter_option(F.lit(7)), script, F.lit(None).cast("string"), F.col("out"))
+    return rows.select("job_id", "clip_idx", F.array_join(args, " ").alias("command"))
+
+
+@query
+def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.link_tracks(ingest.event_detections(spark, sf_dir))
+
+
+@query
+def merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.track_people(ingest.event_detections(spark, sf_dir))
+
+
+@query
+def detection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.event_detections(spark, sf_dir).withColumn("w", F.col("x"))
+    return tracking.keep_wide(rows).groupBy("clip_id").agg(F.count("*").alias("n"))
+
+
+@query
+def detections_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracking.best_first(ingest.event_detections(spark, sf_dir).withColumn("score", F.col("x")))
+    return rows.select("clip_id", "sample_idx", F.size("detections").alias("n"), six2("detections"))
+
+
+def six2(column: str):
+    return F.round(F.element_at(F.col(column), F.lit(1))["score"], 6).alias("best")
+
+
+@query
+def job_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.stage_counts(job_rows(spark, sf_dir))
+
+
+@query
+def job_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.health(job_rows(spark, sf_dir)).select("status", "running", "queued", "known")
+
+
+@query
+def job_public_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.public_view(jobs.with_status(job_rows(spark, sf_dir)))
+
+
+@query
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.look_up(job_rows(spark, sf_dir), "7")
+
+
+@query
+def url_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" https://youtu.be/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return pages.select("page_id", text.is_source_url(url).alias("ok"))
+
+
+@query
+def public_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = F.concat(F.lit("clip_"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 0, ".mp4\n").when(F.col("page_id") % 4 == 1, ".mov").otherwise(".mp4"))
+    return pages.select("page_id", text.is_public_file(name).alias("ok"))
+
+
+@query
+def source_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = F.when(F.col("page_id") % 5 == 3, ".mp4").otherwise(".webm")
+    return ingest.pick_source(pages.select((F.col("page_id") % 20).cast("string").alias("job_id"), F.concat(F.lit("source."), F.lpad(F.col("page_id").cast("string"), 9, "0"), kind).alias("path")))
+
+
+@query
+def encoder_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    version = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("n"), (F.col("page_id") % 10).cast("string"), F.lit(".1"))).when(F.col("page_id") % 3 == 1, F.concat((F.col("page_id") % 12).cast("string"), F.lit(".0.2-full"))).otherwise("N-127233-g0")
+    major = text.encoder_major(F.concat(F.lit("ffmpeg version "), version, F.lit(" built")))
+    return pages.select("page_id", major.alias("major"), text.filter_option(major).alias("option"))
+
+
+@query
+def page_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", text.clock(F.col("value") * 10).alias("clock"), text.html_escape(F.col("props")).alias("props"))
