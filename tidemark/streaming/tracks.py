@@ -16,13 +16,14 @@ from ..operators.tracking import Linker
 DEFAULT = Tracking()
 
 
-def link_stream(detections: DataFrame, scale: float = 1.0, c: Tracking = DEFAULT, idle: str = "10 minutes") -> DataFrame:
+def link_stream(detections: DataFrame, scale: float = 1.0, c: Tracking = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
     """Track of each detection (clip_id, sample_idx, det_idx, x, y, w, h, score) of a stream.
 
-    Only open tracks are kept for a clip; they go when it has been idle for long. A clip's samples must arrive in order, a
+    Only open tracks are kept for a clip; they go when it has been idle for long, or stay if idle is None. A timeout makes the
+    query run empty batches, so one that is to end with its input needs None. A clip's samples must arrive in order, a
     sample in one batch.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,7 +37,8 @@ def link_stream(detections: DataFrame, scale: float = 1.0, c: Tracking = DEFAULT
             ids = linker.add(int(sample), group[["x", "y", "w", "h"]].to_numpy(float))
             yield pd.DataFrame({"clip_id": key[0], "sample_idx": int(sample), "det_idx": group["det_idx"].to_numpy(np.int32), "track_id": ids})
         state.update((pickle.dumps((linker.last, linker.made)),))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
 
     out = "clip_id string, sample_idx int, det_idx int, track_id int"
-    return detections.groupBy("clip_id").applyInPandasWithState(run, out, "open binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return detections.groupBy("clip_id").applyInPandasWithState(run, out, "open binary", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
