@@ -79,28 +79,43 @@ def words_at(text: np.ndarray) -> np.ndarray:
 
 
 def sort_directly(words: np.ndarray, some: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
-    """Places some, sorted by the first depth bytes from each on. Groups of one name (equal to that depth) stay as they are."""
+    """Places some, sorted by the first depth bytes from each on. Groups of one name (equal to that depth) stay as they are.
+
+    Groups that agree so far are told apart by the next 8 bytes; those that agree in these too are not sorted again.
+    """
     out = some[np.argsort(words[some], kind="stable")]
     key = words[out]
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) if len(out) else np.zeros(0, np.int64)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(out) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(out)])
     spot = np.arange(len(out))
     for d in range(8, depth, 8):
         if not len(spot):
             break
-        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        own = names[out[spot]]
-        size = np.diff(np.r_[start, len(spot)])
-        left = np.repeat((size > 1) & (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)), size)
-        spot, group = spot[left], group[left]
+        open_groups = size > 1
+        if d % 32 == 8:
+            own = names[out[spot]]
+            open_groups &= np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+        if not open_groups.all():
+            spot, size = spot[np.repeat(open_groups, size)], size[open_groups]
+            start = np.cumsum(size) - size
         if not len(spot):
             break
         here = out[spot]
         ahead = here + d
         key = np.where(ahead < len(words), words[np.minimum(ahead, len(words) - 1)], 0)
-        order = np.lexsort((key, group))
-        here, key = here[order], key[order]
-        out[spot] = here
-        group = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        mixed = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+        if not mixed.any():
+            continue
+        part = np.flatnonzero(np.repeat(mixed, size))
+        group = np.repeat(np.arange(int(mixed.sum())), size[mixed])
+        order = np.lexsort((key[part], group))
+        out[spot[part]] = here[part][order]
+        key[part] = key[part][order]
+        fresh = np.zeros(len(spot), bool)
+        fresh[start] = True
+        fresh[1:] |= key[1:] != key[:-1]
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.r_[start, len(spot)])
     return out
 
 
@@ -283,7 +298,8 @@ def repeated(texts: DataFrame, length: int = LENGTH, together: int = TOGETHER) -
     Rows with equal keys must have equal texts; each counts.
     """
     marks = mark_intervals(texts, length)
-    often = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Written out, so that the join's sides are dealt anew and a hash of very many rows can be split.
+    often = cut(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     marks = cut(marks.join(often, "h", "left_semi"))
     kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n")).alias("at"))
     many = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > together).select("h", F.lit(True).alias("many"))
