@@ -46,15 +46,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text and toxic of the labelled documents that are not held out; a document of several labels has the largest."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(crc_mod("doc_id", 5) != 0)
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = toxicity.train(toxicity_labels(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where(crc_mod("id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic").where(crc_mod("id", 5) != 0)
+    chain = toxicity.train(docs, labels)
     found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), chain, keep=["doc_id"])
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("toxic_spans").cast("long").alias("n_spans"))
 

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import alnum_words, annotate, bool_lut, find_keys, groups_of, text_bytes
 
 #: Labelled documents of each class that training takes at most, about; the same number at every input size.
-SAMPLE = 1_500
-SAMPLE_BYTES = 8 << 20
+SAMPLE = 1_000
+SAMPLE_BYTES = 4 << 20
 #: A word of a toxic document is tagged if it stands beside this many different pairs of neighbours in toxic documents,
 #: and is so many times as frequent there as in clean ones.
 SUPPORT, LIKELIER = 12, 8
@@ -161,8 +161,12 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     texts, toxic = [texts[i] for i in order], np.array([toxic[i] for i in order], float)
     share = np.array([weights[i] for i in order]) if weights else np.ones(len(texts))
     data, at = text_bytes(pa.array(texts, pa.string()))
-    words, begins, ends, first = alnum_words(data, at)
-    first = first[:-1]
+    parts = []
+    for lo, hi in groups_of(at, 1 << 20):
+        words, begins, ends, first = alnum_words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        parts.append((words, begins + at[lo], ends + at[lo], np.diff(first)))
+    words, begins, ends, sizes = (np.concatenate(x) for x in zip(*parts))
+    first = np.cumsum(sizes) - sizes
     keys, n = np.unique(words, return_counts=True)
     chain = Chain(keys[n >= 3], np.zeros((3, int((n >= 3).sum()))), -4.0, 0.0, np.zeros((2, 2)), np.array([-2.0, 1.0, 0.0]))
     ids = chain.ids(words)
@@ -226,18 +230,23 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     return chain
 
 
-def train(labelled: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Chain | None:
-    """A chain of labelled (id, text, toxic) rows, fitted on a sample of bounded size that is gathered on the driver.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Chain | None:
+    """A chain of documents (id, text) and labels (id, toxic), fitted on a sample of bounded size, gathered on the driver.
 
-    Null labels are left out; a null text is empty.
+    Of several labels of a document the largest counts; null labels and ids are left out; a null text is empty. Ids and
+    lengths are joined first to find the classes' sizes. The sample is drawn from the labels by a hash of the id, so its
+    ids are few enough to broadcast and no text is shuffled.
     """
-    rows = labelled.where("toxic is not null").select("id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sizes = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.avg(F.octet_length("text")).alias("bytes")).collect()}
+    marks = labels.where("toxic is not null and id is not null").groupBy("id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    lengths = docs.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    sizes = {r.toxic: r for r in lengths.join(marks, "id").groupBy("toxic").agg(F.count("*").alias("n"), F.avg("bytes").alias("bytes")).collect()}
     share = {k: min(per_class, r.n, max(20, int(most_bytes / 2 / max(1.0, r.bytes)))) / r.n for k, r in sizes.items()}
     if len(share) < 2:
         return None
     limit = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    some = [(r.text, r.toxic) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(1 << 20) * limit).toLocalIterator()]
+    drawn = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(1 << 20) * limit)
+    rows = docs.join(F.broadcast(drawn), "id").select("text", "toxic")
+    some = [(r.text or "", r.toxic) for r in rows.toLocalIterator()]
     return fit([t for t, _ in some], [x for _, x in some], [1 / share[x] for _, x in some])
 
 
