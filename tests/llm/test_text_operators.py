@@ -253,6 +253,21 @@ def test_lm_scores_each_subword_once(spark):
     assert np.allclose(together, alone, atol=1e-2) and (together < 0).all()
 
 
+def test_lm_learns_from_every_window():
+    vocabulary = lm.Vocabulary.of(lm.Table(np.zeros(0, np.int64)), np.array([97 | lm.END_WORD, lm.END_TEXT]), np.array([5, 2]), 7)
+    bias = np.zeros((lm.CLASSES + 1, lm.CLASSES), np.float32)
+    import pyarrow as pa
+
+    texts = ["a " * 9000, "", "a", None, "b c " * 900, *["a b"] * 300]
+    trainer = lm.Trainer(vocabulary, bias, lm.fresh_weights())
+    for part in (texts[:3], texts[3:]):
+        trainer.add(*lm.text_bytes(pa.array(part)))
+    trainer.finish()
+    assert trainer.seen == sum(len((t or "").split()) + 1 for t in texts) and not trainer.held
+    assert all(np.isfinite(x).all() for x in trainer.w.values())
+    assert lm.WIDTH == 32 and lm.CLASSES == 256
+
+
 def test_toxicity(spark, empty):
     r = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]

@@ -5,8 +5,8 @@ subwords of up to PART bytes, of which a word's last carries an end mark; a text
 on top of a bias by the last one's class, and the subword within its class by frequency. Texts are scored in windows of
 STRIDE subwords that see STRIDE more before them; windows overlap so that each subword is scored once.
 
-Frequencies and biases are counted over all training texts. Weights are trained where the texts are, on one window in RATE
-of every training text, and averaged over the tasks in two levels.
+Frequencies and biases are counted over all training texts. Weights are trained where the texts are, on every window of
+every training text, and averaged over the tasks in two levels.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ from pyspark.sql import types as T
 from .common import annotate, cut, groups_of, small_batches, span_hashes, text_bytes
 
 STRIDE = 16
-WIDTH = 16
+WIDTH = 32
 HASHED = 4096  # rows of the input embedding
 PART = 2  # bytes, 2 at most
-WORD_CLASSES, PART_CLASSES = 32, 64  # most frequent whole words and parts, each a class of its own
-WORD_GROUPS, PART_GROUPS = 10, 20  # classes that the others share: words by rank, parts by end mark and first byte
+WORD_CLASSES, PART_CLASSES = 64, 144  # most frequent whole words and parts, each a class of its own
+WORD_GROUPS, PART_GROUPS = 16, 30  # classes that the others share: words by rank, parts by end mark and first byte
 END_CLASS = WORD_CLASSES + PART_CLASSES + WORD_GROUPS + PART_GROUPS
 CLASSES = END_CLASS + 2  # the last is for subwords that training has not seen or kept
 WHOLE = 1 << 17  # words that are subwords as they stand, at most
 LEAST = 5  # how often such a word stands in the training texts, at least
 PARTS = 1 << 16  # other subwords that are kept
-RATE = 16
+STEP = 256  # blocks that a training step takes
 BLOCKS = 64  # blocks that are scored at a time: few enough for a processor's cache
 END_WORD = 1 << 24
 END_TEXT = 1 << 25
@@ -147,7 +147,7 @@ class Vocabulary:
         rank = np.empty(len(codes), np.int64)
         for some in (np.flatnonzero(word), np.flatnonzero(~word)):
             rank[some[np.lexsort((codes[some], -counts[some]))]] = np.arange(len(some))
-        group = np.clip(np.log2(np.maximum(rank, 1) / WORD_CLASSES) * 0.8, 0, WORD_GROUPS - 1).astype(np.int64)
+        group = np.clip(np.log2(np.maximum(rank, 1) / WORD_CLASSES) * 1.6, 0, WORD_GROUPS - 1).astype(np.int64)
         half = PART_GROUPS // 2
         single = WORD_CLASSES + PART_CLASSES
         of_words = np.where(rank < WORD_CLASSES, rank, single + group)
@@ -289,7 +289,7 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], label: np.ndarr
 
 
 class Trainer:
-    """Adam steps over the windows that are handed in."""
+    """Adam steps over all windows of the texts that are handed in."""
 
     def __init__(self, vocabulary: Vocabulary, bias: np.ndarray, weights: dict[str, np.ndarray], rate: float = 6e-3):
         self.v, self.bias, self.rate = vocabulary, bias, rate
@@ -297,34 +297,36 @@ class Trainer:
         self.m = {k: np.zeros_like(x) for k, x in self.w.items()}
         self.s = {k: np.zeros_like(x) for k, x in self.w.items()}
         self.t = self.seen = 0
-        self.held: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.held: list[np.ndarray] = []
 
-    def add(self, data: np.ndarray, at: np.ndarray, turn: np.ndarray) -> None:
-        """Of each row take one block in RATE, beginning with turn modulo RATE, with the block before it."""
+    def add(self, data: np.ndarray, at: np.ndarray) -> None:
+        """Learn from the rows' blocks; what makes no whole step is held, from the block before it on."""
         codes, first = self.v.split(data, at)
-        ids = self.v.ids(codes)
-        before, last, target = windows(codes, first, self.v.classes[ids])
-        filled = (target >= 0).reshape(-1, STRIDE)
-        row = np.searchsorted(first, np.where(filled.any(1), target.reshape(-1, STRIDE).max(1), 0), side="right") - 1
-        mine = np.flatnonzero(filled.any(1) & ((np.arange(len(filled)) + turn[row]) % RATE == 0))
-        if not len(mine):
+        classes = self.v.classes[self.v.ids(codes)]
+        before, last, target = windows(codes, first, classes)
+        if not len(target):
             return
-        both = np.stack([mine - 1, mine], 1).reshape(-1)
-        goal = np.where(target >= 0, self.v.classes[ids[np.maximum(target, 0)]], -1).reshape(-1, STRIDE)[both].copy()
-        self.held.append((before.reshape(-1, STRIDE)[both], last.reshape(-1, STRIDE)[both], goal))
-        self.size += len(mine)
-        while self.size >= 256:
-            self.step()
-
-    def step(self) -> None:
-        before, last, goal = (np.concatenate(x) for x in zip(*self.held))
-        n = 2 * min(256, self.size)
-        self.held, self.size = ([(before[n:], last[n:], goal[n:])], self.size - n // 2) if n < len(before) else ([], 0)
-        before, last, goal = before[:n].reshape(-1), last[:n].reshape(-1), goal[:n]
+        goal = np.where(target >= 0, classes[np.maximum(target, 0)], -1)
+        blocks = [x.reshape(-1, STRIDE) for x in (before, last, goal)]
+        if self.held:
+            blocks = [np.concatenate(x) for x in zip(self.held, blocks)]
+        lo = 0
+        while len(blocks[0]) - lo > STEP:
+            self.step(*[x[lo : lo + STEP + 1] for x in blocks])
+            lo += STEP
+        self.held = [x[lo:].copy() for x in blocks]
+
+    def finish(self) -> None:
+        """Learn from the blocks that are held."""
+        if self.held and len(self.held[0]) > 1:
+            self.step(*self.held)
+        self.held = []
+
+    def step(self, before: np.ndarray, last: np.ndarray, goal: np.ndarray) -> None:
+        before, last = before.reshape(-1), last.reshape(-1)
         seen = goal >= 0
         asked = np.where(seen, np.arange(goal.size).reshape(goal.shape), -1)
-        asked[::2] = -1  # every other block only gives context
+        asked[0] = -1  # the first block only gives context
         f = forward(self.w, self.bias, before, last, seen.reshape(-1), asked.reshape(-1))
         label = goal.reshape(-1)[f["number"]]
         self.t += 1
@@ -438,11 +440,9 @@ def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: np.ndarray) ->
         trainer = Trainer(*shared.value, fresh_weights())
         for batch in batches:
             data, at = text_bytes(batch.column(0))
-            turn = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in groups_of(at, 1 << 20):
-                trainer.add(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], turn[lo:hi])
-        while trainer.size:
-            trainer.step()
+                trainer.add(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        trainer.finish()
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([pack(trainer.w).tobytes()], pa.binary())], names=["n", "w"])
 
@@ -455,7 +455,7 @@ def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: np.ndarray) ->
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    some = texts.select("text", F.pmod(F.xxhash64("text"), F.lit(RATE)).cast("long").alias("turn")).mapInArrow(learn, "n double, w binary")
+    some = texts.select("text").mapInArrow(learn, "n double, w binary")
     rows = some.repartition(AVERAGED).mapInArrow(average, "n double, w binary").collect()
     if not rows:
         return fresh_weights()
