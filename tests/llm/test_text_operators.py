@@ -253,6 +253,13 @@ def test_lm_scores_each_subword_once(spark):
     assert np.allclose(together, alone, atol=1e-2) and (together < 0).all()
 
 
+def test_lines_of_a_tenth_of_a_sites_pages_go(spark):
+    texts = ["\n".join(["footer"] * (i % 12 == 0) + ["seldom"] * (i % 25 == 0) + [f"own {i}"]) for i in range(100)]
+    df = spark.createDataFrame([(i, "site", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.drop_boilerplate(df).collect()}
+    assert got == {i: (t.removeprefix("footer\n"), int(i % 12 == 0)) for i, t in enumerate(texts)}
+
+
 def test_lm_learns_from_every_window():
     vocabulary = lm.Vocabulary.of(lm.Table(np.zeros(0, np.int64)), np.array([97 | lm.END_WORD, lm.END_TEXT]), np.array([5, 2]), 7)
     bias = np.zeros((lm.CLASSES + 1, lm.CLASSES), np.float32)

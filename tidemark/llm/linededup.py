@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-RATIO = 0.2
+#: Boilerplate of the given tables stands on 8 to 13 % of a host's pages, the next most frequent lines on under 5 %.
+RATIO = 0.05
 MIN_PAGES = 5
 #: Lists of boilerplate lines are broadcast up to so many lines in all; beyond that hosts are joined by a shuffle.
 MAX_BROADCAST = 100_000
