@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, golay, langid, licenses, linededup, lm, quality, simhash, substrings, toxicity, winnow
+from tidemark.llm import bpe, components, golay, langid, licenses, linededup, lm, neardup, quality, simhash, substrings, toxicity, winnow
 from tidemark.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.001"
@@ -253,6 +253,30 @@ def test_lm_scores_each_subword_once(spark):
     assert np.allclose(together, alone, atol=1e-2) and (together < 0).all()
 
 
+def test_near_duplicates_are_those_of_similarity_08(spark):
+    r = np.random.default_rng(3)
+    base = [f"w{x}" for x in r.integers(0, 500, 200)]
+    edited = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    texts = {1: edited(), 2: edited(20), 3: edited(40, 80), 4: edited(*range(100)), 5: "", 6: " \n", 7: "a b", 8: "A  b", 9: "a c"}
+    texts |= {20 + i: edited(i * 3, 100 + i) for i in range(60)}  # a long run
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def own(text):
+        w = low(text).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: own(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for _ in range(3):
+        for i in texts:
+            for j in texts:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and key(x.doc_id for x in kept.collect()) == key(set(root.values())) == [1, 4, 5, 7, 9]
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
 def test_lines_of_a_tenth_of_a_sites_pages_go(spark):
     texts = ["\n".join(["footer"] * (i % 12 == 0) + ["seldom"] * (i % 25 == 0) + [f"own {i}"]) for i in range(100)]
     df = spark.createDataFrame([(i, "site", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
