@@ -277,6 +277,20 @@ def test_near_duplicates_are_those_of_similarity_08(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, neardup.keep_one])
+def test_each_component_keeps_a_row(spark, keep_one):
+    r = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{x}" for x in r.integers(0, 9999, 60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    some = [(None, a), (None, b), (None, b), (None, c), (3, c), (1, d), (7, d), (7, e), (7, e), (9, f), (9, a)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    # a has doc_id 9, b none, c 3, d 1; e is of 7 alone, though another text of 7 copies d.
+    both = [(9, a), (9, f)] if keep_one is neardup.keep_one else [min([(9, a), (9, f)], key=lambda x: (shingle_fp(x[1]) ^ 1 << 63))]
+    assert key(map(tuple, keep_one(df).collect())) == key([*both, (None, b), (3, c), (1, d), (7, e)])
+    nulls = df.where("doc_id is null")
+    assert key(x.text for x in keep_one(nulls).collect()) == key([a, b, c])
+
+
 def test_lines_of_a_tenth_of_a_sites_pages_go(spark):
     texts = ["\n".join(["footer"] * (i % 12 == 0) + ["seldom"] * (i % 25 == 0) + [f"own {i}"]) for i in range(100)]
     df = spark.createDataFrame([(i, "site", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")

@@ -144,6 +144,18 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return keyed.mapInArrow(pair, "a long, b long").distinct()
 
 
+def labelled(docs: DataFrame, doc_id: str, text: str, words: int, bits: int) -> DataFrame:
+    """doc_id, fp, component_id and root (which names the component) of each row of docs."""
+    known = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep=["doc_id"], words=words))
+    smallest = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(smallest.select("fp"), bits))
+    of = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = cut(of)
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = of.join(least, "root").select("fp", "component_id", "root")
+    return known.join(labels, "fp", "left").select("doc_id", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row for each row of docs: doc_id, fp and component_id, the smallest doc_id that links lead to.
 
@@ -151,21 +163,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fingerprint 0 and link like any other. Copies, rows that repeat and ties share a fingerprint and so a component. A
     null doc_id counts only where its component has no other. Other columns are not read.
     """
-    known = cut(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep=["doc_id"], words=words))
-    smallest = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(smallest.select("fp"), bits))
-    of = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = cut(of)
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = of.join(least, "root").select("fp", "component_id")
-    return known.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return labelled(docs, doc_id, text, words, bits).drop("root")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """docs without the documents that are near-duplicates of one with a smaller doc_id.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """docs with one row of each component: of the smallest doc_id, and of its rows one of the smallest fingerprint.
 
-    Of rows that repeat a kept doc_id one stays. A null doc_id stays only where its component has no other.
+    A null doc_id stays only where its component has no other, but then in each such component. Of components with the
+    same smallest doc_id that of the smallest fingerprint keeps its row; neardup.keep_one keeps a row of each.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([doc_id])
+    found = labelled(docs, doc_id, text, words, bits)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    kept = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.fp").alias("__of"))
+    kept = cut(kept.groupBy("__id", F.when(F.col("__id").isNull(), F.col("__of")).alias("each")).agg(F.min("__of").alias("__of")))
+    rows = fingerprints(docs.withColumn("__text", F.col(f"`{text}`")).withColumnRenamed("fp", "__own"), "__text", words=words) if "fp" in docs.columns else fingerprints(docs, text, words=words)
+    left = rows.join(kept, (rows["fp"] == kept["__of"]) & rows[doc_id].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([doc_id, "fp"])
+    return left.select(*[F.col("__own").alias("fp") if c == "fp" else F.col(f"`{c}`") for c in docs.columns])
