@@ -337,6 +337,16 @@ def test_toxicity(spark, empty):
     assert toxicity.train(docs, labels.limit(0)) is None
 
 
+def test_toxicity_learns_in_a_task_from_1500_of_each_class(spark, monkeypatch):
+    assert (toxicity.SAMPLE, toxicity.SAMPLE_BYTES) == (1_500, 8 << 20)
+    docs = spark.createDataFrame([(i, f"w{i % 9} w{i % 7} vile{i % 2} w{i % 5}") for i in range(2600)], "id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2600)], "id long, toxic int")
+    monkeypatch.setattr(toxicity.Chain, "odds", None)  # of the driver only
+    chain = toxicity.train(docs, labels)
+    w = chain.keys.tolist()
+    assert len(w) == 11 and np.isfinite(chain.weight).all()
+
+
 def test_chain_is_solved_as_step_by_step():
     r = np.random.default_rng(0)
     for n in (1, 63, 64, 65, 1000):

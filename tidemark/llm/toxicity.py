@@ -11,6 +11,8 @@ it, and the two-state recursions are solved in chunks side by side, so the lengt
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate, bool_lut, find_keys, groups_of, text_bytes
+from .common import alnum_words, annotate, bool_lut, find_keys, groups_of, small_batches, text_bytes
 
 #: Labelled documents of each class that training takes at most, about; the same number at every input size.
-SAMPLE = 1_000
-SAMPLE_BYTES = 4 << 20
+SAMPLE = 1_500
+SAMPLE_BYTES = 8 << 20
 #: A word of a toxic document is tagged if it stands beside this many different pairs of neighbours in toxic documents,
 #: and is so many times as frequent there as in clean ones.
 SUPPORT, LIKELIER = 12, 8
@@ -231,7 +233,7 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Chain | None:
-    """A chain of documents (id, text) and labels (id, toxic), fitted on a sample of bounded size, gathered on the driver.
+    """A chain of documents (id, text) and labels (id, toxic), fitted on a sample of bounded size, in one task.
 
     Of several labels of a document the largest counts; null labels and ids are left out; a null text is empty. Ids and
     lengths are joined first to find the classes' sizes. The sample is drawn from the labels by a hash of the id, so its
@@ -246,8 +248,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_byte
     limit = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     drawn = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(1 << 20) * limit)
     rows = docs.join(F.broadcast(drawn), "id").select("text", "toxic")
-    some = [(r.text or "", r.toxic) for r in rows.toLocalIterator()]
-    return fit([t for t, _ in some], [x for _, x in some], [1 / share[x] for _, x in some])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        toxic: list[int] = []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            toxic += batch.column(1).to_pylist()
+        chain = fit(texts, toxic, [1 / share[x] for x in toxic])
+        if chain is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
+    small_batches(docs.sparkSession)
+    found = rows.repartition(1).mapInArrow(learn, "chain binary").collect()
+    return pickle.loads(found[0].chain) if found else None
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
