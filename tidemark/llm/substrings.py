@@ -1,11 +1,14 @@
 """Removal of repeated long substrings by suffix arrays.
 
-A 400-byte string that occurs twice has its smallest k-gram hash, its anchor, at the same place in both occurrences. So
-starts of strings are cut into intervals of equal anchor; only intervals whose anchor hash occurs again are looked into,
+A string of LEAST bytes that occurs twice has its smallest k-gram hash, its anchor, at the same place in both occurrences.
+So starts of strings are cut into intervals of equal anchor; only intervals whose anchor hash occurs again are looked into,
 and all that may hold equal strings meet under one hash. Intervals with the same bytes are collapsed with their number
 before any text moves. The texts of what is left are put together, and their suffixes sorted in two stages: those smaller
 than their successors directly, the others by scans over the buckets of first bytes. Neighbours with a common prefix of
-400 bytes are repeats.
+LENGTH bytes are repeats, which are removed; those of LEAST bytes are shared passages, which are counted.
+
+An anchor of very many different intervals is dealt out further: its intervals are cut into slices of starts at nearly
+the same distance from the anchor, and slices meet that agree in all bytes that every string of the slice has in common.
 """
 
 from __future__ import annotations
@@ -19,45 +22,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, groups_of, mix, small_batches, span_hashes, text_bytes
+from .common import annotate, cut, groups_of, mix, small_batches, span_hasher, span_hashes, text_bytes
 
-LENGTH = 400
+#: Bytes of a string that is removed where it repeats, and of one that makes a shared passage (about 50 words).
+LENGTH, LEAST = 400, 304
 K = 32
 #: Parts text between regions; no byte of UTF-8.
 BREAK = 255
 #: Bytes of regions that are sorted at a time, about.
 BATCH = 1 << 20
-#: Regions of one anchor hash that are sorted together. Beyond that their strings are dealt out one by one.
-TOGETHER = 3_000
-
-
-def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Intervals of starts with one anchor: row, first start in the row, number of starts, anchor hash, region hash.
-
-    The region of an interval is all that its strings cover. Rows of data must have under 2^21 bytes together.
+#: Regions of one group that are sorted together. Groups of more are dealt out by slices, then sorted the same way.
+TOGETHER = 1_000
+#: Times that groups are split by 8 bytes before they are bisected.
+SHORT = 3
+#: Distances from the anchor that a slice spans, level by level.
+WIDTHS = (64, 16, 4, 1)
+#: Groups beyond TOGETHER are broadcast up to this many; they are a thousandth of all regions at most.
+MAX_BROADCAST = 100_000
+_NONE = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+
+
+def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int = LEAST, starts: int | None = None, k: int = K) -> tuple[np.ndarray, ...]:
+    """Intervals of starts with one anchor: row, first start in the row, number of starts, bytes of the region, place of
+    the anchor in it, anchor hash, region hash.
+
+    Strings have least bytes. The region of an interval is what strings of length bytes cover, or the row's end. Rows of
+    data must have under 2^21 bytes together. Only the first starts of data are taken, if that is given.
     """
     n = len(data)
-    if n < length:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    if n < least:
+        return tuple(np.zeros(0, d) for d in _NONE)
     place = np.arange(n - k + 1)
     hashes = span_hashes(data, place, place + k)
     keys = (hashes >> np.uint64(21) << np.uint64(21)) | place.astype(np.uint64)
-    span, width = length - k + 1, 1
+    span, width = least - k + 1, 1
     low = keys
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: n - length + 1]
-    good = np.flatnonzero(np.arange(n - length + 1) + length <= at[row + 1])
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: n - least + 1]
+    good = np.flatnonzero(np.arange(n - least + 1) + least <= at[row + 1])
+    if starts is not None:
+        good = good[good < starts]
     if not len(good):
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, d) for d in _NONE)
     anchor = (low[good] & np.uint64((1 << 21) - 1)).astype(np.int64)
     fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[good[1:]] != row[good[:-1]])])
     first = good[fresh]
     count = np.diff(np.r_[fresh, len(good)])
-    return row[first], first - at[row[first]], count, hashes[anchor[fresh]], span_hashes(data, first, first + count + length - 1)
+    end = np.minimum(first + count - 1 + length, at[row[first] + 1])
+    region = mix(span_hashes(data, first, end) ^ count.astype(np.uint64))
+    return row[first], first - at[row[first]], count, end - first, anchor[fresh] - first, hashes[anchor[fresh]], region
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -78,55 +95,81 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_directly(words: np.ndarray, some: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
-    """Places some, sorted by the first depth bytes from each on. Groups of one name (equal to that depth) stay as they are.
+def sort_directly(text: np.ndarray, words: np.ndarray, some: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Places some, sorted by the first depth bytes from each on; those that agree in all of them stay as they are, and so do
+    those that agree as far as a BREAK and in it. left: bytes from each place to a BREAK.
 
-    Groups that agree so far are told apart by the next 8 bytes; those that agree in these too are not sorted again.
+    A group that agrees so far is split by the next 8 bytes. What groups have in common beyond SHORT times 8 bytes is
+    found by bisection with hashes.
     """
-    out = some[np.argsort(words[some], kind="stable")]
+    hashes = span_hasher(text)
+    n = len(text)
+    out = some[np.argsort(words[some])]
     key = words[out]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(out) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(out)])
     spot = np.arange(len(out))
-    for d in range(8, depth, 8):
-        if not len(spot):
-            break
-        open_groups = size > 1
-        if d % 32 == 8:
-            own = names[out[spot]]
-            open_groups &= np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-        if not open_groups.all():
-            spot, size = spot[np.repeat(open_groups, size)], size[open_groups]
+    at = np.full(len(start), 8, np.int64)  # bytes that each group is known to agree in
+    stop = np.minimum(np.minimum.reduceat(left[out], start) + 1, depth) if len(out) else at
+    differs = np.full(len(start), -1, np.int64)  # bytes that it is known not to agree in
+    turn = 0
+    while True:
+        some_open = (size > 1) & (at < stop)
+        if not some_open.all():
+            spot = spot[np.repeat(some_open, size)]
+            size, at, stop, differs = size[some_open], at[some_open], stop[some_open], differs[some_open]
             start = np.cumsum(size) - size
         if not len(spot):
-            break
-        here = out[spot]
-        ahead = here + d
-        key = np.where(ahead < len(words), words[np.minimum(ahead, len(words) - 1)], 0)
-        mixed = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
-        if not mixed.any():
+            return out
+        place = out[spot]
+        turn += 1
+        split = np.full(len(size), turn <= SHORT)
+        if turn > SHORT:
+            split = (differs > 0) & (differs - at <= 8)
+            tried = np.flatnonzero(~split)
+            if len(tried):
+                probe = np.where(differs[tried] < 0, stop[tried], (at[tried] + differs[tried]) // 2)
+                here = place[np.repeat(~split, size)]
+                own = hashes(here, here + np.repeat(probe, size[tried]))
+                begin = np.cumsum(size[tried]) - size[tried]
+                same = np.minimum.reduceat(own, begin) == np.maximum.reduceat(own, begin)
+                at[tried[same]], differs[tried[~same]] = probe[same], probe[~same]
+                split = (differs > 0) & (differs - at <= 8)
+        if not split.any():
             continue
-        part = np.flatnonzero(np.repeat(mixed, size))
-        group = np.repeat(np.arange(int(mixed.sum())), size[mixed])
-        order = np.lexsort((key[part], group))
-        out[spot[part]] = here[part][order]
-        key[part] = key[part][order]
+        part = np.flatnonzero(np.repeat(split, size))
+        sizes = size[split]
+        here = place[part]
+        ahead = here + np.repeat(at[split], sizes)
+        key = words[np.minimum(ahead, n - 1)]
+        key[ahead >= n] = 0
+        order = np.lexsort((key, np.repeat(np.arange(len(sizes)), sizes)))
+        out[spot[part]] = here = here[order]
+        key = key[order]
         fresh = np.zeros(len(spot), bool)
         fresh[start] = True
-        fresh[1:] |= key[1:] != key[:-1]
+        edge = np.zeros(len(part), bool)
+        edge[np.cumsum(sizes) - sizes] = True
+        edge[1:] |= key[1:] != key[:-1]
+        fresh[part[edge]] = True
+        of = np.repeat(np.arange(len(size)), size)[fresh]
+        at = np.where(split[of], at[of] + 8, at[of])
         start = np.flatnonzero(fresh)
         size = np.diff(np.r_[start, len(spot)])
-    return out
+        stop, differs = stop[of], differs[of]
+        new = split[of]
+        lefts = np.minimum(np.minimum.reduceat(left[here], np.flatnonzero(edge)) + 1, depth)
+        stop[new], differs[new] = lefts, -1
 
 
-def suffix_array(text: np.ndarray, names: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of text, which ends with BREAK, in order of their first depth bytes at least.
+def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Suffixes of text, which ends with BREAK, in order of their first depth bytes at least. left: bytes to the next BREAK.
 
     Suffixes smaller than their successors are sorted directly. Each other one is larger than its successor, so it is
     known, bucket of first byte by bucket, once all smaller suffixes are: it follows the order of its successor.
     """
     small = smaller_than_next(text)
-    direct = sort_directly(words_at(text), np.flatnonzero(small), names, depth)
+    direct = sort_directly(text, words_at(text), np.flatnonzero(small), left, depth)
     edge = np.searchsorted(text[direct], np.arange(257))
     queued: list[list[np.ndarray]] = [[] for _ in range(256)]
     queued[BREAK].append(np.array([len(text) - 1]))
@@ -156,38 +199,41 @@ def suffix_array(text: np.ndarray, names: np.ndarray, depth: int = LENGTH) -> np
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def common_prefixes(words: np.ndarray, array: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Common prefixes of neighbours in the suffix array, in whole 8 bytes up to length; 0 unless both are valid."""
+def common_prefixes(words: np.ndarray, array: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Common prefixes of neighbours in array, in whole 8 bytes up to length."""
     out = np.zeros(max(0, len(array) - 1), np.int32)
-    pair = np.flatnonzero(valid[array[:-1]] & valid[array[1:]])
-    for d in range(0, length - 7, 8):
+    pair = np.arange(len(out))
+    for d in range(0, length, 8):
+        d = min(d, length - 8)
         pair = pair[words[array[pair] + d] == words[array[pair + 1] + d]]
         if not len(pair):
             break
         out[pair] = d + 8
-    if length % 8 and len(pair):
-        d = length - 8
-        out[pair[words[array[pair] + d] == words[array[pair + 1] + d]]] = length
     return out
 
 
-def repeated_starts(regions: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each region which of its starts (all with length bytes after them) begin a string that starts elsewhere too."""
+def repeated_starts(regions: list[bytes], counts: list[int], length: int = LENGTH, least: int = LEAST) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each region which of its first so many starts begin a string that starts elsewhere too: of length bytes, and of
+    least bytes. Each start has least bytes after it in its region."""
     text = np.frombuffer(b"".join(r + bytes([BREAK]) for r in regions), np.uint8)
     ends = np.cumsum([len(r) + 1 for r in regions])
     begins = np.r_[0, ends[:-1]]
     n = len(text)
     left = np.repeat(ends - 1, np.diff(np.r_[0, ends])) - np.arange(n)  # bytes to the end of the region
-    valid = left >= length
-    names = mix(np.arange(n, dtype=np.uint64))
-    places = np.flatnonzero(valid)
-    names[places] = span_hashes(text, places, places + length)
-    array = suffix_array(text, names, length)
-    same = np.flatnonzero(common_prefixes(words_at(text), array, valid, length) >= length)
-    twice = np.zeros(n, bool)
-    twice[array[same]] = True
-    twice[array[same + 1]] = True
-    return [twice[b : max(b, e - length)] for b, e in zip(begins, ends)]
+    number = np.arange(n) - np.repeat(begins, np.diff(np.r_[0, ends]))
+    valid = number < np.repeat(counts, np.diff(np.r_[0, ends]))
+    array = suffix_array(text, left, length)
+    array = array[valid[array]]
+    words = np.concatenate([words_at(text), np.zeros(length, np.uint64)])
+    same = np.minimum(common_prefixes(words, array, length), np.minimum(left[array[:-1]], left[array[1:]]))
+    marks = []
+    for bound in (length, least):
+        twice = np.zeros(n, bool)
+        near = np.flatnonzero(same >= bound)
+        twice[array[near]] = True
+        twice[array[near + 1]] = True
+        marks.append(twice)
+    return [(marks[0][b : b + c], marks[1][b : b + c]) for b, c in zip(begins, counts)]
 
 
 def runs(marked: np.ndarray) -> list[dict]:
@@ -199,9 +245,10 @@ RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructF
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def mark_intervals(texts: DataFrame, length: int) -> DataFrame:
-    """key, lo, n, h and r of all intervals of (key, text) rows."""
+def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
+    """key, lo, n, size, a, h and r of all intervals of (key, text) rows."""
     small_batches(texts.sparkSession)
+    names = ["key", "lo", "n", "size", "a", "h", "r"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,109 +256,163 @@ def mark_intervals(texts: DataFrame, length: int) -> DataFrame:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data, at = text_bytes(batch.column(1))
-            piece = (1 << 20) + length
-            for lo, hi in groups_of(at, 1 << 20):
-                # A very long text is cut into pieces that overlap by length - 1 bytes: each start is in one of them.
-                starts = range(0, max(1, int(at[hi] - at[lo]) - length + 1), piece - length + 1) if hi == lo + 1 else [0]
-                for s in starts:
-                    stop = min(at[lo] + s + piece, at[hi]) if hi == lo + 1 else at[hi]
-                    part = data[at[lo] + s : stop]
-                    own = np.array([0, len(part)]) if hi == lo + 1 else at[lo : hi + 1] - at[lo]
-                    row, first, count, h, r = anchors(part, own, length)
+            piece = 1 << 20
+            for lo, hi in groups_of(at, piece):
+                # A very long text is cut into pieces that overlap: each start is taken in one of them.
+                long = at[hi] - at[lo] > piece
+                for s in range(0, int(at[hi] - at[lo]), piece) if long else [0]:
+                    part = data[at[lo] + s : min(at[lo] + s + piece + length, at[hi])] if long else data[at[lo] : at[hi]]
+                    own = np.array([0, len(part)]) if long else at[lo : hi + 1] - at[lo]
+                    row, first, count, size, a, h, r = anchors(part, own, length, least, piece if long else None)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array(first + s), pa.array(count), pa.array(h.view(np.int64)), pa.array(r.view(np.int64))], names=["key", "lo", "n", "h", "r"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[lo + row], first + s, count, size, a, h.view(np.int64), r.view(np.int64))], names=names)
 
-    return texts.mapInArrow(run, "key long, lo long, n long, h long, r long")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def cut_regions(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of one region each for the wanted rows (key, lo, n, h, r, m, hot)."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "r", "m", "hot", "lo", "n")).alias("take"))
+def cut_regions(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of one region each for the wanted rows (key, lo, n, size, a, h, r, m)."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "r", "m", "n", "a", "lo", "size")).alias("take"))
+    whole = ["h", "r", "m", "n", "a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for i, take in enumerate(batch.column(1)):
-                take = take.as_py()
-                raw = data[at[i] : at[i + 1]].tobytes()
+                take = take.values
+                lo, size = take.field("lo").to_numpy() + at[i], take.field("size").to_numpy()
                 for j in range(0, len(take), 512):
-                    some = take[j : j + 512]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            **{c: pa.array([x[c] for x in some], pa.int64()) for c in ("h", "r", "m")},
-                            "hot": pa.array([x["hot"] for x in some], pa.bool_()),
-                            "region": pa.array([raw[x["lo"] : x["lo"] + x["n"] + length - 1] for x in some], pa.binary()),
-                        }
-                    )
+                    regions = [data[x : x + y].tobytes() for x, y in zip(lo[j : j + 512], size[j : j + 512])]
+                    yield pa.RecordBatch.from_arrays([*[take.field(c).slice(j, 512) for c in whole], pa.array(regions, pa.binary())], names=[*whole, "region"])
 
-    return texts.join(lists, "key").select("text", "take").mapInArrow(run, "h long, r long, m long, hot boolean, region binary")
+    # The same columns as in the last join with all texts, so that one shuffle of the texts serves both.
+    joined = base.join(lists, "key").select("text", "take", "doc_id")
+    return joined.mapInArrow(run, "h long, r long, m long, n long, a long, region binary")
 
 
-def sort_regions(regions: DataFrame, length: int) -> DataFrame:
-    """h, r and the runs of repeated starts of each region; all regions of an h are sorted together."""
+def sort_regions(regions: DataFrame, length: int, least: int) -> DataFrame:
+    """g, q and the runs of repeated starts (see repeated_starts) of each region (g, q, m, n, region).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            marks = repeated_starts([x[3] for x in rows], length)
-            for (_, _, m, _), mark in zip(rows, marks):
-                mark |= m > 1  # a collapsed region stands for several
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([runs(mark) for mark in marks], _RUNS)], names=["h", "r", "runs"])
+    All regions of a group g are sorted together. m: how many intervals a region stands for.
+    """
 
-        rows: list[tuple[int, int, int, bytes]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            marks = repeated_starts([x[4] for x in rows], [x[3] for x in rows], length, least)
+            for (_, _, m, n, region), (long, short) in zip(rows, marks):
+                if m > 1:  # a collapsed region stands for several
+                    long[: max(0, len(region) - length + 1)] = True
+                    short[:] = True
+            ids = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*ids, pa.array([runs(x) for x, _ in marks], _RUNS), pa.array([runs(x) for _, x in marks], _RUNS)], names=["g", "q", "runs", "passages"])
+
+        rows: list[tuple[int, int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for h, r, m, region in zip(*[c.to_pylist() for c in batch.columns]):
-                if rows and h != rows[-1][0]:
+            for g, q, m, n, region in zip(*[c.to_pylist() for c in batch.columns]):
+                if rows and g != rows[-1][0]:
                     if size > BATCH:
                         yield done(rows)
                         rows, size = [], 0
-                elif rows and r == rows[-1][1]:
+                elif rows and q == rows[-1][1]:
                     continue  # of a row that repeats
-                rows.append((h, r, m, region))
+                rows.append((g, q, m, n, region))
                 size += len(region) + 1
         if rows:
             yield done(rows)
 
-    return regions.select("h", "r", "m", "region").repartition("h").sortWithinPartitions("h", "r").mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("r", T.LongType()), T.StructField("runs", RUNS)]))
+    shape = T.StructType([T.StructField("g", T.LongType()), T.StructField("q", T.LongType()), T.StructField("runs", RUNS), T.StructField("passages", RUNS)])
+    return regions.select("g", "q", "m", "n", "region").repartition("g").sortWithinPartitions("g", "q").mapInArrow(run, shape).where(F.size("passages") > 0)
 
 
-def deal_regions(regions: DataFrame, length: int) -> DataFrame:
-    """As sort_regions, for anchors with very many regions: each string is dealt out by a 128-bit hash and counted."""
+def slices(rows: DataFrame, width: int, length: int, least: int) -> DataFrame:
+    """Rows (h, r, off, g, q, m, n, a, region) cut into slices of starts, of the same columns.
+
+    A slice's starts lie in a range of width distances before the anchor, so all its strings of least bytes have the bytes
+    from the last such start to the end of the first such string in common. These and the range make the group.
+    A width of 0 takes slices of a single start and puts those together that agree in length bytes.
+    """
+    names = ["h", "r", "off", "g", "q", "m", "n", "a", "region"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, r, m, region in zip(*[c.to_pylist() for c in batch.columns]):
+            out: dict[str, list] = {c: [] for c in names}
+            for h, r, off, g, m, n, a, region in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7, 8)]):
                 data = np.frombuffer(region, np.uint8)
-                starts = np.arange(len(data) - length + 1)
-                one, two = span_hashes(data, starts, starts + length), span_hashes(data ^ np.uint8(0x5A), starts, starts + length)
-                same = lambda x: pa.array(np.full(len(starts), x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(h), same(r), same(m), pa.array(starts), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["h", "r", "m", "s", "g1", "g2"])
+                wide = max(1, width)
+                ranges = np.arange(max(0, a - n + 1) // wide, a // wide + 1)
+                lo = np.maximum(0, a - ranges * wide - wide + 1)
+                hi = np.minimum(n - 1, a - ranges * wide)
+                end = np.minimum(hi + length, len(data))
+                core = (lo, end) if not width else (a - ranges * wide, a - ranges * wide - wide + 1 + least)
+                salt = np.uint64(g & (1 << 64) - 1) ^ mix(ranges.astype(np.uint64) * np.uint64(8) + np.uint64(width.bit_length()))
+                groups = mix(span_hashes(data, *core) ^ salt).view(np.int64)
+                kinds = mix(span_hashes(data, lo, end) ^ (hi - lo + 1).astype(np.uint64)).view(np.int64)
+                for j in range(len(ranges)):
+                    for c, x in zip(names, (h, r, off + int(lo[j]), groups[j], kinds[j], m, int(hi[j] - lo[j] + 1), int(a - lo[j]), region[lo[j] : end[j]])):
+                        out[c].append(x)
+            if out["h"]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "region" else pa.int64()) for c in names], names=names)
+
+    return rows.select(*names).mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'region' else 'long'}" for c in names))
+
+
+def shifted(column: str, by: str):
+    return F.transform(column, lambda x: F.struct((x["first"] + F.col(by)).alias("first"), (x["last"] + F.col(by)).alias("last")))
+
+
+def groups_beyond(kinds: DataFrame, group: str, together: int) -> tuple[DataFrame, bool]:
+    """Groups of more than together rows, marked for broadcast where they are few enough, and whether there are any."""
+    many = cut(kinds.groupBy(group).agg(F.count("*").alias("kinds")).where(F.col("kinds") > together).select(group))
+    n = many.count()
+    return (F.broadcast(many) if n <= MAX_BROADCAST else many), n > 0
 
-    grams = regions.select("h", "r", "m", "region").dropDuplicates(["h", "r"]).mapInArrow(run, "h long, r long, m long, s long, g1 long, g2 long")
-    often = grams.groupBy("g1", "g2").agg(F.sum("m").alias("all")).where("all > 1").select("g1", "g2")
-    return grams.join(often, ["g1", "g2"]).groupBy("h", "r").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.alias("first"), s.alias("last"))).alias("runs"))
 
+def dealt_out(rows: DataFrame, length: int, least: int, together: int) -> DataFrame:
+    """h, r, runs and passages of the regions (h, r, off, g, q, m, n, a, region) of groups that are too large to sort.
 
-def repeated(texts: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
-    """key and runs (first and last start) of all strings of length bytes that start at least twice in (key, text) rows.
+    Level by level slices get narrower, so what meets agrees in more bytes; groups that are small enough are sorted. The
+    last groups agree in all bytes of their single strings, so they hold one kind each.
+    """
+    out = None
+    for width in (*WIDTHS, 0):
+        rows = cut(slices(rows, width, length, least))
+        kinds = rows.groupBy("g", "q").agg(F.sum("m").alias("m"), F.min("n").alias("n"), F.min("region").alias("region"))
+        many, some = groups_beyond(rows.select("g", "q").distinct(), "g", together)
+        found = sort_regions(kinds.join(many, "g", "left_anti"), length, least)
+        found = rows.select("h", "r", "off", "g", "q").join(found, ["g", "q"]).select("h", "r", shifted("runs", "off").alias("runs"), shifted("passages", "off").alias("passages"))
+        out = found if out is None else out.unionByName(found)
+        if not some:
+            break
+        rows = rows.join(many, "g", "left_semi")
+        if width == 1:  # those that agree in a whole string of least bytes
+            all_starts = F.array(F.struct(F.col("off").alias("first"), F.col("off").alias("last")))
+            out = out.unionByName(rows.select("h", "r", F.array().cast(RUNS).alias("runs"), all_starts.alias("passages")))
+    return out
+
+
+def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together: int = TOGETHER) -> DataFrame:
+    """key, runs and passages: the first and last start of all strings of length (and least) bytes that start at least
+    twice in base's rows (doc_id, text, key).
 
     Rows with equal keys must have equal texts; each counts.
     """
-    marks = mark_intervals(texts, length)
+    marks = mark_intervals(base.select("key", "text"), length, least)
     # Written out, so that the join's sides are dealt anew and a hash of very many rows can be split.
     often = cut(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     marks = cut(marks.join(often, "h", "left_semi"))
-    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n")).alias("at"))
-    many = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > together).select("h", F.lit(True).alias("many"))
-    kinds = kinds.join(many, "h", "left").select("h", "r", "m", F.coalesce("many", F.lit(False)).alias("hot"), "at.key", "at.lo", "at.n")
-    regions = cut_regions(texts, kinds, length)
-    small_batches(texts.sparkSession)
-    found = sort_regions(regions.where("not hot"), length)
-    if many.limit(1).count():
-        found = found.unionByName(deal_regions(regions.where("hot"), length))
-    found = found.where(F.size("runs") > 0)
-    back = marks.join(found, ["h", "r"]).select("key", F.transform("runs", lambda x: F.struct((x["first"] + F.col("lo")).alias("first"), (x["last"] + F.col("lo")).alias("last"))).alias("runs"))
-    return back.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n", "size", "a")).alias("at"))
+    kinds = kinds.select("h", "r", "m", "at.*")
+    many, some = groups_beyond(marks.select("h", "r").distinct(), "h", together)
+    small_batches(base.sparkSession)
+    cold = cut_regions(base, kinds.join(many, "h", "left_anti") if some else kinds)
+    found = sort_regions(cold.withColumnsRenamed({"h": "g", "r": "q"}), length, least).withColumnsRenamed({"g": "h", "q": "r"})
+    if some:
+        hot = cut_regions(base, kinds.join(many, "h", "left_semi"))
+        hot = hot.dropDuplicates(["h", "r"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "m", "n", "a", "region")
+        found = found.unionByName(dealt_out(hot, length, least, together))
+    back = marks.join(found, ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
+    return back.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("passages")).alias("passages"))
 
 
 def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -328,27 +429,31 @@ def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, together: int = TOGETHER, with_bytes: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed_spans, and kept (bytes) if asked.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, least: int = LEAST, together: int = TOGETHER, with_bytes: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, removed_spans, and kept
+    (bytes) if asked.
 
     Each byte is removed that a string of length bytes covers which also starts anywhere else in docs, the same text
-    included; overlaps count, and no string crosses texts. Null texts are empty. Rows that repeat count as copies of
-    each other. Two rows of one doc_id and different texts are different rows. Intervals of starts are told apart by
-    64-bit hashes of their bytes; sorted texts are compared byte by byte.
+    included; overlaps count, and no string crosses texts. n_shared counts the bytes that shorter strings, of least bytes
+    (up to length), cover in the same way; they are not removed. Null texts are empty, and an empty table gives no rows.
+    Rows that repeat count as copies of each other; so each byte of a tie goes, none is kept as the first. Two rows of one
+    doc_id and different texts are different rows. Very long texts are worked through in pieces that overlap, with the
+    same result. Columns of docs other than the two are not read, whatever their names. Intervals of starts are told
+    apart by 64-bit hashes of their bytes; sorted texts are compared byte by byte.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "text"))
-    found = repeated(base.select("key", "text"), length, together)
-    joined = base.join(found, "key", "left").select("doc_id", "text", "runs")
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("removed_spans", SPANS)]
+    found = repeated(base, length, least, together)
+    joined = base.join(found, "key", "left").select("doc_id", "text", "runs", "passages")
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared", T.LongType()), T.StructField("removed_spans", SPANS)]
     fields += [T.StructField("kept", T.BinaryType())] if with_bytes else []
     small_batches(spark)
 
     def make():
-        def compute(texts: pa.Array, all_runs: pa.Array) -> list[pa.Array]:
-            sizes, gone, spans, hashes, where, kept = [], [], [], [], [], []
-            for value, own in zip(texts, all_runs):
+        def compute(texts: pa.Array, all_runs: pa.Array, passages: pa.Array) -> list[pa.Array]:
+            sizes, gone, spans, hashes, shared, where, kept = [], [], [], [], [], [], []
+            for value, own, shorter in zip(texts, all_runs, passages):
                 raw = value.as_py().encode()
                 parts = covered(own.as_py(), length)
                 left, at = [], 0
@@ -360,11 +465,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 gone.append(len(raw) - len(rest))
                 spans.append(len(parts))
                 hashes.append(hashlib.sha256(rest).hexdigest())
+                shared.append(sum(b - a for a, b in covered(shorter.as_py(), least)))
                 where.append([{"start": a, "end": b} for a, b in parts])
                 kept.append(rest)
-            out = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            out = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(shared, pa.int64()), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             return [*out, pa.array(kept, pa.binary())] if with_bytes else out
 
         return compute
 
-    return annotate(joined, ["text", "runs"], fields, make, ["doc_id"])
+    return annotate(joined, ["text", "runs", "passages"], fields, make, ["doc_id"])
