@@ -32,7 +32,7 @@ BREAK = 255
 #: Bytes of regions that are sorted at a time, about.
 BATCH = 1 << 20
 #: Regions of one group that are sorted together. Groups of more are dealt out by slices, then sorted the same way.
-TOGETHER = 1_000
+TOGETHER = 3_000
 #: Times that groups are split by 8 bytes before they are bisected.
 SHORT = 3
 #: Distances from the anchor that a slice spans, level by level.
@@ -163,7 +163,7 @@ def sort_directly(text: np.ndarray, words: np.ndarray, some: np.ndarray, left: n
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of text, which ends with BREAK, in order of their first depth bytes at least. left: bytes to the next BREAK.
+    """Suffixes of text, which ends with BREAK, in order of their first depth bytes, or as far as a BREAK. left: bytes to the next.
 
     Suffixes smaller than their successors are sorted directly. Each other one is larger than its successor, so it is
     known, bucket of first byte by bucket, once all smaller suffixes are: it follows the order of its successor.
