@@ -3,7 +3,8 @@
 A string of LEAST bytes that occurs twice has its smallest k-gram hash, its anchor, at the same place in both occurrences.
 So starts of strings are cut into intervals of equal anchor; only intervals whose anchor hash occurs again are looked into,
 and all that may hold equal strings meet under one hash. Intervals with the same bytes are collapsed with their number
-before any text moves. The texts of what is left are put together, and their suffixes sorted in two stages: those smaller
+before any text moves. Two others with an equal string also agree in half of what is left of it beside the anchor, before
+or after it; those that agree with none are settled. The texts of what is left are put together, and their suffixes sorted in two stages: those smaller
 than their successors directly, the others by scans over the buckets of first bytes. Neighbours with a common prefix of
 LENGTH bytes are repeats, which are removed; those of LEAST bytes are shared passages, which are counted.
 
@@ -32,19 +33,20 @@ BREAK = 255
 #: Bytes of regions that are sorted at a time, about.
 BATCH = 1 << 20
 #: Regions of one group that are sorted together. Groups of more are dealt out by slices, then sorted the same way.
-TOGETHER = 3_000
+TOGETHER = 1_000
 #: Times that groups are split by 8 bytes before they are bisected.
 SHORT = 3
 #: Distances from the anchor that a slice spans, level by level.
 WIDTHS = (64, 16, 4, 1)
 #: Groups beyond TOGETHER are broadcast up to this many; they are a thousandth of all regions at most.
 MAX_BROADCAST = 100_000
-_NONE = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+_NONE = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int = LEAST, starts: int | None = None, k: int = K) -> tuple[np.ndarray, ...]:
     """Intervals of starts with one anchor: row, first start in the row, number of starts, bytes of the region, place of
-    the anchor in it, anchor hash, region hash.
+    the anchor in it, anchor hash, region hash, and two hashes of 32 bits, of the bytes before and after the anchor (0 where
+    the region has too few of them).
 
     Strings have least bytes. The region of an interval is what strings of length bytes cover, or the row's end. Rows of
     data must have under 2^21 bytes together. Only the first starts of data are taken, if that is given.
@@ -73,8 +75,12 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int =
     first = good[fresh]
     count = np.diff(np.r_[fresh, len(good)])
     end = np.minimum(first + count - 1 + length, at[row[first] + 1])
-    region = mix(span_hashes(data, first, end) ^ count.astype(np.uint64))
-    return row[first], first - at[row[first]], count, end - first, anchor[fresh] - first, hashes[anchor[fresh]], region
+    spans = span_hasher(data)
+    region = mix(spans(first, end) ^ count.astype(np.uint64))
+    middle, half, top = anchor[fresh], (least - k) // 2, np.uint64(32)
+    before = np.where(middle - half >= first, spans(np.maximum(middle - half, 0), middle) >> top | np.uint64(1), np.uint64(0))
+    after = np.where(middle + k + half <= end, spans(middle + k, np.minimum(middle + k + half, n)) >> top | np.uint64(1), np.uint64(0))
+    return row[first], first - at[row[first]], count, end - first, middle - first, hashes[middle], region, before << top | after
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -246,9 +252,9 @@ _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
-    """key, lo, n, size, a, h and r of all intervals of (key, text) rows."""
+    """key, lo, n, size, a, h, r and beside of all intervals of (key, text) rows."""
     small_batches(texts.sparkSession)
-    names = ["key", "lo", "n", "size", "a", "h", "r"]
+    names = ["key", "lo", "n", "size", "a", "h", "r", "beside"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,9 +269,9 @@ def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
                 for s in range(0, int(at[hi] - at[lo]), piece) if long else [0]:
                     part = data[at[lo] + s : min(at[lo] + s + piece + length, at[hi])] if long else data[at[lo] : at[hi]]
                     own = np.array([0, len(part)]) if long else at[lo : hi + 1] - at[lo]
-                    row, first, count, size, a, h, r = anchors(part, own, length, least, piece if long else None)
+                    row, first, count, size, a, *hashed = anchors(part, own, length, least, piece if long else None)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[lo + row], first + s, count, size, a, h.view(np.int64), r.view(np.int64))], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[lo + row], first + s, count, size, a, *[x.view(np.int64) for x in hashed])], names=names)
 
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -401,9 +407,18 @@ def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together
     # Written out, so that the join's sides are dealt anew and a hash of very many rows can be split.
     often = cut(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     marks = cut(marks.join(often, "h", "left_semi"))
-    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n", "size", "a")).alias("at"))
-    kinds = kinds.select("h", "r", "m", "at.*")
-    many, some = groups_beyond(marks.select("h", "r").distinct(), "h", together)
+    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n", "size", "a")).alias("at"), F.min("beside").alias("beside"))
+    side = lambda n, x: F.when(x != 0, F.xxhash64("h", F.lit(n), x))
+    sides = F.array_compact(F.array(side(0, F.shiftrightunsigned("beside", 32)), side(1, F.col("beside").bitwiseAND(0xFFFFFFFF))))
+    sides = kinds.select("h", "r", F.explode(sides).alias("side"))
+    shared = sides.groupBy("side").agg(F.count("*").alias("c")).where("c > 1").select("side")
+    near = sides.join(shared, "side", "left_semi").select("h", "r", F.lit(True).alias("near")).distinct()
+    kinds = cut(kinds.join(near, ["h", "r"], "left").where("near or m > 1").select("h", "r", "m", "at.*", "near"))
+    # Intervals that occur several times and agree with no other: all their strings repeat.
+    run = lambda last: F.array(F.struct(F.lit(0).cast("long").alias("first"), last.cast("long").alias("last")))
+    settled = kinds.where("near is null").select("h", "r", F.when(F.col("size") >= length, run(F.col("size") - length)).otherwise(F.array().cast(RUNS)).alias("runs"), run(F.col("n") - 1).alias("passages"))
+    kinds = kinds.where("near").drop("near")
+    many, some = groups_beyond(kinds, "h", together)
     small_batches(base.sparkSession)
     cold = cut_regions(base, kinds.join(many, "h", "left_anti") if some else kinds)
     found = sort_regions(cold.withColumnsRenamed({"h": "g", "r": "q"}), length, least).withColumnsRenamed({"g": "h", "q": "r"})
@@ -411,7 +426,7 @@ def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together
         hot = cut_regions(base, kinds.join(many, "h", "left_semi"))
         hot = hot.dropDuplicates(["h", "r"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "m", "n", "a", "region")
         found = found.unionByName(dealt_out(hot, length, least, together))
-    back = marks.join(found, ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
+    back = marks.join(found.unionByName(settled), ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
     return back.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("passages")).alias("passages"))
 
 
