@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -245,16 +246,94 @@ def test_lm_base(docs, rows, empty, monkeypatch, head):
     assert all(r.score < 0 for r in found) and lm.score(empty, F.lit(True)).count() == 0
 
 
-def test_lm_scores_each_subword_once(spark):
-    vocabulary = lm.Vocabulary.of(lm.Table(np.zeros(0, np.int64)), np.array([97 | lm.END_WORD, lm.END_TEXT]), np.array([5, 2]), 7)
-    bias = np.random.default_rng(0).normal(0, 1, (lm.CLASSES + 1, lm.CLASSES)).astype(np.float32)
-    import pyarrow as pa
+@pytest.fixture(scope="module")
+def small_lm():
+    """A vocabulary of the classes of a few words, a bias and weights that are all in use."""
+    r = np.random.default_rng(0)
+    text = pa.array(["the a of to in " * 50 + " ".join(f"word{x} thing{x}s" for x in r.integers(0, 300, 400))])
+    data, at = lm.text_bytes(text)
+    starts, ends, _ = lm.words_of(data, at)
+    keys, first, n = np.unique(lm.word_keys(data, starts, ends), return_index=True, return_counts=True)
+    own = lm.word_endings(data, starts[first], ends[first])
+    e, place = np.unique(own, return_inverse=True)
+    endings = pa.table({"e": e, "c": np.bincount(place, weights=n).astype(int), "n": np.bincount(place)})
+    v = lm.Vocabulary.of(pa.table({"k": keys, "c": n, "e": own}), endings, 1)
+    w = {k: x + r.normal(0, 0.2, x.shape).astype(np.float32) for k, x in lm.fresh_weights().items()}
+    return v, lm.pair_bias(r.integers(0, 9, (lm.CLASSES + 1, lm.CLASSES))), w
+
+
+def attended(v, bias, w, text):
+    """Log-probability of each class of a text's words, and their classes, one word at a time."""
+    rows, classes, _ = v.split(*lm.text_bytes(pa.array([text])))
+    before, last = [lm.START, *rows[:-1]], [lm.CLASSES, *classes[:-1]]
+    out = []
+    for t in range(len(rows)):
+        q, _, _ = np.split(w["embed"][before[t]].astype(float) @ w["mix"], 3)
+        see = range(max(0, t // lm.STRIDE * lm.STRIDE - lm.STRIDE), t + 1)
+        parts = [np.split(w["embed"][before[j]].astype(float) @ w["mix"], 3) for j in see]
+        s = np.array([q @ k * lm.WIDTH**-0.5 + w["near"][t - j] for j, (_, k, _) in zip(see, parts)])
+        a = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        z = w["embed"][before[t]] + sum(x * y for x, (_, _, y) in zip(a, parts))
+        h = z + np.maximum(z @ w["up"] + w["lift"], 0) @ w["down"]
+        soft = lambda x: x - np.log(np.exp(x).sum())
+        group = soft(bias[0][last[t]] + h @ w["group"])
+        out.append(np.concatenate([group[g] + soft(bias[1][last[t], g] + h @ w["inner"][g]) for g in range(lm.GROUPS)]))
+    return np.array(out), classes
+
+
+def test_lm_attention_is_that_of_single_words(small_lm):
+    v, bias, w = small_lm
+    texts = ["the word1 of thing2s " * 30, "", "a", "unheard-of words and the word7 " * 11]
+    got = lm.log_gains(v, bias, w, *lm.text_bytes(pa.array(texts)))
+    for text, gain in zip(texts, got):
+        logs, classes = attended(v, bias, w, text)
+        assert np.allclose(np.exp(logs).sum(1), 1)
+        assert np.isclose(gain, (logs[np.arange(len(classes)), classes] - v.mass[classes]).sum() / np.log(10), rtol=1e-3, atol=1e-3)
+    alone = [lm.log_gains(v, bias, w, *lm.text_bytes(pa.array([t])))[0] for t in texts]
+    assert np.allclose(got, alone, atol=1e-3)
+
+
+def test_lm_gradients(small_lm):
+    v, bias, w = small_lm
+    w = {k: x.astype(np.float64) for k, x in w.items()}
+    rows, classes, first = v.split(*lm.text_bytes(pa.array(["the word1 of thing2s a word3 " * 9, "in to a"])))
+    before, last, target = lm.windows(rows, classes, first)
+    run = lambda: lm.forward(w, bias, before, last, target >= 0, target, classes[np.maximum(target, 0)])
+    got = lm.backward(w, run())
+    r = np.random.default_rng(1)
+    for name, g in got.items():
+        if name == "embed":
+            full = np.zeros_like(w["embed"])
+            full[g[0]] = g[1]
+            g = full
+        flat = w[name].reshape(-1)
+        for i in r.choice(np.flatnonzero(np.abs(g.reshape(-1)) > 1e-4), 5):
+            old, step = flat[i], 1e-3
+            ends = []
+            for x in (old + step, old - step):
+                flat[i] = x
+                ends.append(-run()["log"].astype(float).mean())
+            flat[i] = old
+            assert np.isclose((ends[0] - ends[1]) / (2 * step), g.reshape(-1)[i], rtol=0.05, atol=2e-4), name
+
+
+def test_lm_learns_from_every_window(small_lm):
+    v, bias, _ = small_lm
+    texts = ["a " * 9000, "", "a", None, "b c " * 900, *["a b"] * 300]
+    trainer = lm.Trainer(v, bias, lm.fresh_weights())
+    for part in (texts[:3], texts[3:]):
+        trainer.add(*lm.text_bytes(pa.array(part)))
+    trainer.finish()
+    assert trainer.seen == sum(len((t or "").split()) + 1 for t in texts) and not trainer.held
+    assert all(np.isfinite(x).all() for x in trainer.w.values())
+    assert lm.WIDTH == 32 and lm.CLASSES == 256
 
-    texts = ["a " * 3000, "", "a", "b c " * 900]
-    w = lm.fresh_weights()
-    together = lm.log_probabilities(vocabulary, bias, w, *lm.text_bytes(pa.array(texts)))
-    alone = [lm.log_probabilities(vocabulary, bias, w, *lm.text_bytes(pa.array([t])))[0] for t in texts]
-    assert np.allclose(together, alone, atol=1e-2) and (together < 0).all()
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = [r for r in lm.score(docs, crc_mod("doc_id", 10) != 0).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
+    tokens = sum(r.n_tokens for r in found)
+    assert sum(r.score for r in found) / tokens > sum(r.base_score for r in found) / tokens + 0.2
 
 
 def test_near_duplicates_are_those_of_similarity_08(spark):
@@ -302,21 +381,6 @@ def test_lines_of_a_tenth_of_a_sites_pages_go(spark):
     assert got == {i: (t.removeprefix("footer\n"), int(i % 12 == 0)) for i, t in enumerate(texts)}
 
 
-def test_lm_learns_from_every_window():
-    vocabulary = lm.Vocabulary.of(lm.Table(np.zeros(0, np.int64)), np.array([97 | lm.END_WORD, lm.END_TEXT]), np.array([5, 2]), 7)
-    bias = np.zeros((lm.CLASSES + 1, lm.CLASSES), np.float32)
-    import pyarrow as pa
-
-    texts = ["a " * 9000, "", "a", None, "b c " * 900, *["a b"] * 300]
-    trainer = lm.Trainer(vocabulary, bias, lm.fresh_weights())
-    for part in (texts[:3], texts[3:]):
-        trainer.add(*lm.text_bytes(pa.array(part)))
-    trainer.finish()
-    assert trainer.seen == sum(len((t or "").split()) + 1 for t in texts) and not trainer.held
-    assert all(np.isfinite(x).all() for x in trainer.w.values())
-    assert lm.WIDTH == 32 and lm.CLASSES == 256
-
-
 def test_toxicity(spark, empty):
     r = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def keep_heap() -> None:
+    """Let this worker's C library reuse freed arrays of up to 64 MB instead of mapping fresh pages for each (a hint only)."""
+    try:
+        put = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    put(-3, 64 << 20)  # M_MMAP_THRESHOLD
+    put(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where the session names none (a local test)."""
     context = spark.sparkContext

@@ -1,12 +1,16 @@
 """Language-model scores: a unigram base, and a causal self-attention model over subword ids, in numpy.
 
-Frequent words of the training texts (A-Z lower-cased) are subwords as they stand. Other words are cut from their left into
-subwords of up to PART bytes, of which a word's last carries an end mark; a text ends with a subword of its own. The model gives each subword's class by attention over the subwords before it,
-on top of a bias by the last one's class, and the subword within its class by frequency. Texts are scored in windows of
-STRIDE subwords that see STRIDE more before them; windows overlap so that each subword is scored once.
-
-Frequencies and biases are counted over all training texts. Weights are trained where the texts are, on every window of
-every training text, and averaged over the tasks in two levels.
+A frequent word of the training texts (A-Z lower-cased) is a subword as it stands, another is known to the model by its
+ending. Each word, and the end of a text, belongs to a class: the most frequent words to one of their own, others to that
+of their ending. The model gives the next word's class by attention over the subwords before it, on top of a bias by the
+last word's class; the word within its class is as likely as in the unigram base. So a text's score is its base score and
+what the model knows of its classes beyond their shares. Classes come in groups: first the group is chosen, then the class
+in it. Texts are scored in windows of STRIDE words that see STRIDE more before them; windows overlap so that each word is
+scored once, in batches with a causal mask.
+
+Counts of words, classes and pairs of classes are taken over all training texts. Weights are trained where the texts are,
+once on every window of every training text: in each of ROUNDS rounds every task starts from the same weights and trains
+on its share of the round's texts, and the weights are averaged over the tasks in two levels.
 """
 
 from __future__ import annotations
@@ -20,26 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, groups_of, small_batches, span_hashes, text_bytes
+from .common import annotate, cut, groups_of, keep_heap, small_batches, span_hashes, text_bytes
 
 STRIDE = 16
 WIDTH = 32
-HASHED = 4096  # rows of the input embedding
-PART = 2  # bytes, 2 at most
-WORD_CLASSES, PART_CLASSES = 64, 144  # most frequent whole words and parts, each a class of its own
-WORD_GROUPS, PART_GROUPS = 16, 30  # classes that the others share: words by rank, parts by end mark and first byte
-END_CLASS = WORD_CLASSES + PART_CLASSES + WORD_GROUPS + PART_GROUPS
-CLASSES = END_CLASS + 2  # the last is for subwords that training has not seen or kept
-WHOLE = 1 << 17  # words that are subwords as they stand, at most
-LEAST = 5  # how often such a word stands in the training texts, at least
-PARTS = 1 << 16  # other subwords that are kept
+WHOLE = 1 << 12  # words that are subwords as they stand, at most
+ENDINGS = 1 << 12  # rows of the input embedding for other words
+START = WHOLE + ENDINGS  # the row that stands before a text
+GROUPS = 16
+CLASSES = GROUPS * GROUPS
+SINGLE = 111  # most frequent words, each a class of its own
+END_CLASS = SINGLE  # of the end of a text
+LAST_CLASS = CLASSES - 1  # of endings that are too rare for a class of their own
+ROUNDS = 3
 STEP = 256  # blocks that a training step takes
 BLOCKS = 64  # blocks that are scored at a time: few enough for a processor's cache
-END_WORD = 1 << 24
-END_TEXT = 1 << 25
-START = END_TEXT + 1
 MOST = 60.0  # logits are cut at this, below what overflows
-WORD_CODE = 1 << 32  # whole words have codes from here on, by their place among all
 #: Words whose counts are broadcast: the most frequent, this many at most. The others are joined by a shuffle.
 HEAD = 1 << 19
 END_KEY = 0  # stands for the end of a text among the words' hashes
@@ -95,116 +95,97 @@ class Table:
         return hit, place
 
 
-def subwords(data: np.ndarray, at: np.ndarray, whole: Table) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all rows' subwords, each row's with its end, and where each row's begin (n + 1 numbers).
-
-    whole: keys of the words that are subwords as they stand.
-    """
-    starts, ends, first = words_of(data, at)
-    hit, place = whole.places(word_keys(data, starts, ends))
-    parts = np.where(hit, 1, (ends - starts + PART - 1) // PART)
-    total = np.concatenate([[0], np.cumsum(parts)])
-    spot = np.repeat(starts, parts) + PART * (np.arange(total[-1]) - np.repeat(total[:-1], parts))
-    stop = np.repeat(ends, parts)
-    low = np.concatenate([_LOWER[data], np.zeros(3, np.uint8)]).astype(np.int64)
-    code = low[spot] | np.where(spot + 1 < stop, low[spot + 1], 0) << 8 | np.where(spot + PART >= stop, END_WORD, 0)
-    code[total[:-1][hit]] = WORD_CODE + place[hit]
-    n = len(at) - 1
-    row_first = total[first] + np.arange(n + 1)
-    out = np.empty(total[-1] + n, np.int64)
-    is_end = np.zeros(len(out), bool)
-    is_end[row_first[1:] - 1] = True
-    out[is_end] = END_TEXT
-    out[~is_end] = code
-    return out, row_first
+def word_endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word as a number; a word of one byte has zero before it."""
+    low = _LOWER[data].astype(np.int64)
+    return low[ends - 1] | np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)] << 8, 0)
 
 
 @dataclass
 class Vocabulary:
-    whole: Table  # keys of whole words
-    codes: np.ndarray  # sorted
-    classes: np.ndarray  # of each code, and of an unknown one
-    inner: np.ndarray  # log-probability within the class
-
-    def __post_init__(self) -> None:
-        """Tables from codes to their places, as parts of 2 bytes and an end mark are few."""
-        word = self.codes >= WORD_CODE
-        self.of_part = np.full(3 << 16, len(self.codes), np.int64)
-        self.of_part[self.narrow(self.codes[~word])] = np.flatnonzero(~word)
-        self.of_word = np.full(len(self.whole.keys), len(self.codes), np.int64)
-        self.of_word[self.codes[word] - WORD_CODE] = np.flatnonzero(word)
-
-    @staticmethod
-    def narrow(codes: np.ndarray) -> np.ndarray:
-        return codes & 0xFFFF | codes >> 24 << 16
+    whole: Table  # keys of words that are subwords
+    rank: np.ndarray  # of each by frequency, which is its row of the embedding; below SINGLE also its class
+    class_of: np.ndarray  # of each ending
+    mass: np.ndarray  # logarithm of each class's share under the unigram base
 
     @classmethod
-    def of(cls, whole: Table, codes: np.ndarray, counts: np.ndarray, total: int) -> Vocabulary:
-        """Of the codes that are kept; total counts all occurrences, also of codes that are left out."""
-        order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.int64), counts[order].astype(float)
-        word = codes >= WORD_CODE
-        rank = np.empty(len(codes), np.int64)
-        for some in (np.flatnonzero(word), np.flatnonzero(~word)):
-            rank[some[np.lexsort((codes[some], -counts[some]))]] = np.arange(len(some))
-        group = np.clip(np.log2(np.maximum(rank, 1) / WORD_CLASSES) * 1.6, 0, WORD_GROUPS - 1).astype(np.int64)
-        half = PART_GROUPS // 2
-        single = WORD_CLASSES + PART_CLASSES
-        of_words = np.where(rank < WORD_CLASSES, rank, single + group)
-        of_parts = np.where(rank < PART_CLASSES, WORD_CLASSES + rank, single + WORD_GROUPS + (codes >> 24 & 1) * half + (codes & 255) % half)
-        classes = np.append(np.where(codes == END_TEXT, END_CLASS, np.where(word, of_words, of_parts)), CLASSES - 1).astype(np.int32)
-        weight = np.append(counts + 0.5, max(0.0, total - counts.sum()) + 0.5)
-        inner = np.log(weight) - np.log(np.maximum(np.bincount(classes, weights=weight, minlength=CLASSES), 1e-9))[classes]
-        inner[-1] = -np.log(float(START))  # any part at all
-        return cls(whole, codes, classes, inner.astype(np.float32))
-
-    def split(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return subwords(data, at, self.whole)
-
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        word = codes >= WORD_CODE
-        out = self.of_part[self.narrow(np.where(word, 0, codes))]
-        out[word] = self.of_word[codes[word] - WORD_CODE]
-        return out
-
-
-def windows(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def of(cls, words: pa.Table, endings: pa.Table, ends: int) -> Vocabulary:
+        """Of frequent words (k, c, e), of endings (e, c, n: all words' occurrences and kinds), and the number of texts.
+
+        Each class of endings also has the base's share of a word that training has not seen; so a class's words have
+        probabilities that add up to 1.
+        """
+        keys, counts, own = (words[x].to_numpy() for x in ("k", "c", "e"))
+        order = np.lexsort((keys, -counts))[:WHOLE]
+        keys, counts, own = keys[order], counts[order].astype(float), own[order]
+        place = np.argsort(keys)
+        rank = place.astype(np.int32)  # of the sorted keys
+        total, kinds = np.zeros(1 << 16), np.zeros(1 << 16)
+        total[endings["e"].to_numpy()] = endings["c"].to_numpy()
+        kinds[endings["e"].to_numpy()] = endings["n"].to_numpy()
+        single = counts[:SINGLE]
+        np.add.at(total, own[:SINGLE], -single)
+        np.add.at(kinds, own[:SINGLE], -1)
+        weight = total + 0.1 * kinds
+        often = np.argsort(-weight, kind="stable")[: CLASSES - SINGLE - 2]
+        class_of = np.full(1 << 16, LAST_CLASS, np.int32)
+        class_of[often] = np.arange(SINGLE + 1, CLASSES - 1)
+        mass = np.bincount(class_of, weights=weight, minlength=CLASSES) + 0.1
+        mass[:SINGLE] = 0.1
+        mass[: len(single)] = single + 0.1
+        mass[END_CLASS] = ends + 0.1
+        base = weight.sum() + (single + 0.1).sum() + (ends + 0.1 if ends else 0.0) + 0.1
+        return cls(Table(keys[place]), rank, class_of, np.log(mass) - np.log(base))
+
+    def split(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of all rows, and the end of each row, its embedding's row and its class; and where rows begin."""
+        starts, ends, first = words_of(data, at)
+        hit, place = self.whole.places(word_keys(data, starts, ends))
+        ending = word_endings(data, starts, ends)
+        spread = (ending.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+        n = len(at) - 1
+        row_first = first + np.arange(n + 1)
+        is_end = np.zeros(len(starts) + n, bool)
+        is_end[row_first[1:] - 1] = True
+        rows, classes = np.full(len(is_end), START, np.int32), np.full(len(is_end), END_CLASS, np.int32)
+        rank = self.rank[place] if len(self.rank) else place
+        rows[~is_end] = np.where(hit, rank, WHOLE + spread.astype(np.int32))
+        classes[~is_end] = np.where(hit & (rank < SINGLE), rank, self.class_of[ending])
+        return rows, classes, row_first
+
+
+def windows(rows: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks of STRIDE slots; each row's are preceded by an empty block.
 
-    Returns for each slot the code before (the input), its class (CLASSES at the start), and the number of the subword
-    that it predicts or -1.
+    Returns for each slot the embedding's row of the word before, that word's class (CLASSES at the start), and the
+    number of the word that it predicts or -1.
     """
     sizes = np.diff(first)
     blocks = 1 + -(-sizes // STRIDE)
     begin = np.concatenate([[0], np.cumsum(blocks)]) * STRIDE
-    slot = np.arange(len(codes)) + np.repeat(begin[:-1] + STRIDE - first[:-1], sizes)
+    slot = np.arange(len(rows)) + np.repeat(begin[:-1] + STRIDE - first[:-1], sizes)
     target = np.full(begin[-1], -1, np.int64)
-    target[slot] = np.arange(len(codes))
-    before = np.full(begin[-1], START, np.int64)
+    target[slot] = np.arange(len(rows))
+    before = np.full(begin[-1], START, np.int32)
     last = np.full(begin[-1], CLASSES, np.int32)
-    inner = np.ones(len(codes), bool)
+    inner = np.ones(len(rows), bool)
     inner[first[:-1]] = False
     own = np.flatnonzero(inner)
-    before[slot[own]] = codes[own - 1]
+    before[slot[own]] = rows[own - 1]
     last[slot[own]] = classes[own - 1]
     return before, last, target
 
 
-def hashed(codes: np.ndarray) -> np.ndarray:
-    mixed = (codes ^ codes >> 20).astype(np.uint32) * np.uint32(0x9E3779B1)
-    return (mixed >> np.uint32(20)).astype(np.int64)
-
-
-NAMES = ("embed", "query", "key", "value", "near", "up", "lift", "down", "out")
+NAMES = ("embed", "mix", "near", "up", "lift", "down", "group", "inner")
 
 
 def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     make = lambda scale, *shape: r.normal(0, scale, shape).astype(np.float32)
     return {
-        "embed": make(0.5, HASHED, WIDTH), "query": make(WIDTH**-0.5, WIDTH, WIDTH), "key": make(WIDTH**-0.5, WIDTH, WIDTH),
-        "value": make(WIDTH**-0.5, WIDTH, WIDTH), "near": np.zeros(2 * STRIDE, np.float32), "up": make(WIDTH**-0.5, WIDTH, 2 * WIDTH),
-        "lift": np.zeros(2 * WIDTH, np.float32), "down": make(0.1, 2 * WIDTH, WIDTH), "out": np.zeros((WIDTH, CLASSES), np.float32),
+        "embed": make(0.5, START + 1, WIDTH), "mix": make(WIDTH**-0.5, WIDTH, 3 * WIDTH),  # queries, keys and values
+        "near": np.zeros(2 * STRIDE, np.float32), "up": make(WIDTH**-0.5, WIDTH, 2 * WIDTH), "lift": np.zeros(2 * WIDTH, np.float32),
+        "down": make(0.1, 2 * WIDTH, WIDTH), "group": np.zeros((WIDTH, GROUPS), np.float32), "inner": np.zeros((GROUPS, WIDTH, GROUPS), np.float32),
     }
 
 
@@ -213,20 +194,20 @@ _BACK = np.clip(_I + STRIDE - _J, 0, 2 * STRIDE - 1)  # how far back each key is
 _AHEAD = _J > _I + STRIDE
 
 
-def forward(w: dict[str, np.ndarray], bias: np.ndarray, before: np.ndarray, last: np.ndarray, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Class logits, and the logarithm of their sum, of every slot with a target, with what backward needs.
+def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], before: np.ndarray, last: np.ndarray, seen: np.ndarray, target: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """The logarithm of the probability of every slot's label that has a target, with what backward needs.
 
-    Slots come in whole blocks; seen are those that hold a subword. A block with targets has its row's block before it.
+    Slots come in whole blocks; seen are those that hold a word. A block with targets has its row's block before it.
+    bias: of groups, and of classes in their group, by the last class. label: classes by slot.
     """
-    row = hashed(before)
-    x = w["embed"][row]
+    x = w["embed"][before]
     filled, goal = seen.reshape(-1, STRIDE), (target >= 0).reshape(-1, STRIDE)
     mine = np.flatnonzero(goal.any(1))
-    kv = (x @ np.concatenate([w["key"], w["value"]], 1)).reshape(-1, STRIDE, 2 * WIDTH)
-    kv = np.concatenate([kv[mine - 1], kv[mine]], 1)
+    qkv = (x @ w["mix"]).reshape(-1, STRIDE, 3 * WIDTH)
+    kv = np.concatenate([qkv[mine - 1, :, WIDTH:], qkv[mine, :, WIDTH:]], 1)
     keys, values = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     xq = x.reshape(-1, STRIDE, WIDTH)[mine].reshape(-1, WIDTH)
-    q = (xq @ w["query"]).reshape(-1, STRIDE, WIDTH)
+    q = qkv[mine, :, :WIDTH]
     both = np.concatenate([filled[mine - 1], filled[mine]], 1)
     hidden = np.float32(-1e9)
     s = (q * np.float32(WIDTH**-0.5)) @ keys.transpose(0, 2, 1)
@@ -234,7 +215,7 @@ def forward(w: dict[str, np.ndarray], bias: np.ndarray, before: np.ndarray, last
     s += np.where(both, np.float32(0), hidden)[:, None, :]
     e = np.exp(np.minimum(s, MOST, out=s), out=s)
     share = e.sum(2, keepdims=True)
-    share[share == 0] = 1  # slots without a subword
+    share[share == 0] = 1  # slots without a word
     z = xq + (e @ values / share).reshape(-1, WIDTH)
     use = np.flatnonzero(goal[mine].reshape(-1))
     if len(use) < len(z):
@@ -242,21 +223,45 @@ def forward(w: dict[str, np.ndarray], bias: np.ndarray, before: np.ndarray, last
     u = z @ w["up"] + w["lift"]
     r = np.maximum(u, 0)
     h = z + r @ w["down"]
-    logits = bias[last.reshape(-1, STRIDE)[mine].reshape(-1)[use]]
-    logits += h @ w["out"]
-    np.minimum(logits, MOST, out=logits)
-    total = np.exp(logits) @ np.ones(CLASSES, logits.dtype)
-    return {"row": row, "x": x, "mine": mine, "xq": xq, "q": q, "keys": keys, "values": values, "e": e, "share": share, "z": z, "u": u, "r": r, "h": h, "logits": logits, "norm": np.log(np.maximum(total, 1e-37)), "use": use, "number": target.reshape(-1, STRIDE)[mine].reshape(-1)[use]}
-
-
-def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], label: np.ndarray) -> dict[str, np.ndarray]:
+    pick = lambda a: a.reshape(-1, STRIDE)[mine].reshape(-1)[use]
+    number, before_class, own = pick(target), pick(last), pick(label)
+    group = own // GROUPS
+    top = bias[0][before_class] + h @ w["group"]
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    hs = h[order]
+    inner = bias[1][before_class[order], group[order]]
+    for g in range(GROUPS):
+        inner[edge[g] : edge[g + 1]] += hs[edge[g] : edge[g + 1]] @ w["inner"][g]
+    n = np.arange(len(own))
+    shares, logs = [], np.zeros(len(own), np.float32)
+    for logits, chosen, of in ((top, group, n), (inner, own[order] % GROUPS, order)):
+        np.minimum(logits, MOST, out=logits)
+        logs[of] += logits[n, chosen]
+        np.exp(logits, out=logits)
+        total = logits.sum(1)
+        logs[of] -= np.log(np.maximum(total, 1e-37))
+        shares.append(logits / total[:, None])
+    return {"before": before, "x": x, "mine": mine, "xq": xq, "q": q, "keys": keys, "values": values, "e": e, "share": share, "z": z, "u": u, "r": r, "h": h, "hs": hs, "order": order, "edge": edge, "top": shares[0], "inner": shares[1], "label": own, "log": logs, "use": use, "number": number}
+
+
+def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-probability of the labels."""
-    n = len(label)
-    g = np.exp(f["logits"] - f["norm"][:, None])
-    g[np.arange(n), label] -= 1
-    g /= n
-    out = {"out": f["h"].T @ g}
-    dh = g @ w["out"].T
+    label, order, edge = f["label"], f["order"], f["edge"]
+    n = np.arange(len(label))
+    top, inner = f["top"], f["inner"]
+    top[n, label // GROUPS] -= 1
+    inner[n, label[order] % GROUPS] -= 1
+    top /= len(label)
+    inner /= len(label)
+    out = {"group": f["h"].T @ top, "inner": np.empty_like(w["inner"])}
+    dh = top @ w["group"].T
+    back = np.empty_like(f["hs"])
+    for g in range(GROUPS):
+        part = slice(edge[g], edge[g + 1])
+        out["inner"][g] = f["hs"][part].T @ inner[part]
+        back[part] = inner[part] @ w["inner"][g].T
+    dh[order] += back
     out["down"] = f["r"].T @ dh
     du = (dh @ w["down"].T) * (f["u"] > 0)
     out["up"], out["lift"] = f["z"].T @ du, du.sum(0)
@@ -268,30 +273,28 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], label: np.ndarr
     da = da_out @ f["values"].transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(2, keepdims=True))
     out["near"] = np.bincount(_BACK.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * STRIDE).astype(np.float32)
-    dq = (ds @ f["keys"] * scale).reshape(-1, WIDTH)
-    dkeys = ds.transpose(0, 2, 1) @ f["q"] * scale
-    out["query"] = f["xq"].T @ dq
     blocks = len(f["x"]) // STRIDE
-    dk, dv, dx = (np.zeros((blocks, STRIDE, WIDTH), np.float32) for _ in range(3))
-    for full, part in ((dk, dkeys), (dv, dvalues)):
-        full[f["mine"]] += part[:, STRIDE:]
-        full[f["mine"] - 1] += part[:, :STRIDE]
-    dx[f["mine"]] += (dz + dq @ w["query"].T).reshape(-1, STRIDE, WIDTH)
-    dk, dv, dx = dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH), dx.reshape(-1, WIDTH)
-    out["key"], out["value"] = f["x"].T @ dk, f["x"].T @ dv
-    dx = dx + dk @ w["key"].T + dv @ w["value"].T
-    order = np.argsort(f["row"], kind="stable")
-    rows = f["row"][order]
+    mixed = np.zeros((blocks, STRIDE, 3 * WIDTH), np.float32)
+    mixed[f["mine"], :, :WIDTH] = ds @ f["keys"] * scale
+    dkeys = ds.transpose(0, 2, 1) @ f["q"] * scale
+    for at, part in ((WIDTH, dkeys), (2 * WIDTH, dvalues)):
+        mixed[f["mine"], :, at : at + WIDTH] += part[:, STRIDE:]
+        mixed[f["mine"] - 1, :, at : at + WIDTH] += part[:, :STRIDE]
+    mixed = mixed.reshape(-1, 3 * WIDTH)
+    out["mix"] = f["x"].T @ mixed
+    dx = mixed @ w["mix"].T
+    dx.reshape(-1, STRIDE, WIDTH)[f["mine"]] += da_out
+    order = np.argsort(f["before"].astype(np.uint16), kind="stable")
+    rows = f["before"][order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    out["embed"] = np.zeros_like(w["embed"])
-    out["embed"][rows[first]] = np.add.reduceat(dx[order], first, axis=0)
+    out["embed"] = (rows[first], np.add.reduceat(dx[order], first, axis=0))
     return out
 
 
 class Trainer:
-    """Adam steps over all windows of the texts that are handed in."""
+    """Adam steps over all windows of the texts that are handed in; rows of the embedding move only when they are met."""
 
-    def __init__(self, vocabulary: Vocabulary, bias: np.ndarray, weights: dict[str, np.ndarray], rate: float = 6e-3):
+    def __init__(self, vocabulary: Vocabulary, bias: tuple[np.ndarray, np.ndarray], weights: dict[str, np.ndarray], rate: float = 6e-3):
         self.v, self.bias, self.rate = vocabulary, bias, rate
         self.w = {k: x.copy() for k, x in weights.items()}
         self.m = {k: np.zeros_like(x) for k, x in self.w.items()}
@@ -301,9 +304,8 @@ class Trainer:
 
     def add(self, data: np.ndarray, at: np.ndarray) -> None:
         """Learn from the rows' blocks; what makes no whole step is held, from the block before it on."""
-        codes, first = self.v.split(data, at)
-        classes = self.v.classes[self.v.ids(codes)]
-        before, last, target = windows(codes, first, classes)
+        rows, classes, first = self.v.split(data, at)
+        before, last, target = windows(rows, classes, first)
         if not len(target):
             return
         goal = np.where(target >= 0, classes[np.maximum(target, 0)], -1)
@@ -323,19 +325,21 @@ class Trainer:
         self.held = []
 
     def step(self, before: np.ndarray, last: np.ndarray, goal: np.ndarray) -> None:
-        before, last = before.reshape(-1), last.reshape(-1)
         seen = goal >= 0
         asked = np.where(seen, np.arange(goal.size).reshape(goal.shape), -1)
         asked[0] = -1  # the first block only gives context
-        f = forward(self.w, self.bias, before, last, seen.reshape(-1), asked.reshape(-1))
-        label = goal.reshape(-1)[f["number"]]
+        if not (asked >= 0).any():
+            return
+        f = forward(self.w, self.bias, before.reshape(-1), last.reshape(-1), seen.reshape(-1), asked.reshape(-1), goal.reshape(-1))
         self.t += 1
-        self.seen += len(label)
+        self.seen += len(f["label"])
         rate = self.rate * min(1.0, self.t / 20) / (1 + self.t / 400) ** 0.5
-        for k, g in backward(self.w, f, label).items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.s[k] += 0.01 * (g * g - self.s[k])
-            self.w[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)
+        for k, g in backward(self.w, f).items():
+            rows, g = g if k == "embed" else (slice(None), g)
+            m = self.m[k][rows] + 0.1 * (g - self.m[k][rows])
+            s = self.s[k][rows] + 0.01 * (g * g - self.s[k][rows])
+            self.m[k][rows], self.s[k][rows] = m, s
+            self.w[k][rows] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-8)
 
 
 def pack(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -350,57 +354,56 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def log_probabilities(v: Vocabulary, bias: np.ndarray, w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 probability of each row's text."""
-    codes, first = v.split(data, at)
-    ids = v.ids(codes)
-    classes = v.classes[ids]
-    before, last, target = windows(codes, first, classes)
+def log_gains(v: Vocabulary, bias: tuple[np.ndarray, np.ndarray], w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row's text the log10 of its classes' probability under the model over that under the unigram base."""
+    rows, classes, first = v.split(data, at)
+    before, last, target = windows(rows, classes, first)
+    label = classes[np.maximum(target, 0)] if len(classes) else target
     blocks = len(target) // STRIDE
-    score = np.empty(len(codes))
+    score = np.empty(len(rows))
     for lo in range(1, blocks, BLOCKS):  # the first block is empty
         part = slice((lo - 1) * STRIDE, min(blocks, lo + BLOCKS) * STRIDE)
         asked = target[part].copy()
         asked[:STRIDE] = -1
-        f = forward(w, bias, before[part], last[part], target[part] >= 0, asked)
-        own = f["number"]
-        score[own] = f["logits"][np.arange(len(own)), classes[own]] - f["norm"]
-    score += v.inner[ids]
+        if (asked >= 0).any():
+            f = forward(w, bias, before[part], last[part], target[part] >= 0, asked, label[part])
+            score[f["number"]] = f["log"]
+    score -= v.mass[classes]
     total = np.concatenate([[0.0], np.cumsum(score)])
     return (total[first[1:]] - total[first[:-1]]) / np.log(10)
 
 
-def counted(texts: DataFrame, keys_of) -> DataFrame:
-    """k and c: how often each of the keys that keys_of(data, at) gives stands in all texts."""
+def counted(texts: DataFrame) -> DataFrame:
+    """k, c and e: each word's key (END_KEY for the ends of texts), how often it stands in all texts, and its ending."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+            keys, at, place = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([c for _, c, _ in held])).astype(np.int64)
+            endings = np.concatenate([e for _, _, e in held])[at]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["k", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(endings.astype(np.int32))], names=["k", "c", "e"])
 
         size = 0
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for lo, hi in groups_of(at, 1 << 20):
-                held.append(np.unique(keys_of(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), return_counts=True))
-                size += len(held[-1][0])
+                part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+                starts, ends, _ = words_of(part, own)
+                keys, first, n = np.unique(word_keys(part, starts, ends), return_index=True, return_counts=True)
+                held.append((keys, n, word_endings(part, starts[first], ends[first])))
+                held.append((np.array([END_KEY]), np.array([hi - lo]), np.array([0])))
+                size += len(keys)
             if size > 1_500_000:
                 yield merged()
                 size = 0
         if held:
             yield merged()
 
-    return texts.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def words_and_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    starts, ends, _ = words_of(data, at)
-    return np.append(word_keys(data, starts, ends), np.full(len(at) - 1, END_KEY))
+    return texts.select("text").mapInArrow(run, "k long, c long, e int").groupBy("k").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
 
 
 def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -412,8 +415,7 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for lo, hi in groups_of(at, 1 << 20):
-                codes, first = v.split(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                classes = v.classes[v.ids(codes)].astype(np.int64)
+                _, classes, first = v.split(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 last = np.concatenate([[CLASSES], classes[:-1]])
                 last[first[:-1]] = CLASSES
                 total += np.bincount(last * CLASSES + classes, minlength=len(total))
@@ -426,18 +428,21 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return out.reshape(CLASSES + 1, CLASSES)
 
 
-def pair_bias(pairs: np.ndarray) -> np.ndarray:
-    """Log-probabilities of a class after each, smoothed by the classes' shares."""
+def pair_bias(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of a group after each class, and of a class in its group, smoothed by the classes' shares."""
     share = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * CLASSES)
-    return np.log((pairs + 20 * share) / (pairs.sum(1, keepdims=True) + 20)).astype(np.float32)
+    p = ((pairs + 20 * share) / (pairs.sum(1, keepdims=True) + 20)).reshape(-1, GROUPS, GROUPS)
+    group = p.sum(2)
+    return np.log(group).astype(np.float32), np.log(p / group[:, :, None]).astype(np.float32)
 
 
-def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights that each task trains from the same start, averaged by the subwords that it saw."""
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, bias))
+def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: tuple[np.ndarray, np.ndarray], weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights that each task trains from the given ones, averaged by the words that it saw."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, bias, weights))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(*shared.value, fresh_weights())
+        keep_heap()
+        trainer = Trainer(*shared.value)
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for lo, hi in groups_of(at, 1 << 20):
@@ -458,7 +463,7 @@ def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: np.ndarray) ->
     some = texts.select("text").mapInArrow(learn, "n double, w binary")
     rows = some.repartition(AVERAGED).mapInArrow(average, "n double, w binary").collect()
     if not rows:
-        return fresh_weights()
+        return weights
     n = sum(r.n for r in rows)
     return unpack(sum(np.frombuffer(r.w, np.float32).astype(np.float64) * r.n for r in sorted(rows, key=lambda r: (r.n, bytes(r.w)))) / n)
 
@@ -466,22 +471,20 @@ def train_weights(texts: DataFrame, vocabulary: Vocabulary, bias: np.ndarray) ->
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    bias: np.ndarray
+    bias: tuple[np.ndarray, np.ndarray]
     weights: dict[str, np.ndarray]
 
 
 def fit(texts: DataFrame, words: DataFrame) -> Model:
-    """A model of the training texts; words are their counted words (k, c)."""
-    whole = Table(np.sort(most_frequent(words.where((F.col("k") != END_KEY) & (F.col("c") >= LEAST)), WHOLE)["k"].to_numpy()))
-    shared = texts.sparkSession.sparkContext.broadcast(whole)
-    codes = cut(counted(texts, lambda data, at: subwords(data, at, shared.value)[0]))
-    total = int(codes.agg(F.sum("c").alias("n")).first()["n"] or 0)
-    own = codes.where(F.col("k") >= WORD_CODE).toArrow()  # of at most WHOLE words
-    kept = most_frequent(codes.where(F.col("k") < WORD_CODE), PARTS)
-    both = lambda c: np.concatenate([own[c].to_numpy(), kept[c].to_numpy()])
-    vocabulary = Vocabulary.of(whole, both("k"), both("c"), total)
-    bias = pair_bias(count_pairs(texts, vocabulary))
-    return Model(vocabulary, bias, train_weights(texts, vocabulary, bias))
+    """A model of the training texts (key, text); words are their counted words (k, c, e)."""
+    own = words.where(F.col("k") != END_KEY)
+    ends = words.where(F.col("k") == END_KEY).agg(F.sum("c").alias("n")).first()["n"] or 0
+    endings = own.groupBy("e").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()  # 2^16 rows at most
+    vocabulary = Vocabulary.of(most_frequent(own, WHOLE), endings, ends)
+    bias, weights = pair_bias(count_pairs(texts, vocabulary)), fresh_weights()
+    for i in range(ROUNDS):
+        weights = train_weights(texts.where(F.pmod("key", F.lit(ROUNDS)) == i), vocabulary, bias, weights)
+    return Model(vocabulary, bias, weights)
 
 
 def most_frequent(counts: DataFrame, most: int) -> pa.Table:
@@ -500,18 +503,20 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
     training is a condition on docs: the rows to learn from. Words are what white space parts, A-Z lower-cased; each text
     ends with a token of its own. base_score is the text's log10 probability under add-0.1 unigrams of the training
     tokens, score under the attention model. A null text is empty. Rows that repeat are scored each, and learnt from
-    each. Without training rows all base probabilities are 1, and the model knows no subword.
+    each; ties between words as frequent are broken by their hashes. Very long texts are cut into windows like any other.
+    Without training rows all base probabilities are 1, and the model knows no word. An empty table gives no rows. Other
+    columns of docs, whatever their names, are read only by training.
 
     The counts of the HEAD most frequent words are broadcast; occurrences of the others are joined with their counts.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), training.alias("learn"))
     base = base.select("doc_id", "text", "learn", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "text").alias("key"))
-    words = cut(counted(base.where("learn"), words_and_ends))
+    words = cut(counted(base.where("learn")))
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(size["n"] or 0), int(size["v"])
     model = fit(base.where("learn"), words)
-    head = pa.concat_tables([most_frequent(words.where(F.col("k") != END_KEY), HEAD), words.where(F.col("k") == END_KEY).toArrow()])
+    head = pa.concat_tables([most_frequent(words.where(F.col("k") != END_KEY), HEAD), words.where(F.col("k") == END_KEY).toArrow()]).select(["k", "c"])
     under = np.log10(n + 0.1 * (v + 1)) if n else np.log10(0.1)
     order = np.argsort(head["k"].to_numpy())
     keys, logs = head["k"].to_numpy()[order], np.log10(head["c"].to_numpy()[order] + 0.1) - under
@@ -550,15 +555,16 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
     )
     repeats = tail.where("n = 0").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 1")
 
-    fields = [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_score", T.DoubleType()), ("score", T.DoubleType()))]
+    fields = [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_score", T.DoubleType()), ("gain", T.DoubleType()))]
 
     def make():
+        keep_heap()
         (keys, logs), model = shared.value, known_model.value
         logs = np.append(logs, 0.0)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             data, at = text_bytes(texts)
-            count, known, base_score, scores = [], [], [], []
+            count, known, base_score, gains = [], [], [], []
             for lo, hi in groups_of(at, 1 << 19):
                 part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 starts, ends, first = words_of(part, own)
@@ -570,9 +576,9 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
                 known.append(total[first[1:]] - total[first[:-1]] + end_hit[0])
                 total = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[place], 0.0))])
                 base_score.append(total[first[1:]] - total[first[:-1]] + end_log)
-                scores.append(log_probabilities(model.vocabulary, model.bias, model.weights, part, own))
+                gains.append(log_gains(model.vocabulary, model.bias, model.weights, part, own))
             join = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-            return [join(count, np.int64), join(known, np.int64), join(base_score, np.float64), join(scores, np.float64)]
+            return [join(count, np.int64), join(known, np.int64), join(base_score, np.float64), join(gains, np.float64)]
 
         return compute
 
@@ -585,5 +591,5 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
         (F.col("head_known") + F.coalesce(F.col("k") / times, F.lit(0)).cast("long")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("head_score") + F.coalesce(F.col("s") / times, F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("head_score") + F.coalesce(F.col("s") / times, F.lit(0.0)) + F.col("gain")).alias("score"),
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, groups_of, mix, small_batches, span_hasher, span_hashes, text_bytes
+from .common import annotate, cut, groups_of, keep_heap, mix, small_batches, span_hasher, span_hashes, text_bytes
 
 #: Bytes of a string that is removed where it repeats, and of one that makes a shared passage (about 50 words).
 LENGTH, LEAST = 400, 304
@@ -257,6 +257,7 @@ def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
     names = ["key", "lo", "n", "size", "a", "h", "r", "beside"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         for batch in batches:
             if not batch.num_rows:
                 continue
