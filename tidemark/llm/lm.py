@@ -37,7 +37,7 @@ SINGLE = 111  # most frequent words, each a class of its own
 END_CLASS = SINGLE  # of the end of a text
 LAST_CLASS = CLASSES - 1  # of endings that are too rare for a class of their own
 ROUNDS = 3
-STEP = 256  # blocks that a training step takes
+STEP = 512  # blocks that a training step takes
 BLOCKS = 64  # blocks that are scored at a time: few enough for a processor's cache
 MOST = 60.0  # logits are cut at this, below what overflows
 #: Words whose counts are broadcast: the most frequent, this many at most. The others are joined by a shuffle.
@@ -137,10 +137,13 @@ class Vocabulary:
         base = weight.sum() + (single + 0.1).sum() + (ends + 0.1 if ends else 0.0) + 0.1
         return cls(Table(keys[place]), rank, class_of, np.log(mass) - np.log(base))
 
-    def split(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word of all rows, and the end of each row, its embedding's row and its class; and where rows begin."""
-        starts, ends, first = words_of(data, at)
-        hit, place = self.whole.places(word_keys(data, starts, ends))
+    def split(self, data: np.ndarray, at: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of all rows, and the end of each row, its embedding's row and its class; and where rows begin.
+
+        found: the words (see words_of) and their keys, if they are known.
+        """
+        starts, ends, first, *keys = found or words_of(data, at)
+        hit, place = self.whole.places(keys[0] if keys else word_keys(data, starts, ends))
         ending = word_endings(data, starts, ends)
         spread = (ending.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)
         n = len(at) - 1
@@ -194,13 +197,14 @@ _BACK = np.clip(_I + STRIDE - _J, 0, 2 * STRIDE - 1)  # how far back each key is
 _AHEAD = _J > _I + STRIDE
 
 
-def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], before: np.ndarray, last: np.ndarray, seen: np.ndarray, target: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-    """The logarithm of the probability of every slot's label that has a target, with what backward needs.
+def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], before: np.ndarray, last: np.ndarray, seen: np.ndarray, target: np.ndarray, label: np.ndarray, learn: bool = True) -> dict[str, np.ndarray]:
+    """The logarithm of the probability of every slot's label that has a target, with what backward needs if
+    learn says so.
 
     Slots come in whole blocks; seen are those that hold a word. A block with targets has its row's block before it.
     bias: of groups, and of classes in their group, by the last class. label: classes by slot.
     """
-    x = w["embed"][before]
+    x = w["embed"].take(before, 0)
     filled, goal = seen.reshape(-1, STRIDE), (target >= 0).reshape(-1, STRIDE)
     mine = np.flatnonzero(goal.any(1))
     qkv = (x @ w["mix"]).reshape(-1, STRIDE, 3 * WIDTH)
@@ -229,7 +233,7 @@ def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], befor
     top = bias[0][before_class] + h @ w["group"]
     order = np.argsort(group.astype(np.uint8), kind="stable")
     edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    hs = h[order]
+    hs = h.take(order, 0)
     inner = bias[1][before_class[order], group[order]]
     for g in range(GROUPS):
         inner[edge[g] : edge[g + 1]] += hs[edge[g] : edge[g + 1]] @ w["inner"][g]
@@ -241,7 +245,11 @@ def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], befor
         np.exp(logits, out=logits)
         total = logits.sum(1)
         logs[of] -= np.log(np.maximum(total, 1e-37))
-        shares.append(logits / total[:, None])
+        if learn:
+            logits /= total[:, None]
+            shares.append(logits)
+    if not learn:
+        return {"log": logs, "number": number}
     return {"before": before, "x": x, "mine": mine, "xq": xq, "q": q, "keys": keys, "values": values, "e": e, "share": share, "z": z, "u": u, "r": r, "h": h, "hs": hs, "order": order, "edge": edge, "top": shares[0], "inner": shares[1], "label": own, "log": logs, "use": use, "number": number}
 
 
@@ -354,9 +362,9 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def log_gains(v: Vocabulary, bias: tuple[np.ndarray, np.ndarray], w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def log_gains(v: Vocabulary, bias: tuple[np.ndarray, np.ndarray], w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """For each row's text the log10 of its classes' probability under the model over that under the unigram base."""
-    rows, classes, first = v.split(data, at)
+    rows, classes, first = v.split(data, at, found)
     before, last, target = windows(rows, classes, first)
     label = classes[np.maximum(target, 0)] if len(classes) else target
     blocks = len(target) // STRIDE
@@ -366,7 +374,7 @@ def log_gains(v: Vocabulary, bias: tuple[np.ndarray, np.ndarray], w: dict[str, n
         asked = target[part].copy()
         asked[:STRIDE] = -1
         if (asked >= 0).any():
-            f = forward(w, bias, before[part], last[part], target[part] >= 0, asked, label[part])
+            f = forward(w, bias, before[part], last[part], target[part] >= 0, asked, label[part], learn=False)
             score[f["number"]] = f["log"]
     score -= v.mass[classes]
     total = np.concatenate([[0.0], np.cumsum(score)])
@@ -538,22 +546,20 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
                 w, row = w[order], row[order]
                 edge = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (row[1:] != row[:-1])]) if len(w) else np.zeros(0, np.int64)
                 n = np.diff(np.r_[edge, len(w)])
-                # A row of its own tells how often the document itself repeats.
+                # A row of its own, which stands for no word, tells how often the document itself repeats.
                 all_keys = np.concatenate([own_keys[lo + row[edge]], own_keys[lo:hi]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(all_keys), pa.array(np.concatenate([w[edge], np.zeros(hi - lo, np.int64)])), pa.array(np.concatenate([n, np.zeros(hi - lo, np.int64)])), pa.array(np.concatenate([np.zeros(len(edge), np.int64), np.ones(hi - lo, np.int64)]))],
+                    [pa.array(all_keys), pa.array(np.concatenate([w[edge], own_keys[lo:hi]])), pa.array(np.concatenate([n, np.zeros(hi - lo, np.int64)])), pa.array(np.concatenate([np.zeros(len(edge), np.int64), np.ones(hi - lo, np.int64)]))],
                     names=["key", "w", "n", "copies"],
                 )
 
     small_batches(spark)
     tail = base.select("key", "text").mapInArrow(rest, "key long, w long, n long, copies long")
-    found = tail.where("n > 0").join(words.select(F.col("k").alias("w"), "c"), "w", "left")
-    gained = found.groupBy("key").agg(
+    gained = tail.join(words.select(F.col("k").alias("w"), "c"), "w", "left").groupBy("key").agg(
         F.sum(F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(float(under)))).alias("s"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"),
-        F.lit(0).cast("long").alias("copies"),
+        F.sum("copies").alias("copies"),
     )
-    repeats = tail.where("n = 0").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 1")
 
     fields = [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_score", T.DoubleType()), ("gain", T.DoubleType()))]
 
@@ -568,7 +574,8 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
             for lo, hi in groups_of(at, 1 << 19):
                 part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 starts, ends, first = words_of(part, own)
-                hit, place = keys.places(word_keys(part, starts, ends))
+                own_keys = word_keys(part, starts, ends)
+                hit, place = keys.places(own_keys)
                 end_hit, end_place = keys.places(np.array([END_KEY]))
                 end_log = logs[end_place[0]] if end_hit[0] else 0.0
                 count.append(np.diff(first) + 1)
@@ -576,14 +583,14 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text")
                 known.append(total[first[1:]] - total[first[:-1]] + end_hit[0])
                 total = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[place], 0.0))])
                 base_score.append(total[first[1:]] - total[first[:-1]] + end_log)
-                gains.append(log_gains(model.vocabulary, model.bias, model.weights, part, own))
+                gains.append(log_gains(model.vocabulary, model.bias, model.weights, part, own, (starts, ends, first, own_keys)))
             join = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
             return [join(count, np.int64), join(known, np.int64), join(base_score, np.float64), join(gains, np.float64)]
 
         return compute
 
     rows = annotate(base.select("doc_id", "key", "text"), ["text"], fields, make, ["doc_id", "key"])
-    rows = rows.join(gained.drop("copies"), "key", "left").join(repeats, "key", "left")
+    rows = rows.join(gained, "key", "left")
     times = F.coalesce("copies", F.lit(1))
     return rows.select(
         "doc_id",
