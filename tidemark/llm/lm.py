@@ -341,7 +341,7 @@ class Trainer:
         f = forward(self.w, self.bias, before.reshape(-1), last.reshape(-1), seen.reshape(-1), asked.reshape(-1), goal.reshape(-1))
         self.t += 1
         self.seen += len(f["label"])
-        rate = self.rate * min(1.0, self.t / 20) / (1 + self.t / 400) ** 0.5
+        rate = self.rate * min(1.0, self.t / 8) / (1 + self.t / 400) ** 0.5
         for k, g in backward(self.w, f).items():
             rows, g = g if k == "embed" else (slice(None), g)
             m = self.m[k][rows] + 0.1 * (g - self.m[k][rows])
