@@ -15,6 +15,7 @@ import re
 import unicodedata
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -25,8 +26,12 @@ from .common import annotate
 END = "</w>"
 #: Added to the code point of a word's last symbol, so that it is a symbol of its own.
 LAST = 0x10000
-#: A worker forgets its words' encodings beyond this many.
-WORDS_KEPT = 600_000
+#: A worker forgets its words' encodings when they take about this many bytes, and pair tests beyond this many.
+WORDS_BYTES, PAIRS_KEPT = 96 << 20, 400_000
+#: What a word takes beside its characters: entries of two dictionaries and three strings.
+ENTRY_BYTES = 420
+#: Words that take more are not kept beyond their text.
+LONG_WORD = 1 << 14
 
 
 def byte_symbols() -> dict[int, str]:
@@ -176,10 +181,11 @@ class WordBpe:
 
     def encoded(self, text: str) -> tuple[str, str]:
         """A text's ids and its decoded text. Every id stands for one token, so both are put together by piece."""
-        if len(self.text_cache) > WORDS_KEPT:
+        if self.ids_cache.bytes > WORDS_BYTES:
             self.ids_cache.clear()
             self.text_cache.clear()
-        if len(self.known_pairs) > 4 * WORDS_KEPT:
+            self.ids_cache.bytes = 0
+        if len(self.known_pairs) > PAIRS_KEPT:
             self.known_pairs.clear()
         pieces = self.pieces(text)
         return " ".join(map(self.ids_cache.__getitem__, pieces)), " ".join(map(self.text_cache.__getitem__, pieces))
@@ -190,9 +196,17 @@ class Cache(dict):
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> str:
-        self[piece], self.bpe.text_cache[piece] = entry = self.bpe.entry(piece)
+        entry = self.bpe.entry(piece)
+        size = len(piece) + len(entry[0]) + len(entry[1])
+        if size < LONG_WORD:
+            self[piece], self.bpe.text_cache[piece] = entry
+            self.bytes += size + ENTRY_BYTES
+        else:
+            self.bpe.text_cache[piece] = entry[1]
+            self.bytes += WORDS_BYTES  # kept until the next text
         return entry[0]
 
 
@@ -213,8 +227,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256 and, if with_ids, token_ids and decoded of every whole text.
+def encode_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep: list[str] | None = None, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256, token_ids if with_ids, and decoded if with_text, of every whole text.
 
     A null or empty text has no tokens. Rows are taken one by one, so repeated rows, ties and an empty table need no
     care. A column of docs with the name of a result gives way to it. The vocabulary file is read on the driver and
@@ -225,7 +239,9 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "te
         shared = spark.sparkContext.broadcast(f.read())
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
+        fields.append(T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)))
+    if with_text:
+        fields.append(T.StructField("decoded", T.StringType()))
 
     def make():
         bpe = loaded(shared.value)
@@ -238,10 +254,15 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, text: str = "te
                 h.append(hashlib.sha256(ids.encode()).hexdigest())
                 d.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
+                    all_ids.append(np.fromstring(ids, np.int32, sep=" "))
+                if with_text:
                     all_texts.append(back)
             out = [pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())]
-            return out + [pa.array(all_ids, pa.list_(pa.field("element", pa.int32(), False))), pa.array(all_texts, pa.string())] if with_ids else out
+            if with_ids:
+                edges = pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32())
+                values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), pa.int32())
+                out.append(pa.ListArray.from_arrays(edges, values, pa.list_(pa.field("element", pa.int32(), False))))
+            return [*out, pa.array(all_texts, pa.string())] if with_text else out
 
         return compute
 

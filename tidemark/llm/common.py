@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,11 +35,35 @@ def keep_heap() -> None:
     put(-1, 128 << 20)  # M_TRIM_THRESHOLD
 
 
+def give_back() -> None:
+    """Return memory that this worker holds but does not use, so that the next stage finds it free."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what it does not use."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none (a local test)."""
+    """The folder that spark.checkpoint.dir names. Only a session of one process may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 
@@ -68,9 +93,12 @@ def annotate(
     small_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    inside = [f"__in{i}" for i in range(len(inputs))]
+    prefix = "in"
+    while any(c.lower().startswith(prefix) for c in kept):  # no name of a kept column
+        prefix = f"_{prefix}"
+    inside = [f"{prefix}{i}" for i in range(len(inputs))]
     source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(n) for c, n in zip(inputs, inside)])
-    schema = T.StructType([*source.select(*[f"`{c}`" for c in kept]).schema.fields, *fields])
+    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = None
@@ -82,7 +110,7 @@ def annotate(
             arrays = compute(*[batch.column(n + i) for i in range(len(inside))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*kept, *[f.name for f in fields]])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -114,13 +114,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
     base_failed: under 20 words, or over 30 % of the words in repeated windows. Otherwise kept says that both distances to
     the reference of the row's language are within bounds; a distance is null, and passes, where the text or the
     reference is too short. A null lang, and one whose reference is too short, is held against all documents. Null
-    texts fail. Rows are judged one by one, repeated rows too, but count in the references. Result columns replace
-    columns of docs of their names.
+    texts fail. Rows are judged one by one, repeated rows and ties too, but count in the references; whole texts count,
+    however long; an empty table gives no rows. Result columns replace columns of docs of their names, other columns keep
+    theirs, whatever they are.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "word_counts", "base_failed", "class_distance", "word_distance", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{lang}`").alias("__lang"), F.col(f"`{text}`").alias("__text"))
-    counts = cut(base_counts(plain, "__text", [*keep, "__lang"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    plain = docs.select(row.alias("__row"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{text}`").alias("__text"))
+    counts = cut(base_counts(plain, "__text", ["__row", "__lang"]))
     known = references(counts, "__lang")
     named = known.select(F.col("__key").alias("__has"))
     few = counts.select("__lang").distinct().limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -135,4 +137,4 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, js_distance(shares(F.concat("word_counts", F.array("__rest")), F.col("n_words")), F.col("__q_word"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near_enough = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return rows.select(*[f"`{c}`" for c in keep], *new[:7], failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near_enough).alias("kept"))
+    return rows.select(*[F.col(f"__row.`{c}`") for c in keep], *new[:7], failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near_enough).alias("kept"))

@@ -124,21 +124,23 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f)], names=["k", "fp"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, f = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def made(k, f):
             got = links_of_runs(k, f, bits)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            k = np.concatenate([k, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([f, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(k) and k[0] != k[-1]:
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            if held[0][0][0] != held[-1][0][-1]:
+                k, f = (np.concatenate(x) for x in zip(*held))
                 last = int(np.searchsorted(k, k[-1]))
                 yield made(k[:last], f[:last])
-                k, f = k[last:], f[last:]
-        if len(k):
-            yield made(k, f)
+                held = [(k[last:], f[last:])]
+        if held:
+            yield made(*(np.concatenate(x) for x in zip(*held)))
 
     keyed = distinct.select("fp").mapInArrow(emit, "k int, fp long").repartition("k").sortWithinPartitions("k", "fp")
     return keyed.mapInArrow(pair, "a long, b long").distinct()
@@ -161,7 +163,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two documents are linked if their fingerprints differ in at most bits bits. Texts without words (null, empty) have
     fingerprint 0 and link like any other. Copies, rows that repeat and ties share a fingerprint and so a component. A
-    null doc_id counts only where its component has no other. Other columns are not read.
+    null doc_id counts only where its component has no other. Whole texts count, however long. An empty table gives no
+    rows. Other columns are not read, whatever their names.
     """
     return labelled(docs, doc_id, text, words, bits).drop("root")
 
@@ -174,8 +177,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """
     found = labelled(docs, doc_id, text, words, bits)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
-    kept = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.fp").alias("__of"))
-    kept = cut(kept.groupBy("__id", F.when(F.col("__id").isNull(), F.col("__of")).alias("each")).agg(F.min("__of").alias("__of")))
-    rows = fingerprints(docs.withColumn("__text", F.col(f"`{text}`")).withColumnRenamed("fp", "__own"), "__text", words=words) if "fp" in docs.columns else fingerprints(docs, text, words=words)
-    left = rows.join(kept, (rows["fp"] == kept["__of"]) & rows[doc_id].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([doc_id, "fp"])
-    return left.select(*[F.col("__own").alias("fp") if c == "fp" else F.col(f"`{c}`") for c in docs.columns])
+    kept = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("kept_id"), F.col("x.fp").alias("kept_fp"))
+    kept = cut(kept.groupBy("kept_id", F.when(F.col("kept_id").isNull(), F.col("kept_fp")).alias("each")).agg(F.min("kept_fp").alias("kept_fp")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("content"))
+    rows = fingerprints(rows, "content", ["row", "id"], words)
+    left = rows.join(kept, (rows["fp"] == kept["kept_fp"]) & rows["id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return left.dropDuplicates(["id", "fp"]).select("row.*")

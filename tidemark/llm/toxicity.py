@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate, bool_lut, find_keys, groups_of, small_batches, text_bytes
+from .common import alnum_words, annotate, bool_lut, find_keys, groups_of, small_batches, text_bytes, tidy
 
 #: Labelled documents of each class that training takes at most, about; the same number at every input size.
 SAMPLE = 1_500
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_byte
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
 
     small_batches(docs.sparkSession)
-    found = rows.repartition(1).mapInArrow(learn, "chain binary").collect()
+    found = rows.repartition(1).mapInArrow(tidy(learn), "chain binary").collect()
     return pickle.loads(found[0].chain) if found else None
 
 

@@ -164,6 +164,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_BUILT: list = [None, None]
+
+
+def built(rows: list[tuple[str, str]]) -> Index:
+    """The index of these rows, made once in each worker: a worker reads a broadcast value once and keeps it."""
+    if _BUILT[0] is not rows:
+        _BUILT[:] = [rows, Index(rows)]
+    return _BUILT[1]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -172,7 +182,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     A window is SPAN consecutive words of an item; an item of fewer words is one window; an item or text without words
     has none. Null texts have no words, a null item_id counts as the empty string, and ids that repeat count once.
-    Rows of docs are taken one by one, repeated rows too. Result columns replace columns of docs that have their names.
+    Rows of docs are taken one by one, repeated rows and ties too; texts are taken whole, however long; empty tables give
+    no rows or no hits. Result columns replace columns of docs that have their names; others keep theirs.
 
     The benchmark's size is measured first. It is held in memory and broadcast in blocks of block_bytes, and every
     document is held against every block: documents are never shuffled, and what is broadcast does not grow.
@@ -189,7 +200,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         before = ["hit_spans", "hit_items"] if b else []
 
         def make(shared=shared):
-            index = Index(shared.value)
+            index = built(shared.value)
 
             def compute(texts: pa.Array, *old: pa.Array) -> list[pa.Array]:
                 data, at = text_bytes(texts)
