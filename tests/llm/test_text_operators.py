@@ -361,35 +361,6 @@ def test_near_duplicates_are_those_of_similarity_08(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
-def test_near_pairs_of_a_long_run_lose_no_group():
-    r = np.random.default_rng(11)
-    base = r.integers(0, 256, (4, neardup.BANDS * neardup.ROWS), np.uint8)
-    sketch = base[np.arange(200) % 4].copy()
-    for row in sketch:
-        row[r.random(len(row)) < r.choice([0.02, 0.1, 0.15])] = 0
-    got = neardup.near_pairs(sketch, 0.8)
-    equal = (sketch[:, None] == sketch[None]).mean(2)
-    root = list(range(200))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for x, y in got.tolist():
-        assert x < y and equal[x, y] >= 0.7
-        root[find(x)] = find(y)
-    assert all(find(x) == find(y) for x in range(200) for y in range(200) if equal[x, y] >= 0.7)
-    assert len({tuple(p) for p in got.tolist()}) == len(got) < 200 * 199 / 2 / 4
-
-
-def test_candidates_come_once(spark):
-    base = [f"w{x}" for x in np.random.default_rng(3).integers(0, 500, 200)]
-    texts = [" ".join("new" if i == at else w for i, w in enumerate(base)) for at in range(0, 200, 3)]
-    got = [tuple(x) for x in neardup.candidates(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 5, 0.8).collect()]
-    assert len(got) == len(set(got)) and {x for p in got for x in p} == {int(neardup.node_of(s)) for s in neardup.shingles(pa.array(texts))}
-
-
 @pytest.mark.parametrize("keep_one", [simhash.keep_one, neardup.keep_one])
 def test_each_component_keeps_a_row(spark, keep_one):
     r = np.random.default_rng(5)
