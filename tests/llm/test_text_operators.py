@@ -361,6 +361,36 @@ def test_near_duplicates_are_those_of_similarity_08(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_crowds_near_the_similarity_are_grouped_as_all_pairs_would(spark):
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in rng.integers(0, 5000, 200)], []
+    for i in range(150):  # pairs of similarity 0.6 to 0.95, most of them near 0.8
+        own = list(base)
+        for j in rng.choice(200, 1 + i % 6, replace=False):
+            own[j] = f"n{i}x{j}"
+        texts.append(" ".join(own))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(196)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    kept = neardup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+
+
+def test_copies_give_pairs_in_proportion(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [(" ".join([*base[:i], f"n{i}", *base[i + 1 :]]),) for i in range(300)]  # every pair is similar
+    shared = neardup.shared_bands(spark.createDataFrame(texts, "text string"), "text", 5).cache()
+    roots = spark.createDataFrame([], "node long, root long")
+    assert neardup.candidates(shared, 0.8).count() < shared.count() <= 300 * neardup.BANDS
+    assert neardup.candidates(shared, 0.8, roots).count() > 30_000  # what trees leave out
+    one = shared.select("node", F.lit(1).cast("long").alias("root")).distinct()
+    assert neardup.candidates(shared, 0.8, one).count() == 0
+
+
 @pytest.mark.parametrize("keep_one", [simhash.keep_one, neardup.keep_one])
 def test_each_component_keeps_a_row(spark, keep_one):
     r = np.random.default_rng(5)
