@@ -161,12 +161,39 @@ def test_layout(spark, name):
     tracks, expected, shown = CASES[name]
     df = spark.createDataFrame(boxes(tracks), "clip_id string, track_id int, sample_idx int, x double, y double, w double, h double")
     clips = spark.createDataFrame([("c", 1280), ("none", 1280)], "clip_id string, width int")
-    plan = {r.clip_id: r for r in layout.note(layout.plan_layout(layout.track_stats(df, 100), clips).join(clips.select("clip_id"), "clip_id")).collect()}
+    plan = {r.clip_id: r for r in layout.note(layout.plan_layout(layout.track_stats(df, 100), clips).join(clips.select("clip_id"), "clip_id"), 100).collect()}
     assert (plan["c"].layout, plan["c"].reason == "too close") == (expected, name in ("too close", "a third is ignored"))
     full = {r.clip_id: r.tracks for r in layout.plan_layout(layout.track_stats(df, 100), clips).collect()}
     assert full["c"] == shown and plan["none"].layout == "CENTER_CROP"
     if name == "turning away":
-        assert "ratio 0.45" in plan["c"].note
+        assert plan["c"].note == "two persistent faces (coverage 100% / 45%, ratio 0.45, span 89%, gap 6s, separation 48%, samples 100)"
+    if name == "rare":
+        assert plan["c"].note == "faces too sporadic (best coverage 10%, samples 100)"
+    if name == "sporadic":
+        assert plan["c"].note == "one persistent face (coverage 100%, samples 100, second face coverage 10% span 91% separation 48%)"
+
+
+@pytest.mark.parametrize("name, at", [("two present", None), ("solo", None), ("solo", 300)])
+def test_crop_regions(spark, name, at):
+    tracks, kind, shown = CASES[name]
+    rows = [(c, t, s, x, y + (s if at else 0), w, h) for c, t, s, x, y, w, h in boxes(tracks) if s % 7 or s < 3]
+    df = spark.createDataFrame(rows, "clip_id string, track_id int, sample_idx int, x double, y double, w double, h double")
+    clips = spark.createDataFrame([("c", 1280, 720)], "clip_id string, width int, height int")
+    plan = layout.plan_layout(layout.track_stats(df, 100), clips)
+    (row,) = layout.crop_regions(plan, df, clips, 100).collect()
+    assert row.layout == kind and [r.track_id for r in row.regions] == shown
+    if kind == "SINGLE_PERSON":
+        (r,) = row.regions
+        centre = [300 + (s if at else 0) for s in range(100)]
+        ys = np.interp(range(100), [s for s in range(100) if s % 7 or s < 3], [centre[s] for s in range(100) if s % 7 or s < 3])
+        assert (r.w, r.h) == (404, 720) and {k.v for k in r.x_keys} == {640 - 202.0}
+        assert [(k.t, k.v) for k in r.y_keys] == [(0.0, round(float(np.clip(np.median(ys) - 288, 0, 0)), 1))]
+    else:
+        h = round(np.clip(80 * 3.2, 324, 720) / 2) * 2
+        w = round(324 * 9 / 8 / 2) * 2
+        assert [(r.w, r.h) for r in row.regions] == [(w, h)] * 2
+        assert [{k.v for k in r.x_keys} for r in row.regions] == [{330 - w / 2}, {950 - w / 2}]
+        assert [{k.v for k in r.y_keys} for r in row.regions] == [{round(300 + h * 0.08 - h / 2, 1)}] * 2
 
 
 def test_fragments_are_merged():

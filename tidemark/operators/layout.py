@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Layout
+from ..functions.numeric import clip, let
+from . import series
 
 DEFAULT = Layout()
+#: Where a face's centre lies in a crop of one person and in a half of two, from the top.
+FACE_AT, HALF_FACE_AT = 0.40, 0.42
 
 
 def track_stats(boxes: DataFrame, n_samples: int, fps: float = 2.0) -> DataFrame:
@@ -55,7 +59,7 @@ def plan_layout(stats: DataFrame, clips: DataFrame, c: Layout = DEFAULT) -> Data
     found = clips.select("clip_id", "width").join(lists, "clip_id", "left")
     found = found.withColumn("good", F.filter("all", lambda t: t["persistent"]))
     at = lambda name, k: F.try_element_at(name, F.lit(k))
-    found = found.select("clip_id", "width", at("all", 1).alias("best"), at("good", 1).alias("a"), at("good", 2).alias("b"))
+    found = found.select("clip_id", "width", at("all", 1).alias("best"), at("all", 2).alias("next"), at("good", 1).alias("a"), at("good", 2).alias("b"))
     found = found.withColumn("separation", F.abs(F.col("a.center_x") - F.col("b.center_x")) / F.col("width"))
     two = F.col("b").isNotNull()
     close = F.col("separation") < c.separation
@@ -69,17 +73,55 @@ def plan_layout(stats: DataFrame, clips: DataFrame, c: Layout = DEFAULT) -> Data
     found = found.withColumn("layout", layout).withColumn("reason", reason)
     tracks = F.when(F.col("layout") == "TWO_PERSON", pair).when(F.col("layout") == "SINGLE_PERSON", single).otherwise(F.array().cast("array<int>"))
     ratio = F.when(F.col("a.coverage") > 0, F.col("b.coverage") / F.col("a.coverage"))
-    return found.select("clip_id", "layout", "reason", tracks.alias("tracks"), F.col("best.coverage").alias("best_coverage"), "separation", ratio.alias("strength_ratio"), F.col("b.span").alias("second_span"), F.col("b.longest_gap").alias("second_gap"))
+    return found.select("clip_id", "layout", "reason", tracks.alias("tracks"), F.col("best.coverage").alias("best_coverage"), "separation", ratio.alias("strength_ratio"), F.col("b.span").alias("second_span"), F.col("b.longest_gap").alias("second_gap"), F.col("a.coverage").alias("first_coverage"), F.col("b.coverage").alias("second_coverage"), F.col("next.coverage").alias("next_coverage"), F.col("next.span").alias("next_span"), (F.abs(F.col("best.center_x") - F.col("next.center_x")) / F.col("width")).alias("next_separation"))
 
 
-def note(plan: DataFrame) -> DataFrame:
+def note(plan: DataFrame, n_samples: int) -> DataFrame:
     """plan with a sentence that tells what decided; percentages are whole, rounded half to even."""
-    percent = lambda x: F.concat(F.bround(x * 100).cast("int").cast("string"), F.lit("%"))
-    ratio = F.bround(F.col("strength_ratio") * 100).cast("long")
-    decimals = F.concat(F.floor(ratio / 100).cast("string"), F.lit("."), F.lpad((ratio % 100).cast("string"), 2, "0"))
-    pair = F.concat(F.lit(" (ratio "), decimals, F.lit(", span "), percent(F.col("second_span")), F.lit(", separation "), percent(F.col("separation")), F.lit(")"))
-    one = F.concat(F.lit(" (coverage "), percent(F.col("best_coverage")), F.lit(")"))
-    return plan.withColumn("note", F.concat("reason", F.coalesce(pair, one, F.lit(""))))
+    percent = lambda c: F.concat(F.bround(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
+    hundredths = F.bround(F.col("strength_ratio") * 100).cast("long")
+    ratio = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    gap = F.bround("second_gap").cast("int").cast("string")
+    samples = F.lit(f", samples {n_samples}")
+    pair = F.concat(
+        F.lit(" (coverage "), percent("first_coverage"), F.lit(" / "), percent("second_coverage"), F.lit(", ratio "), ratio, F.lit(", span "), percent("second_span"),
+        F.lit(", gap "), gap, F.lit("s, separation "), percent("separation"), samples, F.lit(")"),
+    )
+    other = F.concat(F.lit(", second face coverage "), percent("next_coverage"), F.lit(" span "), percent("next_span"), F.lit(" separation "), percent("next_separation"))
+    one = F.concat(F.lit(" (coverage "), percent("best_coverage"), samples, F.coalesce(other, F.lit("")), F.lit(")"))
+    rare = F.concat(F.lit(" (best coverage "), percent("best_coverage"), samples, F.lit(")"))
+    nothing = F.col("best_coverage").isNull() | F.lit(n_samples == 0)
+    told = F.when(F.col("second_coverage").isNotNull(), F.concat("reason", pair)).when(F.col("layout") == "SINGLE_PERSON", F.concat("reason", one)).otherwise(F.concat("reason", rare))
+    return plan.withColumn("note", F.when(nothing, "no frames or no faces detected").otherwise(told))
+
+
+def _median(v: Column) -> Column:
+    """Median of an array's values."""
+    middle = lambda s: (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))) / 2
+    return let(F.array_sort(v), middle)
+
+
+def crop_regions(plan: DataFrame, boxes: DataFrame, clips: DataFrame, n_samples: int, fps: float = 2.0) -> DataFrame:
+    """regions of each clip of plan that shows tracks: an array of track_id, w, h, x_keys and y_keys, in the plan's order.
+
+    boxes as for track_stats; clips has clip_id, width and height. One person: the largest 9:16 crop follows the gap-filled
+    centre smoothly and stands still at the height that has the median centre at 40 %. Two: each half is a 9:8 crop that
+    suits the median height of its face and follows it both ways, with the centre at 42 %. One group by clip and track.
+    """
+    shown = plan.select("clip_id", "layout", F.posexplode("tracks").alias("place", "track_id"))
+    point = lambda o, d: F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("s"), (F.col(o) + F.col(d) / 2).alias("v"))))
+    points = boxes.groupBy("clip_id", "track_id").agg(point("x", "w").alias("xs"), point("y", "h").alias("ys"), F.median("h").alias("face"))
+    rows = shown.join(points, ["clip_id", "track_id"]).join(clips.select("clip_id", "width", "height"), "clip_id")
+    rows = rows.withColumn("xs", series.fill(F.col("xs"), n_samples)).withColumn("ys", series.fill(F.col("ys"), n_samples))
+    two = F.col("layout") == "TWO_PERSON"
+    single, half = series.single_size(F.col("width"), F.col("height")), series.half_size(F.col("width"), F.col("height"), F.col("face"))
+    rows = rows.withColumn("w", F.when(two, half[0]).otherwise(single[0]).cast("int")).withColumn("h", F.when(two, half[1]).otherwise(single[1]).cast("int"))
+    rows = series.smooth(rows.withColumn("v", F.col("xs")), F.col("w"), F.col("width"), fps).withColumn("x_keys", series.keyframes(F.col("origin"), fps)).drop("origin")
+    rows = series.smooth(rows.withColumn("v", F.transform("ys", lambda y: y + F.col("h") * F.lit(0.5 - HALF_FACE_AT))), F.col("h"), F.col("height"), fps)
+    still = F.bround(clip(_median(F.col("ys")) - F.col("h") * F.lit(FACE_AT), F.lit(0.0), F.greatest(F.col("height") - F.col("h"), F.lit(0)).cast("double")), 1)
+    rows = rows.withColumn("y_keys", F.when(two, series.keyframes(F.col("origin"), fps)).otherwise(F.array(F.struct(F.lit(0.0).alias("t"), still.alias("v")))))
+    listed = F.array_sort(F.collect_list(F.struct("place", F.struct("track_id", "w", "h", "x_keys", "y_keys").alias("region"))))
+    return rows.groupBy("clip_id", "layout").agg(F.transform(listed, lambda x: x["region"]).alias("regions"))
 
 
 def metrics(stats: DataFrame, fragments: DataFrame | None = None, fps: float = 2.0, n_samples: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources import ingest, jobs, sinks
 from . import render
 
 N = 60  # samples of an event clip
-WIDTH = 60
+WIDTH, HEIGHT = 60, 34
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -226,7 +226,7 @@ def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)))
+    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)), N)
     return plan.select("clip_id", "note", text.layout_label(F.col("layout")).alias("label"))
 
 
@@ -278,14 +278,22 @@ def debug_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("clip_id", "track_id", F.array_join(F.transform(series.debug_tiles(F.col("n")), lambda i: i.cast("string")), ",").alias("tiles"))
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = event_clips(spark, sf_dir).withColumn("height", F.lit(HEIGHT))
+    return layout.crop_regions(layout.plan_layout(stats(spark, sf_dir), clips), ingest.event_boxes(spark, sf_dir), clips, N)
+
+
+@query
+def crop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regions(spark, sf_dir).select("clip_id", "layout", F.posexplode("regions").alias("place", "r"))
+    first, last = F.element_at("r.x_keys", F.lit(1)), F.element_at("r.x_keys", F.lit(-1))
+    return rows.select("clip_id", "layout", "place", "r.track_id", "r.w", "r.h", F.size("r.x_keys").alias("n_keys"), first["v"].alias("x_first"), last["v"].alias("x_last"), F.element_at("r.y_keys", F.lit(1))["v"].alias("y_first"))
+
+
 @query
 def filter_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = series.smooth(filled(spark, sf_dir), F.lit(20.0), F.lit(float(WIDTH)))
-    still = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("v")))
-    region = F.struct(F.lit(20).alias("w"), F.lit(36).alias("h"), F.col("keys").alias("x_keys"), still.alias("y_keys"))
-    plan = layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir))
-    rows = smooth.withColumn("keys", series.keyframes(F.col("origin"))).join(plan.select("clip_id", "layout"), "clip_id")
-    return rows.select("clip_id", "layout", render.filter_graph(F.col("layout"), F.array(region, region), text.filter_path(F.concat(F.lit("C:\\clips\\"), "clip_id", F.lit(".ass")))).alias("graph"))
+    captions = text.filter_path(F.concat(F.lit("C:\\clips\\"), "clip_id", F.lit(".ass")))
+    return regions(spark, sf_dir).select("clip_id", "layout", render.filter_graph(F.col("layout"), F.col("regions"), captions).alias("graph"))
 
 
 @query
