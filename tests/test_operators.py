@@ -311,3 +311,12 @@ def test_transcripts_and_sinks(spark, tmp_path):
 def test_settings():
     assert setting("X", "small", {"X": "  "}) == "small" and setting("X", "small", {"X": " m "}) == "m"
     assert [truthy(x) for x in (" Yes", "on", "0", None)] == [True, True, False, False]
+
+
+def test_filter_graphs_cover_every_clip(spark):
+    from tidemark.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.QUERIES["filter_graphs"](spark, sf).collect()
+    assert len(rows) == queries.event_clips(spark, sf).count()
+    assert all((r.graph is None) == (r.layout == "CENTER_CROP") for r in rows)

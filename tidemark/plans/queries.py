@@ -293,7 +293,9 @@ def crop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filter_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = text.filter_path(F.concat(F.lit("C:\\clips\\"), "clip_id", F.lit(".ass")))
-    return regions(spark, sf_dir).select("clip_id", "layout", render.filter_graph(F.col("layout"), F.col("regions"), captions).alias("graph"))
+    plan = layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)).select("clip_id", "layout")
+    rows = plan.join(regions(spark, sf_dir).drop("layout"), "clip_id", "left")
+    return rows.select("clip_id", "layout", render.filter_graph(F.col("layout"), F.col("regions"), captions).alias("graph"))
 
 
 @query
