@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linededup, lm, quality, simhash, substrings, toxicity, winnow
+from . import bpe, langid, licenses, linededup, lm, merges, merkle, quality, simhash, spelling, substrings, toxicity, winnow
 from .common import crc_mod, table
 
 
@@ -64,9 +64,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    more = F.when(crc_mod("doc_id", 7) == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(docs, change={"n_chars": more})
+    proof = merkle.path_digest(F.col("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op7_lm, op8_toxicity, op9_winnow, op10_licenses)}
+    return {f.__name__: f for f in (op1_substrings, op2_bpe, op3_langid, op4_simhash, op5_lines, op6_quality, op7_lm, op8_toxicity, op9_winnow, op10_licenses, op11_spelling, op12_manifest, op13_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": linededup.ORACLE}
+    return {"op5_lines": linededup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_manifest": merkle.ORACLE}
