@@ -1,15 +1,15 @@
 """Tracks from detections: greedy linking by nearest centre, then merging of fragments.
 
-Both are sequential within a clip and have no form as a join, so each clip is one group (about two samples a second of a
-short clip). Clips are independent.
+Both go through a clip's samples in order and have no form as a join. Detections are dealt by clip and sorted once; a task
+goes along its rows as Arrow columns, sample by sample. Linking holds a clip's open tracks only, merging its boxes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,92 +30,179 @@ def best_first(detections: DataFrame) -> DataFrame:
     return detections.groupBy("clip_id", "sample_idx").agg(F.transform(ordered, lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), d["w"].alias("w"), d["h"].alias("h"), d["score"].alias("score"))).alias("detections"))
 
 
+#: Up to so many pairs of open tracks and boxes are all measured; of more only those in neighbouring cells.
+DENSE = 1024
+
+
+def near_pairs(old: np.ndarray, new: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and distances of old and new boxes (rows of x, y, w, h) whose centres lie within limit of the wider one's width.
+
+    Centres are put on a grid of cells as wide as the widest box allows, so that only boxes of neighbouring cells are
+    measured, however many there are in a sample.
+    """
+    a, b = old[:, :2] + old[:, 2:] / 2, new[:, :2] + new[:, 2:] / 2
+    cell = limit * max(old[:, 2].max(initial=0), new[:, 2].max(initial=0))
+    if len(old) * len(new) <= DENSE:
+        i, k = np.repeat(np.arange(len(old)), len(new)), np.tile(np.arange(len(new)), len(old))
+    elif not 0 < cell < np.inf:
+        i = k = np.zeros(0, np.int64)
+    else:
+        i, k = _grid(np.floor(a / cell), np.floor(b / cell))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.hypot(b[k, 0] - a[i, 0], b[k, 1] - a[i, 1]) / np.maximum(old[i, 2], new[k, 2])
+    good = far <= limit
+    return i[good], k[good], far[good]
+
+
+def _grid(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of a and b whose cells are the same or neighbours."""
+    rows, columns = np.unique(b[:, 0]), np.unique(b[:, 1])
+    code = lambda x, y: x * len(columns) + y
+    key = code(np.searchsorted(rows, b[:, 0]), np.searchsorted(columns, b[:, 1]))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    left, right = [], []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            x = np.minimum(np.searchsorted(rows, a[:, 0] + dx), len(rows) - 1)
+            y = np.minimum(np.searchsorted(columns, a[:, 1] + dy), len(columns) - 1)
+            some = np.flatnonzero((rows[x] == a[:, 0] + dx) & (columns[y] == a[:, 1] + dy))
+            wanted = code(x[some], y[some])
+            lo, hi = np.searchsorted(key, wanted), np.searchsorted(key, wanted, side="right")
+            n = hi - lo
+            left.append(np.repeat(some, n))
+            right.append(order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+    return np.concatenate(left), np.concatenate(right)
+
+
 class Linker:
-    """Open tracks of one clip. Samples are handed in by rising number; a track ends after a gap of more than c.link_gap."""
+    """Open tracks of one clip as arrays in the order that they began. Samples are handed in by rising number; a track ends
+    after a gap of more than c.link_gap."""
 
     def __init__(self, scale: float = 1.0, c: Tracking = DEFAULT):
-        self.scale, self.c = scale, c
-        self.last: dict[int, tuple[int, np.ndarray]] = {}
-        self.made = 0
+        self.scale, self.c, self.made = scale, c, 0
+        self.ids, self.seen, self.boxes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4))
 
-    def add(self, sample: int, boxes: np.ndarray) -> list[int]:
+    def add(self, sample: int, boxes: np.ndarray) -> np.ndarray:
         """The track of each box (rows of x, y, w, h); a pair is linked by rising (distance, track, box), once each."""
         boxes = boxes.reshape(-1, 4) * self.scale
-        self.last = {t: x for t, x in self.last.items() if sample - x[0] <= self.c.link_gap}
-        out = [-1] * len(boxes)
-        if len(boxes) and self.last:
-            ids = np.array(sorted(self.last))
-            old = np.stack([self.last[t][1] for t in ids])
-            shift = (boxes[None, :, :2] + boxes[None, :, 2:] / 2) - (old[:, None, :2] + old[:, None, 2:] / 2)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                far = np.hypot(shift[..., 0], shift[..., 1]) / np.maximum(old[:, None, 2], boxes[None, :, 2])
-            row, box = np.nonzero(far <= self.c.link_distance)
+        open_ = sample - self.seen <= self.c.link_gap
+        if not open_.all():
+            self.ids, self.seen, self.boxes = self.ids[open_], self.seen[open_], self.boxes[open_]
+        at = np.full(len(boxes), -1)
+        if len(boxes) and len(self.ids):
+            track, box, far = near_pairs(self.boxes, boxes, self.c.link_distance)
             taken = set()
-            for i in np.lexsort((box, row, far[row, box])):
-                if row[i] not in taken and out[box[i]] < 0:
-                    taken.add(row[i])
-                    out[box[i]] = int(ids[row[i]])
-        for i, t in enumerate(out):
-            if t < 0:
-                out[i], self.made = self.made, self.made + 1
-            self.last[out[i]] = (sample, boxes[i])
-        return out
-
-
-def link(samples: Iterable[tuple[int, np.ndarray]], scale: float = 1.0, c: Tracking = DEFAULT) -> list[dict[int, np.ndarray]]:
-    """Boxes by sample of each track."""
-    linker, tracks = Linker(scale, c), []
-    for sample, boxes in samples:
-        for t, box in zip(linker.add(sample, boxes), boxes.reshape(-1, 4) * scale):
-            while len(tracks) <= t:
-                tracks.append({})
-            tracks[t][sample] = box
-    return tracks
-
-
-def merge(tracks: list[dict[int, np.ndarray]], c: Tracking = DEFAULT) -> list[tuple[int, int, dict[int, np.ndarray]]]:
-    """(track, fragments, boxes): each track, by its first sample, joins the first before it that has no sample in common
-    and a median centre nearby. Medians are those of what has been merged so far."""
-    out: list[list] = []
-    middle = lambda boxes: np.median(np.stack(list(boxes.values())), axis=0)
-    for t in sorted(range(len(tracks)), key=lambda t: min(tracks[t])):
-        mine = middle(tracks[t])
-        for other in out:
-            theirs = other[3]
-            shift = (mine[:2] + mine[2:] / 2) - (theirs[:2] + theirs[2:] / 2)
-            if other[2].keys().isdisjoint(tracks[t]) and np.hypot(*shift) <= c.merge_distance * max(mine[2], theirs[2]):
-                other[1] += 1
-                other[2] = other[2] | tracks[t]
-                other[3] = middle(other[2])
-                break
+            for i in np.lexsort((box, track, far)).tolist() if len(track) > 1 else range(len(track)):
+                if at[box[i]] < 0 and track[i] not in taken:
+                    taken.add(track[i])
+                    at[box[i]] = track[i]
+        linked, fresh = at >= 0, np.flatnonzero(at < 0)
+        self.seen[at[linked]] = sample
+        self.boxes[at[linked]] = boxes[linked]
+        at[fresh] = len(self.ids) + np.arange(len(fresh))
+        self.ids = np.concatenate([self.ids, self.made + np.arange(len(fresh))])
+        self.seen = np.concatenate([self.seen, np.full(len(fresh), sample)])
+        self.boxes = np.concatenate([self.boxes, boxes[fresh]])
+        self.made += len(fresh)
+        return self.ids[at]
+
+
+def merge(track: np.ndarray, sample: np.ndarray, boxes: np.ndarray, c: Tracking = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """The track that each row's fragment is part of, and of how many: each track, by its first sample, joins the first before
+    it that has no sample in common and a median centre nearby. Medians are those of what has been merged so far."""
+    order = np.lexsort((sample, track))
+    ids, first = np.unique(track[order], return_index=True)
+    parts = np.split(order, first[1:])
+    out, middle, samples, rows = [], np.zeros((0, 4)), [], []
+    for k in sorted(range(len(ids)), key=lambda k: sample[parts[k][0]]):
+        own = parts[k]
+        mine, mine_at = np.median(boxes[own], axis=0), set(sample[own].tolist())
+        shift = (mine[:2] + mine[2:] / 2) - (middle[:, :2] + middle[:, 2:] / 2)
+        near = np.flatnonzero(np.hypot(shift[:, 0], shift[:, 1]) <= c.merge_distance * np.maximum(mine[2], middle[:, 2]))
+        m = next((m for m in near.tolist() if samples[m].isdisjoint(mine_at)), None)
+        if m is None:
+            out.append([ids[k], 1])
+            middle = np.concatenate([middle, mine[None]])
+            samples.append(mine_at)
+            rows.append(own)
         else:
-            out.append([t, 1, dict(tracks[t]), mine])
-    return [(t, n, boxes) for t, n, boxes, _ in out]
-
-
-def _samples(group: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
-    group = group.sort_values(["sample_idx", "score", "det_idx"], ascending=[True, False, True], kind="stable")
-    return [(int(s), g[["x", "y", "w", "h"]].to_numpy(float)) for s, g in group.groupby("sample_idx", sort=True)]
-
-
-def _rows(clip: str, tracks: list[tuple[int, int, dict[int, np.ndarray]]]) -> pd.DataFrame:
-    rows = [(clip, t, n, s, *map(float, boxes[s])) for t, n, boxes in tracks for s in sorted(boxes)]
-    return pd.DataFrame(rows, columns=["clip_id", "track_id", "fragments", "sample_idx", "x", "y", "w", "h"])
+            out[m][1] += 1
+            samples[m] |= mine_at
+            rows[m] = np.concatenate([rows[m], own])
+            middle[m] = np.median(boxes[rows[m]], axis=0)
+    whole, pieces = np.empty(len(track), np.int64), np.empty(len(track), np.int64)
+    for (t, n), at in zip(out, rows):
+        whole[at], pieces[at] = t, n
+    return whole, pieces
+
+
+def _borders(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where samples begin in rows sorted by clip and sample, with the end; and whether a clip begins there."""
+    n = len(table)
+    clip = table["clip_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    sample = table["sample_idx"].to_numpy()
+    turn = np.concatenate([[True], clip[1:] != clip[:-1]])
+    at = np.flatnonzero(turn | np.concatenate([[True], sample[1:] != sample[:-1]]))
+    return np.concatenate([at, [n]]), turn[at]
+
+
+def _track(detections: DataFrame, scale: float, c: Tracking, merged: bool) -> DataFrame:
+    """Tracks of all clips. Rows wait in the task only for the end of their sample, or of their clip if it is merged."""
+
+    def out(rows: pa.Table, track: np.ndarray) -> Iterator[pa.RecordBatch]:
+        boxes = np.column_stack([rows[k].to_numpy() for k in "xywh"]) * scale
+        sample, pieces = rows["sample_idx"].to_numpy(), np.ones(len(rows), np.int64)
+        if merged:
+            track, pieces = merge(track, sample.astype(np.int64), boxes, c)
+        arrays = [rows["clip_id"].combine_chunks(), pa.array(track, pa.int32()), pa.array(pieces, pa.int32()), pa.array(sample, pa.int32()), *[pa.array(boxes[:, k]) for k in range(4)]]
+        yield from pa.Table.from_arrays(arrays, names=["clip_id", "track_id", "fragments", "sample_idx", *"xywh"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linker, held, tracks, waiting = Linker(scale, c), [], [], run  # run: no clip yet
+
+        def samples(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """Link all samples of rows but the last, which may go on in the next batch; keep what is not done."""
+            nonlocal linker, held, tracks, waiting
+            at, turn = _borders(rows)
+            n = len(turn) - (not last)
+            boxes, numbers = np.column_stack([rows[k].to_numpy() for k in "xywh"]), rows["sample_idx"].to_numpy()
+            begun = 0
+            for k in range(n):
+                if turn[k] and (k or waiting is run or waiting != rows["clip_id"][0].as_py()):
+                    if tracks:
+                        held.append(rows.slice(begun, at[k] - begun))
+                        yield from out(pa.concat_tables(held), np.concatenate(tracks))
+                    linker, held, tracks, begun = Linker(scale, c), [], [], at[k]
+                tracks.append(linker.add(int(numbers[at[k]]), boxes[at[k] : at[k + 1]]))
+            if n:
+                waiting = rows["clip_id"][int(at[n - 1])].as_py()
+                held.append(rows.slice(begun, at[n] - begun))
+                if last or not merged:
+                    yield from out(pa.concat_tables(held), np.concatenate(tracks))
+                    held, tracks = [], []
+
+        left = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if left is None else pa.concat_tables([left, rows]).combine_chunks()
+                yield from samples(rows, last=False)
+                begin = int(_borders(rows)[0][-2])
+                left = rows.slice(begin)
+        if left is not None:
+            yield from samples(left.combine_chunks(), last=True)
+
+    rows = detections.select("clip_id", F.col("sample_idx").cast("int").alias("sample_idx"), *[F.coalesce(F.col(k).cast("double"), F.lit(float("nan"))).alias(k) for k in "xywh"], "score", "det_idx")
+    dealt = rows.where("sample_idx is not null").repartition("clip_id").sortWithinPartitions("clip_id", "sample_idx", F.desc("score"), "det_idx")
+    return dealt.select("clip_id", "sample_idx", *"xywh").mapInArrow(run, BOXES)
 
 
 def link_tracks(detections: DataFrame, scale: float = 1.0, c: Tracking = DEFAULT) -> DataFrame:
     """Boxes (in source pixels) of tracks of detections (clip_id, sample_idx, det_idx, x, y, w, h, score)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _rows(group["clip_id"].iloc[0], [(t, 1, boxes) for t, boxes in enumerate(link(_samples(group), scale, c))])
-
-    return detections.groupBy("clip_id").applyInPandas(run, BOXES)
+    return _track(detections, scale, c, merged=False)
 
 
 def track_people(detections: DataFrame, scale: float = 1.0, c: Tracking = DEFAULT) -> DataFrame:
     """As link_tracks, with the fragments of one person merged."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _rows(group["clip_id"].iloc[0], merge(link(_samples(group), scale, c), c))
-
-    return detections.groupBy("clip_id").applyInPandas(run, BOXES)
+    return _track(detections, scale, c, merged=True)
