@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -13,7 +16,7 @@ from tidemark.functions import text
 from tidemark.functions.numeric import even, exact_round, fixed
 from tidemark.operators import captions, layout, scoring, selection, series, tracking, windows
 from tidemark.plans import render
-from tidemark.sources import ingest, sinks
+from tidemark.sources import ingest, jobs, sinks
 
 
 def one(spark, column):
@@ -65,6 +68,46 @@ def test_even_choice_in_doubles(spark, n):
     assert got == (list(range(n)) if n <= 40 else [int(k * (n / 40)) for k in range(40)])
 
 
+def greedy(rows, most=None):
+    chosen = []
+    for w in sorted(rows, key=lambda w: (-w[3], w[0])):
+        if not any(w[1] < o[2] and o[1] < w[2] for o in chosen):
+            chosen.append(w)
+            if most and len(chosen) == most:
+                break
+    return chosen
+
+
+def test_selection_in_rounds_is_the_fold(spark):
+    r = random.Random(4)
+    shape = "job_id string, id int, start_s double, end_s double, text string, score double"
+    rows = [(job, i, s := r.choice([r.uniform(0, 900), float(r.randrange(900))]), s + r.choice([0.0, 5.0, 20.0, 60.0, 200.0]), f"t{i}", float(r.randrange(30))) for job in "abc" for i in range(r.randrange(80, 200))]
+    df = spark.createDataFrame(rows, shape)
+    got = {(x.job_id, x.id) for x in selection.independent(df).collect()}
+    assert got == {(j, w[0]) for j in "abc" for w in greedy([x[1:4] + (x[5],) for x in rows if x[0] == j])}
+    both = [sorted(map(tuple, f(df).select("job_id", "clip_idx", "id", "start_s", "end_s", "text", "score").collect())) for f in (selection.select_best, selection.select_spread)]
+    assert both[0] == both[1] and len(both[0]) == 15
+    assert selection.select_spread(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        selection.independent(spark.createDataFrame([("a", 1, 0.0, 1.0, "", 1.0), ("a", 1, 90.0, 99.0, "", 1.0), ("a", 1, 45.0, 99.0, "", 1.0)], shape)).count()
+
+
+def test_a_large_job_is_dealt_over_tasks(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit("a").alias("job_id"), F.col("id").cast("int").alias("id"), (F.col("id") * 0.7).alias("start_s"), (F.col("id") * 0.7 + 20 + F.col("id") % 40).alias("end_s"), F.lit("").alias("text"), (F.xxhash64("id") % 1000).cast("double").alias("score"))
+    rows = [tuple(x) for x in df.select("id", "start_s", "end_s", "score").collect()]
+    end, want = [], set()
+    from bisect import bisect_left, insort
+
+    for i, s, e, x in sorted(rows, key=lambda w: (-w[3], w[0])):  # chosen windows do not overlap, so neighbours decide
+        k = bisect_left(end, (s, e))
+        if (k == 0 or end[k - 1][1] <= s) and (k == len(end) or end[k][0] >= e):
+            insort(end, (s, e))
+            want.add(i)
+    found = selection.independent(df)
+    assert {x.id for x in found.collect()} == want
+
+
 def test_selection(spark):
     shape = "job_id string, id int, start_s double, end_s double, text string, score double"
     spans = [(0.0, 40.0, 5.0), (10.0, 50.0, 9.0), (20.0, 60.0, 5.0), (30.0, 60.0, 7.0), (40.0, 60.0, 7.0)]
@@ -97,6 +140,29 @@ def test_replies(raw, expected):
     assert scoring.read_reply(raw) == expected
 
 
+def test_native_replies_are_those_of_the_reader(spark):
+    r = random.Random(12)
+    number = lambda: r.choice([3, 7.5, "4", " 5 ", "6.25", -2, 1e3, "x", "", None, True, [1], {"a": 1}, "1_0", "nan", 12345678901234567890, 0.1])
+    item = lambda: r.choice([{"id": number(), "score": number()}, {"id": r.randrange(4), "score": r.randrange(9)}, {"id": r.randrange(4)}, {"score": 1, "x": 2}, 5, None, "t", [1]])
+    raws = []
+    for _ in range(400):
+        items = [item() for _ in range(r.randrange(6))]
+        made = r.choice([items, {"scores": items}, {"z": items, "a": [item()]}, {"n": 1, "list": items}, {str(r.choice([1, 2, "a", "01", -3])): number() for _ in range(3)}, 5, "text"])
+        raw = json.dumps(made, indent=r.choice([None, 1]))
+        raws.append(r.choice(["", "Sure: ", "the list ", "[x] ", "\n"]) + raw + r.choice(["", " ok", "\nbye", "]"]))
+    raws += ['{"a":[{"id":1,"score":1}],"a":[{"id":1,"score":2}]}', '[{"id":1,"id":2,"score":2}]', '[{"id":0,"score":NaN}]', "", None, "nothing", "[", "S [1] [2]", '{"id":0,"score":7}']
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(raws)], "job_id string, raw string")
+    got = {}
+    for x in scoring.parse_replies(df).collect():
+        got.setdefault(x.job_id, {})[x.id] = x.score
+    for i, raw in enumerate(raws):
+        want = {k: v for k, v in (scoring.read_reply(raw) or {}).items() if abs(k) < 2**63}
+        assert got.get(str(i), {}) == want, raw
+    usual = ['[{"id":0,"score":7},{"id":"1","score":"3.5"},5]', '{"scores":[{"id":0,"score":7.25}],"model":"m"}', '{"0":7,"1":3}', 'Sure: [{"id":0,"score":7}] ok', '[{"id":0,"score":1},{"id":0,"score":2}]', "Sorry.", "[]"]
+    native = spark.createDataFrame([(x,) for x in usual], "raw string").select("raw", scoring.read_native(F.col("raw")).alias("x")).collect()
+    assert all({k: v for k, v in x.x} == scoring.read_reply(x.raw) for x in native)
+
+
 def test_a_reply_with_an_infinite_id_is_unusable():
     assert scoring.read_reply('[{"id":Infinity,"score":1},{"id":0,"score":1}]') is None
 
@@ -196,16 +262,32 @@ def test_crop_regions(spark, name, at):
         assert [{k.v for k in r.y_keys} for r in row.regions] == [{round(300 + h * 0.08 - h / 2, 1)}] * 2
 
 
+def merged(tracks):
+    rows = [(t, i, *box) for t, own in enumerate(tracks) for i, box in own.items()]
+    track, sample, boxes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
+    whole, pieces = tracking.merge(track, sample, boxes)
+    return sorted({(int(t), int(n), int((whole == t).sum())) for t, n in zip(whole, pieces)})
+
+
 def test_fragments_are_merged():
     a = {i: np.array([290.0, 260, 80, 80]) for i in ALL}
     b = {i: np.array([910.0, 260, 80, 80]) for i in range(30)}
     c = {i: np.array([915.0, 260, 80, 80]) for i in range(70, 100)}
-    merged = tracking.merge([a, b, c])
-    assert [(t, n, len(x)) for t, n, x in merged] == [(0, 1, 100), (1, 2, 60)]
+    assert merged([a, b, c]) == [(0, 1, 100), (1, 2, 60)]
     even_odd = [{i: np.array([0.0, 0, 80, 80]) for i in range(k, 20, 2)} for k in (0, 1)]
-    assert len(tracking.merge(even_odd)) == 1
+    assert len(merged(even_odd)) == 1
     same_time = [{i: np.array([x, 260.0, 80, 80]) for i in ALL} for x in (290.0, 320.0)]
-    assert len(tracking.merge(same_time)) == 2
+    assert len(merged(same_time)) == 2
+
+
+def test_pairs_on_a_grid_are_all_pairs(monkeypatch):
+    r = np.random.default_rng(7)
+    for n, m in ((40, 50), (1, 90), (300, 200)):
+        boxes = [np.column_stack([r.uniform(-500, 500, (k, 2)), r.uniform(5, 40, (k, 2))]) for k in (n, m)]
+        monkeypatch.setattr(tracking, "DENSE", 10**9)
+        every = sorted(zip(*(x.tolist() for x in tracking.near_pairs(*boxes, 1.0))))
+        monkeypatch.setattr(tracking, "DENSE", 0)
+        assert sorted(zip(*(x.tolist() for x in tracking.near_pairs(*boxes, 1.0)))) == every and (every or n == 1)
 
 
 def test_links_against_a_loop(spark):
@@ -240,20 +322,6 @@ def test_links_against_a_loop(spark):
     assert got == {(t, s, b[0]) for t, (own, _) in enumerate(tracks) for s, b in own.items()}
 
 
-def test_a_stream_links_as_a_batch_does(spark, tmp_path):
-    from tidemark.streaming.tracks import link_stream
-
-    rows = [("c", s, d, 50.0 * d + s % 3, 20.0, 20.0, 30.0, 0.9) for s in range(12) for d in range(2)]
-    shape = "clip_id string, sample_idx int, det_idx int, x double, y double, w double, h double, score double"
-    for part in (0, 6):
-        spark.createDataFrame([x for x in rows if part <= x[1] < part + 6], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    query = link_stream(stream, idle=None).writeStream.format("memory").queryName("linked").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert query.awaitTermination(120)
-    got = {(r.sample_idx, r.det_idx, r.track_id) for r in spark.table("linked").collect()}
-    assert got == {(s, d, d) for s in range(12) for d in range(2)}
-
-
 def test_series(spark):
     array = lambda *x: F.array(*[F.lit(float(a)) for a in x])
     assert one(spark, series.dead_zone(array(0, 3, 6, 7, 20), F.lit(5.0))) == [0, 0, 6, 6, 20]
@@ -265,10 +333,59 @@ def test_series(spark):
     assert one(spark, series.debug_tiles(F.lit(100))) == [int(x) for x in np.linspace(0, 99, 12)]
 
 
+def test_long_series_take_linear_time(spark):
+    n = 100_000
+    r = np.random.default_rng(1)
+    v = np.cumsum(r.normal(size=n))
+    known = np.sort(r.choice(n, n // 3, replace=False))
+    points = spark.createDataFrame([([(int(i), float(v[i])) for i in known],)], "points array<struct<s:int,v:double>>")
+    began = time.perf_counter()
+    filled = points.select(series.fill(F.col("points"), n).alias("v"))
+    row = filled.select(series.dead_zone(F.col("v"), F.lit(3.0)).alias("dead"), series.keyframes(series.dead_zone(F.col("v"), F.lit(3.0))).alias("keys"), "v").first()
+    assert np.allclose(row["v"], np.interp(np.arange(n), known, v[known]))
+    anchor, want = row["v"][0], []
+    for x in row["v"]:
+        anchor = x if abs(x - anchor) > 3 else anchor
+        want.append(anchor)
+    assert row["dead"] == want
+    keys = spark.createDataFrame([([tuple(k) for k in row["keys"]],)], "keys array<struct<t:double,v:double>>")
+    times = F.sequence(F.lit(0), F.lit(n - 1))
+    found = keys.select(F.transform(times, lambda i: series.value_at(F.col("keys"), i / 2 + 0.125)).alias("x")).first()["x"]
+    assert np.allclose(found, np.interp(np.arange(n) / 2 + 0.125, [k.t for k in row["keys"]], [k.v for k in row["keys"]]))
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("points, n", [([(1, 2.0), (3, 4.0)], 5), ([(0, 1.0)], 3), ([(4, 1.0)], 3), ([(-2, 0.0), (2, 4.0), (9, 8.0)], 6), ([(1, 1.0), (2, 5.0)], 0), ([], 2)])
+def test_fill_as_interpolation(spark, points, n):
+    df = spark.createDataFrame([(points,)], "points array<struct<s:int,v:double>>")
+    got = df.select(series.fill(F.col("points"), n).alias("x")).first()["x"]
+    assert got == (np.interp(range(n), *zip(*points)).tolist() if points else [None] * n)
+
+
+def test_value_at_keyframes(spark):
+    keys = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("v")) for t, v in ((0, 0), (1, 10), (4, 40))])
+    assert [one(spark, series.value_at(keys, F.lit(float(t)))) for t in (-1, 0, 0.5, 1, 2.5, 4, 9)] == [0, 0, 5, 10, 25, 40, 40]
+    assert one(spark, series.value_at(F.slice(keys, F.lit(1), F.lit(0)), F.lit(1.0))) is None
+
+
 def test_rounding(spark):
     assert [one(spark, even(F.lit(x))) for x in (405.0, 364.5)] == [404, 364]
-    assert [one(spark, exact_round(F.lit(x), 2)) for x in (1.005, 2.675)] == [1.0, 2.67]
-    assert one(spark, fixed(F.lit(0.125), 2)) == "0.12"
+    r = random.Random(11)
+    values = [0.0, 1.005, 2.675, 0.125, 0.375, 2.5, 3.5, 0.5, 1e-9, 1e-300, 5e-324, 0.05, 0.15, 0.25, 0.35, 999.9995, 0.9999999, 1234567.0005, 2.0**52 - 0.5, 2.0**52 + 1, 9.0e15, 1e300, 4503599627370495.5]
+    values += [r.uniform(0, 10 ** r.randrange(-6, 12)) for _ in range(400)] + [r.randrange(10**6) / 2 ** r.randrange(1, 20) for _ in range(400)] + [r.randrange(10**7) / 1000 + 0.0005 for _ in range(200)]
+    values += [-x for x in values]
+    df = spark.createDataFrame([(x,) for x in [*values, None, float("nan"), float("inf")]], "x double")
+    digits = (0, 1, 2, 3, 6)
+    got = df.select("x", *[exact_round(F.col("x"), d).alias(f"r{d}") for d in digits], *[fixed(F.col("x"), d).alias(f"f{d}") for d in digits]).collect()
+    for row in got:
+        for d in digits:
+            if row.x is None or row.x != row.x or row.x == float("inf"):
+                assert row[f"f{d}"] is None and repr(row[f"r{d}"]) == repr(row.x)
+            else:
+                assert row[f"r{d}"] == round(row.x, d), (row.x, d)
+                assert row[f"f{d}"] == (f"{row.x:.{d}f}" if abs(row.x) < 2**63 else None) or row.x == 0, (row.x, d)
+    plan = df.select(exact_round(F.col("x"), 2), fixed(F.col("x"), 2))._jdf.queryExecution().toString()
+    assert "Python" not in plan
 
 
 def test_text(spark):
@@ -282,6 +399,14 @@ def test_text(spark):
     assert [one(spark, text.is_public_file(lit(x))) for x in ("clip_1.mp4", "clip_1.mp4\n", "xclip_1.mp4")] == [True, False, False]
 
 
+def test_paths_below_a_root(spark):
+    lit = F.lit
+    cases = {"a/b": True, "a/../../b": False, "../out/a": True, ".": False, "./.": False, "a/./b/..": True, "/etc/passwd": False, "/srv/out/x": True, "/srv/outside/x": False, "a//b": True, "a/..": False}
+    assert {p: one(spark, text.under(lit("/srv/out"), lit(p))) for p in cases} == cases
+    served = lambda folder, name: one(spark, text.is_served(lit("/srv/out"), lit(folder), lit(name)))
+    assert served("job", "clip_1.mp4") and not served("..", "clip_1.mp4") and not served("job/../..", "clip_1.mp4") and not served("job", "source.mp4") and not served("job", "../clip_1.mp4")
+
+
 def test_filter_text(spark):
     keys = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("v")) for t, v in ((0, 100), (1, 100), (2, 140), (3, 140))])
     expected = "if(lt(t,1.000),(100.0+(0.0)*(t-0.000)/1.000),if(lt(t,2.000),(100.0+(40.0)*(t-1.000)/1.000),if(lt(t,3.000),(140.0+(0.0)*(t-2.000)/1.000),140.0)))"
@@ -308,6 +433,64 @@ def test_transcripts_and_sinks(spark, tmp_path):
     assert ingest.media_files(spark, str(folder)).count() == 1
 
 
+def test_layout_record(spark):
+    tracks, _, _ = CASES["turning away"]
+    df = spark.createDataFrame(boxes(tracks), "clip_id string, track_id int, sample_idx int, x double, y double, w double, h double")
+    clips = spark.createDataFrame([("c", 1280), ("none", 1280)], "clip_id string, width int")
+    rows = {r["clip_id"]: json.loads(r["json"]) for r in sinks.as_json(layout.metrics(layout.track_stats(df, 100), clips, 100), "clip_id").collect()}
+    m = rows["c"]
+    assert (m["samples"], m["sample_fps"], m["clip_seconds"], m["strength_ratio"], m["separation"], m["second_span"], m["second_longest_gap_s"]) == (100, 2.0, 50.0, 0.45, 0.484, 0.89, 5.5)
+    assert m["thresholds"] == {"persistent_coverage": 0.4, "span_coverage": 0.25, "span_frac": 0.7, "single_min_coverage": 0.3, "dominance_ratio": 0.5, "min_separation_frac": 0.15}
+    assert m["tracks"][0] == {"id": 0, "coverage": 1.0, "span": 1.0, "longest_gap_s": 0.0, "fragments": 1, "median_box": [290.0, 260.0, 80.0, 80.0]}
+    assert rows["none"]["tracks"] == [] and "separation" not in rows["none"]
+
+
+def test_notes(spark):
+    shape = "job_id string, model string, language string, duration_seconds double"
+    rows = spark.createDataFrame([("a", "small", "en", 61.5), ("b", None, None, None)], shape)
+    assert {r.job_id: r.note for r in ingest.transcription_note(rows).collect()} == {"a": "transcribed with whisper small (language en, 62 s)", "b": "transcribed with whisper ? (language ?, 0 s)"}
+    cands = spark.createDataFrame([(j, 0, 0.0, 40.0, "a.") for j in "abc"], "job_id string, id int, start_s double, end_s double, text string")
+    scores = spark.createDataFrame([("a", 0, 7.0)], "job_id string, id long, score double")
+    failed = spark.createDataFrame([("b", "ConnectionError: refused")], "job_id string, error string")
+    notes = {r.job_id: r.note for r in scoring.rank(cands, scores, "m", failures=failed).collect()}
+    assert notes == {"a": "ranked by m", "b": "Ollama unavailable (ConnectionError); used heuristic ranking", "c": "Ollama unavailable (ValueError); used heuristic ranking"}
+
+
+def test_probe_grid_and_job_ids(spark):
+    probe = spark.createDataFrame([("a", '{"streams":[{"width":1920,"height":1080},{"width":1}]}'), ("b", "{}"), ("c", None)], "job_id string, raw string")
+    assert {r.job_id: (r.width, r.height) for r in ingest.probe_size(probe).collect()} == {"a": (1920, 1080), "b": (None, None), "c": (None, None)}
+    size = lambda w, h: spark.range(1).select(*ingest.detection_size(F.lit(w), F.lit(h))).first()
+    assert [tuple(size(*x)) for x in ((1920, 1080), (641, 480), (333, 250))] == [(640, 360), (640, 478), (332, 248)]
+    clips = spark.createDataFrame([("a", 1.0, 3.6), ("none", 1.0, 1.4)], "clip_id string, start_s double, end_s double")
+    assert [tuple(r) for r in ingest.sample_grid(clips).orderBy("sample_idx").collect()] == [("a", i, i / 2) for i in range(5)]
+    made = jobs.new_jobs(spark.createDataFrame([(" https://youtu.be/x ",), ("https://example.org",)], "url string")).collect()
+    assert len(made) == 1 and len(made[0].id) == 12 and made[0].url == "https://youtu.be/x" and made[0].stage == "queued"
+
+
+def test_segments_within_rows_are_those_of_words(spark):
+    r = random.Random(6)
+    rows = [(j, t, " ".join(r.choice(["a", "b.", "c!", "d,", "  e"]) for _ in range(r.randrange(30)))) for j in "abc" for t in range(6)] + [("d", 0, ""), ("e", 3, None), ("f", 1, "x")]
+    texts = spark.createDataFrame(rows, "job_id string, turn int, text string")
+    want = sorted(map(tuple, ingest.sentences(ingest.timeline(texts)).collect()))
+    assert sorted(map(tuple, ingest.segments(texts).collect())) == want
+    single = texts.where("turn = 0")
+    assert sorted(map(tuple, ingest.segments(single, one_turn=True).collect())) == sorted(map(tuple, ingest.sentences(ingest.timeline(single)).collect()))
+
+
+def test_events_of_two_years_all_count(spark, tmp_path):
+    rows = [(i, datetime(2023 + i % 2, 1 + i % 12, 1 + i % 27, 5 * (i % 5)), i % 3, f"k{i % 2}", float(i % 50)) for i in range(300)] + [(999, None, 1, "k", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    first, n = ingest.event_grid(spark, str(tmp_path))
+    days = [r[1] for r in rows if r[1]]
+    assert first == min(days).date() and n == (max(days).date() - first).days * 2 + max(days).hour // 12 + 1 > 700
+    bins = ingest.event_bins(spark, str(tmp_path))
+    assert bins.count() == 300 and bins.agg(F.max("sample_idx")).first()[0] == n - 1
+    assert sum(r.samples for r in layout.track_stats(ingest.event_boxes(spark, str(tmp_path)), n).collect()) == len({(r[2], r[3], (r[1].date() - first).days * 2 + r[1].hour // 12) for r in rows if r[1]})
+    assert tracking.link_tracks(ingest.event_detections(spark, str(tmp_path))).count() == 300
+    spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert ingest.event_grid(spark, str(tmp_path / "none")) == (None, 0) and ingest.event_bins(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_settings():
     assert setting("X", "small", {"X": "  "}) == "small" and setting("X", "small", {"X": " m "}) == "m"
     assert [truthy(x) for x in (" Yes", "on", "0", None)] == [True, True, False, False]

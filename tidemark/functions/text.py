@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import LABELS, STATUS
+from .numeric import let
 
 
 def strip(text: Column) -> Column:
@@ -63,6 +64,25 @@ def is_public_file(name: Column) -> Column:
     return name.rlike(r"\Aclip_\d+\.mp4\z")
 
 
+def resolve(path: Column) -> Column:
+    """The parts of an absolute path without "." and "..", which takes back the part before it; links are not followed."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    return F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+
+
+def under(root: Column, path: Column) -> Column:
+    """Whether a path, taken from root unless it begins with a slash, lies below root once both are resolved."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(root, F.lit("/"), path))
+    below = lambda r, p: (F.size(p) > F.size(r)) & (F.slice(p, F.lit(1), F.size(r)) == r)
+    return let(resolve(root), lambda r: let(resolve(whole), lambda p: below(r, p)))
+
+
+def is_served(root: Column, folder: Column, name: Column) -> Column:
+    """Whether a job's file may be handed out: a rendered clip by its name, in a folder below root."""
+    inside = F.when(F.startswith(name, F.lit("/")), name).otherwise(F.concat(folder, F.lit("/"), name))
+    return is_public_file(name) & under(root, inside)
+
+
 def encoder_major(banner: Column) -> Column:
     """The major version that a banner begins with, null if it names none."""
     return F.nullif(F.regexp_extract(banner, r"\Affmpeg version n?(\d+)\.", 1), F.lit("")).try_cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Layout
-from ..functions.numeric import clip, let
+from ..functions.numeric import clip, exact_round, fixed, let
 from . import series
 
 DEFAULT = Layout()
@@ -78,10 +78,8 @@ def plan_layout(stats: DataFrame, clips: DataFrame, c: Layout = DEFAULT) -> Data
 
 def note(plan: DataFrame, n_samples: int) -> DataFrame:
     """plan with a sentence that tells what decided; percentages are whole, rounded half to even."""
-    percent = lambda c: F.concat(F.bround(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
-    hundredths = F.bround(F.col("strength_ratio") * 100).cast("long")
-    ratio = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
-    gap = F.bround("second_gap").cast("int").cast("string")
+    percent = lambda c: F.concat(fixed(F.col(c) * 100, 0), F.lit("%"))
+    ratio, gap = fixed(F.col("strength_ratio"), 2), fixed(F.col("second_gap"), 0)
     samples = F.lit(f", samples {n_samples}")
     pair = F.concat(
         F.lit(" (coverage "), percent("first_coverage"), F.lit(" / "), percent("second_coverage"), F.lit(", ratio "), ratio, F.lit(", span "), percent("second_span"),
@@ -118,19 +116,34 @@ def crop_regions(plan: DataFrame, boxes: DataFrame, clips: DataFrame, n_samples:
     rows = rows.withColumn("w", F.when(two, half[0]).otherwise(single[0]).cast("int")).withColumn("h", F.when(two, half[1]).otherwise(single[1]).cast("int"))
     rows = series.smooth(rows.withColumn("v", F.col("xs")), F.col("w"), F.col("width"), fps).withColumn("x_keys", series.keyframes(F.col("origin"), fps)).drop("origin")
     rows = series.smooth(rows.withColumn("v", F.transform("ys", lambda y: y + F.col("h") * F.lit(0.5 - HALF_FACE_AT))), F.col("h"), F.col("height"), fps)
-    still = F.bround(clip(_median(F.col("ys")) - F.col("h") * F.lit(FACE_AT), F.lit(0.0), F.greatest(F.col("height") - F.col("h"), F.lit(0)).cast("double")), 1)
+    still = exact_round(clip(_median(F.col("ys")) - F.col("h") * F.lit(FACE_AT), F.lit(0.0), F.greatest(F.col("height") - F.col("h"), F.lit(0)).cast("double")), 1)
     rows = rows.withColumn("y_keys", F.when(two, series.keyframes(F.col("origin"), fps)).otherwise(F.array(F.struct(F.lit(0.0).alias("t"), still.alias("v")))))
     listed = F.array_sort(F.collect_list(F.struct("place", F.struct("track_id", "w", "h", "x_keys", "y_keys").alias("region"))))
     return rows.groupBy("clip_id", "layout").agg(F.transform(listed, lambda x: x["region"]).alias("regions"))
 
 
-def metrics(stats: DataFrame, fragments: DataFrame | None = None, fps: float = 2.0, n_samples: int = 0) -> DataFrame:
-    """One record for each clip of all that the layout looks at: rounded figures of its tracks by rank."""
+def metrics(stats: DataFrame, clips: DataFrame, n_samples: int, fragments: DataFrame | None = None, fps: float = 2.0, c: Layout = DEFAULT) -> DataFrame:
+    """One record for each clip (clip_id, width) of all that the layout looks at, rounded half-even on exact values.
+
+    Figures of its tracks by rank, the thresholds, and of the first two tracks their separation, the ratio of their coverage
+    and the span and longest gap of the second; these are null with fewer than two.
+    """
     rows = stats if fragments is None else stats.join(fragments.select("clip_id", "track_id", "fragments").distinct(), ["clip_id", "track_id"], "left")
     pieces = F.lit(1) if fragments is None else F.coalesce("fragments", F.lit(1))
     item = F.struct(
-        F.col("track_id").alias("id"), F.bround("coverage", 3).alias("coverage"), F.bround("span", 3).alias("span"), F.bround("longest_gap", 1).alias("longest_gap_s"),
-        pieces.alias("fragments"), F.array(*[F.bround(f"median_{c}", 1) for c in "xywh"]).alias("median_box"),
+        F.col("track_id").alias("id"), exact_round(F.col("coverage"), 3).alias("coverage"), exact_round(F.col("span"), 3).alias("span"), exact_round(F.col("longest_gap"), 1).alias("longest_gap_s"),
+        pieces.alias("fragments"), F.array(*[exact_round(F.col(f"median_{k}"), 1) for k in "xywh"]).alias("median_box"),
+    )
+    raw = [F.col(k) for k in ("coverage", "span", "longest_gap", "center_x")]
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("coverage")).alias("low"), "first_idx", "track_id", item.alias("item"), *[k for k in raw[1:]], raw[0])))
+    found = clips.select("clip_id", "width").join(rows.groupBy("clip_id").agg(listed.alias("all")), "clip_id", "left")
+    found = found.withColumn("all", F.coalesce("all", F.array().cast(found.schema["all"].dataType)))
+    a, b = (F.try_element_at("all", F.lit(k)) for k in (1, 2))
+    thresholds = {"persistent_coverage": c.persistent, "span_coverage": c.span_coverage, "span_frac": c.span, "single_min_coverage": c.single, "dominance_ratio": c.dominance, "min_separation_frac": c.separation}
+    ratio = F.when(b.isNotNull(), F.when(a["coverage"] > 0, exact_round(b["coverage"] / a["coverage"], 3)).otherwise(0.0))
+    return found.select(
+        "clip_id", F.lit(n_samples).alias("samples"), F.lit(fps).alias("sample_fps"), F.lit(round(n_samples / fps, 1) if fps else 0.0).alias("clip_seconds"),
+        F.transform("all", lambda x: x["item"]).alias("tracks"), F.struct(*[F.lit(v).alias(k) for k, v in thresholds.items()]).alias("thresholds"),
+        exact_round(F.abs(a["center_x"] - b["center_x"]) / F.col("width"), 3).alias("separation"), ratio.alias("strength_ratio"),
+        exact_round(b["span"], 3).alias("second_span"), exact_round(b["longest_gap"], 1).alias("second_longest_gap_s"),
     )
-    tracks = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("coverage")).alias("low"), "first_idx", "track_id", item.alias("item")))), lambda x: x["item"])
-    return rows.groupBy("clip_id").agg(F.lit(n_samples).alias("samples"), F.lit(fps).alias("sample_fps"), F.lit(round(n_samples / fps, 1) if fps else 0.0).alias("clip_seconds"), tracks.alias("tracks"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Smoothing
-from ..functions.numeric import clip, even, let
+from ..functions.numeric import clip, even, exact_round, let
 
 DEFAULT = Smoothing()
 
@@ -17,17 +17,26 @@ def gather(points: DataFrame, value: str = "v", by: tuple[str, ...] = ("clip_id"
     return points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("s"), F.col(value).alias("v")))).alias("points"))
 
 
-def fill(points: Column, n: int) -> Column:
-    """Values at samples 0 to n - 1: linear between points, flat beyond the first and last."""
+def fill(points: Column, n: Column | int) -> Column:
+    """Values at samples 0 to n - 1: linear between points (structs s, v by rising s), flat beyond the first and last.
 
-    def at(i: Column) -> Column:
-        before = F.try_element_at(F.filter(points, lambda p: p["s"] <= i), F.lit(-1))
-        after = F.try_element_at(F.filter(points, lambda p: p["s"] >= i), F.lit(1))
-        between = lambda a, b: a["v"] + (b["v"] - a["v"]) / (b["s"] - a["s"]) * (i - a["s"])
-        choose = lambda a, b: F.when(a.isNull(), b["v"]).when(b.isNull() | (a["s"] == b["s"]), a["v"]).otherwise(between(a, b))
-        return let(before, lambda a: let(after, lambda b: choose(a, b)))
+    One scan: each point gives the samples from itself up to the next one. Of points at one sample the last counts; points
+    outside the samples only shape what lies between. Without points all values are null.
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+    between = lambda a, b, i: a["v"] + (b["v"] - a["v"]) / (b["s"] - a["s"]) * (i - a["s"])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    def piece(a: Column, b: Column) -> Column:
+        low, high = F.greatest(a["s"], F.lit(0)), F.least(b["s"], n) - 1
+        last = F.array_repeat(a["v"], (n - low).cast("int"))
+        return F.when(b.isNull(), last).when(low <= high, F.transform(F.sequence(low, high), lambda i: between(a, b, i))).otherwise(F.array().cast("array<double>"))
+
+    def scan(points: Column) -> Column:
+        first = F.element_at(points, F.lit(1))
+        lead = F.array_repeat(first["v"], F.greatest(F.least(first["s"], n), F.lit(0)).cast("int"))
+        return F.concat(lead, F.flatten(F.zip_with(points, F.slice(points, F.lit(2), F.size(points)), piece)))
+
+    return F.when(F.size(points) > 0, let(points, scan)).otherwise(F.array_repeat(F.lit(None).cast("double"), n.cast("int")))
 
 
 def moving_average(v: Column, half: int) -> Column:
@@ -44,14 +53,28 @@ def moving_average(v: Column, half: int) -> Column:
 
 
 def dead_zone(v: Column, dead: Column) -> Column:
-    """The value at the last move: it moves only when the series is over dead away from it."""
-    start = lambda v: F.struct(F.try_element_at(v, F.lit(1)).alias("anchor"), F.array().cast("array<double>").alias("out"))
+    """The value at the last move: it moves only when the series is over dead away from it.
+
+    A scan over blocks of about the root of the series' length: a value is appended to its block only, and a finished block
+    to the list of blocks, so that no long array is copied for each value.
+    """
+    empty = F.array().cast("array<double>")
 
     def step(state: Column, x: Column) -> Column:
-        anchor = F.when(F.abs(x - state["anchor"]) > dead, x).otherwise(state["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(anchor)).alias("out"))
+        moved = F.when(F.abs(x - state["anchor"]) > dead, x).otherwise(state["anchor"])
+        return let(moved, lambda anchor: F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(anchor)).alias("out")))
+
+    def scan(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+
+        def block(state: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(v, i, size), F.struct(state["anchor"].alias("anchor"), empty.alias("out")), step)
+            return let(part, lambda p: F.struct(p["anchor"].alias("anchor"), F.concat(state["blocks"], F.array(p["out"])).alias("blocks")))
 
-    return let(v, lambda v: F.aggregate(v, start(v), step, lambda s: s["out"]))
+        start = F.struct(F.element_at(v, F.lit(1)).alias("anchor"), F.array().cast("array<array<double>>").alias("blocks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(v), size), start, block, lambda s: F.flatten(s["blocks"]))
+
+    return F.when(F.size(v) > 0, let(v, scan)).otherwise(v)
 
 
 def half_windows(fps: float, c: Smoothing = DEFAULT) -> tuple[int, int]:
@@ -69,26 +92,35 @@ def smooth(series: DataFrame, size: Column, limit: Column, fps: float = 2.0, c:
 
 def keyframes(v: Column, fps: float = 2.0) -> Column:
     """Times and values (rounded to a decimal) of the first and last sample and of all that leave a neighbour's value."""
-    return let(v, lambda v: _keyframes(v, fps))
+    return let(v, lambda v: let(F.transform(v, lambda x: exact_round(x, 1)), lambda r: _keyframes(v, r, fps)))
 
 
-def _keyframes(v: Column, fps: float) -> Column:
-    rounded = lambda x: F.bround(x, 1)
-    near = lambda x, i, d: F.coalesce(F.abs(rounded(x) - F.try_element_at(v, (i + 1 + d).cast("int"))) < 0.5, F.lit(False))
-    keep = lambda x, i: (i == 0) | (i == F.size(v) - 1) | ~(near(x, i, -1) & near(x, i, 1))
-    # An index of 0 is an error to element_at: the first sample is kept without looking before it.
-    safe = lambda x, i: F.when((i == 0) | (i == F.size(v) - 1), F.lit(True)).otherwise(keep(x, i))
-    marked = F.transform(v, lambda x, i: F.when(safe(x, i), F.struct((i / F.lit(float(fps))).alias("t"), rounded(x).alias("v"))))
+def _keyframes(v: Column, rounded: Column, fps: float) -> Column:
+    near = lambda x, i: F.coalesce(F.abs(x - F.get(v, i)) < 0.5, F.lit(False))
+    keep = lambda x, i: (i == 0) | (i == F.size(v) - 1) | ~(near(x, i - 1) & near(x, i + 1))
+    marked = F.transform(rounded, lambda x, i: F.when(keep(x, i), F.struct((i / F.lit(float(fps))).alias("t"), x.alias("v"))))
     return F.filter(marked, lambda k: k.isNotNull())
 
 
 def value_at(keys: Column, t: Column) -> Column:
-    """The value of keyframes at a time: linear between them, flat beyond."""
+    """The value of keyframes (structs t, v by rising t) at a time: linear between them, flat beyond; null without any.
+
+    A binary search: of n keyframes about log2(n) are looked at.
+    """
     between = lambda a, b: a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"])
-    choose = lambda a, b: F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between(a, b))
-    before = lambda keys: F.try_element_at(F.filter(keys, lambda k: k["t"] <= t), F.lit(-1))
-    after = lambda keys: F.try_element_at(F.filter(keys, lambda k: k["t"] > t), F.lit(1))
-    return let(keys, lambda keys: let(before(keys), lambda a: let(after(keys), lambda b: choose(a, b))))
+
+    def halve(state: Column, keys: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        return let(middle, lambda m: F.when(state["low"] >= state["high"], state).when(F.element_at(keys, m + 1)["t"] <= t, F.struct((m + 1).alias("low"), state["high"].alias("high"))).otherwise(F.struct(state["low"].alias("low"), m.alias("high"))))
+
+    def search(keys: Column) -> Column:
+        n = F.size(keys)
+        start = F.struct(F.lit(0).alias("low"), n.alias("high"))
+        before = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), start, lambda state, _: halve(state, keys), lambda s: s["low"])
+        choose = lambda k: F.when(k == 0, F.element_at(keys, F.lit(1))["v"]).when(k == n, F.element_at(keys, F.lit(-1))["v"]).otherwise(let(F.element_at(keys, k), lambda a: let(F.element_at(keys, k + 1), lambda b: between(a, b))))
+        return let(before, choose)
+
+    return F.when(F.size(keys) > 0, let(keys, search))
 
 
 def single_size(width: Column, height: Column) -> tuple[Column, Column]:

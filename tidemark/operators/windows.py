@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Windows
+from ..functions.numeric import exact_round
 
 DEFAULT = Windows()
 
@@ -53,7 +54,7 @@ def thin(windows: DataFrame, c: Windows = DEFAULT) -> DataFrame:
 
     A minimum over a struct combines on the map side, so buckets need no sort.
     """
-    start, end = F.bround("start_s", 2), F.bround("end_s", 2)
+    start, end = exact_round(F.col("start_s"), 2), exact_round(F.col("end_s"), 2)
     rows = windows.select("job_id", "i", "j", start.alias("start_s"), end.alias("end_s"), "text")
     bucket = F.floor(F.col("start_s") / F.lit(c.bucket)).cast("long")
     far = F.abs(F.col("end_s") - F.col("start_s") - c.target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.sinks import HEADER
+
 _WORDS = """
 raw_words AS (
   SELECT CAST(conv_id AS VARCHAR) AS job_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: len(w) > 0) AS parts FROM conversations
@@ -105,10 +107,13 @@ dialogue AS (
   FROM chunks
 )"""
 _BINS = """
-bins AS (
-  SELECT CAST(user_id AS VARCHAR) AS clip_id, event_type, value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 2 + hour(ts) // 12 AS INTEGER) AS sample_idx FROM events
+first_day AS (
+  SELECT min(CAST(ts AS DATE)) AS day FROM events
 ), event_bins AS (
-  SELECT * FROM bins WHERE sample_idx BETWEEN 0 AND 59
+  SELECT CAST(user_id AS VARCHAR) AS clip_id, event_type, value, CAST(date_diff('day', (SELECT day FROM first_day), CAST(ts AS DATE)) * 2 + hour(ts) // 12 AS INTEGER) AS sample_idx
+  FROM events WHERE ts IS NOT NULL
+), size AS (
+  SELECT max(sample_idx) + 1 AS n FROM event_bins
 )"""
 _TRACKS = """
 centres AS (
@@ -122,7 +127,7 @@ centres AS (
     c.sample_idx - lag(c.sample_idx) OVER (PARTITION BY c.clip_id, i.track_id ORDER BY c.sample_idx) - 1 AS gap
   FROM centres c JOIN ids i ON c.clip_id = i.clip_id AND c.event_type = i.event_type
 ), stats AS (
-  SELECT clip_id, track_id, CAST(count(*) AS INTEGER) AS samples, count(*) / 60.0::DOUBLE AS coverage, (max(sample_idx) - min(sample_idx) + 1) / 60.0::DOUBLE AS span,
+  SELECT clip_id, track_id, CAST(count(*) AS INTEGER) AS samples, count(*) / (SELECT n FROM size)::DOUBLE AS coverage, (max(sample_idx) - min(sample_idx) + 1) / (SELECT n FROM size)::DOUBLE AS span,
     coalesce(max(gap), 0) / 2.0::DOUBLE AS longest_gap, min(sample_idx) AS first_idx,
     median(x) AS median_x, median(y) AS median_y, median(w) AS median_w, median(h) AS median_h, median(x) + median(w) / 2 AS center_x
   FROM boxes GROUP BY clip_id, track_id
@@ -138,8 +143,9 @@ good AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS clip_id FROM events
 ), joined AS (
   SELECT c.clip_id, r.track_id AS t0, r.coverage AS c0, a.track_id AS t1, b.track_id AS t2, a.coverage AS c1, b.coverage AS c2, b.span AS s2,
-    a.center_x AS x1, b.center_x AS x2, abs(a.center_x - b.center_x) / 60 AS separation
-  FROM event_clips c LEFT JOIN ranked r ON r.clip_id = c.clip_id AND r.rank = 1
+    a.center_x AS x1, b.center_x AS x2, abs(a.center_x - b.center_x) / 60 AS separation, b.longest_gap AS g2,
+    s.coverage AS cn, s.span AS sn, abs(r.center_x - s.center_x) / 60 AS separation_n
+  FROM event_clips c LEFT JOIN ranked r ON r.clip_id = c.clip_id AND r.rank = 1 LEFT JOIN ranked s ON s.clip_id = c.clip_id AND s.rank = 2
   LEFT JOIN good a ON a.clip_id = c.clip_id AND a.k = 1 LEFT JOIN good b ON b.clip_id = c.clip_id AND b.k = 2
 ), decided AS (
   SELECT *, CASE
@@ -153,28 +159,39 @@ good AS (
 ), planned AS (
   SELECT *, CASE WHEN reason IN ('no faces', 'faces too sporadic') THEN 'CENTER_CROP' WHEN reason = 'two persistent faces' THEN 'TWO_PERSON' ELSE 'SINGLE_PERSON' END AS layout FROM decided
 )"""
-_SERIES = """
-points AS (
-  SELECT clip_id, sample_idx, median(value) AS v FROM event_bins GROUP BY clip_id, sample_idx
-), grid AS (
+
+
+def _filled(points: str, name: str) -> str:
+    """name: points (clip_id, sample_idx, v) at every sample, linear between them."""
+    return f"""
+{name}_grid AS (
   SELECT c.clip_id, CAST(r.i AS INTEGER) AS sample_idx, p.v, CASE WHEN p.v IS NOT NULL THEN CAST(r.i AS INTEGER) END AS s
-  FROM (SELECT DISTINCT clip_id FROM points) c CROSS JOIN range(0, 60) AS r(i) LEFT JOIN points p ON p.clip_id = c.clip_id AND p.sample_idx = r.i
-), sided AS (
+  FROM (SELECT DISTINCT clip_id FROM {points}) c CROSS JOIN (SELECT unnest(range(0, n)) AS i FROM size) r LEFT JOIN {points} p ON p.clip_id = c.clip_id AND p.sample_idx = r.i
+), {name}_sided AS (
   SELECT clip_id, sample_idx,
     last_value(v IGNORE NULLS) OVER b AS v0, last_value(s IGNORE NULLS) OVER b AS s0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(s IGNORE NULLS) OVER a AS s1
-  FROM grid
+  FROM {name}_grid
   WINDOW b AS (PARTITION BY clip_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          a AS (PARTITION BY clip_id ORDER BY sample_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-), filled AS (
-  SELECT clip_id, sample_idx, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR s0 = s1 THEN v0 ELSE v0 + (v1 - v0) / (s1 - s0) * (sample_idx - s0) END AS v FROM sided
+), {name} AS (
+  SELECT clip_id, sample_idx, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR s0 = s1 THEN v0 ELSE v0 + (v1 - v0) / (s1 - s0) * (sample_idx - s0) END AS v FROM {name}_sided
 )"""
 
 
+_SERIES = (
+    """
+points AS (
+  SELECT clip_id, sample_idx, median(value) AS v FROM event_bins GROUP BY clip_id, sample_idx
+)""",
+    _filled("points", "filled"),
+)
+
+
 def _average(source: str, name: str, half: int) -> str:
     return f"""
 {name} AS (
   SELECT a.clip_id, a.sample_idx, sum(b.v ORDER BY o.o) / {2 * half + 1}.0::DOUBLE AS v
-  FROM {source} a CROSS JOIN range(-{half}, {half + 1}) AS o(o) JOIN {source} b ON b.clip_id = a.clip_id AND b.sample_idx = greatest(0, least(59, a.sample_idx + o.o))
+  FROM {source} a CROSS JOIN range(-{half}, {half + 1}) AS o(o) JOIN {source} b ON b.clip_id = a.clip_id AND b.sample_idx = greatest(0, least((SELECT n - 1 FROM size), a.sample_idx + o.o))
   GROUP BY a.clip_id, a.sample_idx
 )"""
 
@@ -198,7 +215,7 @@ _TO_CANDIDATES = (*_TO_WINDOWS, _THIN, _NUMBER)
 _TO_CHOSEN = (*_TO_CANDIDATES, _SCORED, _CHOSEN)
 _TO_CHUNKS = (*_TO_CHOSEN, _CLIP_WORDS, _CHUNKS)
 _TO_TRACKS = (_BINS, _TRACKS)
-_TO_SERIES = (_BINS, _SERIES)
+_TO_SERIES = (_BINS, *_SERIES)
 _DOCUMENT_WORDS = _WORDS.replace("CAST(conv_id AS VARCHAR) AS job_id, turn,", "CAST(doc_id AS VARCHAR) AS job_id, 0::BIGINT AS turn,").replace("FROM conversations", "FROM documents")
 _KEYS = """
 coarse AS (
@@ -207,10 +224,146 @@ coarse AS (
   SELECT clip_id, sample_idx, round_even(v, 1) AS r, lag(v) OVER o AS a, lead(v) OVER o AS b FROM coarse WINDOW o AS (PARTITION BY clip_id ORDER BY sample_idx)
 )"""
 _REPLY = """
-replies AS (
-  SELECT DISTINCT CAST(conv_id AS VARCHAR) AS job_id, conv_id % 6 AS shape FROM conversations
-), replied AS (
-  SELECT job_id, id, score FROM replies JOIN (VALUES (0, 0, 7.0), (0, 1, 3.0), (1, 0, 7.0), (2, 0, 7.0), (2, 1, 3.0), (3, 0, 7.0), (5, 0, 2.0)) AS x(shape, id, score) USING (shape)
+replied AS (
+  SELECT CAST(conv_id AS VARCHAR) AS job_id, CAST(turn AS BIGINT) AS id, CAST(length(text) + turn / 4.0::DOUBLE AS DOUBLE) AS score FROM conversations WHERE conv_id % 9 <> 8
+)"""
+_TWO_74 = 2**74
+
+
+def _exact(x: str, digits: int, body: str) -> str:
+    """body of p.x, p.n (whole part of its size) and p.u (the rest in units of the last digit, rounded half-even): exact, as
+    the rest times 2^74 is a whole number."""
+    one, half = _TWO_74, _TWO_74 // 2
+    odd = f"p.h // {one} % 2 = 1" if digits else f"(p.h // {one} + CAST(p.n AS HUGEINT)) % 2 = 1"
+    units = f"p.h // {one} + CASE WHEN p.h % {one} > {half} OR (p.h % {one} = {half} AND {odd}) THEN 1 ELSE 0 END"
+    first = f"list_transform([CAST({x} AS DOUBLE)], lambda z: struct_pack(x := z, n := floor(abs(z)), h := CAST((abs(z) - floor(abs(z))) * {float(one)!r}::DOUBLE AS HUGEINT) * {10**digits}))"
+    return f"list_transform(list_transform({first}, lambda p: struct_pack(x := p.x, n := p.n, u := {units})), lambda p: {body})[1]"
+
+
+def _rounded(x: str, digits: int) -> str:
+    return _exact(x, digits, f"CASE WHEN p.x < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * ((p.n * {10**digits} + CAST(p.u AS DOUBLE)) / {10**digits}.0::DOUBLE)")
+
+
+def _fixed(x: str, digits: int) -> str:
+    unit = 10**digits
+    text = f"CAST(CAST(p.n AS HUGEINT) + p.u // {unit} AS VARCHAR)" + (f" || '.' || lpad(CAST(p.u % {unit} AS VARCHAR), {digits}, '0')" if digits else "")
+    return _exact(x, digits, f"CASE WHEN p.x < 0 THEN '-' ELSE '' END || {text}")
+
+
+def _percent(x: str) -> str:
+    return f"{_fixed(f'{x} * 100', 0)} || '%'"
+
+
+_SHOWN = """
+shown AS (
+  SELECT clip_id, layout, 0 AS place, CASE WHEN layout = 'SINGLE_PERSON' THEN coalesce(CASE WHEN t2 IS NOT NULL THEN t1 END, t0) WHEN x1 <= x2 THEN t1 ELSE t2 END AS track_id FROM planned WHERE layout <> 'CENTER_CROP'
+  UNION ALL SELECT clip_id, layout, 1, CASE WHEN x1 <= x2 THEN t2 ELSE t1 END FROM planned WHERE layout = 'TWO_PERSON'
+), heights AS (
+  SELECT s.*, s.clip_id || '/' || s.place AS key, least(greatest(t.median_h * 3.2::DOUBLE, 34 * 0.45::DOUBLE), 34.0::DOUBLE) AS hh FROM shown s JOIN stats t ON t.clip_id = s.clip_id AND t.track_id = s.track_id
+), regions AS (
+  SELECT clip_id, layout, place, track_id, key,
+    CAST(CASE WHEN layout = 'TWO_PERSON' THEN round_even((CASE WHEN hh * 9 / 8 > 60 THEN 60 ELSE hh * 9 / 8 END) / 2, 0) * 2 ELSE round_even(34 * 9 / 16.0::DOUBLE / 2, 0) * 2 END AS INTEGER) AS w,
+    CAST(CASE WHEN layout = 'TWO_PERSON' THEN round_even((CASE WHEN hh * 9 / 8 > 60 THEN 60 * 8 / 9.0::DOUBLE ELSE hh END) / 2, 0) * 2 ELSE 34 END AS INTEGER) AS h
+  FROM heights
+), x_points AS (
+  SELECT r.key AS clip_id, b.sample_idx, b.x + b.w / 2 AS v FROM regions r JOIN boxes b ON b.clip_id = r.clip_id AND b.track_id = r.track_id
+), y_points AS (
+  SELECT r.key AS clip_id, b.sample_idx, b.y + b.h / 2 AS v FROM regions r JOIN boxes b ON b.clip_id = r.clip_id AND b.track_id = r.track_id
+)"""
+
+
+def _smoothed(source: str, name: str, size: str, limit: int) -> tuple[str, ...]:
+    """name: where a crop begins that follows source, and its keyframes (clip_id, sample_idx, t, v) as name_keys."""
+    moves = f"""
+{name}_dead AS (
+  SELECT clip_id, sample_idx, v FROM {name}_mean WHERE sample_idx = 0
+  UNION ALL
+  SELECT x.clip_id, x.sample_idx, CASE WHEN abs(x.v - d.v) > 0.06::DOUBLE * r.{size} THEN x.v ELSE d.v END
+  FROM {name}_dead d JOIN {name}_mean x ON x.clip_id = d.clip_id AND x.sample_idx = d.sample_idx + 1 JOIN regions r ON r.key = x.clip_id
+)"""
+    origin = f"""
+{name} AS (
+  SELECT g.clip_id, g.sample_idx, least(greatest(g.v - r.{size} / 2.0::DOUBLE, 0.0::DOUBLE), greatest({limit} - r.{size}, 0)::DOUBLE) AS v FROM {name}_glide g JOIN regions r ON r.key = g.clip_id
+), {name}_sides AS (
+  SELECT clip_id, sample_idx, {_rounded("v", 1)} AS r, lag(v) OVER o AS a, lead(v) OVER o AS b FROM {name} WINDOW o AS (PARTITION BY clip_id ORDER BY sample_idx)
+), {name}_keys AS (
+  SELECT clip_id, sample_idx, sample_idx / 2.0::DOUBLE AS t, r AS v FROM {name}_sides WHERE sample_idx IN (0, (SELECT n - 1 FROM size)) OR NOT (abs(r - a) < 0.5 AND abs(r - b) < 0.5)
+)"""
+    return (_average(source, f"{name}_mean", 3), moves, _average(f"{name}_dead", f"{name}_glide", 2), origin)
+
+
+_REGIONS = (
+    _SHOWN,
+    _filled("x_points", "xs"),
+    _filled("y_points", "ys"),
+    *_smoothed("xs", "x_crop", "w", 60),
+    f"ys_low AS (SELECT y.clip_id, y.sample_idx, y.v + r.h * {0.5 - 0.42!r}::DOUBLE AS v FROM ys y JOIN regions r ON r.key = y.clip_id WHERE r.layout = 'TWO_PERSON')",
+    *_smoothed("ys_low", "y_crop", "h", 34),
+    f"""
+y_keys AS (
+  SELECT * FROM y_crop_keys
+  UNION ALL
+  SELECT r.key, 0, 0.0::DOUBLE, {_rounded("least(greatest(m.v - r.h * 0.4::DOUBLE, 0.0::DOUBLE), greatest(34 - r.h, 0)::DOUBLE)", 1)}
+  FROM regions r JOIN (SELECT clip_id, median(v) AS v FROM ys GROUP BY clip_id) m ON m.clip_id = r.key WHERE r.layout = 'SINGLE_PERSON'
+)""",
+)
+
+
+def _expression(keys: str, name: str) -> str:
+    """name: the nested text of each clip_id's keyframes."""
+    piece = f"'if(lt(t,' || {_fixed('t1', 3)} || '),(' || {_fixed('v', 1)} || '+(' || {_fixed('v1 - v', 1)} || ')*(t-' || {_fixed('t', 3)} || ')/' || {_fixed('greatest(t1 - t, 0.001::DOUBLE)', 3)} || '),'"
+    return f"""
+{name}_next AS (
+  SELECT *, lead(t) OVER o AS t1, lead(v) OVER o AS v1, first_value(v) OVER o AS f FROM {keys} WINDOW o AS (PARTITION BY clip_id ORDER BY t)
+), {name}_pieces AS (
+  SELECT clip_id, t, abs(v - f) < 0.5 AS still, {_fixed("f", 1)} AS first, {_fixed("v", 1)} AS own, CASE WHEN t1 IS NOT NULL THEN {piece} END AS piece FROM {name}_next
+), {name} AS (
+  SELECT clip_id, CASE WHEN count(*) = 1 OR bool_and(still) THEN min(first) ELSE string_agg(piece, '' ORDER BY t) || arg_max(own, t) || repeat(')', CAST(count(*) - 1 AS INTEGER)) END AS text
+  FROM {name}_pieces GROUP BY clip_id
+)"""
+
+
+_LINKED = """
+detections AS (
+  SELECT clip_id, sample_idx, value AS x, CAST(row_number() OVER (PARTITION BY clip_id, sample_idx ORDER BY value DESC, event_type) - 1 AS INTEGER) AS i FROM event_bins
+), taken_at AS (
+  SELECT clip_id, sample_idx AS s, row_number() OVER (PARTITION BY clip_id ORDER BY sample_idx) AS k, list(struct_pack(i := i, x := x) ORDER BY i) AS dets FROM detections GROUP BY clip_id, sample_idx
+), linking AS (
+  SELECT clip_id, k, s, dets AS todo, CAST([] AS STRUCT(id INTEGER, seen INTEGER, x DOUBLE)[]) AS tracks, 0 AS made, CAST([] AS STRUCT(track INTEGER, s INTEGER, x DOUBLE)[]) AS out FROM taken_at WHERE k = 1
+  UNION ALL
+  SELECT clip_id, CASE WHEN best IS NULL THEN k + 1 ELSE k END, CASE WHEN best IS NULL THEN next_s ELSE s END,
+    CASE WHEN best IS NULL THEN next_dets ELSE list_filter(todo, lambda d: d.i <> best.i) END,
+    CASE WHEN best IS NULL THEN list_concat(tracks, list_transform(todo, lambda d, j: struct_pack(id := CAST(made + j - 1 AS INTEGER), seen := s, x := d.x)))
+      ELSE list_transform(tracks, lambda t: CASE WHEN t.id = best.t THEN struct_pack(id := t.id, seen := s, x := best.x) ELSE t END) END,
+    CASE WHEN best IS NULL THEN CAST(made + len(todo) AS INTEGER) ELSE made END,
+    CASE WHEN best IS NULL THEN list_transform(todo, lambda d, j: struct_pack(track := CAST(made + j - 1 AS INTEGER), s := s, x := d.x)) ELSE [struct_pack(track := best.t, s := s, x := best.x)] END
+  FROM (
+    SELECT l.*, n.s AS next_s, n.dets AS next_dets, list_min(flatten(list_transform(l.todo, lambda d: list_transform(
+      list_filter(l.tracks, lambda t: t.seen < l.s AND l.s - t.seen <= 16 AND abs((d.x + 4) - (t.x + 4)) / 8 <= 1),
+      lambda t: struct_pack(far := abs((d.x + 4) - (t.x + 4)) / 8, t := t.id, i := d.i, x := d.x))))) AS best
+    FROM linking l LEFT JOIN taken_at n ON n.clip_id = l.clip_id AND n.k = l.k + 1 WHERE l.todo IS NOT NULL
+  )
+), linked AS (
+  SELECT clip_id, o.track AS track_id, o.s AS sample_idx, o.x AS x FROM (SELECT clip_id, unnest(out) AS o FROM linking)
+)"""
+_MERGED = """
+pieces AS (
+  SELECT clip_id, track_id, row_number() OVER (PARTITION BY clip_id ORDER BY min(sample_idx), track_id) AS k, list(struct_pack(s := sample_idx, x := x) ORDER BY sample_idx) AS own FROM linked GROUP BY clip_id, track_id
+), merging AS (
+  SELECT clip_id, k, [struct_pack(id := track_id, n := 1, own := own)] AS people FROM pieces WHERE k = 1
+  UNION ALL
+  SELECT clip_id, k, CASE WHEN spot IS NULL THEN list_append(people, struct_pack(id := track_id, n := 1, own := own))
+    ELSE list_transform(people, lambda m, j: CASE WHEN j = spot THEN struct_pack(id := m.id, n := m.n + 1, own := list_concat(m.own, own)) ELSE m END) END
+  FROM (
+    SELECT p.clip_id, p.k, p.track_id, p.own, m.people, nullif(list_position(list_transform(m.people, lambda q:
+      NOT list_has_any(list_transform(q.own, lambda o: o.s), list_transform(p.own, lambda o: o.s))
+      AND abs((list_aggregate(list_transform(q.own, lambda o: o.x), 'median') + 4) - (list_aggregate(list_transform(p.own, lambda o: o.x), 'median') + 4)) <= 8), true), 0) AS spot
+    FROM merging m JOIN pieces p ON p.clip_id = m.clip_id AND p.k = m.k + 1
+  )
+), people AS (
+  SELECT clip_id, unnest(people) AS q FROM (SELECT *, max(k) OVER (PARTITION BY clip_id) AS last FROM merging) WHERE k = last
+), merged AS (
+  SELECT clip_id, q.id AS track_id, q.n AS fragments, unnest(q.own) AS o FROM people
 )"""
 _JOBS = """
 jobs AS (
@@ -235,13 +388,117 @@ SQL: dict[str, str] = {
         _SCORED,
         _REPLY,
         select="""SELECT c.job_id, c.id, CASE WHEN h.job_id IS NULL THEN round(c.score, 6) ELSE coalesce(CAST(r.score AS DOUBLE), 0.0::DOUBLE) END AS score,
-  CASE WHEN h.job_id IS NULL THEN 'no usable reply; used heuristic ranking' ELSE 'ranked by model' END AS note
+  CASE WHEN h.job_id IS NULL THEN 'Ollama unavailable (ValueError); used heuristic ranking' ELSE 'ranked by model' END AS note
 FROM scored c LEFT JOIN (SELECT DISTINCT job_id FROM replied) h ON h.job_id = c.job_id LEFT JOIN replied r ON r.job_id = c.job_id AND r.id = c.id""",
     ),
     "greedy_selection": _with(*_TO_CHOSEN, select="SELECT job_id, clip_idx, id, start_s, end_s, text, round(score, 6) AS score FROM chosen"),
     "clip_words": _with(*_TO_CHOSEN, _CLIP_WORDS, select="SELECT job_id, clip_idx, word_idx, from_cs, to_cs, word FROM clip_words"),
     "caption_chunks": _with(*_TO_CHUNKS, select="SELECT job_id, clip_idx, chunk_idx, from_cs, to_cs, text FROM chunks"),
     "caption_lines": _with(*_TO_CHUNKS, _LINES, select="SELECT job_id, clip_idx, chunk_idx, line FROM dialogue"),
+    "caption_files": _with(
+        *_TO_CHUNKS,
+        _LINES,
+        f"files AS (SELECT job_id, clip_idx, '{HEADER.format(alignment=2)}' || string_agg(line, chr(10) ORDER BY chunk_idx) || chr(10) AS value FROM dialogue GROUP BY job_id, clip_idx)",
+        select="SELECT job_id, clip_idx, md5(value) AS md5, length(value) AS size FROM files",
+    ),
+    "exact_rounding": f"""
+SELECT event_id, x, {_rounded("x", 2)} AS hundredths, {_rounded("x", 3)} AS thousandths, {_rounded("x", 0)} AS whole, {_fixed("x", 1)} AS text, {_fixed("x", 3)} AS long_text
+FROM (SELECT event_id, unnest([round(value, 0) / 8, round(value, 2) + 0.005::DOUBLE, value * 1.0037::DOUBLE, -value / 7, round(value, 2) * 1000 + 0.0005::DOUBLE]) AS x FROM events)""",
+    "window_thinning_off_grid": _with(
+        _WORDS,
+        _SEGMENTS.replace("segments AS (", "even_segments AS ("),
+        "segments AS (SELECT job_id, seg_idx, start_s * 1.0003::DOUBLE + 0.005::DOUBLE AS start_s, end_s * 1.0003::DOUBLE + 0.005::DOUBLE AS end_s, text FROM even_segments)",
+        _PAIRS,
+        f"windows AS (SELECT job_id, i, j, {_rounded('start_s', 2)} AS start_s, {_rounded('end_s', 2)} AS end_s, '' AS text FROM spans)",
+        _THIN,
+        select="SELECT job_id, bucket, i, j, start_s, end_s FROM thin",
+    ),
+    "greedy_selection_spread": _with(
+        *_TO_WINDOWS, "candidates AS (SELECT job_id, CAST(i * 100000 + j AS INTEGER) AS id, start_s, end_s, text FROM windows)", _SCORED, _CHOSEN, select="SELECT job_id, clip_idx, id, start_s, end_s FROM chosen"
+    ),
+    "layout_metrics": _with(
+        *_TO_TRACKS,
+        select=f"""SELECT c.clip_id, CAST((SELECT n FROM size) AS INTEGER) AS samples, (SELECT n FROM size) / 2.0::DOUBLE AS clip_seconds, r.rank - 1 AS place, r.track_id AS id,
+  {_rounded("r.coverage", 3)} AS coverage, {_rounded("r.span", 3)} AS span, {_rounded("r.longest_gap", 1)} AS longest_gap_s, CASE WHEN r.track_id IS NOT NULL THEN 1 END AS fragments,
+  {", ".join(f"{_rounded(f'r.median_{k}', 1)} AS median_{k}" for k in "xywh")}, 0.4::DOUBLE AS persistent_coverage, 0.15::DOUBLE AS min_separation_frac,
+  {_rounded("abs(a.center_x - b.center_x) / 60", 3)} AS separation, {_rounded("b.coverage / a.coverage", 3)} AS strength_ratio, {_rounded("b.span", 3)} AS second_span, {_rounded("b.longest_gap", 1)} AS second_longest_gap_s
+FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS clip_id FROM events) c LEFT JOIN ranked r ON r.clip_id = c.clip_id
+LEFT JOIN ranked a ON a.clip_id = c.clip_id AND a.rank = 1 LEFT JOIN ranked b ON b.clip_id = c.clip_id AND b.rank = 2""",
+    ),
+    "layout_notes": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        select=f"""SELECT clip_id, CASE WHEN t0 IS NULL THEN 'no frames or no faces detected'
+  WHEN t2 IS NOT NULL THEN reason || ' (coverage ' || {_percent("c1")} || ' / ' || {_percent("c2")} || ', ratio ' || {_fixed("c2 / c1", 2)} || ', span ' || {_percent("s2")} || ', gap ' || {_fixed("g2", 0)}
+    || 's, separation ' || {_percent("separation")} || ', samples ' || (SELECT n FROM size) || ')'
+  WHEN layout = 'SINGLE_PERSON' THEN reason || ' (coverage ' || {_percent("c0")} || ', samples ' || (SELECT n FROM size)
+    || coalesce(', second face coverage ' || {_percent("cn")} || ' span ' || {_percent("sn")} || ' separation ' || {_percent("separation_n")}, '') || ')'
+  ELSE reason || ' (best coverage ' || {_percent("c0")} || ', samples ' || (SELECT n FROM size) || ')' END AS note,
+  CASE layout WHEN 'TWO_PERSON' THEN 'split-screen' WHEN 'SINGLE_PERSON' THEN 'face-centred' ELSE 'centre crop' END AS label
+FROM planned""",
+    ),
+    "debug_tiles": _with(
+        *_TO_TRACKS,
+        select="""SELECT clip_id, track_id, array_to_string(list_transform(range(0, least(samples, 12)), lambda i: CAST(CASE WHEN i = least(samples, 12) - 1 THEN CASE WHEN samples > 1 THEN samples - 1 ELSE 0 END
+  ELSE CAST(floor(i * ((samples - 1) / greatest(least(samples, 12) - 1, 1)::DOUBLE)) AS INTEGER) END AS VARCHAR)), ',') AS tiles FROM stats""",
+    ),
+    "keyframe_lookup": _with(
+        *_TO_SERIES,
+        _KEYS.replace("floor(v * 4) / 4.0::DOUBLE AS v", "v").replace("round_even(v, 1)", _rounded("v", 1)),
+        "keys AS (SELECT clip_id, sample_idx, sample_idx / 2.0::DOUBLE AS t, r AS v FROM sides WHERE sample_idx IN (0, (SELECT n - 1 FROM size)) OR NOT (abs(r - a) < 0.5 AND abs(r - b) < 0.5))",
+        """near AS (
+  SELECT f.clip_id, f.sample_idx, f.sample_idx / 2.0::DOUBLE AS t, last_value(k.v IGNORE NULLS) OVER b AS v0, last_value(k.t IGNORE NULLS) OVER b AS t0, first_value(k.v IGNORE NULLS) OVER a AS v1, first_value(k.t IGNORE NULLS) OVER a AS t1
+  FROM filled f LEFT JOIN keys k ON k.clip_id = f.clip_id AND k.sample_idx = f.sample_idx
+  WINDOW b AS (PARTITION BY f.clip_id ORDER BY f.sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY f.clip_id ORDER BY f.sample_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+)""",
+        select="SELECT clip_id, sample_idx, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v FROM near",
+    ),
+    "crop_regions": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        *_REGIONS,
+        select="""SELECT r.clip_id, r.layout, r.place, r.track_id, r.w, r.h, CAST(x.n AS INTEGER) AS n_keys, x.a AS x_first, x.b AS x_last, y.a AS y_first
+FROM regions r JOIN (SELECT clip_id, count(*) AS n, arg_min(v, t) AS a, arg_max(v, t) AS b FROM x_crop_keys GROUP BY clip_id) x ON x.clip_id = r.key
+JOIN (SELECT clip_id, arg_min(v, t) AS a FROM y_keys GROUP BY clip_id) y ON y.clip_id = r.key""",
+    ),
+    "filter_graphs": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        *_REGIONS,
+        _expression("x_crop_keys", "x_text"),
+        _expression("y_keys", "y_text"),
+        """crops AS (
+  SELECT r.clip_id, r.place, 'crop=' || r.w || ':' || r.h || ':x=''' || x.text || ''':y=''' || y.text || '''' AS crop FROM regions r JOIN x_text x ON x.clip_id = r.key JOIN y_text y ON y.clip_id = r.key
+)""",
+        select="""SELECT p.clip_id, p.layout, CASE p.layout WHEN 'SINGLE_PERSON' THEN '[0:v]' || a.crop || ',scale=1080:1920,setsar=1,ass=''C\\:/clips/' || p.clip_id || '.ass''[v]'
+  WHEN 'TWO_PERSON' THEN '[0:v]split=2[a][b];[a]' || a.crop || ',scale=1080:960,setsar=1[top];[b]' || b.crop || ',scale=1080:960,setsar=1[bot];[top][bot]vstack=inputs=2,ass=''C\\:/clips/' || p.clip_id || '.ass''[v]' END AS graph
+FROM planned p LEFT JOIN crops a ON a.clip_id = p.clip_id AND a.place = 0 LEFT JOIN crops b ON b.clip_id = p.clip_id AND b.place = 1""",
+    ),
+    "render_commands": _with(
+        *_TO_CHOSEN,
+        *_TO_TRACKS,
+        _LAYOUT,
+        select=f"""SELECT c.job_id, c.clip_idx, 'ffmpeg -y -hide_banner -loglevel error -ss ' || {_fixed("c.start_s", 3)} || ' -t ' || {_fixed("c.end_s - c.start_s", 3)} || ' -i source.mp4 '
+  || CASE WHEN coalesce(p.layout, 'CENTER_CROP') = 'CENTER_CROP' THEN '-vf scale=w=1080:h=1920:force_original_aspect_ratio=increase,crop=1080:1920,setsar=1,ass=''clip_' || (c.clip_idx + 1) || '.ass'''
+    ELSE '-/filter_complex clip_' || (c.clip_idx + 1) || '.filter -map [v] -map 0:a?' END
+  || ' -r 30 -c:v libx264 -preset veryfast -crf 23 -pix_fmt yuv420p -c:a aac -b:a 128k -ac 2 -movflags +faststart clip_' || (c.clip_idx + 1) || '.mp4' AS command
+FROM chosen c LEFT JOIN planned p ON p.clip_id = c.job_id""",
+    ),
+    "clip_records": _with(
+        *_TO_CHOSEN,
+        *_TO_TRACKS,
+        _LAYOUT,
+        select=f"""SELECT c.job_id, coalesce(p.layout, 'CENTER_CROP') AS layout, c.clip_idx + 1 AS index, c.start_s, c.end_s, {_rounded("c.end_s - c.start_s", 1)} AS duration, round(c.score, 6) AS score,
+  '/output/' || c.job_id || '/clip_' || (c.clip_idx + 1) || '.mp4' AS url, 'clip_' || (c.clip_idx + 1) || '.mp4' AS filename FROM chosen c LEFT JOIN planned p ON p.clip_id = c.job_id""",
+    ),
+    "link_tracks": _with(_BINS, _LINKED, select="SELECT clip_id, track_id, 1 AS fragments, sample_idx, x, 20.0::DOUBLE AS y, 8.0::DOUBLE AS w, 10.0::DOUBLE AS h FROM linked"),
+    "merge_fragments": _with(_BINS, _LINKED, _MERGED, select="SELECT clip_id, track_id, fragments, o.s AS sample_idx, o.x AS x, 20.0::DOUBLE AS y, 8.0::DOUBLE AS w, 10.0::DOUBLE AS h FROM merged"),
+    "served_files": """
+SELECT page_id, resolved LIKE '/srv/out/%' AS ok FROM (
+  SELECT page_id, list_reduce(list_concat([''], list_filter(string_split('srv/out/./' || path || '//' || repeat('../', CAST(length(html) % 5 AS INTEGER)) || '/clip_1.mp4', '/'), lambda p: p NOT IN ('', '.'))),
+    lambda a, p: CASE WHEN p = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || p END) AS resolved
+  FROM (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS path FROM pages)
+)""",
     "track_coverage": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, samples, round(coverage, 6) AS coverage FROM stats"),
     "track_span": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, round(span, 6) AS span FROM stats"),
     "track_longest_gap": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, longest_gap FROM stats"),
@@ -260,7 +517,7 @@ FROM scored c LEFT JOIN (SELECT DISTINCT job_id FROM replied) h ON h.job_id = c.
     "series_smooth": _with(
         *_TO_SERIES, _average("filled", "a1", 3), _dead("a1", "d1", "(0.06::DOUBLE * 20.0::DOUBLE)"), _average("d1", "a2", 2), select="SELECT clip_id, sample_idx, round(least(greatest(v - 10, 0.0::DOUBLE), 40.0::DOUBLE), 6) AS v FROM a2"
     ),
-    "series_keyframes": _with(*_TO_SERIES, _KEYS, select="SELECT clip_id, sample_idx / 2.0::DOUBLE AS t, r AS v FROM sides WHERE sample_idx IN (0, 59) OR NOT (abs(r - a) < 0.5 AND abs(r - b) < 0.5)"),
+    "series_keyframes": _with(*_TO_SERIES, _KEYS, select="SELECT clip_id, sample_idx / 2.0::DOUBLE AS t, r AS v FROM sides WHERE sample_idx IN (0, (SELECT n - 1 FROM size)) OR NOT (abs(r - a) < 0.5 AND abs(r - b) < 0.5)"),
     "crop_geometry": """
 SELECT event_id,
   CAST(CASE WHEN w9 > width THEN round_even(width / 2.0::DOUBLE, 0) * 2 ELSE w9 END AS INTEGER) AS single_w,

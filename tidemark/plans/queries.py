@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.numeric import even
+from ..functions.numeric import even, exact_round, fixed, let
 from ..operators import captions, layout, scoring, selection, series, tracking, windows
-from ..sources import ingest, jobs, sinks
+from ..sources import clip_files, ingest, jobs, sinks
 from . import render
 
-N = 60  # samples of an event clip
 WIDTH, HEIGHT = 60, 34
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +33,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.seconds(ingest.sentences(words(spark, sf_dir)))
+    return ingest.seconds(ingest.segments(ingest.conversations(spark, sf_dir)))
 
 
 def candidates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +49,13 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen(spark, sf_dir).select("job_id", "clip_idx", cs("start_s").alias("start_cs"), cs("end_s").alias("end_cs"))
 
 
+def samples(spark: SparkSession, sf_dir: str) -> int:
+    """Samples of an event clip: half-days from the first event to the last."""
+    return ingest.event_grid(spark, sf_dir)[1]
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.track_stats(ingest.event_boxes(spark, sf_dir), N)
+    return layout.track_stats(ingest.event_boxes(spark, sf_dir), samples(spark, sf_dir))
 
 
 def event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ def event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = series.gather(ingest.event_series(spark, sf_dir))
-    return points.select("clip_id", series.fill(F.col("points"), N).alias("v"))
+    return points.select("clip_id", series.fill(F.col("points"), samples(spark, sf_dir)).alias("v"))
 
 
 def unrolled(rows: DataFrame, column: str = "v") -> DataFrame:
@@ -69,18 +73,32 @@ def unrolled(rows: DataFrame, column: str = "v") -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply for each conversation, in one of the shapes that replies take."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
-    shape = F.col("conv_id") % 6
+    """A reply for each conversation: its turns as ids, the length of their texts and a quarter of the turn as scores.
+
+    In all the shapes that replies take: alone, wrapped, as a map, in prose of the first turn's words, with numbers as texts,
+    with two lists, among junk, with repeated ids, and one that cannot be used.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", (F.length("text") + F.col("turn") / 4).alias("score"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "score"))).alias("t"), F.min_by("text", "turn").alias("first"))
+    item = lambda x: F.struct(x["turn"].alias("id"), x["score"].alias("score"))
+    texts = lambda x: F.struct(x["turn"].cast("string").alias("id"), F.concat(F.lit(" "), x["score"].cast("string")).alias("score"))
+    bad = lambda x: F.struct(x["turn"].alias("id"), F.lit(-1.0).alias("score"))
+    items, low = F.to_json(F.transform("t", item)), F.to_json(F.transform("t", bad))
+    inner = lambda j: F.substring(j, F.lit(2), F.length(j) - 2)
+    prose = F.translate("first", '[]{}"', "")
+    shape = F.col("conv_id") % 9
     raw = (
-        F.when(shape == 0, '[{"id":0,"score":7},{"id":"1","score":"3"},5]')
-        .when(shape == 1, '{"scores":[{"id":0,"score":7}]}')
-        .when(shape == 2, '{"0":7,"1":3}')
-        .when(shape == 3, 'Sure: [{"id":0,"score":7}] ok')
-        .when(shape == 4, '{"id":0,"score":7}')
-        .otherwise('[{"id":0,"score":1},{"id":0,"score":2}]')
+        F.when(shape == 0, items)
+        .when(shape == 1, F.concat(F.lit('{"scores":'), items, F.lit(',"model":"m"}')))
+        .when(shape == 2, F.to_json(F.map_from_arrays(F.transform("t", lambda x: x["turn"].cast("string")), F.transform("t", lambda x: x["score"]))))
+        .when(shape == 3, F.concat(prose, F.lit(": "), items, F.lit("\n"), prose))
+        .when(shape == 4, F.to_json(F.transform("t", texts)))
+        .when(shape == 5, F.concat(F.lit('{"z":'), items, F.lit(',"a":'), low, F.lit("}")))
+        .when(shape == 6, F.concat(F.lit('[5,null,{"id":1},["a"],'), inner(items), F.lit(',{"id":"x y","score":1},{"id":2,"score":null}]')))
+        .when(shape == 7, F.concat(F.lit("["), inner(low), F.lit(","), inner(items), F.lit("]")))
+        .otherwise(F.to_json(F.element_at(F.transform("t", item), 1)))
     )
-    return rows.select(F.col("conv_id").cast("string").alias("job_id"), raw.alias("raw"))
+    return turns.select(F.col("conv_id").cast("string").alias("job_id"), raw.alias("raw"))
 
 
 def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +135,7 @@ def window_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def even_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_jobs = ingest.seconds(ingest.sentences(ingest.timeline(ingest.documents(spark, sf_dir))))
+    long_jobs = ingest.seconds(ingest.segments(ingest.documents(spark, sf_dir), one_turn=True)).withColumn("text", F.lit(""))
     return windows.candidates(long_jobs).select("job_id", "id", "start_s", "end_s")
 
 
@@ -221,12 +239,16 @@ def layout_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.as_json(layout.metrics(stats(spark, sf_dir), n_samples=N), "clip_id")
+    found = layout.metrics(stats(spark, sf_dir), event_clips(spark, sf_dir), samples(spark, sf_dir))
+    rows = found.select("*", F.posexplode_outer("tracks").alias("place", "t"))
+    box = [F.get("t.median_box", k).alias(f"median_{c}") for k, c in enumerate("xywh")]
+    limits = [F.col(f"thresholds.{k}").alias(k) for k in ("persistent_coverage", "min_separation_frac")]
+    return rows.select("clip_id", "samples", "clip_seconds", "place", "t.id", "t.coverage", "t.span", "t.longest_gap_s", "t.fragments", *box, *limits, "separation", "strength_ratio", "second_span", "second_longest_gap_s")
 
 
 @query
 def layout_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)), N)
+    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)), samples(spark, sf_dir))
     return plan.select("clip_id", "note", text.layout_label(F.col("layout")).alias("label"))
 
 
@@ -259,8 +281,9 @@ def series_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyframe_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = filled(spark, sf_dir).withColumn("keys", series.keyframes(F.col("v")))
-    return keys.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("i"), "keys").select("clip_id", F.col("i").cast("int").alias("sample_idx"), F.round(series.value_at(F.col("keys"), F.col("i") / F.lit(2.0)), 6).alias("v"))
+    keys = filled(spark, sf_dir).select("clip_id", F.size("v").alias("n"), series.keyframes(F.col("v")).alias("keys"))
+    times = F.sequence(F.lit(0), F.col("n") - 1)
+    return unrolled(keys.select("clip_id", let(F.col("keys"), lambda keys: F.transform(times, lambda i: series.value_at(keys, i / F.lit(2.0)))).alias("v")))
 
 
 @query
@@ -280,7 +303,7 @@ def debug_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = event_clips(spark, sf_dir).withColumn("height", F.lit(HEIGHT))
-    return layout.crop_regions(layout.plan_layout(stats(spark, sf_dir), clips), ingest.event_boxes(spark, sf_dir), clips, N)
+    return layout.crop_regions(layout.plan_layout(stats(spark, sf_dir), clips), ingest.event_boxes(spark, sf_dir), clips, samples(spark, sf_dir))
 
 
 @query
@@ -298,14 +321,49 @@ def filter_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "layout", render.filter_graph(F.col("layout"), F.col("regions"), captions).alias("graph"))
 
 
+def planned_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlight clips with the layout of the event clip of their job's number; the centre crop where there is none."""
+    plan = layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)).select(F.col("clip_id").alias("job_id"), "layout")
+    rows = chosen(spark, sf_dir).join(plan, "job_id", "left")
+    return clip_files.clip_names(rows.withColumn("layout", F.coalesce("layout", F.lit("CENTER_CROP"))))
+
+
 @query
 def render_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clips(spark, sf_dir).withColumn("out", F.concat(F.lit("clip_"), (F.col("clip_idx") + 1).cast("string"), F.lit(".mp4")))
-    script = F.when(F.col("clip_idx") % 2 == 0, F.replace("out", F.lit(".mp4"), F.lit(".filter")))
-    args = render.command(F.lit("source.mp4"), F.col("start_cs") / F.lit(100.0), F.col("end_cs") / F.lit(100.0), text.filter_option(F.lit(7)), script, F.lit(None).cast("string"), F.col("out"))
+    rows = planned_clips(spark, sf_dir)
+    script = F.when(F.col("layout") != "CENTER_CROP", F.col("filter_file"))
+    args = render.command(F.lit("source.mp4"), F.col("start_s"), F.col("end_s"), text.filter_option(F.lit(7)), script, F.col("caption_file"), F.col("clip_file"))
     return rows.select("job_id", "clip_idx", F.array_join(args, " ").alias("command"))
 
 
+@query
+def clip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.clip_records(planned_clips(spark, sf_dir), "/output").select("job_id", "layout", "index", "start_s", "end_s", "duration", six("score"), "url", "filename")
+
+
+@query
+def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves that are exact in binary, halves that only seem so in decimals, and values off any grid."""
+    v = F.col("value")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(F.array(F.round(v, 0) / 8, F.round(v, 2) + 0.005, v * 1.0037, -v / 7, F.round(v, 2) * 1000 + 0.0005)).alias("x"))
+    return rows.select("event_id", "x", exact_round(F.col("x"), 2).alias("hundredths"), exact_round(F.col("x"), 3).alias("thousandths"), exact_round(F.col("x"), 0).alias("whole"), fixed(F.col("x"), 1).alias("text"), fixed(F.col("x"), 3).alias("long_text"))
+
+
+@query
+def window_thinning_off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows at times that are no whole centiseconds."""
+    off = segments_of(spark, sf_dir).withColumns({"start_s": F.col("start_s") * 1.0003 + 0.005, "end_s": F.col("end_s") * 1.0003 + 0.005})
+    return windows.thin(windows.enumerate_windows(off)).select("job_id", "bucket", "i", "j", "start_s", "end_s")
+
+
+@query
+def greedy_selection_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all windows of a job, not of 40 candidates, those that a greedy choice takes."""
+    every = windows.enumerate_windows(segments_of(spark, sf_dir))
+    scored = scoring.heuristic(every.withColumn("id", (F.col("i") * 100_000 + F.col("j")).cast("int")))
+    return selection.select_spread(scored).select("job_id", "clip_idx", "id", "start_s", "end_s")
+
+
 @query
 def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.link_tracks(ingest.event_detections(spark, sf_dir))
@@ -366,6 +424,16 @@ def public_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.is_public_file(name).alias("ok"))
 
 
+@query
+def served_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips in folders named by the paths of pages, with as many steps back as the page's number of lines allows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/?(.*)$", 1)
+    back = F.repeat(F.lit("../"), (F.length("html") % 5).cast("int"))
+    folder = F.concat(F.lit("./"), path, F.lit("//"), back)
+    return pages.select("page_id", text.is_served(F.lit("/srv/out"), folder, F.lit("clip_1.mp4")).alias("ok"))
+
+
 @query
 def source_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -1,24 +1,15 @@
-"""Filter text and command arguments for clips; nothing is run here. Numbers have at most one decimal, three for times."""
+"""Filter text and command arguments for clips; nothing is run here."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numeric import let
+from ..functions.numeric import fixed, let
 
 OUT_W, OUT_H = 1080, 1920
 
 
-def decimal(v: Column, digits: int) -> Column:
-    """Text with so many decimals, from a whole number of them; for values on that grid."""
-    scale = 10**digits
-    whole = F.bround(v * scale).cast("long")
-    size = F.abs(whole)
-    text = F.concat(F.floor(size / scale).cast("string"), F.lit("."), F.lpad((size % scale).cast("string"), digits, "0"))
-    return F.when(whole < 0, F.concat(F.lit("-"), text)).otherwise(text)
-
-
 def expression(keys: Column) -> Column:
     """Nested text that is linear in t between keyframes (array of t, v); one number if they all but agree."""
     return let(keys, _expression)
@@ -30,13 +21,15 @@ def _expression(keys: Column) -> Column:
     flat = (F.size(keys) == 1) | F.forall(keys, lambda k: F.abs(k["v"] - first["v"]) < 0.5)
     pairs = F.arrays_zip(F.slice(keys, F.lit(1), F.greatest(F.size(keys) - 1, F.lit(0))).alias("a"), F.slice(keys, F.lit(2), F.greatest(F.size(keys) - 1, F.lit(0))).alias("b"))
 
-    def wrap(inner: Column, p: Column) -> Column:
+    def piece(p: Column) -> Column:
         a, b = p["a"], p["b"]
         dt = F.greatest(b["t"] - a["t"], F.lit(0.001))
-        piece = F.concat(F.lit("("), decimal(a["v"], 1), F.lit("+("), decimal(b["v"] - a["v"], 1), F.lit(")*(t-"), decimal(a["t"], 3), F.lit(")/"), decimal(dt, 3), F.lit(")"))
-        return F.concat(F.lit("if(lt(t,"), decimal(b["t"], 3), F.lit("),"), piece, F.lit(","), inner, F.lit(")"))
+        return F.concat(
+            F.lit("if(lt(t,"), fixed(b["t"], 3), F.lit("),("), fixed(a["v"], 1), F.lit("+("), fixed(b["v"] - a["v"], 1), F.lit(")*(t-"), fixed(a["t"], 3), F.lit(")/"), fixed(dt, 3), F.lit("),")
+        )
 
-    return F.when(flat, decimal(first["v"], 1)).otherwise(F.aggregate(F.reverse(pairs), decimal(last["v"], 1), wrap))
+    nested = F.concat(F.array_join(F.transform(pairs, piece), ""), fixed(last["v"], 1), F.repeat(F.lit(")"), F.size(pairs)))
+    return F.when(flat, fixed(first["v"], 1)).otherwise(nested)
 
 
 def crop(region: Column) -> Column:
@@ -50,21 +43,40 @@ def burn(captions: Column) -> Column:
 
 def filter_graph(layout: Column, regions: Column, captions: Column) -> Column:
     """Filter text of a plan; null for the centre crop, which has no regions."""
-    one, two = F.try_element_at(regions, F.lit(1)), F.try_element_at(regions, F.lit(2))
     scale = lambda h: F.lit(f",scale={OUT_W}:{h},setsar=1")
-    single = F.concat(F.lit("[0:v]"), crop(one), scale(OUT_H), burn(captions), F.lit("[v]"))
-    split = F.concat(F.lit("[0:v]split=2[a][b];[a]"), crop(one), scale(OUT_H // 2), F.lit("[top];[b]"), crop(two), scale(OUT_H // 2), F.lit("[bot];[top][bot]vstack=inputs=2"), burn(captions), F.lit("[v]"))
-    return F.when(layout == "SINGLE_PERSON", single).when(layout == "TWO_PERSON", split)
+
+    def joined(crops: Column) -> Column:
+        one, two = F.try_element_at(crops, F.lit(1)), F.try_element_at(crops, F.lit(2))
+        single = F.concat(F.lit("[0:v]"), one, scale(OUT_H), burn(captions), F.lit("[v]"))
+        split = F.concat(F.lit("[0:v]split=2[a][b];[a]"), one, scale(OUT_H // 2), F.lit("[top];[b]"), two, scale(OUT_H // 2), F.lit("[bot];[top][bot]vstack=inputs=2"), burn(captions), F.lit("[v]"))
+        return F.when(layout == "SINGLE_PERSON", single).when(layout == "TWO_PERSON", split)
+
+    return let(F.transform(regions, crop), joined)
 
 
 def center_filter(captions: Column) -> Column:
     return F.concat(F.lit(f"scale=w={OUT_W}:h={OUT_H}:force_original_aspect_ratio=increase,crop={OUT_W}:{OUT_H},setsar=1"), burn(captions))
 
 
+#: Fixed value: how clips are encoded.
+ENCODING = [
+    "-r", "30",
+    "-c:v", "libx264",
+    "-preset", "veryfast",
+    "-crf", "23",
+    "-pix_fmt", "yuv420p",
+    "-c:a", "aac",
+    "-b:a", "128k",
+    "-ac", "2",
+    "-movflags", "+faststart",
+]
+#: Fixed value: how the encoder is called.
+ENCODER = ["ffmpeg", "-y", "-hide_banner", "-loglevel", "error"]
+
+
 def command(source: Column, start: Column, end: Column, option: Column, script: Column, captions: Column, out: Column) -> Column:
     """Arguments that cut and render one clip: with a filter script, or if that is null with the centre filter."""
-    texts = lambda line: [F.lit(a) for a in line.split()]
-    head = F.array(*texts("ffmpeg -y -hide_banner -loglevel error -ss"), decimal(start, 3), F.lit("-t"), decimal(end - start, 3), F.lit("-i"), source)
-    video = F.when(script.isNotNull(), F.array(option, script, *texts("-map [v] -map 0:a?"))).otherwise(F.array(F.lit("-vf"), center_filter(captions)))
-    encode = "-r 30 -c:v libx264 -preset veryfast -crf 23 -pix_fmt yuv420p -c:a aac -b:a 128k -ac 2 -movflags +faststart"
-    return F.concat(head, video, F.array(*texts(encode), out))
+    texts = lambda words: [F.lit(a) for a in words]
+    head = F.array(*texts(ENCODER), F.lit("-ss"), fixed(start, 3), F.lit("-t"), fixed(end - start, 3), F.lit("-i"), source)
+    video = F.when(script.isNotNull(), F.array(option, script, *texts(["-map", "[v]", "-map", "0:a?"]))).otherwise(F.array(F.lit("-vf"), center_filter(captions)))
+    return F.concat(head, video, F.array(*texts(ENCODING), out))

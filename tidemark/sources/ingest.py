@@ -5,10 +5,13 @@ Times are whole centiseconds (cs), so that seconds are exact to two digits in an
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import fixed
 from ..functions.text import strip
 
 TRANSCRIPT = T.StructType(
@@ -38,6 +41,13 @@ def transcript_segments(transcripts: DataFrame) -> DataFrame:
     return rows.select("job_id", F.col("seg_idx").cast("int").alias("seg_idx"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), strip(F.col("s.text")).alias("text"))
 
 
+def transcription_note(transcripts: DataFrame) -> DataFrame:
+    """job_id and a sentence on how each transcript was made; what it does not say is shown as a question mark or nought."""
+    known = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    seconds_ = fixed(F.coalesce("duration_seconds", F.lit(0.0)), 0)
+    return transcripts.select("job_id", F.concat(F.lit("transcribed with whisper "), known("model"), F.lit(" (language "), known("language"), F.lit(", "), seconds_, F.lit(" s)")).alias("note"))
+
+
 def transcript_words(transcripts: DataFrame) -> DataFrame:
     full = F.filter("words", lambda s: F.length(strip(s["word"])) > 0)
     rows = transcripts.select("job_id", F.posexplode(full).alias("word_idx", "w"))
@@ -103,6 +113,25 @@ def sentences(words: DataFrame) -> DataFrame:
     return parts.select("job_id", F.col("seg").cast("int").alias("seg_idx"), "start_cs", "end_cs", "text")
 
 
+def segments(texts: DataFrame, one_turn: bool = False) -> DataFrame:
+    """The segments of sentences(timeline(texts)), cut within each (job_id, turn, text) row.
+
+    Only turns are shuffled and numbered, never words; with one_turn, for jobs of one turn each, nothing is.
+    """
+    rows = texts.select("job_id", F.col("turn").cast("long").alias("turn"), F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0).alias("parts"))
+    n = F.size("parts")
+    stops = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | F.right(F.element_at("parts", i + 1), F.lit(1)).isin(".", "!", "?"))
+    rows = rows.where(n > 0).withColumn("stops", stops)
+    before = Window.partitionBy("job_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda size: F.lit(0) if one_turn else F.coalesce(F.sum(size).over(before), F.lit(0))
+    rows = rows.withColumns({"base": earlier(n), "seg_base": earlier(F.size("stops"))})
+    spans = F.transform("stops", lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get("stops", i - 1) + 1).alias("a"), e.alias("e")))
+    found = rows.select("job_id", "turn", "base", "seg_base", "parts", F.posexplode(spans).alias("pos", "x"))
+    at = lambda k: (F.col("base") + F.col(k)) * 40 + F.col("turn") * 150
+    text = F.array_join(F.slice("parts", F.col("x.a") + 1, F.col("x.e") - F.col("x.a") + 1), " ")
+    return found.select("job_id", (F.col("seg_base") + F.col("pos")).cast("int").alias("seg_idx"), at("x.a").alias("start_cs"), (at("x.e") + 36).alias("end_cs"), text.alias("text"))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("job_id"), "turn", "text")
 
@@ -111,12 +140,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("turn"), "text")
 
 
+def event_grid(spark: SparkSession, sf_dir: str) -> tuple[date | None, int]:
+    """The first day of all events, and how many samples of half a day there are from it to the last event."""
+    last = F.max(F.struct(F.to_date("ts").alias("day"), F.floor(F.hour("ts") / 12).alias("half")))
+    row = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(F.to_date("ts")).alias("first"), last.alias("last")).first()
+    return (row["first"], (row["last"]["day"] - row["first"]).days * 2 + row["last"]["half"] + 1) if row["first"] else (None, 0)
+
+
 def event_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with clip_id and sample_idx, the number of half a day from 2024-01-01 on, 0 to 59."""
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    """Events with clip_id and sample_idx, the number of half a day from the day of the first event on."""
+    first, _ = event_grid(spark, sf_dir)
+    day = F.datediff(F.to_date("ts"), F.lit(first).cast("date"))
     bins = (day * 2 + F.floor(F.hour("ts") / 12)).cast("int")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("clip_id"), "event_type", "value", bins.alias("sample_idx"))
-    return rows.where(F.col("sample_idx").between(0, 59))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null").select(F.col("user_id").cast("string").alias("clip_id"), "event_type", "value", bins.alias("sample_idx"))
 
 
 def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

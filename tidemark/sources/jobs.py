@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import exact_round
 from ..functions.text import is_source_url, status_text
 
 QUEUED = "Waiting for a free slot..."
@@ -35,5 +36,14 @@ def health(jobs: DataFrame, version: str = "1.0.0", model: str = "model") -> Dat
     return jobs.agg(F.lit("ok").alias("status"), F.lit(version).alias("version"), F.lit(model).alias("model"), F.count_if(F.col("stage").isin(*RUNNING)).alias("running"), F.count_if(F.col("stage") == "queued").alias("queued"), F.count("*").alias("known"))
 
 
+def clip_records(clips: DataFrame, prefix: str) -> DataFrame:
+    """What a finished job tells of its clips (job_id, clip_idx, layout, start_s, end_s, score, text, clip_file, note if any)."""
+    note = F.col("note") if "note" in clips.columns else F.lit("")
+    return clips.select(
+        "job_id", "layout", note.alias("layout_note"), (F.col("clip_idx") + 1).alias("index"), "start_s", "end_s", exact_round(F.col("end_s") - F.col("start_s"), 1).alias("duration"),
+        "score", "text", F.concat(F.lit(f"{prefix}/"), "job_id", F.lit("/"), "clip_file").alias("url"), F.col("clip_file").alias("filename"),
+    )
+
+
 def stage_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("stage").agg(F.count("*").alias("n"))
