@@ -59,6 +59,10 @@ def test_windows_against_a_loop(spark):
     df = spark.createDataFrame(rows, SEGMENTS)
     assert {(x.job_id, x.i, x.j) for x in windows.enumerate_windows(df).collect()} == expected
     assert {(x.job_id, x.i, x.j) for x in windows.binned_windows(df).collect()} == expected
+    off = df.withColumns({"start_s": F.col("start_s") * 1.0003 + 0.005, "end_s": F.col("end_s") * 1.0003 + 0.005})
+    want = sorted(map(tuple, windows.thin(windows.enumerate_windows(off)).collect()))
+    assert sorted(map(tuple, windows.thin_windows(off).collect())) == want
+    assert sorted(map(tuple, windows.thin_windows(off, texts=False).drop("text").collect())) == [x[:-1] for x in want]
 
 
 @pytest.mark.parametrize("n", [40, 41, 164, 368])

@@ -32,6 +32,8 @@ def best_first(detections: DataFrame) -> DataFrame:
 
 #: Up to so many pairs of open tracks and boxes are all measured; of more only those in neighbouring cells.
 DENSE = 1024
+#: Up to so many are measured one by one, as arrays would cost more.
+SMALL = 16
 
 
 def near_pairs(old: np.ndarray, new: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,36 +78,49 @@ def _grid(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Linker:
-    """Open tracks of one clip as arrays in the order that they began. Samples are handed in by rising number; a track ends
-    after a gap of more than c.link_gap."""
+    """Open tracks of one clip in the order that they began. Samples are handed in by rising number; a track ends after a gap
+    of more than c.link_gap."""
 
     def __init__(self, scale: float = 1.0, c: Tracking = DEFAULT):
         self.scale, self.c, self.made = scale, c, 0
-        self.ids, self.seen, self.boxes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4))
-
-    def add(self, sample: int, boxes: np.ndarray) -> np.ndarray:
+        self.ids: list[int] = []
+        self.seen: list[int] = []
+        self.boxes: list[list[float]] = []
+
+    def _pairs(self, new: list[list[float]]) -> list[tuple[float, int, int]]:
+        """(distance, track, box) of all that may be linked, by rising distance, track and box."""
+        limit = self.c.link_distance
+        if len(new) * len(self.boxes) > SMALL:
+            i, k, far = near_pairs(np.array(self.boxes), np.array(new), limit)
+            return sorted(zip(far.tolist(), i.tolist(), k.tolist()))
+        out = []
+        for i, (x, y, w, h) in enumerate(self.boxes):
+            for k, (u, v, p, q) in enumerate(new):
+                widest = max(w, p)
+                if widest > 0 and (far := float(np.hypot(u + p / 2 - (x + w / 2), v + q / 2 - (y + h / 2))) / widest) <= limit:
+                    out.append((far, i, k))
+        return sorted(out) if len(out) > 1 else out
+
+    def add(self, sample: int, boxes: np.ndarray) -> list[int]:
         """The track of each box (rows of x, y, w, h); a pair is linked by rising (distance, track, box), once each."""
-        boxes = boxes.reshape(-1, 4) * self.scale
-        open_ = sample - self.seen <= self.c.link_gap
-        if not open_.all():
-            self.ids, self.seen, self.boxes = self.ids[open_], self.seen[open_], self.boxes[open_]
-        at = np.full(len(boxes), -1)
-        if len(boxes) and len(self.ids):
-            track, box, far = near_pairs(self.boxes, boxes, self.c.link_distance)
-            taken = set()
-            for i in np.lexsort((box, track, far)).tolist() if len(track) > 1 else range(len(track)):
-                if at[box[i]] < 0 and track[i] not in taken:
-                    taken.add(track[i])
-                    at[box[i]] = track[i]
-        linked, fresh = at >= 0, np.flatnonzero(at < 0)
-        self.seen[at[linked]] = sample
-        self.boxes[at[linked]] = boxes[linked]
-        at[fresh] = len(self.ids) + np.arange(len(fresh))
-        self.ids = np.concatenate([self.ids, self.made + np.arange(len(fresh))])
-        self.seen = np.concatenate([self.seen, np.full(len(fresh), sample)])
-        self.boxes = np.concatenate([self.boxes, boxes[fresh]])
-        self.made += len(fresh)
-        return self.ids[at]
+        new = (boxes.reshape(-1, 4) * self.scale).tolist()
+        if self.seen and sample - min(self.seen) > self.c.link_gap:
+            open_ = [i for i, s in enumerate(self.seen) if sample - s <= self.c.link_gap]
+            self.ids, self.seen, self.boxes = ([x[i] for i in open_] for x in (self.ids, self.seen, self.boxes))
+        out = [-1] * len(new)
+        taken = set()
+        for _, i, k in self._pairs(new):
+            if out[k] < 0 and i not in taken:
+                taken.add(i)
+                out[k], self.seen[i], self.boxes[i] = self.ids[i], sample, new[k]
+        for k, t in enumerate(out):
+            if t < 0:
+                out[k] = self.made
+                self.ids.append(self.made)
+                self.seen.append(sample)
+                self.boxes.append(new[k])
+                self.made += 1
+        return out
 
 
 def merge(track: np.ndarray, sample: np.ndarray, boxes: np.ndarray, c: Tracking = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +187,14 @@ def _track(detections: DataFrame, scale: float, c: Tracking, merged: bool) -> Da
                 if turn[k] and (k or waiting is run or waiting != rows["clip_id"][0].as_py()):
                     if tracks:
                         held.append(rows.slice(begun, at[k] - begun))
-                        yield from out(pa.concat_tables(held), np.concatenate(tracks))
+                        yield from out(pa.concat_tables(held), np.array(tracks, np.int64))
                     linker, held, tracks, begun = Linker(scale, c), [], [], at[k]
-                tracks.append(linker.add(int(numbers[at[k]]), boxes[at[k] : at[k + 1]]))
+                tracks += linker.add(int(numbers[at[k]]), boxes[at[k] : at[k + 1]])
             if n:
                 waiting = rows["clip_id"][int(at[n - 1])].as_py()
                 held.append(rows.slice(begun, at[n] - begun))
                 if last or not merged:
-                    yield from out(pa.concat_tables(held), np.concatenate(tracks))
+                    yield from out(pa.concat_tables(held), np.array(tracks, np.int64))
                     held, tracks = [], []
 
         left = None
@@ -194,7 +209,7 @@ def _track(detections: DataFrame, scale: float, c: Tracking, merged: bool) -> Da
             yield from samples(left.combine_chunks(), last=True)
 
     rows = detections.select("clip_id", F.col("sample_idx").cast("int").alias("sample_idx"), *[F.coalesce(F.col(k).cast("double"), F.lit(float("nan"))).alias(k) for k in "xywh"], "score", "det_idx")
-    dealt = rows.where("sample_idx is not null").repartition("clip_id").sortWithinPartitions("clip_id", "sample_idx", F.desc("score"), "det_idx")
+    dealt = rows.where("sample_idx is not null").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip_id").sortWithinPartitions("clip_id", "sample_idx", F.desc("score"), "det_idx")
     return dealt.select("clip_id", "sample_idx", *"xywh").mapInArrow(run, BOXES)
 
 

@@ -13,27 +13,53 @@ from ..functions.numeric import exact_round
 DEFAULT = Windows()
 
 
-def enumerate_windows(segments: DataFrame, c: Windows = DEFAULT) -> DataFrame:
-    """All windows (job_id, i, j, start_s, end_s, text) of consecutive segments that are neither too short nor too long.
+def _ahead(segments: DataFrame, c: Windows, *more: str) -> DataFrame:
+    """segments (job_id, i, start_s and others) with near, the segments from each on up to the last of its windows.
 
-    From each segment on windows grow by one segment until one reaches the target length or the next is too long. A range
-    frame over starts gathers only the segments that can stand in a window, so there is one shuffle by job and no join.
-    Starts must not fall with seg_idx, nor a segment end before it starts.
+    A range frame over starts gathers only the segments that can stand in a window, so there is one shuffle by job and no join.
     """
     order = Window.partitionBy("job_id").orderBy("start_s").rangeBetween(0, ceil(c.longest))
-    ahead = F.collect_list(F.struct("seg_idx", "end_s", "text")).over(order)
-    rows = segments.select("job_id", F.col("seg_idx").alias("i"), "start_s", ahead.alias("near"))
+    ahead = F.collect_list(F.struct("seg_idx", "end_s", *more)).over(order)
+    rows = segments.select("job_id", F.col("seg_idx").alias("i"), "start_s", *[k for k in segments.columns if k not in ("job_id", "seg_idx", "start_s", "end_s", "text")], ahead.alias("near"))
     own = F.filter(F.array_sort("near"), lambda x: x["seg_idx"] >= F.col("i"))
     rows = rows.withColumn("near", own)
     reach = F.array_position(F.transform("near", lambda x: x["end_s"] - F.col("start_s") >= c.target), True)
     last = F.when(reach > 0, reach).otherwise(F.size("near")).cast("int")
-    rows = rows.withColumn("near", F.slice("near", F.lit(1), last)).withColumn("texts", F.transform("near", lambda x: x["text"]))
+    return rows.withColumn("near", F.slice("near", F.lit(1), last))
+
+
+def enumerate_windows(segments: DataFrame, c: Windows = DEFAULT) -> DataFrame:
+    """All windows (job_id, i, j, start_s, end_s, text) of consecutive segments that are neither too short nor too long.
+
+    From each segment on windows grow by one segment until one reaches the target length or the next is too long. Starts must
+    not fall with seg_idx, nor a segment end before it starts.
+    """
+    rows = _ahead(segments, c, "text").withColumn("texts", F.transform("near", lambda x: x["text"]))
     found = rows.select("job_id", "i", "start_s", "texts", F.posexplode("near").alias("pos", "x"))
     found = found.where((F.col("x.end_s") - F.col("start_s")).between(c.shortest, c.longest))
     text = F.array_join(F.slice("texts", F.lit(1), F.col("pos") + 1), " ")
     return found.select("job_id", "i", F.col("x.seg_idx").alias("j"), "start_s", F.col("x.end_s").alias("end_s"), text.alias("text"))
 
 
+def thin_windows(segments: DataFrame, c: Windows = DEFAULT, texts: bool = True) -> DataFrame:
+    """thin(enumerate_windows(segments)), by a first choice among the windows of each segment before any row is made.
+
+    All windows from one segment lie in one bucket, so the best of them is found in place, with times that were rounded
+    once a segment; buckets then meet one row a segment. Without texts they are not gathered, and text is null.
+    """
+    near = segments.withColumns({"from_s": exact_round(F.col("start_s"), 2), "to_s": exact_round(F.col("end_s"), 2)})
+    rows = _ahead(near, c, "to_s", *(["text"] if texts else []))
+    fits = F.filter("near", lambda x: (x["end_s"] - F.col("start_s")).between(c.shortest, c.longest))
+    far = lambda x: F.abs(x["to_s"] - F.col("from_s") - c.target)
+    best = F.array_min(F.transform(fits, lambda x: F.struct(far(x).alias("far"), F.col("i").alias("i"), x["seg_idx"].alias("j"), x["to_s"].alias("to_s"))))
+    rows = rows.withColumn("best", best).where("best is not null")
+    text = F.array_join(F.transform(F.filter("near", lambda x: x["seg_idx"] <= F.col("best.j")), lambda x: x["text"]), " ") if texts else F.lit(None).cast("string")
+    bucket = F.floor(F.col("from_s") / F.lit(c.bucket)).cast("long")
+    rows = rows.select("job_id", bucket.alias("bucket"), "best", F.struct("from_s", text.alias("text")).alias("rest"))
+    found = rows.groupBy("job_id", "bucket").agg(F.min("best").alias("x"), F.min_by("rest", "best").alias("y"))
+    return found.select("job_id", "bucket", "x.i", "x.j", F.col("y.from_s").alias("start_s"), F.col("x.to_s").alias("end_s"), "y.text")
+
+
 def binned_windows(segments: DataFrame, c: Windows = DEFAULT) -> DataFrame:
     """As enumerate_windows (without text), for jobs so long that one task must not hold them: an equi-join on time bins.
 
@@ -74,5 +100,5 @@ def number(windows: DataFrame, c: Windows = DEFAULT) -> DataFrame:
     return rows.withColumn("id", k.cast("int")).where("id is not null").select("job_id", "id", "start_s", "end_s", "text")
 
 
-def candidates(segments: DataFrame, c: Windows = DEFAULT) -> DataFrame:
-    return number(thin(enumerate_windows(segments, c), c), c)
+def candidates(segments: DataFrame, c: Windows = DEFAULT, texts: bool = True) -> DataFrame:
+    return number(thin_windows(segments, c, texts), c)

@@ -135,8 +135,8 @@ def window_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def even_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_jobs = ingest.seconds(ingest.segments(ingest.documents(spark, sf_dir), one_turn=True)).withColumn("text", F.lit(""))
-    return windows.candidates(long_jobs).select("job_id", "id", "start_s", "end_s")
+    long_jobs = ingest.seconds(ingest.segments(ingest.documents(spark, sf_dir), one_turn=True))
+    return windows.candidates(long_jobs, texts=False).select("job_id", "id", "start_s", "end_s")
 
 
 @query

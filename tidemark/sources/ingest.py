@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import fixed
+from ..functions.numeric import fixed, let
 from ..functions.text import strip
 
 TRANSCRIPT = T.StructType(
@@ -116,20 +116,25 @@ def sentences(words: DataFrame) -> DataFrame:
 def segments(texts: DataFrame, one_turn: bool = False) -> DataFrame:
     """The segments of sentences(timeline(texts)), cut within each (job_id, turn, text) row.
 
-    Only turns are shuffled and numbered, never words; with one_turn, for jobs of one turn each, nothing is.
+    Whole turns are dealt by job, and only turns are numbered, never words; with one_turn, for jobs of one turn each, none are.
+    What groups by job afterwards needs no other shuffle.
     """
+    texts = texts.repartition("job_id") if one_turn else texts
     rows = texts.select("job_id", F.col("turn").cast("long").alias("turn"), F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0).alias("parts"))
     n = F.size("parts")
-    stops = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | F.right(F.element_at("parts", i + 1), F.lit(1)).isin(".", "!", "?"))
-    rows = rows.where(n > 0).withColumn("stops", stops)
+    ends = lambda i: F.when((i == n - 1) | F.right(F.element_at("parts", i + 1), F.lit(1)).isin(".", "!", "?"), i)
+    stops = F.filter(F.transform("parts", lambda _, i: ends(i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("stops", stops).withColumns({"words": n, "cut": F.size("stops")})
     before = Window.partitionBy("job_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda size: F.lit(0) if one_turn else F.coalesce(F.sum(size).over(before), F.lit(0))
-    rows = rows.withColumns({"base": earlier(n), "seg_base": earlier(F.size("stops"))})
-    spans = F.transform("stops", lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get("stops", i - 1) + 1).alias("a"), e.alias("e")))
-    found = rows.select("job_id", "turn", "base", "seg_base", "parts", F.posexplode(spans).alias("pos", "x"))
+    rows = rows.withColumns({"base": earlier("words"), "seg_base": earlier("cut")})
+    first = lambda stops, i: F.when(i == 0, 0).otherwise(F.get(stops, i - 1) + 1)
+    text = lambda parts, a, e: F.array_join(F.slice(parts, a + 1, e - a + 1), " ")
+    span = lambda parts, stops, e, i: let(first(stops, i), lambda a: F.struct(a.alias("a"), e.alias("e"), text(parts, a, e).alias("text")))
+    spans = let(F.col("parts"), lambda parts: let(F.col("stops"), lambda stops: F.transform(stops, lambda e, i: span(parts, stops, e, i))))
+    found = rows.select("job_id", "turn", "base", "seg_base", F.posexplode(spans).alias("pos", "x"))
     at = lambda k: (F.col("base") + F.col(k)) * 40 + F.col("turn") * 150
-    text = F.array_join(F.slice("parts", F.col("x.a") + 1, F.col("x.e") - F.col("x.a") + 1), " ")
-    return found.select("job_id", (F.col("seg_base") + F.col("pos")).cast("int").alias("seg_idx"), at("x.a").alias("start_cs"), (at("x.e") + 36).alias("end_cs"), text.alias("text"))
+    return found.select("job_id", (F.col("seg_base") + F.col("pos")).cast("int").alias("seg_idx"), at("x.a").alias("start_cs"), (at("x.e") + 36).alias("end_cs"), "x.text")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,20 +61,18 @@ class LinkProcessor(StatefulProcessor):
             return
         linker = Linker(self.scale, self.c)
         linker.made = self.made.get()[0] if self.made.exists() else 0
-        order = sorted(tracks)
-        if order:
-            linker.ids, linker.seen = np.array(order), np.array([tracks[t][0] for t in order])
-            linker.boxes = np.array([tracks[t][2] for t in order])
+        linker.ids = sorted(tracks)
+        linker.seen, linker.boxes = [tracks[t][0] for t in linker.ids], [list(tracks[t][2]) for t in linker.ids]
         step = 1000 / self.c.sample_fps
         out, ends = [], {}
         for sample in sorted(due):
             found = sorted(due[sample])
             ids = linker.add(sample, np.array([box for *_, box in found]))
-            for (_, det, ms, _), t in zip(found, ids.tolist()):
+            for (_, det, ms, _), t in zip(found, ids):
                 out.append((key[0], sample, det, t))
                 ends[t] = max(ends.get(t, 0), int(ms + (self.c.link_gap + 1) * step))
                 self.waiting.removeKey((sample, det))
-        kept = dict(zip(linker.ids.tolist(), zip(linker.seen.tolist(), linker.boxes.tolist())))
+        kept = dict(zip(linker.ids, zip(linker.seen, linker.boxes)))
         for t in tracks:
             if t not in kept:
                 self.open.removeKey((t,))
