@@ -509,6 +509,49 @@ def test_licenses_against_brute_force(spark, docs):
         assert r.dice == pytest.approx(best if best >= licenses.THRESHOLD else 0.0)
 
 
+def best_runs(text):
+    """The best coefficient of each license over all runs of lines."""
+    lines, out = text.split("\n"), {}
+    sets = [(n, set(licenses.bigrams(t).tolist())) for n, t in licenses.TEMPLATES]
+    for a in range(len(lines)):
+        for b in range(a, len(lines)):
+            own = set(licenses.bigrams("\n".join(lines[a : b + 1])).tolist())
+            for n, s in sets:
+                out[n] = max(out.get(n, 0.0), 2 * len(own & s) / (len(own) + len(s)))
+    return out
+
+
+@pytest.mark.parametrize("times", [0, 1, 17, 18, 30])
+def test_licenses_with_a_line_that_repeats(spark, times):
+    words = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).split()
+    lines = [" ".join(words[k * len(words) // 8 : (k + 1) * len(words) // 8]) for k in range(8)]
+    text = "\n".join(lines[:4] + [lines[3]] * times + lines[4:])
+    (got,) = licenses.find_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got.license == "MIT" and got.dice == pytest.approx(best_runs(text)["MIT"]) and got.dice > 0.95
+
+
+def test_licenses_over_repeated_lines_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    parts = [p for _, t in licenses.TEMPLATES for p in re.split(r"(?<=[.,]) ", t) if p.strip()]
+    texts = []
+    for i in range(40):
+        own = [parts[k] for k in r.integers(0, len(parts), 3)] + re.split(r"(?<=[.,]) ", licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1])
+        texts.append("\n".join(x for p in own for x in [p] * int(r.choice([1, 1, 1, 2, 25])) + (["other words", ""] if r.random() < 0.1 else []))[:4000])
+    rows = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(x.license is not None for x in rows) > 20
+    for x in rows:
+        best = max(best_runs(x.text).values())
+        assert x.dice == pytest.approx(best if best >= licenses.THRESHOLD else 0.0)
+
+
+def test_licenses_behind_many_repeats(spark):
+    words = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).split()
+    lines = [" ".join(words[k * len(words) // 8 : (k + 1) * len(words) // 8]) for k in range(8)]
+    began = time.monotonic()
+    (got,) = licenses.find_licenses(spark.createDataFrame([(1, "\n".join(lines[:4] + [lines[3]] * 20_000 + lines[4:]))], "doc_id long, text string")).collect()
+    assert got.license == "MIT" and got.dice > 0.95 and time.monotonic() - began < 30
+
+
 PRIVATE = ["row", "site", "lines", "kept", "key", "id", "content", "fp", "__node", "__of", "__id", "__t", "__words", "__row", "__lang", "__text", "__key", "in0", "text_", "h", "r"]
 
 

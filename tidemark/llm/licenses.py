@@ -21,8 +21,6 @@ from .license_texts import TEMPLATES
 from .winnow import grams
 
 THRESHOLD = 0.8
-#: Lines in a row that add no bigram before a run is given up: it would only repeat itself.
-IDLE = 16
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -42,7 +40,7 @@ class Scanner:
         self.threshold = threshold
         self.least = [ceil(threshold / (2 - threshold) * n - 1e-9) for n in self.sizes]
         self.most = [int((2 - threshold) / threshold * n + 1e-9) for n in self.sizes]
-        self.sets = [set(s.tolist()) for s in sets]
+        self.sets = sets
         self.keys = np.unique(np.concatenate(sets))
         self.lut = bool_lut(self.keys)
         holders = defaultdict(list)
@@ -77,31 +75,56 @@ class Scanner:
         return out
 
     def runs(self, raw: np.ndarray, pairs: np.ndarray, starts: np.ndarray, lo: int, hi: int, mine: np.ndarray, t: int) -> list[dict]:
+        """Matches of template t among all runs of lines of a text whose words are lo to hi and whose bigrams at mine are the template's.
+
+        A run's bigrams are those at the first place of each from its start on. Starts are taken from the last to the first: a
+        place that comes in front takes the next place of its bigram out of a linked list, so the list always holds the first
+        places in order. From each start it is followed over at most self.most[t] bigrams; lines that add none cost
+        nothing. Only lines that add a bigram of the template end a run, as any other line makes it no better.
+        """
         breaks = np.flatnonzero(raw == 10)
-        line_of = lambda w: int(np.searchsorted(breaks, starts[w]))
-        n_lines = len(breaks) + 1
-        edges = lo + np.searchsorted(starts[lo:hi], np.concatenate([[0], breaks + 1, [len(raw)]]))  # first word of each line
-        lines = sorted({line_of(w) for w in mine} | {line_of(w + 1) for w in mine})
-        own, size, found = self.sets[t], int(self.sizes[t]), []
-        for i, a in enumerate(lines):
-            seen: set[int] = set()
-            common = idle = 0
-            done = int(edges[a])
-            for b in lines[i:]:
-                stop = int(edges[min(b + 1, n_lines)]) - 1  # bigrams that end in the run
-                before = len(seen)
-                for x in pairs[done : max(done, stop)].tolist():
-                    if x not in seen:
-                        seen.add(x)
-                        common += x in own
-                done = max(done, stop)
-                # A longer run of the same bigrams is no better; a run whose first lines repeat starts later as well.
-                idle = idle + 1 if len(seen) == before else 0
-                if len(seen) > self.most[t] or idle > IDLE:
+        line = np.searchsorted(breaks, starts[lo:hi])
+        first_line, first_word = np.unique(line, return_index=True)
+        word_of = dict(zip(first_line.tolist(), first_word.tolist()))
+        near = mine - lo
+        lines = np.unique(np.concatenate([line[near], line[near + 1]])).tolist()
+        end = int(near[-1]) + 1  # no later bigram is the template's
+        code = np.unique(pairs[lo : lo + end], return_inverse=True)[1].tolist()
+        good = np.isin(pairs[lo : lo + end], self.sets[t]).tolist()
+        ends_in = line[1 : end + 1].tolist()
+        after, before, first = [end] * (end + 1), [-1] * (end + 1), [end] * (max(code) + 1)
+        head, size, most, found = end, int(self.sizes[t]), self.most[t], []
+        place = end
+        for a in reversed(lines):
+            for p in range(place - 1, word_of[a] - 1, -1):
+                old = first[code[p]]
+                if old < end:  # p comes before it
+                    left, right = before[old], after[old]
+                    if left < 0:
+                        head = right
+                    else:
+                        after[left] = right
+                    before[right] = left
+                first[code[p]] = p
+                after[p], before[p], before[head] = head, -1, p
+                head = p
+            place = min(place, word_of[a])
+            p, seen, common, last, gained = head, 0, 0, -1, False
+            while p < end:
+                if ends_in[p] != last:
+                    if gained and (dice := 2 * common / (seen + size)) >= self.threshold:
+                        found.append((-dice, a, last))
+                    last, gained = ends_in[p], False
+                seen += 1
+                if seen > most:
+                    gained = False
                     break
-                dice = 2 * common / (len(seen) + size)
-                if dice >= self.threshold:
-                    found.append((-dice, a, b))
+                if good[p]:
+                    common += 1
+                    gained = True
+                p = after[p]
+            if gained and (dice := 2 * common / (seen + size)) >= self.threshold:
+                found.append((-dice, a, last))
         firsts: list[int] = []  # of the runs that are taken, which do not overlap
         taken: dict[int, tuple[int, float]] = {}
         for dice, a, b in sorted(found):
@@ -118,9 +141,8 @@ MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("d
 def find_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """docs with license (of the best match, null if none), dice (its coefficient, 0 if none), n_matches and matches.
 
-    Every run of whole lines of a text is a candidate (lines count from 0), unless over IDLE lines in a row add no bigram
-    to it, but no part of a line: a licence inside a
-    longer line is missed where the line's other words take it below the threshold. Texts without two words (null, empty) match
+    Every run of whole lines of a text is a candidate (lines count from 0), however often its lines repeat, but no part of a
+    line: a licence inside a longer line is missed where the line's other words take it below the threshold. Texts without two words (null, empty) match
     nothing. Ties go to the license that comes first by name, then the earlier run. Rows are taken one by one, repeated
     rows too; an empty table stays empty. The work grows with the length of a text. Result columns replace columns of
     docs of their names; other columns keep theirs, whatever they are.
