@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 The smallest hash of the k-grams in every window is kept of training and benchmark texts alike; equal hashes are joined
-and each match is extended word by word to both sides. Of every shared span of at least k + window - 1 words at least
-one hash is kept on both sides, so none is missed.
+and each match is extended to the spans around it, by whole spans: those of all items are kept once each, with the items
+that hold them, so that a header which many items share is extended once and not for every item. Of every shared span of at
+least k + window - 1 words at least one hash is kept on both sides, so none is missed.
 """
 
 from __future__ import annotations
@@ -58,13 +59,13 @@ def starts_within(first: np.ndarray, size: int, total: int) -> np.ndarray:
 
 
 class Index:
-    """Benchmark items: their words' hashes, kept k-gram hashes of the long ones and whole hashes of the short ones."""
+    """Benchmark items: kept k-gram hashes and spans of the long ones, and whole hashes of the short ones."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         classes: dict[bytes, int] = {}
         self.items: list[list[str]] = []
-        self.words: list[np.ndarray] = []
         self.bytes: list[list[bytes]] = []
+        words: list[np.ndarray] = []
         for item, text in rows:
             raw = (text or "").encode()
             data = np.frombuffer(raw, np.uint8)
@@ -76,66 +77,53 @@ class Index:
             if key not in classes:
                 classes[key] = len(self.items)
                 self.items.append([])
-                self.words.append(h)
+                words.append(h)
                 self.bytes.append(own)
             self.items[classes[key]].append(item)
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        kept, spans, holders, places = [], [], [], []
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, h in enumerate(self.words):
+        for i, h in enumerate(words):
             if len(h) < SPAN:
                 self.short[len(h)][int(grams(h, len(h))[0])].append(i)
                 continue
-            kg = grams(h, K)
-            kept = np.unique([j + np.flatnonzero(kg[j : j + WINDOW] == kg[j : j + WINDOW].min())[-1] for j in range(len(kg) - WINDOW + 1)])
-            for q in kept:
-                self.postings[int(kg[q])].append((i, int(q)))
-        self.postings = dict(self.postings)
+            kept.append(np.unique(window_minima(grams(h, K), WINDOW)))
+            own = grams(h, SPAN)
+            spans.append(own)
+            holders.append(np.full(len(own), i, np.int32))
+            places.append(np.arange(len(own), dtype=np.int32))
         self.short = {m: dict(x) for m, x in self.short.items()}
-        self.keys = np.sort(np.array(list(self.postings), np.uint64))
+        self.keys = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
         self.lut = bool_lut(self.keys)
+        # Spans by hash: where each begins among (item, place), of which the first is the one that bytes are held against.
+        every = np.concatenate(spans) if spans else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.spans, self.first = np.unique(every[order], return_index=True)
+        self.first = np.append(self.first, len(every))
+        self.holders = np.concatenate(holders)[order] if spans else np.zeros(0, np.int32)
+        self.places = np.concatenate(places)[order] if spans else np.zeros(0, np.int32)
+        self.span_lut = bool_lut(self.spans)
         self.short_keys = {m: np.sort(np.array(list(x), np.uint64)) for m, x in self.short.items()}
         self.short_lut = {m: bool_lut(k) for m, k in self.short_keys.items()}
 
     def match(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each row its number of words, the hit runs of words, and the items of which windows occur."""
         words, starts, ends, first = alnum_words(data, at)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        held: dict[int, set[int]] = defaultdict(set)  # of each row: numbers of spans, and of short items below zero
         same = lambda i, q, p, n: all(data[starts[p + j] : ends[p + j]].tobytes().lower() == self.bytes[i][q + j] for j in range(n))
         if len(self.keys):
-            kg = grams(words, K)
-            low = window_minima(kg, WINDOW)
-            ok = starts_within(first, SPAN, len(words))
-            fresh = ok.copy()
-            fresh[1:] &= ~(ok[:-1] & (low[1:] == low[:-1]))
-            tried = np.flatnonzero(fresh)
+            low = window_minima(grams(words, K), WINDOW)
+            tried = np.flatnonzero(starts_within(first, SPAN, len(words)))
             hit, _ = find_keys(self.keys, self.lut, low[tried])
-            done: dict[tuple[int, int, int], int] = {}
-            for w in tried[hit]:
-                row = int(np.searchsorted(first, w, side="right")) - 1
-                lo, hi = int(first[row]), int(first[row + 1])
-                key = low[w]
-                # The minimum may stand more than once; equal minima in later windows were not tried again.
-                stop = w + 1
-                while stop < len(low) and ok[stop] and low[stop] == key:
-                    stop += 1
-                for p in w + np.flatnonzero(kg[w : stop + WINDOW - 1] == key):
-                    p = int(p)
-                    for i, q in self.postings[int(key)]:
-                        diagonal = (row, i, p - q)
-                        if done.get(diagonal, -1) > p:
-                            continue
-                        own = self.words[i]
-                        left = 0
-                        reach = min(p - lo, q)
-                        while left < reach and words[p - left - 1] == own[q - left - 1]:
-                            left += 1
-                        right = 0
-                        reach = min(hi - p, len(own) - q)
-                        while right < reach and words[p + right] == own[q + right]:
-                            right += 1
-                        done[diagonal] = p + max(right, 1)
-                        if left + right >= SPAN and same(i, q - left, p - left, left + right):
-                            found[row].append((p - left - lo, p + right - lo, i))
+            tried = tried[hit]
+            hit, number = find_keys(self.spans, self.span_lut, grams(words, SPAN)[tried])
+            tried = tried[hit]
+            rows = np.searchsorted(first, tried, side="right") - 1
+            for w, k, row in zip(tried.tolist(), number.tolist(), rows.tolist()):
+                f = self.first[k]
+                if same(self.holders[f], self.places[f], w, SPAN):
+                    found[row].append((w - int(first[row]), w + SPAN - int(first[row])))
+                    held[row].add(k)
         for m, table in self.short.items():
             ok = starts_within(first, m, len(words))
             tried = np.flatnonzero(ok)
@@ -145,12 +133,14 @@ class Index:
                 row = int(np.searchsorted(first, w, side="right")) - 1
                 for i in table[int(grams(words[w : w + m], m)[0])]:
                     if same(i, 0, int(w), m):
-                        found[row].append((int(w - first[row]), int(w + m - first[row]), i))
+                        found[row].append((int(w - first[row]), int(w + m - first[row])))
+                        held[row].add(-1 - i)
         out = []
         for row in range(len(at) - 1):
-            hits = found.get(row, [])
-            spans = merged([(a, b) for a, b, _ in hits])
-            out.append((int(first[row + 1] - first[row]), spans, sorted({x for _, _, i in hits for x in self.items[i]})))
+            own = held.get(row, ())
+            parts = [self.holders[self.first[k] : self.first[k + 1]] for k in own if k >= 0]
+            holders = np.unique(np.concatenate([*parts, np.array([-1 - k for k in own if k < 0], np.int32)])) if own else ()
+            out.append((int(first[row + 1] - first[row]), merged(found.get(row, [])), sorted({x for i in holders for x in self.items[i]})))
         return out
 
 
