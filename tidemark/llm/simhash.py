@@ -28,6 +28,10 @@ SEED = 42
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Runs of fingerprints with a common key up to this long are compared pair by pair, longer ones by absorption.
 PAIRED = 12
+#: Longer runs than this are cut: where two fingerprints within the limit differ in few bits, one of SHARES shares of the bits
+#: that vary in the run is equal, so shorter runs of equal shares hold the same links.
+LONG = 8192
+SHARES = BITS + 1
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -72,8 +76,8 @@ def join_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_keys), np.concatenate(out_fps).view(np.int64)
 
 
-def absorb(run: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect a run as all its links would. Each fingerprint is held against those not yet reached."""
+def absorb(run: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Links (rows of two) that connect a run as all its links would. Each fingerprint is held against those not yet reached."""
     out, left = [], run
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -82,11 +86,39 @@ def absorb(run: np.ndarray, bits: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ x) <= bits
             if near.any():
                 reached, left = left[near], left[~near]
-                out += [(x, y) for y in reached]
+                out.append(np.stack([np.full(len(reached), x), reached], 1))
                 queue.extend(reached)
     return out
 
 
+def shares(run: np.ndarray) -> list[np.ndarray]:
+    """Masks of SHARES shares of the bits that vary in a run, about equal in how evenly they part it."""
+    varies = np.bitwise_or.reduce(run ^ run[0])
+    places = [p for p in range(64) if int(varies) >> p & 1]
+    ones = [int(np.count_nonzero(run >> np.uint64(p) & np.uint64(1))) for p in places]
+    order = [p for _, p in sorted(zip((abs(2 * n - len(run)) for n in ones), places))]
+    return [np.bitwise_or.reduce(np.array([np.uint64(1) << np.uint64(p) for p in order[k::SHARES]], np.uint64)) for k in range(min(SHARES, len(order)))]
+
+
+def cut_run(run: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Shorter runs of a long one that hold all its links: those of equal bits in one of its shares.
+
+    Runs of up to LONG are left to absorb(). A run in which no more bits vary than may differ is a chain of links as it is.
+    """
+    waiting = [run]
+    while waiting:
+        own = waiting.pop()
+        if len(own) <= LONG:
+            yield own
+            continue
+        masks = shares(own)
+        for mask in masks:
+            part = own & mask
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+            waiting += [own[order[a:b]] for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
+
+
 def links_of_runs(keys: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     """Links (pairs of fingerprints) within the runs of equal keys."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -101,9 +133,8 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
         i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= bits]
         found.append(np.stack([fps[i], fps[i + shift]], 1))
     for start, n in zip(edge[size > PAIRED], size[size > PAIRED]):
-        pairs = absorb(fps[start : start + n], bits)
-        if pairs:
-            found.append(np.array(pairs, np.uint64))
+        for part in cut_run(fps[start : start + n], bits):
+            found += absorb(part, bits)
     return np.concatenate(found).view(np.int64) if found else np.zeros((0, 2), np.int64)
 
 
