@@ -330,6 +330,19 @@ def test_lm_learns_from_every_window(small_lm):
     assert lm.WIDTH == 32 and lm.CLASSES == 256
 
 
+def test_lm_attention_adds_to_class_pairs(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+
+    def held_out() -> float:
+        found = lm.score(docs, crc_mod("doc_id", 10) != 0).where(crc_mod("doc_id", 10) == 0)
+        row = found.agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+        return row["s"] / row["n"]
+
+    trained = held_out()
+    monkeypatch.setattr(lm, "ROUNDS", 0)  # the weights that training starts from: class pairs alone
+    assert trained > held_out() + 0.03
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = [r for r in lm.score(docs, crc_mod("doc_id", 10) != 0).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
@@ -383,7 +396,7 @@ def test_crowds_near_the_similarity_are_grouped_as_all_pairs_would(spark):
 def test_copies_give_pairs_in_proportion(spark):
     base = [f"w{i}" for i in range(300)]
     texts = [(" ".join([*base[:i], f"n{i}", *base[i + 1 :]]),) for i in range(300)]  # every pair is similar
-    shared = neardup.shared_bands(spark.createDataFrame(texts, "text string"), "text", 5).cache()
+    shared = neardup.shared_bands(neardup.sketches_of(spark.createDataFrame(texts, "text string"), "text", 5)).cache()
     roots = spark.createDataFrame([], "node long, root long")
     assert neardup.candidates(shared, 0.8).count() < shared.count() <= 300 * neardup.BANDS
     assert neardup.candidates(shared, 0.8, roots).count() > 30_000  # what trees leave out
@@ -509,6 +522,62 @@ def test_licenses_against_brute_force(spark, docs):
         assert r.dice == pytest.approx(best if best >= licenses.THRESHOLD else 0.0)
 
 
+def test_a_header_that_many_items_share():
+    header = "this is the common header of all items in the benchmark set".split()
+    rows = [(str(i), " ".join(header + [f"w{i}x{j}" for j in range(20)])) for i in range(2000)]
+    index = winnow.Index(rows)
+    text = (" ".join(header) + " and then some more words . ") * 100 + " ".join(["b", *header[3:], "w7x0", "w7x1", "w7x2"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    began = time.perf_counter()
+    ((n, spans, items),) = index.match(data, np.array([0, len(data)]))
+    took = time.perf_counter() - began
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    windows = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 9):
+            windows[tuple(w[j : j + 10])].add(i)
+    hit, held = set(), set()
+    for j in range(len(words) - 9):
+        if own := windows.get(tuple(words[j : j + 10])):
+            hit |= set(range(j, j + 10))
+            held |= own
+    assert n == len(words) and {k for a, b in spans for k in range(a, b)} == hit and items == sorted(held) and len(items) == 2000
+    assert took < 1
+
+
+def roots_of(fps, pairs):
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = find(int(a)), find(int(b))
+        root[max(a, b)] = min(a, b)
+    return [find(int(x)) for x in fps]
+
+
+def test_long_runs_of_fingerprints_are_cut(monkeypatch):
+    r = np.random.default_rng(5)
+    chain = [r.integers(0, 1 << 40, dtype=np.uint64)]
+    for _ in range(20_000):
+        chain.append(chain[-1] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 40, int(r.integers(1, 5)), dtype=np.uint64)))
+    chain = np.unique(np.array(chain, np.uint64))
+    began = time.perf_counter()
+    links = simhash.links_of_runs(np.zeros(len(chain), np.int64), chain.view(np.int64), 4).view(np.uint64)
+    assert time.perf_counter() - began < 30
+    assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 4).all() and len(set(roots_of(chain, links))) == 1
+    monkeypatch.setattr(simhash, "LONG", 20)
+    for bits, n in ((9, 120), (14, 300), (40, 300)):
+        own = np.unique(r.integers(0, 1 << bits, n, dtype=np.uint64))
+        every = [(a, b) for i, a in enumerate(own) for b in own[:i] if int(a ^ b).bit_count() <= 4]
+        got = simhash.links_of_runs(np.zeros(len(own), np.int64), own.view(np.int64), 4).view(np.uint64)
+        assert roots_of(own, got) == roots_of(own, every)
+
+
 def best_runs(text):
     """The best coefficient of each license over all runs of lines."""
     lines, out = text.split("\n"), {}
