@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, merges, merkle, queries, spelling
+from tidemark.llm import bpe, merges, merkle, quality, queries, spelling
 from tidemark.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +227,15 @@ def test_variants_sql(spark):
     names = [c[0] for c in con.sql(spelling.ORACLE).description]
     want = [tuple(dict(zip(names, x))[c] for c in columns) for x in want]
     assert key(tuple(x) for x in queries.op11_spelling(spark, SF).select(*columns).collect()) == key(want)
+
+
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
+def test_quality_sql(spark, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found = con.sql(quality.ORACLE)
+    columns = found.columns
+    want = [tuple(x) for x in found.fetchall()]
+    got = [tuple(x) for x in queries.op6_quality(spark, folder).select(*columns).collect()]
+    assert key(got) == key(want)
+    assert sum(x[columns.index("kept")] for x in want) > len(want) // 2 and any(x[columns.index("word_distance")] is None for x in want)

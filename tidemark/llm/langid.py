@@ -162,7 +162,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
     """docs with lang_pred, score (the calibrated probability) and rejected (the score is below the model's threshold).
 
     A text that is null or has no letter, and every text if there was nothing to learn from, is `und` with score 0 and
-    rejected. Whole texts count. Rows are taken one by one; result columns replace columns of docs of their names.
+    rejected. Of languages with the same probability the first by name counts. Whole texts count, however long. Rows are
+    taken one by one, repeated rows too, and an empty table gives no rows. Result columns replace columns of docs of their
+    names; other columns keep theirs, whatever they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

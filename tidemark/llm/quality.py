@@ -138,3 +138,61 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near_enough = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return rows.select(*[F.col(f"__row.`{c}`") for c in keep], *new[:7], failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near_enough).alias("kept"))
+
+
+def _class_sql(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"length(t) - length(regexp_replace(t, '{quoted}', '', 'g'))"
+
+
+_SPACE_SQL = "[ \\x09-\\x0D]"
+_CLASS_SQL = {n: _class_sql(_SPACE_SQL + "+" if n == "space" else r"[^\x00-\x7F]+" if n == "beyond" else p) for n, p in CLASSES.items()}
+_COMMON_SQL = ", ".join(f"'{w}'" for w in COMMON)
+#: The same in SQL, with distances rounded to six decimals. A document's histograms are rows (kind, bin, k) here.
+ORACLE = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT r, doc_id, lang, t, list_filter(string_split_regex(t, '{_SPACE_SQL}+'), lambda w: w <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \\x09-\\x0D]')) AS lines,
+    [{", ".join(_CLASS_SQL.values())}] AS classes
+  FROM texts
+), counted AS (
+  SELECT *, len(words) AS n_words, list_append(classes, length(t) - list_sum(classes)) AS all_classes FROM parts
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times
+  FROM (SELECT r, i, array_to_string(list_slice(words, i, i + {RUN - 1}), ' ') AS w FROM (SELECT r, words, unnest(range(1, n_words - {RUN} + 2)) AS i FROM counted))
+), repeats AS (
+  SELECT r, sum(coalesce(least(after - i, {RUN}), {RUN})) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM windows WHERE times > 1) GROUP BY r
+), base AS (
+  SELECT c.r, c.doc_id, c.lang, CAST(c.n_words AS BIGINT) AS n_words, CAST(length(c.t) - ({_CLASS_SQL["space"]}) AS BIGINT) AS word_chars, CAST({_CLASS_SQL["symbol"]} AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars
+  FROM counted c LEFT JOIN repeats p ON p.r = c.r
+), word_bins AS (
+  SELECT r, word, count(*) AS k FROM (SELECT r, unnest(words) AS word FROM counted) WHERE word IN ({_COMMON_SQL}) GROUP BY r, word
+), bins AS (
+  SELECT r, 'class' AS kind, CAST(i AS VARCHAR) AS bin, CAST(all_classes[i] AS BIGINT) AS k FROM (SELECT r, all_classes, unnest(range(1, {len(CLASSES) + 2})) AS i FROM counted)
+  UNION ALL SELECT c.r, 'word', v.word, coalesce(b.k, 0) FROM counted c CROSS JOIN (SELECT unnest([{_COMMON_SQL}]) AS word) v LEFT JOIN word_bins b ON b.r = c.r AND b.word = v.word
+  UNION ALL SELECT c.r, 'word', ' rest', c.n_words - coalesce(b.k, 0) FROM counted c LEFT JOIN (SELECT r, sum(k) AS k FROM word_bins GROUP BY r) b ON b.r = c.r
+), sums AS (
+  SELECT b.lang AS name, x.kind, x.bin, sum(x.k) AS k FROM bins x JOIN base b ON b.r = x.r WHERE b.lang IS NOT NULL GROUP BY b.lang, x.kind, x.bin
+  UNION ALL SELECT chr(0), kind, bin, sum(k) FROM bins GROUP BY kind, bin
+), known AS (
+  SELECT coalesce(lang, chr(0)) AS name FROM (SELECT lang, n_words FROM base UNION ALL SELECT NULL, n_words FROM base WHERE lang IS NOT NULL) GROUP BY lang HAVING sum(n_words) >= {MIN_REFERENCE}
+), shares AS (
+  SELECT name, kind, bin, k / sum(k) OVER (PARTITION BY name, kind) AS q FROM sums SEMI JOIN known USING (name)
+), used AS (
+  SELECT b.*, coalesce(k.name, chr(0)) AS use FROM base b LEFT JOIN known k ON k.name = b.lang
+), terms AS (
+  SELECT u.r, x.kind, x.k / CASE x.kind WHEN 'class' THEN u.chars ELSE u.n_words END::DOUBLE AS p, s.q
+  FROM used u JOIN bins x ON x.r = u.r JOIN shares s ON s.name = u.use AND s.kind = x.kind AND s.bin = x.bin
+  WHERE CASE x.kind WHEN 'class' THEN u.chars >= {MIN_CHARS} ELSE u.n_words >= {MIN_WORDS} END
+), distances AS (
+  SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM terms GROUP BY r, kind
+), judged AS (
+  SELECT u.*, c.d AS c, w.d AS w, u.n_words < 20 OR 100 * u.n_repeat_words > 30 * u.n_words AS failed
+  FROM used u LEFT JOIN distances c ON c.r = u.r AND c.kind = 'class' LEFT JOIN distances w ON w.r = u.r AND w.kind = 'word'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND coalesce(c, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(w, 0) <= {MAX_WORD_DISTANCE} AS kept, round(c, 6) AS class_distance, round(w, 6) AS word_distance FROM judged
+"""

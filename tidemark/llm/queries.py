@@ -38,7 +38,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": linededup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_manifest": merkle.ORACLE}
+    return {"op5_lines": linededup.ORACLE, "op6_quality": quality.ORACLE, "op11_spelling": spelling.ORACLE, "op12_manifest": merkle.ORACLE}

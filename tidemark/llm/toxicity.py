@@ -272,7 +272,8 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", keep: list[s
 
     A word is toxic if its marginal is 0.5 or more. Texts without words (null, empty) get the score of no evidence, and
     all texts score 0 if there was nothing to learn from. Whole texts count, one row at a time; repeated rows, ties and
-    empty tables need no care. Result columns replace columns of docs of their names.
+    empty tables need no care. Result columns replace columns of docs of their names; other columns keep theirs, whatever
+    they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", SPANS)]
