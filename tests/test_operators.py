@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import setting, truthy
 from tidemark.functions import text
 from tidemark.functions.numeric import even, exact_round, fixed
-from tidemark.operators import captions, layout, scoring, selection, series, tracking, windows
+from tidemark.operators import captions, debug, layout, scoring, selection, series, tracking, windows
 from tidemark.plans import render
 from tidemark.sources import ingest, jobs, sinks
 
@@ -449,6 +449,28 @@ def test_layout_record(spark):
     assert rows["none"]["tracks"] == [] and "separation" not in rows["none"]
 
 
+def test_debug_sheet(spark):
+    tracks, kind, shown = CASES["two present"]
+    df = spark.createDataFrame(boxes(tracks), "clip_id string, track_id int, sample_idx int, x double, y double, w double, h double")
+    clips = spark.createDataFrame([("c", 1280, 720), ("none", 1280, 720)], "clip_id string, width int, height int")
+    stats = layout.track_stats(df, 100)
+    plan = layout.note(layout.plan_layout(stats, clips), 100)
+    regions = layout.crop_regions(plan, df, clips, 100)
+    tiles = debug.tiles(clips, 100)
+    own = [r for r in tiles.where("clip_id = 'c'").orderBy("tile").collect()]
+    assert [r.sample_idx for r in own] == [int(x) for x in np.linspace(0, 99, 12)] and (own[4].row, own[4].column, own[1].caption) == (1, 1, "t=4.5s")
+    found = debug.track_boxes(tiles, df, stats, scale=2.0).where("tile = 0").orderBy("track_id").collect()
+    assert [(r.x1, r.y1, r.x2, r.y2, r.label, r.label_y) for r in found] == [(145, 130, 185, 170, "#0 100%", 126), (455, 130, 495, 170, "#1 100%", 126)]
+    (first,) = regions.collect()
+    drawn = debug.region_boxes(tiles, regions).where("tile = 3").orderBy("place").collect()
+    assert [(r.x1, r.y1, r.x2 - r.x1, r.y2 - r.y1) for r in drawn] == [(int(r.x_keys[0].v), int(r.y_keys[0].v), r.w, r.h) for r in first.regions]
+    told = {r.clip_id: json.loads(r.json) for r in debug.summary(plan, layout.metrics(stats, clips, 100), regions, "stub", 100).collect()}
+    assert told["none"]["regions"] == [] and told["none"]["layout"] == "CENTER_CROP" and [r["track"] for r in told["c"]["regions"]] == [0, 1]
+    assert told["c"]["classification"]["thresholds"]["dominance_ratio"] == 0.5 and (told["c"]["detector"], told["c"]["samples"]) == ("stub", 100)
+    line = plan.where("clip_id = 'none'").select(debug.title(F.col("layout"), F.col("note"), F.lit("stub"), 100).alias("x")).first()["x"]
+    assert line == "CENTER_CROP | no frames or no faces detected | detector=stub | samples=100"
+
+
 def test_notes(spark):
     shape = "job_id string, model string, language string, duration_seconds double"
     rows = spark.createDataFrame([("a", "small", "en", 61.5), ("b", None, None, None)], shape)

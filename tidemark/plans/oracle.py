@@ -323,6 +323,29 @@ def _expression(keys: str, name: str) -> str:
 )"""
 
 
+_TILES = """
+tiles AS (
+  SELECT CAST(i AS INTEGER) AS tile, CAST(CASE WHEN i = m - 1 THEN CASE WHEN m > 1 THEN n - 1 ELSE 0 END ELSE floor(i * ((n - 1) / greatest(m - 1, 1)::DOUBLE)) END AS INTEGER) AS sample_idx
+  FROM (SELECT n, least(n, 12) AS m, unnest(range(0, least(n, 12))) AS i FROM size)
+)"""
+
+
+def _key_at(keys: str, name: str) -> str:
+    """name: the value of each region's keyframes at each tile, cut down to a whole number."""
+    return f"""
+{name}_near AS (
+  SELECT k.clip_id, p.tile, p.sample_idx / 2.0::DOUBLE AS t, max(k.t) FILTER (k.t <= p.sample_idx / 2.0::DOUBLE) AS t0, arg_max(k.v, k.t) FILTER (k.t <= p.sample_idx / 2.0::DOUBLE) AS v0,
+    min(k.t) FILTER (k.t > p.sample_idx / 2.0::DOUBLE) AS t1, arg_min(k.v, k.t) FILTER (k.t > p.sample_idx / 2.0::DOUBLE) AS v1
+  FROM {keys} k CROSS JOIN tiles p GROUP BY k.clip_id, p.tile, p.sample_idx
+), {name} AS (
+  SELECT clip_id, tile, CAST(trunc(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END) AS INTEGER) AS v FROM {name}_near
+)"""
+
+
+def _pixel(x: str) -> str:
+    return f"CAST(trunc(({x}) * {1.0 / 1.5!r}::DOUBLE) AS INTEGER)"
+
+
 _LINKED = """
 detections AS (
   SELECT clip_id, sample_idx, value AS x, CAST(row_number() OVER (PARTITION BY clip_id, sample_idx ORDER BY value DESC, event_type) - 1 AS INTEGER) AS i FROM event_bins
@@ -370,6 +393,12 @@ jobs AS (
   SELECT CAST(event_id AS VARCHAR) AS id, (['queued', 'importing', 'transcribing', 'ranking', 'clipping', 'done', 'error'])[event_id % 7 + 1] AS stage FROM events
 )"""
 
+_STATES = """
+states AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, CASE event_type WHEN 'signup' THEN 'importing' WHEN 'view' THEN 'transcribing' WHEN 'click' THEN 'ranking' WHEN 'purchase' THEN 'done' ELSE event_type END AS stage, value, props
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
+)"""
+
 SQL: dict[str, str] = {
     "word_timeline": _with(_WORDS, select="SELECT job_id, word_idx, start_cs / 100.0::DOUBLE AS start_s, end_cs / 100.0::DOUBLE AS end_s, word FROM words"),
     "segments": _with(_WORDS, _SEGMENTS, select="SELECT job_id, seg_idx, start_s, end_s, text FROM segments"),
@@ -499,6 +528,37 @@ SELECT page_id, resolved LIKE '/srv/out/%' AS ok FROM (
     lambda a, p: CASE WHEN p = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || p END) AS resolved
   FROM (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS path FROM pages)
 )""",
+    "debug_track_boxes": _with(
+        *_TO_TRACKS,
+        _TILES,
+        f"""corners AS (
+  SELECT b.clip_id, p.tile, b.track_id, {_pixel("b.x")} AS x1, {_pixel("b.y")} AS y1, {_pixel("b.x + b.w")} AS x2, {_pixel("b.y + b.h")} AS y2, '#' || b.track_id || ' ' || {_percent("s.coverage")} AS label
+  FROM boxes b JOIN tiles p ON p.sample_idx = b.sample_idx JOIN stats s ON s.clip_id = b.clip_id AND s.track_id = b.track_id
+)""",
+        select="SELECT *, greatest(y1 - 4, 12) AS label_y FROM corners",
+    ),
+    "debug_region_boxes": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        *_REGIONS,
+        _TILES,
+        _key_at("x_crop_keys", "x_at"),
+        _key_at("y_keys", "y_at"),
+        select=f"""SELECT r.clip_id, x.tile, r.place, {_pixel("x.v")} AS x1, {_pixel("y.v")} AS y1, {_pixel("x.v + r.w")} AS x2, {_pixel("y.v + r.h")} AS y2
+FROM regions r JOIN x_at x ON x.clip_id = r.key JOIN y_at y ON y.clip_id = r.key AND y.tile = x.tile""",
+    ),
+    "debug_captions": _with(
+        *_TO_TRACKS,
+        _LAYOUT,
+        _TILES,
+        select=f"""SELECT clip_id, tile, tile // 3 AS row, tile % 3 AS "column", sample_idx, 't=' || {_fixed("sample_idx / 2.0::DOUBLE", 1)} || 's' AS caption,
+  layout || ' | ' || CASE WHEN t0 IS NULL THEN 'no frames or no faces detected'
+  WHEN t2 IS NOT NULL THEN reason || ' (coverage ' || {_percent("c1")} || ' / ' || {_percent("c2")} || ', ratio ' || {_fixed("c2 / c1", 2)} || ', span ' || {_percent("s2")} || ', gap ' || {_fixed("g2", 0)}
+    || 's, separation ' || {_percent("separation")} || ', samples ' || (SELECT n FROM size) || ')'
+  WHEN layout = 'SINGLE_PERSON' THEN reason || ' (coverage ' || {_percent("c0")} || ', samples ' || (SELECT n FROM size)
+    || coalesce(', second face coverage ' || {_percent("cn")} || ' span ' || {_percent("sn")} || ' separation ' || {_percent("separation_n")}, '') || ')'
+  ELSE reason || ' (best coverage ' || {_percent("c0")} || ', samples ' || (SELECT n FROM size) || ')' END || ' | detector=stub | samples=' || (SELECT n FROM size) AS title FROM planned CROSS JOIN tiles""",
+    ),
     "track_coverage": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, samples, round(coverage, 6) AS coverage FROM stats"),
     "track_span": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, round(span, 6) AS span FROM stats"),
     "track_longest_gap": _with(*_TO_TRACKS, select="SELECT clip_id, track_id, longest_gap FROM stats"),
@@ -539,6 +599,12 @@ FROM (
   WHEN 'ranking' THEN 'Finding best moments...' WHEN 'clipping' THEN 'Creating clips...' WHEN 'done' THEN 'Done.' ELSE 'Error.' END AS status FROM jobs""",
     ),
     "job_lookup": _with(_JOBS, select="SELECT id, stage FROM jobs WHERE id = '7'"),
+    "job_states": _with(
+        _STATES,
+        select=f"""SELECT id, stage, CASE stage WHEN 'importing' THEN 'Importing video...' WHEN 'transcribing' THEN 'Transcribing...' WHEN 'ranking' THEN 'Finding best moments...' WHEN 'done' THEN 'Done.' ELSE 'Error.' END AS status,
+  {_fixed("value", 1)} AS detail, CASE WHEN stage = 'error' THEN props END AS error FROM states""",
+    ),
+    "job_states_health": _with(_STATES, select="SELECT 'ok' AS status, count(*) FILTER (stage IN ('importing', 'transcribing', 'ranking')) AS running, CAST(0 AS BIGINT) AS queued, count(*) AS known FROM states"),
     "url_validation": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true ELSE contains(url, 'youtube.com/') OR contains(url, 'youtu.be/') END AS ok FROM pages",
     "public_files": "SELECT page_id, page_id % 4 IN (2, 3) AS ok FROM pages",
     "source_pick": """

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numeric import even, exact_round, fixed, let
-from ..operators import captions, layout, scoring, selection, series, tracking, windows
+from ..operators import captions, debug, layout, scoring, selection, series, tracking, windows
 from ..sources import clip_files, ingest, jobs, sinks
+from ..streaming import intake
 from . import render
 
 WIDTH, HEIGHT = 60, 34
+#: The stages that events of users stand for.
+EVENT_STAGES = {"signup": "importing", "view": "transcribing", "click": "ranking", "purchase": "done", "error": "error"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -313,6 +316,26 @@ def crop_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "layout", "place", "r.track_id", "r.w", "r.h", F.size("r.x_keys").alias("n_keys"), first["v"].alias("x_first"), last["v"].alias("x_last"), F.element_at("r.y_keys", F.lit(1))["v"].alias("y_first"))
 
 
+@query
+def debug_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = samples(spark, sf_dir)
+    plan = layout.note(layout.plan_layout(stats(spark, sf_dir), event_clips(spark, sf_dir)), n)
+    rows = debug.tiles(plan.select("clip_id"), n).join(plan.select("clip_id", debug.title(F.col("layout"), F.col("note"), F.lit("stub"), n).alias("title")), "clip_id")
+    return rows.select("clip_id", "tile", "row", "column", "sample_idx", "caption", "title")
+
+
+@query
+def debug_track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = debug.tiles(event_clips(spark, sf_dir), samples(spark, sf_dir))
+    return debug.track_boxes(shown, ingest.event_boxes(spark, sf_dir), stats(spark, sf_dir), scale=1.5)
+
+
+@query
+def debug_region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = debug.tiles(event_clips(spark, sf_dir), samples(spark, sf_dir))
+    return debug.region_boxes(shown, regions(spark, sf_dir), scale=1.5)
+
+
 @query
 def filter_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = text.filter_path(F.concat(F.lit("C:\\clips\\"), "clip_id", F.lit(".ass")))
@@ -410,6 +433,27 @@ def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.look_up(job_rows(spark, sf_dir), "7")
 
 
+def user_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs, in the state that their last event leaves them in."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stage = F.col("event_type")
+    for kind, name in EVENT_STAGES.items():
+        stage = F.when(F.col("event_type") == kind, name).otherwise(stage)
+    moves = events.select(F.col("user_id").cast("string").alias("id"), F.struct("ts", "event_id").alias("seq"), stage.alias("stage"), fixed(F.col("value"), 1).alias("detail"), F.when(stage == "error", F.col("props")).alias("error"))
+    first = events.select(F.col("user_id").cast("string").alias("id")).distinct().select("id", F.lit("queued").alias("stage"), F.lit("").alias("status"), F.lit("").alias("detail"), F.lit(None).cast("string").alias("error"))
+    return intake.latest_states(first, moves)
+
+
+@query
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_jobs(spark, sf_dir)
+
+
+@query
+def job_states_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.health(user_jobs(spark, sf_dir)).select("status", "running", "queued", "known")
+
+
 @query
 def url_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
