@@ -170,6 +170,48 @@ def test_substrings(spark, rows, empty, together):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_periods_leave_every_repeat_to_be_seen():
+    r = np.random.default_rng(12)
+    for turn in range(60):
+        rows = []
+        for _ in range(int(r.integers(1, 4))):
+            parts = []
+            for _ in range(int(r.integers(1, 5))):
+                unit = bytes(r.choice(list(b"ab-"), int(r.choice([1, 2, 3, 7, 20, 61]))))
+                parts.append((unit * 600)[: int(r.integers(1, 400))] if r.random() < 0.8 else bytes(r.choice(list(b"xyz"), 50)))
+            rows.append(b"".join(parts))
+        at, length, least = np.cumsum([0, *map(len, rows)]), 80, 60
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        row, first, count, size, *_ = substrings.anchors(data, at, length, least, k=8)
+        where = [(int(i), int(x) + j, bool(z)) for i, x, n, z in zip(row, first, count, size) for j in range(int(n))]
+        assert sorted(w[:2] for w in where) == [(i, x) for i, t in enumerate(rows) for x in range(len(t) - least + 1)]
+        for n in (length, least):
+            strings = {(i, x): rows[i][x : x + n] for i, x, _ in where if x + n <= len(rows[i])}
+            every, seen = Counter(strings.values()), Counter(strings[i, x] for i, x, z in where if z and (i, x) in strings)
+            assert all((every[strings[i, x]] > 1) == (not z or seen[strings[i, x]] > 1) for i, x, z in where if (i, x) in strings)
+
+
+def test_a_run_of_one_byte_has_few_intervals(spark):
+    dashes = np.full(400_000, ord("-"), np.uint8)
+    row, _, count, size, *_ = substrings.anchors(dashes, np.array([0, len(dashes)]))
+    assert len(row) < 1_000 and count.sum() == 400_000 - substrings.LEAST + 1 and size.sum() < 100_000
+    df = spark.createDataFrame([(1, "-" * 400_000), (2, "x" + "-" * 400), (3, "y" + "-" * 399), (4, "ab" * 3_000 + "c"), (5, "z" * 400)], "doc_id long, text string")
+    assert {x.doc_id: (x.n_removed, x.n_spans) for x in substrings.remove_repeats(df).collect()} == {1: (400_000, 1), 2: (400, 1), 3: (0, 0), 4: (6_000, 1), 5: (0, 0)}
+
+
+def test_suffix_arrays_see_two_copies_of_every_repeat(spark, monkeypatch):
+    text = " ".join(f"w{x}" for x in np.random.default_rng(1).integers(0, 1 << 40, 300))
+    df = spark.createDataFrame([(i, text + f" {i}") for i in range(5)], "doc_id long, text string").withColumn("key", F.col("doc_id"))
+    marks = substrings.mark_intervals(df.select("key", "text"), 400, 304).cache()
+    often = {(x.h, x.r) for x in marks.groupBy("h", "r").count().where("count > 1").collect()}
+    sorted_of = []
+    whole = substrings.sort_regions
+    monkeypatch.setattr(substrings, "sort_regions", lambda regions, *x: sorted_of.append(regions) or whole(regions, *x))
+    substrings.remove_repeats(df).collect()
+    copies = Counter((x.g, x.q) for x in sorted_of[0].collect())
+    assert len(often) > 5 and all(copies[k] >= 2 for k in often)
+
+
 def test_suffix_array_orders_suffixes():
     r = np.random.default_rng(3)
     for _ in range(40):

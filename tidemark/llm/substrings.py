@@ -2,11 +2,14 @@
 
 A string of LEAST bytes that occurs twice has its smallest k-gram hash, its anchor, at the same place in both occurrences.
 So starts of strings are cut into intervals of equal anchor; only intervals whose anchor hash occurs again are looked into,
-and all that may hold equal strings meet under one hash. Intervals with the same bytes are collapsed with their number
-before any text moves. Two others with an equal string also agree in half of what is left of it beside the anchor, before
-or after it; those that agree with none are settled. The texts of what is left are put together, and their suffixes sorted in two stages: those smaller
-than their successors directly, the others by scans over the buckets of first bytes. Neighbours with a common prefix of
-LENGTH bytes are repeats, which are removed; those of LEAST bytes are shared passages, which are counted.
+and all that may hold equal strings meet under one hash. Of intervals with the same bytes two go on, each with its own bytes.
+Two others with an equal string also agree in half of what is left of it beside the anchor, before or after it; one that
+agrees with none repeats nothing. The texts of all others are put together, and their suffixes sorted in two stages: those
+smaller than their successors directly, the others by scans over the buckets of first bytes. Neighbours with a common
+prefix of LENGTH bytes are repeats, which are removed; those of LEAST bytes are shared passages, which are counted.
+
+Where a text repeats itself with one period, anchors would change at every turn. Of such a run only the strings of its
+first two periods, and those that reach beyond it, go this way; each other one equals the string one period before it.
 
 An anchor of very many different intervals is dealt out further: its intervals are cut into slices of starts at nearly
 the same distance from the anchor, and slices meet that agree in all bytes that every string of the slice has in common.
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scratch import Scratch
 from .common import annotate, cut, groups_of, keep_heap, mix, small_batches, span_hasher, span_hashes, text_bytes
 
 #: Bytes of a string that is removed where it repeats, and of one that makes a shared passage (about 50 words).
@@ -49,7 +53,8 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int =
     the region has too few of them).
 
     Strings have least bytes. The region of an interval is what strings of length bytes cover, or the row's end. Rows of
-    data must have under 2^21 bytes together. Only the first starts of data are taken, if that is given.
+    data must have under 2^21 bytes together. Only the first starts of data are taken, if that is given. Starts that
+    periodic() leaves out come as intervals with a region of no bytes.
     """
     n = len(data)
     if n < least:
@@ -71,7 +76,12 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int =
     if not len(good):
         return tuple(np.zeros(0, d) for d in _NONE)
     anchor = (low[good] & np.uint64((1 << 21) - 1)).astype(np.int64)
-    fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[good[1:]] != row[good[:-1]])])
+    turn = np.flatnonzero((anchor[1:] != anchor[:-1]) & (row[good[1:]] == row[good[:-1]]) & (hashes[anchor[1:]] == hashes[anchor[:-1]]))
+    known = np.zeros(0, np.int64)
+    if len(turn):
+        out = periodic(data, at, np.unique(anchor[turn + 1] - anchor[turn]), length)[good]
+        known, good, anchor = good[out], good[~out], anchor[~out]
+    fresh = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1] + 1) | (row[good[1:]] != row[good[:-1]])])
     first = good[fresh]
     count = np.diff(np.r_[fresh, len(good)])
     end = np.minimum(first + count - 1 + length, at[row[first] + 1])
@@ -80,7 +90,33 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, least: int =
     middle, half, top = anchor[fresh], (least - k) // 2, np.uint64(32)
     before = np.where(middle - half >= first, spans(np.maximum(middle - half, 0), middle) >> top | np.uint64(1), np.uint64(0))
     after = np.where(middle + k + half <= end, spans(middle + k, np.minimum(middle + k + half, n)) >> top | np.uint64(1), np.uint64(0))
-    return row[first], first - at[row[first]], count, end - first, middle - first, hashes[middle], region, before << top | after
+    found = row[first], first - at[row[first]], count, end - first, middle - first, hashes[middle], region, before << top | after
+    if not len(known):
+        return found
+    edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1] + 1) | (row[known[1:]] != row[known[:-1]])])
+    begin, nothing = known[edge], np.zeros(len(edge), np.int64)
+    ones = row[begin], begin - at[row[begin]], np.diff(np.r_[edge, len(known)])
+    return tuple(np.r_[x, y] for x, y in zip(found, (*ones, nothing, nothing, *[nothing.astype(np.uint64)] * 3)))
+
+
+def periodic(data: np.ndarray, at: np.ndarray, periods: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of length bytes at each place equals the one a period before it, which is not the first of its kind.
+
+    Of a run with a period (within one row) the starts of the first two periods stay. Runs of several periods that overlap
+    are left out for the smallest only, so that what a string is equal to stays.
+    """
+    out, taken = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    for p in periods.tolist():
+        same = (data[p:] == data[:-p]) & (row[p:] == row[:-p])
+        edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+        begin, end = edge[::2], edge[1::2] + p
+        for i in np.flatnonzero(end - begin >= length + 2 * p).tolist():
+            run = slice(int(begin[i]), int(end[i]))
+            if not taken[run].any():
+                out[run.start + 2 * p : run.stop - length + 1] = True
+                taken[run] = True
+    return out
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -278,9 +314,13 @@ def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
 
 
 def cut_regions(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of one region each for the wanted rows (key, lo, n, size, a, h, r, m)."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "r", "m", "n", "a", "lo", "size")).alias("take"))
-    whole = ["h", "r", "m", "n", "a"]
+    """The bytes of the region of each of the wanted rows (key, lo, size, h, r, copy, n, a).
+
+    A text meets all that is wanted of it in one row: an interval for every 100 bytes or so, as runs with a period have few
+    (see periodic), so that no row is much longer than its text. Regions leave in batches of 512.
+    """
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "r", "copy", "n", "a", "lo", "size")).alias("take"))
+    whole = ["h", "r", "copy", "n", "a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,57 +334,57 @@ def cut_regions(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # The same columns as in the last join with all texts, so that one shuffle of the texts serves both.
     joined = base.join(lists, "key").select("text", "take", "doc_id")
-    return joined.mapInArrow(run, "h long, r long, m long, n long, a long, region binary")
+    return joined.mapInArrow(run, "h long, r long, copy int, n long, a long, region binary")
 
 
 def sort_regions(regions: DataFrame, length: int, least: int) -> DataFrame:
-    """g, q and the runs of repeated starts (see repeated_starts) of each region (g, q, m, n, region).
+    """g, q and the runs of repeated starts (see repeated_starts) of each region (g, q, copy, n, region).
 
-    All regions of a group g are sorted together. m: how many intervals a region stands for.
+    All regions of a group g are sorted together. A region that occurs several times comes twice, as copy 0 and 1, so that
+    its strings have equal ones beside them; what is found goes to copy 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
             marks = repeated_starts([x[4] for x in rows], [x[3] for x in rows], length, least)
-            for (_, _, m, n, region), (long, short) in zip(rows, marks):
-                if m > 1:  # a collapsed region stands for several
-                    long[: max(0, len(region) - length + 1)] = True
-                    short[:] = True
+            own = [i for i, x in enumerate(rows) if not x[2]]
+            rows, marks = [rows[i] for i in own], [marks[i] for i in own]
             ids = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
             return pa.RecordBatch.from_arrays([*ids, pa.array([runs(x) for x, _ in marks], _RUNS), pa.array([runs(x) for _, x in marks], _RUNS)], names=["g", "q", "runs", "passages"])
 
         rows: list[tuple[int, int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for g, q, m, n, region in zip(*[c.to_pylist() for c in batch.columns]):
+            for g, q, copy, n, region in zip(*[c.to_pylist() for c in batch.columns]):
                 if rows and g != rows[-1][0]:
                     if size > BATCH:
                         yield done(rows)
                         rows, size = [], 0
-                elif rows and q == rows[-1][1]:
+                elif rows and (q, copy) == rows[-1][1:3]:
                     continue  # of a row that repeats
-                rows.append((g, q, m, n, region))
+                rows.append((g, q, copy, n, region))
                 size += len(region) + 1
         if rows:
             yield done(rows)
 
     shape = T.StructType([T.StructField("g", T.LongType()), T.StructField("q", T.LongType()), T.StructField("runs", RUNS), T.StructField("passages", RUNS)])
-    return regions.select("g", "q", "m", "n", "region").repartition("g").sortWithinPartitions("g", "q").mapInArrow(run, shape).where(F.size("passages") > 0)
+    return regions.select("g", "q", "copy", "n", "region").repartition("g").sortWithinPartitions("g", "q", "copy").mapInArrow(run, shape).where(F.size("passages") > 0)
 
 
 def slices(rows: DataFrame, width: int, length: int, least: int) -> DataFrame:
-    """Rows (h, r, off, g, q, m, n, a, region) cut into slices of starts, of the same columns.
+    """Rows (h, r, off, g, q, copy, n, a, region) cut into slices of starts, of the same columns.
 
     A slice's starts lie in a range of width distances before the anchor, so all its strings of least bytes have the bytes
     from the last such start to the end of the first such string in common. These and the range make the group.
     A width of 0 takes slices of a single start and puts those together that agree in length bytes.
     """
-    names = ["h", "r", "off", "g", "q", "m", "n", "a", "region"]
+    names = ["h", "r", "off", "g", "q", "copy", "n", "a", "region"]
+    types = {"copy": pa.int32(), "region": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in names}
-            for h, r, off, g, m, n, a, region in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7, 8)]):
+            for h, r, off, g, copy, n, a, region in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7, 8)]):
                 data = np.frombuffer(region, np.uint8)
                 wide = max(1, width)
                 ranges = np.arange(max(0, a - n + 1) // wide, a // wide + 1)
@@ -356,12 +396,12 @@ def slices(rows: DataFrame, width: int, length: int, least: int) -> DataFrame:
                 groups = mix(span_hashes(data, *core) ^ salt).view(np.int64)
                 kinds = mix(span_hashes(data, lo, end) ^ (hi - lo + 1).astype(np.uint64)).view(np.int64)
                 for j in range(len(ranges)):
-                    for c, x in zip(names, (h, r, off + int(lo[j]), groups[j], kinds[j], m, int(hi[j] - lo[j] + 1), int(a - lo[j]), region[lo[j] : end[j]])):
+                    for c, x in zip(names, (h, r, off + int(lo[j]), groups[j], kinds[j], copy, int(hi[j] - lo[j] + 1), int(a - lo[j]), region[lo[j] : end[j]])):
                         out[c].append(x)
             if out["h"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "region" else pa.int64()) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], types.get(c, pa.int64())) for c in names], names=names)
 
-    return rows.select(*names).mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'region' else 'long'}" for c in names))
+    return rows.select(*names).mapInArrow(run, ", ".join(f"{c} {({'region': 'binary', 'copy': 'int'}).get(c, 'long')}" for c in names))
 
 
 def shifted(column: str, by: str):
@@ -376,7 +416,7 @@ def groups_beyond(kinds: DataFrame, group: str, together: int) -> tuple[DataFram
 
 
 def dealt_out(rows: DataFrame, length: int, least: int, together: int) -> DataFrame:
-    """h, r, runs and passages of the regions (h, r, off, g, q, m, n, a, region) of groups that are too large to sort.
+    """h, r, runs and passages of the regions (h, r, off, g, q, copy, n, a, region) of groups that are too large to sort.
 
     Level by level slices get narrower, so what meets agrees in more bytes; groups that are small enough are sorted. The
     last groups agree in all bytes of their single strings, so they hold one kind each.
@@ -384,17 +424,18 @@ def dealt_out(rows: DataFrame, length: int, least: int, together: int) -> DataFr
     out = None
     for width in (*WIDTHS, 0):
         rows = cut(slices(rows, width, length, least))
-        kinds = rows.groupBy("g", "q").agg(F.sum("m").alias("m"), F.min("n").alias("n"), F.min("region").alias("region"))
+        kinds = rows.groupBy("g", "q").agg(F.count("*").alias("m"), F.min("n").alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
+        kinds = kinds.select("g", "q", "n", F.posexplode(F.when(F.col("m") > 1, F.array("low", "high")).otherwise(F.array("low"))).alias("copy", "region"))
         many, some = groups_beyond(rows.select("g", "q").distinct(), "g", together)
         found = sort_regions(kinds.join(many, "g", "left_anti"), length, least)
-        found = rows.select("h", "r", "off", "g", "q").join(found, ["g", "q"]).select("h", "r", shifted("runs", "off").alias("runs"), shifted("passages", "off").alias("passages"))
+        found = rows.where("copy = 0").select("h", "r", "off", "g", "q").join(found, ["g", "q"]).select("h", "r", shifted("runs", "off").alias("runs"), shifted("passages", "off").alias("passages"))
         out = found if out is None else out.unionByName(found)
         if not some:
             break
         rows = rows.join(many, "g", "left_semi")
         if width == 1:  # those that agree in a whole string of least bytes
             all_starts = F.array(F.struct(F.col("off").alias("first"), F.col("off").alias("last")))
-            out = out.unionByName(rows.select("h", "r", F.array().cast(RUNS).alias("runs"), all_starts.alias("passages")))
+            out = out.unionByName(rows.where("copy = 0").select("h", "r", F.array().cast(RUNS).alias("runs"), all_starts.alias("passages")))
     return out
 
 
@@ -404,30 +445,32 @@ def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together
 
     Rows with equal keys must have equal texts; each counts.
     """
-    marks = mark_intervals(base.select("key", "text"), length, least)
-    # Written out, so that the join's sides are dealt anew and a hash of very many rows can be split.
-    often = cut(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    marks = cut(marks.join(often, "h", "left_semi"))
-    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(F.struct("key", "lo", "n", "size", "a")).alias("at"), F.min("beside").alias("beside"))
+    # Written out, so that texts are read through once, the join's sides are dealt anew and a hash of very many rows can be split.
+    scratch = Scratch(base.sparkSession)
+    every = scratch.keep(mark_intervals(base.select("key", "text"), length, least))
+    often = scratch.keep(every.where("size > 0").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    marks = scratch.keep(every.where("size > 0").join(often, "h", "left_semi"))
+    at = F.struct("key", "lo", "n", "size", "a")
+    kinds = marks.groupBy("h", "r").agg(F.count("*").alias("m"), F.min(at).alias("one"), F.max(at).alias("two"), F.min("beside").alias("beside"))
     side = lambda n, x: F.when(x != 0, F.xxhash64("h", F.lit(n), x))
     sides = F.array_compact(F.array(side(0, F.shiftrightunsigned("beside", 32)), side(1, F.col("beside").bitwiseAND(0xFFFFFFFF))))
     sides = kinds.select("h", "r", F.explode(sides).alias("side"))
     shared = sides.groupBy("side").agg(F.count("*").alias("c")).where("c > 1").select("side")
     near = sides.join(shared, "side", "left_semi").select("h", "r", F.lit(True).alias("near")).distinct()
-    kinds = cut(kinds.join(near, ["h", "r"], "left").where("near or m > 1").select("h", "r", "m", "at.*", "near"))
-    # Intervals that occur several times and agree with no other: all their strings repeat.
-    run = lambda last: F.array(F.struct(F.lit(0).cast("long").alias("first"), last.cast("long").alias("last")))
-    settled = kinds.where("near is null").select("h", "r", F.when(F.col("size") >= length, run(F.col("size") - length)).otherwise(F.array().cast(RUNS)).alias("runs"), run(F.col("n") - 1).alias("passages"))
-    kinds = kinds.where("near").drop("near")
+    kinds = kinds.join(near, ["h", "r"], "left").where("near or m > 1")
+    kinds = kinds.select("h", "r", F.posexplode(F.when(F.col("m") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at"))
+    kinds = scratch.keep(kinds.select("h", "r", "copy", "at.*"))
     many, some = groups_beyond(kinds, "h", together)
     small_batches(base.sparkSession)
     cold = cut_regions(base, kinds.join(many, "h", "left_anti") if some else kinds)
     found = sort_regions(cold.withColumnsRenamed({"h": "g", "r": "q"}), length, least).withColumnsRenamed({"g": "h", "q": "r"})
     if some:
         hot = cut_regions(base, kinds.join(many, "h", "left_semi"))
-        hot = hot.dropDuplicates(["h", "r"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "m", "n", "a", "region")
+        hot = hot.dropDuplicates(["h", "r", "copy"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "copy", "n", "a", "region")
         found = found.unionByName(dealt_out(hot, length, least, together))
-    back = marks.join(found.unionByName(settled), ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
+    back = marks.join(found, ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
+    run = F.array(F.struct(F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last")))
+    back = back.unionByName(every.where("size = 0").select("key", run.alias("runs"), run.alias("passages")))
     return back.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("passages")).alias("passages"))
 
 
@@ -454,8 +497,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (up to length), cover in the same way; they are not removed. Null texts are empty, and an empty table gives no rows.
     Rows that repeat count as copies of each other; so each byte of a tie goes, none is kept as the first. Two rows of one
     doc_id and different texts are different rows. Very long texts are worked through in pieces that overlap, with the
-    same result. Columns of docs other than the two are not read, whatever their names. Intervals of starts are told
-    apart by 64-bit hashes of their bytes; sorted texts are compared byte by byte.
+    same result. Columns of docs other than the two are not read, whatever their names. All repeats come from sorted texts,
+    compared byte by byte, but for those of a text with its own previous period; where more than two intervals have one
+    64-bit hash of their bytes, the first two are sorted for all.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
