@@ -2,7 +2,8 @@
 
 A string of LEAST bytes that occurs twice has its smallest k-gram hash, its anchor, at the same place in both occurrences.
 So starts of strings are cut into intervals of equal anchor; only intervals whose anchor hash occurs again are looked into,
-and all that may hold equal strings meet under one hash. Of intervals with the same bytes two go on, each with its own bytes.
+and all that may hold equal strings meet under one hash. Of intervals with the same bytes the first and last
+go on, put together to stretches where their texts go on alike, each with the bytes of its own text.
 Two others with an equal string also agree in half of what is left of it beside the anchor, before or after it; one that
 agrees with none repeats nothing. The texts of all others are put together, and their suffixes sorted in two stages: those
 smaller than their successors directly, the others by scans over the buckets of first bytes. Neighbours with a common
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ K = 32
 BREAK = 255
 #: Bytes of regions that are sorted at a time, about.
 BATCH = 1 << 20
+#: Bytes of a text after which a stretch that it has in common with another is cut.
+CHUNK = 1 << 16
 #: Regions of one group that are sorted together. Groups of more are dealt out by slices, then sorted the same way.
 TOGETHER = 1_000
 #: Times that groups are split by 8 bytes before they are bisected.
@@ -340,8 +343,8 @@ def cut_regions(base: DataFrame, wanted: DataFrame) -> DataFrame:
 def sort_regions(regions: DataFrame, length: int, least: int) -> DataFrame:
     """g, q and the runs of repeated starts (see repeated_starts) of each region (g, q, copy, n, region).
 
-    All regions of a group g are sorted together. A region that occurs several times comes twice, as copy 0 and 1, so that
-    its strings have equal ones beside them; what is found goes to copy 0.
+    All regions of a group g are sorted together. What occurs several times comes twice, as copy 0 and 1, so that its
+    strings have equal ones beside them; what is found goes to copy 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,19 +375,18 @@ def sort_regions(regions: DataFrame, length: int, least: int) -> DataFrame:
 
 
 def slices(rows: DataFrame, width: int, length: int, least: int) -> DataFrame:
-    """Rows (h, r, off, g, q, copy, n, a, region) cut into slices of starts, of the same columns.
+    """Rows (h, r, off, g, q, n, a, region) cut into slices of starts, of the same columns.
 
     A slice's starts lie in a range of width distances before the anchor, so all its strings of least bytes have the bytes
     from the last such start to the end of the first such string in common. These and the range make the group.
     A width of 0 takes slices of a single start and puts those together that agree in length bytes.
     """
-    names = ["h", "r", "off", "g", "q", "copy", "n", "a", "region"]
-    types = {"copy": pa.int32(), "region": pa.binary()}
+    names = ["h", "r", "off", "g", "q", "n", "a", "region"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in names}
-            for h, r, off, g, copy, n, a, region in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7, 8)]):
+            for h, r, off, g, n, a, region in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7)]):
                 data = np.frombuffer(region, np.uint8)
                 wide = max(1, width)
                 ranges = np.arange(max(0, a - n + 1) // wide, a // wide + 1)
@@ -396,12 +398,12 @@ def slices(rows: DataFrame, width: int, length: int, least: int) -> DataFrame:
                 groups = mix(span_hashes(data, *core) ^ salt).view(np.int64)
                 kinds = mix(span_hashes(data, lo, end) ^ (hi - lo + 1).astype(np.uint64)).view(np.int64)
                 for j in range(len(ranges)):
-                    for c, x in zip(names, (h, r, off + int(lo[j]), groups[j], kinds[j], copy, int(hi[j] - lo[j] + 1), int(a - lo[j]), region[lo[j] : end[j]])):
+                    for c, x in zip(names, (h, r, off + int(lo[j]), groups[j], kinds[j], int(hi[j] - lo[j] + 1), int(a - lo[j]), region[lo[j] : end[j]])):
                         out[c].append(x)
             if out["h"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], types.get(c, pa.int64())) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.binary() if c == "region" else pa.int64()) for c in names], names=names)
 
-    return rows.select(*names).mapInArrow(run, ", ".join(f"{c} {({'region': 'binary', 'copy': 'int'}).get(c, 'long')}" for c in names))
+    return rows.select(*names).mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'region' else 'long'}" for c in names))
 
 
 def shifted(column: str, by: str):
@@ -416,7 +418,7 @@ def groups_beyond(kinds: DataFrame, group: str, together: int) -> tuple[DataFram
 
 
 def dealt_out(rows: DataFrame, length: int, least: int, together: int) -> DataFrame:
-    """h, r, runs and passages of the regions (h, r, off, g, q, copy, n, a, region) of groups that are too large to sort.
+    """h, r, runs and passages of the regions (h, r, off, g, q, n, a, region) of groups that are too large to sort.
 
     Level by level slices get narrower, so what meets agrees in more bytes; groups that are small enough are sorted. The
     last groups agree in all bytes of their single strings, so they hold one kind each.
@@ -428,17 +430,46 @@ def dealt_out(rows: DataFrame, length: int, least: int, together: int) -> DataFr
         kinds = kinds.select("g", "q", "n", F.posexplode(F.when(F.col("m") > 1, F.array("low", "high")).otherwise(F.array("low"))).alias("copy", "region"))
         many, some = groups_beyond(rows.select("g", "q").distinct(), "g", together)
         found = sort_regions(kinds.join(many, "g", "left_anti"), length, least)
-        found = rows.where("copy = 0").select("h", "r", "off", "g", "q").join(found, ["g", "q"]).select("h", "r", shifted("runs", "off").alias("runs"), shifted("passages", "off").alias("passages"))
+        found = rows.select("h", "r", "off", "g", "q").join(found, ["g", "q"]).select("h", "r", shifted("runs", "off").alias("runs"), shifted("passages", "off").alias("passages"))
         out = found if out is None else out.unionByName(found)
         if not some:
             break
         rows = rows.join(many, "g", "left_semi")
         if width == 1:  # those that agree in a whole string of least bytes
             all_starts = F.array(F.struct(F.col("off").alias("first"), F.col("off").alias("last")))
-            out = out.unionByName(rows.where("copy = 0").select("h", "r", F.array().cast(RUNS).alias("runs"), all_starts.alias("passages")))
+            out = out.unionByName(rows.select("h", "r", F.array().cast(RUNS).alias("runs"), all_starts.alias("passages")))
     return out
 
 
+def stretches(kinds: DataFrame) -> DataFrame:
+    """Kinds (h, r, one, two) of intervals that occur several times, put together where both their first and their last
+    occurrence go on in the same two texts: g and q of the stretch, where it begins in both, and off, its distance to each kind.
+
+    So bytes that neighbours have in common are sorted once. A stretch is cut where CHUNK bytes of the first text end.
+    """
+    rows = kinds.select("h", "r", F.col("one.n").alias("n"), F.col("one.size").alias("size"), F.col("one.key").alias("k1"), F.col("one.lo").alias("l1"), F.col("two.key").alias("k2"), (F.col("two.lo") - F.col("one.lo")).alias("apart"))
+    rows = rows.withColumn("g", F.xxhash64("k1", "k2", "apart", F.floor(F.col("l1") / CHUNK)))
+    order = Window.partitionBy("g").orderBy("l1")
+    fresh = F.coalesce(F.col("l1") > F.lag(F.col("l1") + F.col("n")).over(order), F.lit(True))
+    rows = rows.withColumn("fresh", fresh.cast("long")).withColumn("q", F.sum("fresh").over(order))
+    whole = Window.partitionBy("g", "q")
+    rows = rows.withColumn("lo", F.min("l1").over(whole)).withColumn("starts", F.max(F.col("l1") + F.col("n")).over(whole)).withColumn("end", F.max(F.col("l1") + F.col("size")).over(whole))
+    return rows.select("g", "q", "h", "r", "n", "k1", "k2", "apart", "lo", (F.col("starts") - F.col("lo")).alias("starts"), (F.col("end") - F.col("lo")).alias("bytes"), (F.col("l1") - F.col("lo")).alias("off"))
+
+
+def pairs_of(members: DataFrame) -> DataFrame:
+    """The two regions of every stretch, as cut_regions() takes them: each with the bytes of its own text."""
+    ends = F.array(F.struct(F.col("k1").alias("key"), F.col("lo").alias("lo")), F.struct(F.col("k2").alias("key"), (F.col("lo") + F.col("apart")).alias("lo")))
+    rows = members.where("off = 0").select("g", "q", "starts", "bytes", F.posexplode(ends).alias("copy", "at"))
+    return rows.select(F.col("g").alias("h"), F.col("q").alias("r"), "copy", "at.key", "at.lo", F.col("starts").alias("n"), F.col("bytes").alias("size"), F.lit(0).cast("long").alias("a"))
+
+
+def within(column: str):
+    """The part of a stretch's runs that a member's n starts from off on hold."""
+    part = F.transform(column, lambda x: F.struct((F.greatest(x["first"], F.col("off")) - F.col("off")).alias("first"), (F.least(x["last"], F.col("off") + F.col("n") - 1) - F.col("off")).alias("last")))
+    return F.filter(part, lambda x: x["first"] <= x["last"])
+
+
 def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together: int = TOGETHER) -> DataFrame:
     """key, runs and passages: the first and last start of all strings of length (and least) bytes that start at least
     twice in base's rows (doc_id, text, key).
@@ -457,16 +488,17 @@ def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together
     sides = kinds.select("h", "r", F.explode(sides).alias("side"))
     shared = sides.groupBy("side").agg(F.count("*").alias("c")).where("c > 1").select("side")
     near = sides.join(shared, "side", "left_semi").select("h", "r", F.lit(True).alias("near")).distinct()
-    kinds = kinds.join(near, ["h", "r"], "left").where("near or m > 1")
-    kinds = kinds.select("h", "r", F.posexplode(F.when(F.col("m") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("copy", "at"))
-    kinds = scratch.keep(kinds.select("h", "r", "copy", "at.*"))
+    kinds = scratch.keep(kinds.join(near, ["h", "r"], "left").where("near or m > 1"))
+    members = scratch.keep(stretches(kinds.where("m > 1")))
+    kinds = kinds.where("near").select("h", "r", F.lit(0).alias("copy"), "one.*")
     many, some = groups_beyond(kinds, "h", together)
     small_batches(base.sparkSession)
-    cold = cut_regions(base, kinds.join(many, "h", "left_anti") if some else kinds)
-    found = sort_regions(cold.withColumnsRenamed({"h": "g", "r": "q"}), length, least).withColumnsRenamed({"g": "h", "q": "r"})
+    wanted = pairs_of(members).unionByName(kinds.join(many, "h", "left_anti") if some else kinds)
+    found = scratch.keep(sort_regions(cut_regions(base, wanted).withColumnsRenamed({"h": "g", "r": "q"}), length, least))
+    found = found.withColumnsRenamed({"g": "h", "q": "r"}).unionByName(members.join(found, ["g", "q"]).select("h", "r", within("runs").alias("runs"), within("passages").alias("passages")))
     if some:
         hot = cut_regions(base, kinds.join(many, "h", "left_semi"))
-        hot = hot.dropDuplicates(["h", "r", "copy"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "copy", "n", "a", "region")
+        hot = hot.dropDuplicates(["h", "r"]).select("h", "r", F.lit(0).cast("long").alias("off"), F.col("h").alias("g"), F.col("r").alias("q"), "n", "a", "region")
         found = found.unionByName(dealt_out(hot, length, least, together))
     back = marks.join(found, ["h", "r"]).select("key", shifted("runs", "lo").alias("runs"), shifted("passages", "lo").alias("passages"))
     run = F.array(F.struct(F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last")))
