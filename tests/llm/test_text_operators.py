@@ -449,6 +449,22 @@ def test_copies_give_pairs_in_proportion(spark):
     assert neardup.candidates(shared, 0.8, one).count() == 0
 
 
+def test_sets_of_similarity_08_share_a_golay_key():
+    r = np.random.default_rng(4)
+    for common, own in ((8, 1), (40, 5), (320, 40)):
+        found = []
+        for _ in range(300):
+            s = r.integers(0, 2**63, common + 2 * own).astype(np.uint64)
+            a, b = (np.array([neardup.fingerprint(x)]) for x in (s[: common + own], np.r_[s[:common], s[common + own :]]))
+            keys = [set(neardup.join_keys(x).ravel().tolist()) - {-1} for x in (a, b)]
+            low = [x[0, : neardup.CHECK] for x in (a, b)]
+            found.append(bool(keys[0] & keys[1]) and neardup.distance(*low) <= neardup.limits(0.8)[1])
+        assert sum(found) >= 299
+    piece = int.from_bytes(a[0].tobytes(), "little") & (1 << neardup.PIECE) - 1
+    codes = golay.keys(np.array([piece & (1 << golay.LENGTH) - 1]))[0]
+    assert neardup.join_keys(a)[0, 0].tolist() == [c if c < 0 else piece >> golay.LENGTH << golay.DATA | c for c in codes.tolist()]
+
+
 @pytest.mark.parametrize("keep_one", [simhash.keep_one, neardup.keep_one])
 def test_each_component_keeps_a_row(spark, keep_one):
     r = np.random.default_rng(5)

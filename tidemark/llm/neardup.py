@@ -1,13 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole sets decide.
-
-BANDS groups of ROWS minima find a pair of similarity 0.8 with probability 1 - (1 - 0.8^5)^25, over 0.9999. Documents with
-a common band are held against each other by one byte of every minimum. Pairs that come near are then compared exactly,
-first trees of pairs, then all pairs that these leave in different components.
+"""Near-duplicates by the Jaccard similarity of their word shingles: SimHash fingerprints joined on Golay codewords find
+candidates, whole sets decide.
+
+The fingerprint of a set has a bit for each of several hashes: whether it is set in over half of the shingles' hashes. At
+similarity 0.8 about 15 % of these bits differ. TABLES pieces of a fingerprint are keys, each of a block of equal bits and of
+the codewords near a 23-bit piece (see golay). In one table two sets of that similarity share a key with probability 0.32, so
+in one of all with over 0.9999 (sets of 4 and 5 shingles, whose bits differ more: 0.997). Sets with a common key are held
+against each other by their fingerprints. Pairs that come near are then compared exactly, first trees of pairs, then all pairs
+that these leave in different components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import golay
 from .common import annotate, cut, groups_of, mix, small_batches, text_bytes, tidy
 from .components import components
 from .lm import word_keys, words_of
@@ -22,12 +28,18 @@ from .winnow import grams
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-#: An estimate from BANDS * ROWS bytes is within 0.1 of the similarity but for one pair in 400 or fewer at 0.8.
-MARGIN = 0.1
-#: Bytes of a sketch: one of each minimum, then four of each band's key.
-SKETCH = BANDS * ROWS + 4 * BANDS
-_SALT = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Pieces of a fingerprint that are keys, and the bits of each that have to be equal beside its codeword.
+TABLES, BLOCK = 26, 4
+PIECE = golay.LENGTH + BLOCK
+#: Words of 64 bits of a fingerprint, and how many of them go with each key for a first estimate.
+LANES, CHECK = -(-TABLES * PIECE // 64), 2
+#: Sets of up to so many shingles are judged by the first estimate only, as more of their bits differ by chance.
+SMALL = 16
+#: A set has up to 6 keys in a table, 5.3 on average.
+BANDS = 6 * TABLES
+#: Runs of sets with a common key up to this long are compared all at once, longer ones set by set.
+PAIRED = 64
+_SALT = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -50,12 +62,30 @@ def node_of(own: np.ndarray) -> np.int64:
     return mix(mix(own).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    out = np.full(len(_SALT), ~np.uint64(0))
-    for at in range(0, len(own), 1 << 9):
-        x = (own[at : at + (1 << 9), None] ^ _SALT) * np.uint64(0xBF58476D1CE4E5B9)
-        np.minimum(out, (x ^ x >> np.uint64(32)).min(0), out=out)
-    return out
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The bits, in LANES words, that are set in over half of the hashes of a set's shingles."""
+    set_in = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(own), 255):  # sums of so many bits fit a byte
+        hashes = mix(own[at : at + 255, None] ^ _SALT)
+        set_in += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(set_in * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def join_keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints (the first LANES words of rows): 6 columns for each table, -1 where there are fewer."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")[:, : TABLES * PIECE]
+    pieces = bits.reshape(-1, PIECE).astype(np.int32) @ (1 << np.arange(PIECE, dtype=np.int32))
+    codes = golay.keys(pieces & (1 << golay.LENGTH) - 1)
+    table = np.tile(np.arange(TABLES), len(prints))
+    head = (table << BLOCK | pieces >> golay.LENGTH) << golay.DATA
+    return np.where(codes < 0, -1, head[:, None] | codes).astype(np.int32).reshape(len(prints), TABLES, 6)
+
+
+def limits(least: float, bits: int = 64 * CHECK, sure: float = 4.7) -> tuple[int, int]:
+    """How many of so many bits two sets of a similarity of least differ in: one standard deviation over the mean, and sure of
+    them over it (4.7 leaves out one pair in 10^6, 3.2 one in 1,400)."""
+    p = acos(2 * least / (1 + least)) / pi
+    return floor(bits * p + sqrt(bits * p * (1 - p))), floor(bits * p + sure * sqrt(bits * p * (1 - p)))
 
 
 def nodes(docs: DataFrame, text: str, keep: list[str], words: int) -> DataFrame:
@@ -67,34 +97,87 @@ def nodes(docs: DataFrame, text: str, keep: list[str], words: int) -> DataFrame:
     return annotate(docs, [text], [T.StructField("__node", T.LongType())], make, keep)
 
 
-def tree_pairs(sketch: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (rows of two) that hold a run's groups together by estimate. What is reached is held against the rest only, so
-    there are fewer pairs than documents."""
-    left, out = np.arange(len(sketch)), [np.zeros((0, 2), np.int64)]
+def distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(-1, dtype=np.int16)
+
+
+def short_pairs(low: np.ndarray, k: np.ndarray, size: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i before j) within far of each other in the runs of equal k that are not longer than PAIRED, and how far."""
+    found, apart = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int16)]
+    short = np.flatnonzero(np.repeat(size <= PAIRED, size))
+    for shift in range(1, min(PAIRED, int(size.max(initial=1)))):
+        short = short[short + shift < len(k)]
+        short = short[k[short + shift] == k[short]]
+        if not len(short):
+            break
+        d = distance(low[short], low[short + shift])
+        near = d <= far
+        found.append(np.c_[short[near], short[near] + shift])
+        apart.append(d[near])
+    return np.concatenate(found), np.concatenate(apart)
+
+
+def tree_pairs(low: np.ndarray, near: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of two) within near that hold most of a long run's groups together, and all that are within far of another.
+    What is reached is held against the rest only, so there are fewer pairs than sets."""
+    left, out, met = np.arange(len(low)), [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = (sketch[left] == sketch[x]).mean(1) >= least
-            queue.extend(left[near])
-            out.append(np.c_[np.full(near.sum(), x), left[near]])
-            left = left[~near]
-    return np.concatenate(out)
-
-
-def cross_pairs(sketch: np.ndarray, bands: np.ndarray, band: np.uint32, root: np.ndarray, least: float) -> np.ndarray:
-    """All pairs of a run with different roots whose estimate is least - MARGIN or more and that have no earlier common
-    band, where they were tried. bands are 32 bits of each band's key; two keys that agree in them by chance lose a pair of
-    documents in 10^8."""
-    out = [np.zeros((0, 2), np.int64)]
-    if (root == root[0]).all():
-        return out[0]
-    for x in range(len(sketch) - 1):
-        y = x + 1 + np.flatnonzero(root[x + 1 :] != root[x])
-        y = y[(sketch[y] == sketch[x]).mean(1) >= least - MARGIN] if len(y) else y
-        y = y[bands[x, (bands[y] == bands[x]).argmax(1)] == band] if len(y) else y
-        out.append(np.c_[np.full(len(y), x), y])
-    return np.concatenate(out)
+            d = distance(low[left], low[x])
+            reached = left[d <= far]
+            if len(reached):
+                queue.extend(reached)
+                met += [[x], reached]
+                close = left[d <= near]
+                out.append(np.c_[np.full(len(close), x), close])
+                left = left[d > far]
+    return np.concatenate(out), np.concatenate(met)
+
+
+def trees(low: np.ndarray, k: np.ndarray, edge: np.ndarray, near: int, far: int) -> np.ndarray:
+    """Pairs that hold the groups of all runs together by estimate; what is within far of another but in none of these pairs
+    stands as a pair with itself."""
+    size = np.diff(edge)
+    pairs, apart = short_pairs(low, k, size, far)
+    met, close = [pairs.ravel()], pairs[apart <= near]
+    close = close[np.lexsort((close[:, 0], close[:, 1]))]
+    out = [close[np.r_[True, close[1:, 1] != close[:-1, 1]][: len(close)]]]
+    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
+        found, seen = tree_pairs(low[lo:hi], near, far)
+        out.append(found + lo)
+        met.append(seen + lo)
+    linked = np.concatenate(out)
+    alone = np.setdiff1d(np.concatenate(met), linked)
+    return np.concatenate([linked, np.c_[alone, alone]])
+
+
+def cross_pairs(low: np.ndarray, k: np.ndarray, edge: np.ndarray, prints: np.ndarray, root: np.ndarray, far: int, farthest: int) -> np.ndarray:
+    """All pairs of all runs with different roots, within far and (whole fingerprints) farthest, that have no smaller common key,
+    where they are tried."""
+    size = np.diff(edge)
+    out = [short_pairs(low, k, size, far)[0]]
+    out[0] = out[0][root[out[0][:, 0]] != root[out[0][:, 1]]]
+    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
+        if (root[lo:hi] != root[lo]).any():
+            for x in range(lo, hi - 1):
+                y = x + 1 + np.flatnonzero(root[x + 1 : hi] != root[x])
+                y = y[distance(low[y], low[x]) <= far]
+                out.append(np.c_[np.full(len(y), x), y])
+    pairs = np.concatenate(out)
+    for_sure = (prints[:, LANES] <= SMALL)[pairs].any(1)
+    near = [distance(prints[p[:, 0], :LANES], prints[p[:, 1], :LANES]) <= farthest for p in np.array_split(pairs, 1 + len(pairs) // (1 << 16))]
+    pairs = pairs[for_sure | np.concatenate(near)]
+    if not len(pairs):
+        return pairs
+    own, place = np.unique(pairs, return_inverse=True)
+    keys, place, first = join_keys(prints[own]), place.reshape(-1, 2), np.zeros(len(pairs), bool)
+    for at in range(0, len(pairs), 1 << 12):
+        a, b = (keys[p] for p in place[at : at + (1 << 12)].T)
+        common = np.where((a[:, :, :, None] == b[:, :, None, :]) & (a[:, :, :, None] >= 0), a[:, :, :, None], 1 << 30)
+        first[at : at + (1 << 12)] = common.reshape(len(a), -1).min(1) == k[pairs[at : at + (1 << 12), 0]]
+    return pairs[first]
 
 
 def runs(held: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -121,82 +204,77 @@ def by_run(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[list[np.nd
         yield runs(held)
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns) if i != 2]
-    return numbers[0], numbers[1], text_bytes(batch.column(2))[0].reshape(-1, SKETCH), *numbers[2:]
-
-
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "node")
 
 
 def sketches_of(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """node and sketch of every text, with the keys of its bands: about 350 bytes each, whatever the text's length."""
+    """node and sketch (fingerprint and number of shingles) of every text: about 100 bytes each, whatever the text's length."""
     small_batches(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, sketches, keys = [], [], []
+            own, sketches = [], []
             for s in shingles(batch.column(0), words):
-                low = minima(s)
-                band = mix(mix(low.reshape(BANDS, ROWS) * _SALT[:ROWS]).sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64))
                 own.append(node_of(s))
-                sketches.append((low & np.uint64(255)).astype(np.uint8).tobytes() + band.astype(np.uint32).tobytes())
-                keys.append(band.tobytes())
+                sketches.append(fingerprint(s).tobytes() + np.uint64(len(s)).tobytes())
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.binary())], names=["node", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)), pa.array(sketches, pa.binary())], names=["node", "sketch"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(emit), "node long, sketch binary, keys binary")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(emit), "node long, sketch binary").dropDuplicates(["node"])
 
 
-def shared_bands(sketches: DataFrame) -> DataFrame:
-    """k, node and sketch of every band (k) that two nodes or more have.
+def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
+    """A row for every key (k) of every node: with the fingerprint's CHECK words (low), and the whole sketch if asked for.
 
-    Only 16 bytes a band are dealt to find these; sketches are joined to what is left.
+    A column root of sketches goes along.
     """
+    more = [c for c in ("root",) if c in sketches.columns]
+    names = ["k", "node", *(f"low{i}" for i in range(CHECK)), *more, *(["sketch"] if whole else [])]
+    kinds = {"k": "int", "sketch": "binary"}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = text_bytes(batch.column(1))[0].copy().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["k", "node"])
+                prints = text_bytes(batch.column(1))[0].view(np.uint64).reshape(-1, LANES + 1)
+                keys = join_keys(prints).reshape(len(prints), -1)
+                row, column = np.nonzero(keys >= 0)
+                numbers = [batch.column(0).to_numpy(), *(prints[:, i].view(np.int64) for i in range(CHECK)), *(batch.column(2 + i).to_numpy() for i in range(len(more)))]
+                arrays = [pa.array(keys[row, column]), *(pa.array(x[row]) for x in numbers)]
+                yield pa.RecordBatch.from_arrays([*arrays, *([batch.column(1).take(pa.array(row))] if whole else [])], names=names)
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, f), edge in by_run(batches, lambda b: (b.column(0).to_numpy(), b.column(1).to_numpy())):
-            size = np.diff(edge)
-            at = np.flatnonzero(np.repeat(size > 1, size))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(f[at])], names=["k", "node"])
-
-    small_batches(sketches.sparkSession, 4096)
-    keyed = sketches.select("node", "keys").mapInArrow(tidy(spread), "k long, node long")
-    shared = cut(_sorted(keyed).mapInArrow(tidy(several), "k long, node long"))
-    wanted = sketches.select("node", "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    return shared.join(wanted, "node").select("k", "node", "sketch")
+    small_batches(sketches.sparkSession, 1024)
+    return sketches.select("node", "sketch", *more).mapInArrow(tidy(spread), ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
 
 
 def candidates(shared: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes with a common band: trees of those that seem linked, or with roots (of what trees have linked)
-    all pairs of different roots that may have a similarity of least or more."""
+    """Pairs (a, b) of nodes with a common key: trees of those that seem linked, and with itself each that may be linked but is in
+    none. With roots (of what trees have linked), or a column root, all pairs of different roots that may have a similarity of
+    least or more."""
+    near, far = limits(least)
+    farthest = limits(least, 64 * LANES, 3.2)[1]
+    if roots is not None:
+        of = roots.select(F.col("node").alias("of"), "root")
+        shared = shared.join(of, shared["node"] == of["of"], "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
+    across = "root" in shared.columns
+    lows = [f"low{i}" for i in range(CHECK)]
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        number = lambda c: batch.column(c).to_numpy()
+        low = np.stack([number(c) for c in lows], 1).view(np.uint64)
+        more = (number("root"), text_bytes(batch.column("sketch"))[0].view(np.uint64).reshape(-1, LANES + 1)) if across else ()
+        return number("k"), number("node"), low, *more
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, f, s, *root), edge in by_run(batches, _columns):
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                low = s[lo:hi, : BANDS * ROWS]
-                if root:
-                    bands = np.ascontiguousarray(s[lo:hi, BANDS * ROWS :]).view(np.uint32)
-                    found = cross_pairs(low, bands, k[lo : lo + 1].view(np.uint64).astype(np.uint32)[0], root[0][lo:hi], least)
-                else:
-                    found = tree_pairs(low, least)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(f[lo:hi][found[:, 0]]), pa.array(f[lo:hi][found[:, 1]])], names=["a", "b"])
+        for (k, f, low, *more), edge in by_run(batches, read):
+            found = cross_pairs(low, k, edge, more[1], more[0], far, farthest) if across else trees(low, k, edge, near, far)
+            if len(found):
+                ends = np.unique(np.sort(f[found], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
-    if roots is not None:
-        of = roots.select(F.col("node").alias("of"), "root")
-        shared = shared.join(of, shared["node"] == of["of"], "left").select("k", "node", "sketch", F.coalesce("root", "node").alias("root"))
-    small_batches(shared.sparkSession, 4096)
-    found = _sorted(shared).mapInArrow(tidy(pair), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = _sorted(shared.select("k", "node", *lows, *(["root", "sketch"] if across else [])))
+    small_batches(shared.sparkSession, 1 << 15)
+    return rows.mapInArrow(tidy(pair), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
@@ -227,9 +305,13 @@ def groups(docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
     lost, and copies of one text give a number of pairs in proportion to theirs. Groups that nearly reach the similarity
     and do not are held against each other pair by pair.
     """
-    shared = cut(shared_bands(cut(sketches_of(docs, text, words))))
-    trees = verified(candidates(shared, least), docs, text, words, least)
-    rest = verified(candidates(shared, least, components(trees)), docs, text, words, least)
+    sketches = cut(sketches_of(docs, text, words))
+    first = cut(candidates(shared_bands(sketches, whole=False), least))
+    trees = verified(first.where("a != b"), docs, text, words, least)
+    # Only what is near another set goes on, so that few keys are dealt a second time.
+    near = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components(trees), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    again = cut(candidates(shared_bands(sketches.join(near, "node")), least))
+    rest = verified(again.join(first, ["a", "b"], "left_anti"), docs, text, words, least)
     return components(trees.union(rest))
 
 
