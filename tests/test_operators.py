@@ -529,3 +529,13 @@ def test_filter_graphs_cover_every_clip(spark):
     rows = queries.QUERIES["filter_graphs"](spark, sf).collect()
     assert len(rows) == queries.event_clips(spark, sf).count()
     assert all((r.graph is None) == (r.layout == "CENTER_CROP") for r in rows)
+
+
+def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "TASK", 1000)
+    rows = spark.range(200).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("word " * 20).alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    dealt = ingest.conversations(spark, str(tmp_path))
+    sizes = [x["n"] for x in ingest.timeline(dealt).groupBy(F.spark_partition_id()).agg(F.sum(F.length("word")).alias("n")).collect()]
+    assert dealt.rdd.getNumPartitions() == 20 and max(sizes) < 4000 and sum(sizes) == 200 * 80
+    assert ingest.conversations(spark, str(tmp_path)).count() == 200

@@ -6,6 +6,7 @@ Times are whole centiseconds (cs), so that seconds are exact to two digits in an
 from __future__ import annotations
 
 from datetime import date
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from ..functions.numeric import fixed, let
 from ..functions.text import strip
 
+#: Characters of conversations that a task gets; of documents, which are not cut into words, eight times as many.
+TASK = 1 << 19
+
 TRANSCRIPT = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
@@ -113,13 +117,13 @@ def sentences(words: DataFrame) -> DataFrame:
     return parts.select("job_id", F.col("seg").cast("int").alias("seg_idx"), "start_cs", "end_cs", "text")
 
 
-def segments(texts: DataFrame, one_turn: bool = False) -> DataFrame:
+def segments(texts: DataFrame, one_turn: bool = False, keep_text: bool = True) -> DataFrame:
     """The segments of sentences(timeline(texts)), cut within each (job_id, turn, text) row.
 
-    Whole turns are dealt by job, and only turns are numbered, never words; with one_turn, for jobs of one turn each, none are.
-    What groups by job afterwards needs no other shuffle.
+    Only turns are numbered, never words; with one_turn, for jobs of one turn each, none are. Of rows that are dealt by job
+    (see dealt) what groups by job afterwards needs no other shuffle. Without keep_text texts are not put together, and text is
+    null: each copies its whole turn's words.
     """
-    texts = texts.repartition("job_id") if one_turn else texts
     rows = texts.select("job_id", F.col("turn").cast("long").alias("turn"), F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0).alias("parts"))
     n = F.size("parts")
     ends = lambda i: F.when((i == n - 1) | F.right(F.element_at("parts", i + 1), F.lit(1)).isin(".", "!", "?"), i)
@@ -129,7 +133,7 @@ def segments(texts: DataFrame, one_turn: bool = False) -> DataFrame:
     earlier = lambda size: F.lit(0) if one_turn else F.coalesce(F.sum(size).over(before), F.lit(0))
     rows = rows.withColumns({"base": earlier("words"), "seg_base": earlier("cut")})
     first = lambda stops, i: F.when(i == 0, 0).otherwise(F.get(stops, i - 1) + 1)
-    text = lambda parts, a, e: F.array_join(F.slice(parts, a + 1, e - a + 1), " ")
+    text = lambda parts, a, e: F.array_join(F.slice(parts, a + 1, e - a + 1), " ") if keep_text else F.lit(None).cast("string")
     span = lambda parts, stops, e, i: let(first(stops, i), lambda a: F.struct(a.alias("a"), e.alias("e"), text(parts, a, e).alias("text")))
     spans = let(F.col("parts"), lambda parts: let(F.col("stops"), lambda stops: F.transform(stops, lambda e, i: span(parts, stops, e, i))))
     found = rows.select("job_id", "turn", "base", "seg_base", F.posexplode(spans).alias("pos", "x"))
@@ -137,12 +141,23 @@ def segments(texts: DataFrame, one_turn: bool = False) -> DataFrame:
     return found.select("job_id", (F.col("seg_base") + F.col("pos")).cast("int").alias("seg_idx"), at("x.a").alias("start_cs"), (at("x.e") + 36).alias("end_cs"), "x.text")
 
 
+def dealt(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (job_id, text) dealt by job, so that tasks get about size characters each, however many there are.
+
+    A job's rows grow to many times their size on the way; tasks of Spark's choice, which go by shuffled bytes, grow with the input.
+    """
+    total = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    return texts.repartition(max(1, ceil(total / size)), "job_id")
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("job_id"), "turn", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("job_id"), "turn", "text")
+    return dealt(rows, TASK)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("turn"), "text")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("turn"), "text")
+    return dealt(rows, 8 * TASK)
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> tuple[date | None, int]:
