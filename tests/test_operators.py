@@ -539,3 +539,13 @@ def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
     sizes = [x["n"] for x in ingest.timeline(dealt).groupBy(F.spark_partition_id()).agg(F.sum(F.length("word")).alias("n")).collect()]
     assert dealt.rdd.getNumPartitions() == 20 and max(sizes) < 4000 and sum(sizes) == 200 * 80
     assert ingest.conversations(spark, str(tmp_path)).count() == 200
+
+
+def test_windows_of_a_segment_are_sorted_once(spark):
+    plan = windows.thin_windows(contiguous(spark), texts=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 1
+    texts = spark.createDataFrame([("a", 0, "one two. three. " * 60)], "job_id string, turn int, text string")
+    full, bare = (ingest.segments(texts, one_turn=True, keep_text=k) for k in (True, False))
+    assert full.drop("text").collect() == bare.drop("text").collect() and bare.where("text is not null").count() == 0
+    thin = [sorted(map(tuple, windows.candidates(ingest.seconds(x), texts=False).collect())) for x in (full, bare)]
+    assert thin[0] == thin[1] and thin[0]

@@ -63,7 +63,9 @@ def exact_round(v: Column, digits: int) -> Column:
 
     def signed(v: Column) -> Column:
         size = _parts(F.abs(v), digits, near)
-        return F.when(F.isnan(v) | (F.abs(v) >= 2.0**52), v).when(v < 0, -size).otherwise(size)
+        # The double nearest to a decimal of so many digits is its own rounding, which most times are; zero loses its sign below.
+        done = (F.rint(v * float(10**digits)) / F.lit(float(10**digits)) == v) & (F.abs(v) < 2.0**30) & (v != 0)
+        return F.when(done, v).when(F.isnan(v) | (F.abs(v) >= 2.0**52), v).when(v < 0, -size).otherwise(size)
 
     return let(v.cast("double"), signed)
 

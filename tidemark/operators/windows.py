@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Windows
-from ..functions.numeric import exact_round
+from ..functions.numeric import exact_round, let
 
 DEFAULT = Windows()
 
@@ -22,10 +22,10 @@ def _ahead(segments: DataFrame, c: Windows, *more: str) -> DataFrame:
     ahead = F.collect_list(F.struct("seg_idx", "end_s", *more)).over(order)
     rows = segments.select("job_id", F.col("seg_idx").alias("i"), "start_s", *[k for k in segments.columns if k not in ("job_id", "seg_idx", "start_s", "end_s", "text")], ahead.alias("near"))
     own = F.filter(F.array_sort("near"), lambda x: x["seg_idx"] >= F.col("i"))
-    rows = rows.withColumn("near", own)
-    reach = F.array_position(F.transform("near", lambda x: x["end_s"] - F.col("start_s") >= c.target), True)
-    last = F.when(reach > 0, reach).otherwise(F.size("near")).cast("int")
-    return rows.withColumn("near", F.slice("near", F.lit(1), last))
+    reach = lambda near: F.array_position(F.transform(near, lambda x: x["end_s"] - F.col("start_s") >= c.target), True)
+    last = lambda near: let(reach(near), lambda r: F.when(r > 0, r).otherwise(F.size(near)).cast("int"))
+    # One expression: a column that others use is computed for each use where a filter is pushed down.
+    return rows.withColumn("near", let(own, lambda near: F.slice(near, F.lit(1), last(near))))
 
 
 def enumerate_windows(segments: DataFrame, c: Windows = DEFAULT) -> DataFrame:
@@ -52,11 +52,11 @@ def thin_windows(segments: DataFrame, c: Windows = DEFAULT, texts: bool = True)
     fits = F.filter("near", lambda x: (x["end_s"] - F.col("start_s")).between(c.shortest, c.longest))
     far = lambda x: F.abs(x["to_s"] - F.col("from_s") - c.target)
     best = F.array_min(F.transform(fits, lambda x: F.struct(far(x).alias("far"), F.col("i").alias("i"), x["seg_idx"].alias("j"), x["to_s"].alias("to_s"))))
-    rows = rows.withColumn("best", best).where("best is not null")
+    rows = rows.withColumn("best", best)
     text = F.array_join(F.transform(F.filter("near", lambda x: x["seg_idx"] <= F.col("best.j")), lambda x: x["text"]), " ") if texts else F.lit(None).cast("string")
     bucket = F.floor(F.col("from_s") / F.lit(c.bucket)).cast("long")
     rows = rows.select("job_id", bucket.alias("bucket"), "best", F.struct("from_s", text.alias("text")).alias("rest"))
-    found = rows.groupBy("job_id", "bucket").agg(F.min("best").alias("x"), F.min_by("rest", "best").alias("y"))
+    found = rows.groupBy("job_id", "bucket").agg(F.min("best").alias("x"), F.min_by("rest", "best").alias("y")).where("x is not null")
     return found.select("job_id", "bucket", "x.i", "x.j", F.col("y.from_s").alias("start_s"), F.col("x.to_s").alias("end_s"), "y.text")
 
 

@@ -138,7 +138,7 @@ def window_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def even_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_jobs = ingest.seconds(ingest.segments(ingest.documents(spark, sf_dir), one_turn=True))
+    long_jobs = ingest.seconds(ingest.segments(ingest.documents(spark, sf_dir), one_turn=True, keep_text=False))
     return windows.candidates(long_jobs, texts=False).select("job_id", "id", "start_s", "end_s")
 
 
