@@ -549,3 +549,10 @@ def test_windows_of_a_segment_are_sorted_once(spark):
     assert full.drop("text").collect() == bare.drop("text").collect() and bare.where("text is not null").count() == 0
     thin = [sorted(map(tuple, windows.candidates(ingest.seconds(x), texts=False).collect())) for x in (full, bare)]
     assert thin[0] == thin[1] and thin[0]
+
+
+def test_spread_selection_without_texts_is_the_same(spark):
+    shape = "job_id string, id int, start_s double, end_s double, text string, score double"
+    df = spark.createDataFrame([("a", i, 7.0 * i, 7.0 * i + 30, "t", float(i * 5 % 11)) for i in range(40)], shape)
+    full, bare = (sorted(map(tuple, selection.select_spread(df, texts=t).drop("text").collect())) for t in (True, False))
+    assert full == bare and len(full) == 5

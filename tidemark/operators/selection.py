@@ -70,14 +70,17 @@ def independent(scored: DataFrame, width: float = DEFAULT.longest) -> DataFrame:
     return found.select("job_id", F.col("key.id").alias("id"), F.col("from_s").alias("start_s"), F.col("to_s").alias("end_s"), (-F.col("key.low")).alias("score"))
 
 
-def select_spread(scored: DataFrame, c: Windows = DEFAULT) -> DataFrame:
+def select_spread(scored: DataFrame, c: Windows = DEFAULT, texts: bool = True) -> DataFrame:
     """As select_best, for jobs of any number of candidates: no job is held in one task.
 
     A choice that stops at the cap takes the best of what one without a cap takes, as choices do not depend on later ones.
+    Without texts scored is read once only, and text is null.
     """
     every = independent(scored.select("job_id", "id", "start_s", "end_s", "score"), c.longest)
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc_nulls_first("score"), "id"))
     top = every.withColumn("r", rank).where(F.col("r") <= c.clips)
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("start_s")) - 1
+    if not texts:
+        return top.select("job_id", place.cast("int").alias("clip_idx"), "id", "start_s", "end_s", F.lit(None).cast("string").alias("text"), "score")
     numbered = top.select("job_id", "id", place.cast("int").alias("clip_idx"))
     return scored.join(numbered, ["job_id", "id"]).select("job_id", "clip_idx", "id", "start_s", "end_s", "text", "score")

@@ -384,7 +384,7 @@ def greedy_selection_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all windows of a job, not of 40 candidates, those that a greedy choice takes."""
     every = windows.enumerate_windows(segments_of(spark, sf_dir))
     scored = scoring.heuristic(every.withColumn("id", (F.col("i") * 100_000 + F.col("j")).cast("int")))
-    return selection.select_spread(scored).select("job_id", "clip_idx", "id", "start_s", "end_s")
+    return selection.select_spread(scored, texts=False).select("job_id", "clip_idx", "id", "start_s", "end_s")
 
 
 @query
