@@ -449,6 +449,51 @@ def test_copies_give_pairs_in_proportion(spark):
     assert neardup.candidates(shared, 0.8, one).count() == 0
 
 
+def test_rows_of_a_crowd_near_the_similarity_grow_as_its_texts(spark, monkeypatch):
+    r, n, written = np.random.default_rng(11), 300, []
+    base, texts = [f"w{i}" for i in range(300)], []
+    for i in range(n):  # most pairs have a similarity of about 0.71; the last 10 are linked to the 10 before them
+        own = list(base)
+        for j in r.choice(np.arange(5, 295, 10), 5, replace=False):
+            own[j] = f"n{i}x{j}"
+        texts.append(" ".join(own))
+    texts[-10:] = [t + " more" for t in texts[-20:-10]]
+
+    def counted(df, cut=neardup.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "cut", counted)
+    monkeypatch.setattr(components, "cut", counted)
+    kept = {row.doc_id for row in neardup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    assert kept == set(group) and len(kept) < n
+    assert max(written) <= 4 * n, written
+    # Parts of a large cluster meet two by two, and give the same groups.
+    monkeypatch.setattr(neardup, "PART", 1 << 17)
+    parts = neardup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {row.doc_id for row in parts.collect()} == kept
+
+
+def test_stars_and_exact_links_hold_together_what_all_pairs_would():
+    r = np.random.default_rng(12)
+    pool = [r.integers(0, 60, 30) for _ in range(4)]
+    sets = [np.unique(np.r_[pool[i % 4][: 20 + i % 11], r.integers(0, 60, i % 7)]).astype(np.uint64) for i in range(120)]
+    want = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    found = neardup.exact_links(sets, 0.8)
+    assert len(found) < len(sets) < len(want) and {tuple(sorted(p)[::-1]) for p in found.tolist()} <= set(want)
+    assert neardup.joined(120, found).tolist() == neardup.joined(120, np.array(want)).tolist()
+    assert neardup.joined(5, np.array([[4, 3], [3, 1], [0, 2]])).tolist() == [0, 1, 0, 1, 1]
+    assert len({int(k) >> 16 for k in neardup.join_keys(np.array([neardup.fingerprint(sets[0])])).ravel() if k >= 0}) == neardup.TABLES
+
+
 def test_sets_of_similarity_08_share_a_golay_key():
     r = np.random.default_rng(4)
     for common, own in ((8, 1), (40, 5), (320, 40)):

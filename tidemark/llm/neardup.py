@@ -5,8 +5,8 @@ The fingerprint of a set has a bit for each of several hashes: whether it is set
 similarity 0.8 about 15 % of these bits differ. TABLES pieces of a fingerprint are keys, each of a block of equal bits and of
 the codewords near a 23-bit piece (see golay). In one table two sets of that similarity share a key with probability 0.32, so
 in one of all with over 0.9999 (sets of 4 and 5 shingles, whose bits differ more: 0.997). Sets with a common key are held
-against each other by their fingerprints. Pairs that come near are then compared exactly, first trees of pairs, then all pairs
-that these leave in different components.
+against each other by their fingerprints. What comes near is joined to clusters by stars, so no pairs are listed; within a
+cluster whole sets are held against each other where they lie, and only links that join two groups are given out.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SMALL = 16
 BANDS = 6 * TABLES
 #: Runs of sets with a common key up to this long are compared all at once, longer ones set by set.
 PAIRED = 64
+#: Characters of a part of a large cluster; two parts meet in a task.
+PART = 1 << 21
 _SALT = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -277,42 +279,143 @@ def candidates(shared: DataFrame, least: float, roots: DataFrame | None = None)
     return rows.mapInArrow(tidy(pair), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
-    """Pairs whose whole sets of shingles have a Jaccard similarity of least or more."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("__node")).distinct().union(pairs.select(F.col("b").alias("__node")).distinct())
-    source = docs.select(F.col(f"`{text}`").alias("text"))
-    texts = cut(nodes(source, "text", ["text"], words).join(ends, "__node", "left_semi").dropDuplicates(["__node"]))
-    first, second = texts.select(F.col("__node").alias("a"), F.col("text").alias("one")), texts.select(F.col("__node").alias("b"), F.col("text").alias("two"))
+def joined(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest of n numbers that each is joined to by pairs."""
+    root = np.arange(n)
+    while len(pairs):
+        least = root[pairs].min(1)
+        np.minimum.at(root, pairs.ravel(), np.repeat(least, 2))
+        root = root[root]
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+    while (root != root[root]).any():
+        root = root[root]
+    return root
+
+
+def near_stars(low: np.ndarray, k: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int, farthest: int) -> np.ndarray:
+    """Pairs of each run's first and all others that a chain of sets within far and (whole fingerprints) farthest joins to it."""
+    size, tiny = np.diff(edge), prints[:, LANES] <= SMALL
+    pairs = short_pairs(low, k, size, far)[0]
+    near = [distance(prints[p[:, 0], :LANES], prints[p[:, 1], :LANES]) <= farthest for p in np.array_split(pairs, 1 + len(pairs) // (1 << 16))]
+    root = joined(len(k), pairs[tiny[pairs].any(1) | np.concatenate(near)])
+    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
+        left = np.arange(lo, hi)
+        while len(left):
+            first, left = left[0], left[1:]
+            queue = [first]
+            while queue and len(left):
+                x = queue.pop()
+                y = left[distance(low[left], low[x]) <= far]
+                y = y[tiny[y] | tiny[x] | (distance(prints[y, :LANES], prints[x, :LANES]) <= farthest)]
+                root[y] = first
+                queue.extend(y.tolist())
+                left = left[root[left] != first]
+    others = np.flatnonzero(root != np.arange(len(k)))
+    return np.c_[root[others], others]
+
+
+def clusters(shared: DataFrame, least: float) -> DataFrame:
+    """Stars (a, b) of nodes that have a common key and may have a similarity of least or more, or that a chain of such joins:
+    of each key fewer than it has nodes."""
+    far, farthest = limits(least)[1], limits(least, 64 * LANES, 3.2)[1]
+    lows = [f"low{i}" for i in range(CHECK)]
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        low = np.stack([batch.column(c).to_numpy() for c in lows], 1).view(np.uint64)
+        return batch.column("k").to_numpy(), batch.column("node").to_numpy(), low, text_bytes(batch.column("sketch"))[0].view(np.uint64).reshape(-1, LANES + 1)
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k, f, low, prints), edge in by_run(batches, read):
+            found = f[near_stars(low, k, edge, prints, far, farthest)]
+            if len(found):
+                own, place = np.unique(found, return_inverse=True)
+                root = joined(len(own), place.reshape(-1, 2))  # of all these runs together
+                others = np.flatnonzero(root != np.arange(len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[root[others]]), pa.array(own[others])], names=["a", "b"])
+
+    rows = _sorted(shared.select("k", "node", *lows, "sketch"))
+    small_batches(shared.sparkSession, 1 << 15)
+    return rows.mapInArrow(tidy(star), "a long, b long").distinct()
+
+
+def exact_links(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Pairs of sets of a Jaccard similarity of least or more that hold all together which such pairs join: fewer than sets."""
+    size = np.array([len(s) for s in sets])
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(member, np.cumsum(size)[:-1])
+    mark = np.zeros(member.max() + 1, np.int32)
+    left, out = np.arange(len(sets)), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        member = member[len(own[queue[0]]) :]  # those of left
+        while queue and len(left):
+            x = queue.pop()
+            mark[own[x]] = 1
+            common = np.add.reduceat(mark[member], np.r_[0, np.cumsum(size[left])[:-1]])
+            mark[own[x]] = 0
+            good = common >= least * (size[x] + size[left] - common) - 1e-9
+            if good.any():
+                out.append(np.c_[np.full(good.sum(), x), left[good]])
+                queue.extend(left[good].tolist())
+                member, left = member[np.repeat(~good, size[left])], left[~good]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def links(of: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of exact similarity that hold the groups of each cluster together. of: node and root of every node of a cluster.
+
+    A cluster of up to 2 * PART characters is read by one task. Larger ones are dealt by their nodes' hashes into parts of
+    about PART, and every two parts meet in one task, so that memory is bounded and any number of tasks can share a cluster.
+    """
+    members = of.select(F.col("node").alias("of"), "root")
+    source = nodes(docs.select(F.col(f"`{text}`").alias("text")), "text", ["text"], words)
+    texts = cut(source.join(members, source["__node"] == members["of"]).select(F.col("__node").alias("node"), "root", "text").dropDuplicates(["node"]))
+    large = texts.groupBy("root").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).where(F.col("n") > 2 * PART)
+    large = large.select("root", F.ceil(F.col("n") / PART).cast("int").alias("parts"))  # one row for each 2 * PART characters at most
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != mine)
+    met = F.transform(others, lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    rows = texts.join(F.broadcast(large), "root", "left").select("root", "node", "text", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(met)).alias("at"))
+    rows = rows.select("root", "at.i", "at.j", "node", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            ends = np.sort(np.array(own, np.int64)[exact_links(sets, least)], 1)
+            own.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(shingles(batch.column(2), words), shingles(batch.column(3), words)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
+            for at, node, s in zip(keys, batch.column(3).to_pylist(), shingles(batch.column(4), words)):
+                if at != key and own:
+                    yield found()
+                key = at
+                own.append(node)
+                sets.append(s)
+        if own:
+            yield found()
 
     small_batches(docs.sparkSession)
-    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "one", "two").mapInArrow(tidy(check), "a long, b long"))
+    return rows.mapInArrow(tidy(link), "a long, b long")
 
 
 def groups(docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
     """node and root of every node that is linked to a smaller one.
 
-    First only trees of pairs are compared, and what they link is joined. Then all other pairs that may be linked are
-    compared, but for those of one component, which a further link would not change. So no link between components is
-    lost, and copies of one text give a number of pairs in proportion to theirs. Groups that nearly reach the similarity
-    and do not are held against each other pair by pair.
+    Nodes that may be near another by a part of their fingerprints go on with all of it. Those that may be linked make
+    clusters, held together by stars, and each cluster's sets are compared exactly, but for those that links join already.
+    So no link within a cluster is lost, and whatever a group's size, rows grow as its nodes.
     """
     sketches = cut(sketches_of(docs, text, words))
-    first = cut(candidates(shared_bands(sketches, whole=False), least))
-    trees = verified(first.where("a != b"), docs, text, words, least)
-    # Only what is near another set goes on, so that few keys are dealt a second time.
-    near = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components(trees), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    again = cut(candidates(shared_bands(sketches.join(near, "node")), least))
-    rest = verified(again.join(first, ["a", "b"], "left_anti"), docs, text, words, least)
-    return components(trees.union(rest))
+    first = candidates(shared_bands(sketches, whole=False), least)
+    near = cut(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    stars = components(clusters(shared_bands(sketches.join(near, "node")), least))
+    of = cut(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()))
+    return components(links(of, docs, text, words, least))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
