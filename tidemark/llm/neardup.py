@@ -283,12 +283,11 @@ def joined(n: int, pairs: np.ndarray) -> np.ndarray:
     """The smallest of n numbers that each is joined to by pairs."""
     root = np.arange(n)
     while len(pairs):
-        least = root[pairs].min(1)
-        np.minimum.at(root, pairs.ravel(), np.repeat(least, 2))
-        root = root[root]
+        ends = root[pairs]
+        np.minimum.at(root, ends.ravel(), np.repeat(ends.min(1), 2))  # a whole group goes with its smallest
+        while (root != root[root]).any():
+            root = root[root]
         pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-    while (root != root[root]).any():
-        root = root[root]
     return root
 
 
