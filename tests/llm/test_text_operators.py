@@ -226,6 +226,25 @@ def test_suffix_array_orders_suffixes():
         assert sorted(array.tolist()) == list(range(len(raw))) and all(a[:50] <= b[:50] for a, b in zip(suffixes, suffixes[1:]))
 
 
+def test_suffix_array_sorts_long_near_copies_in_few_steps(monkeypatch):
+    r = np.random.default_rng(5)
+    words = [bytes(r.choice(list(b"abcdefgh"), int(r.integers(2, 9)))) for _ in range(300)]
+    passage = b" ".join(words[i] for i in r.integers(0, 300, 90))[:420]
+    regions = [passage[:k] + b"%d" % (k * k) + passage[k:] + b"\xff" for k in range(5, 400, 5)]
+    text = np.frombuffer(b"".join(regions), np.uint8)
+    breaks = np.flatnonzero(text == 255)
+    left = breaks[np.searchsorted(breaks, np.arange(len(text)))] - np.arange(len(text))
+    moved = []
+    argsort, lexsort = np.argsort, np.lexsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: moved.append(len(a)) or argsort(a, *x, **y))
+    monkeypatch.setattr(np, "lexsort", lambda keys, *x, **y: moved.append(len(keys[0])) or lexsort(keys, *x, **y))
+    array = substrings.suffix_array(text, left, 400)
+    raw = text.tobytes()
+    suffixes = [raw[i : raw.index(255, i) + 1][:400] for i in array.tolist()]
+    assert sorted(array.tolist()) == list(range(len(raw))) and all(a <= b for a, b in zip(suffixes, suffixes[1:]))
+    assert sum(moved) < 5 * len(text), sum(moved) / len(text)
+
+
 def test_language(docs, rows, empty):
     labelled = docs.where(crc_mod("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     found = langid.identify(docs, langid.train(labelled)).collect()

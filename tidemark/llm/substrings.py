@@ -41,8 +41,6 @@ BATCH = 1 << 20
 CHUNK = 1 << 16
 #: Regions of one group that are sorted together. Groups of more are dealt out by slices, then sorted the same way.
 TOGETHER = 1_000
-#: Times that groups are split by 8 bytes before they are bisected.
-SHORT = 3
 #: Distances from the anchor that a slice spans, level by level.
 WIDTHS = (64, 16, 4, 1)
 #: Groups beyond TOGETHER are broadcast up to this many; they are a thousandth of all regions at most.
@@ -110,7 +108,13 @@ def periodic(data: np.ndarray, at: np.ndarray, periods: np.ndarray, length: int)
     """
     out, taken = np.zeros(len(data), bool), np.zeros(len(data), bool)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    step, probe = max(1, length // 2), min(8, length // 2)  # a run holds a probe: bytes from a multiple of step on
     for p in periods.tolist():
+        some = np.arange(0, max(0, len(data) - p - probe + 1), step)
+        for d in range(probe):
+            some = some[data[some + d] == data[some + p + d]]
+        if not len(some):
+            continue
         same = (data[p:] == data[:-p]) & (row[p:] == row[:-p])
         edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
         begin, end = edge[::2], edge[1::2] + p
@@ -140,154 +144,182 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_directly(text: np.ndarray, words: np.ndarray, some: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Places some, sorted by the first depth bytes from each on; those that agree in all of them stay as they are, and so do
-    those that agree as far as a BREAK and in it. left: bytes from each place to a BREAK.
+def samples(text: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are sorted directly, in order, and which of them count: those of small suffixes before larger ones. In
+    gaps between them every fifth place is taken too, so that the next one is near."""
+    last = np.flatnonzero(small[:-1] & ~small[1:])
+    if not len(last):
+        return last, np.zeros(0, bool)
+    more = (np.diff(np.append(last, len(text))) - 1) // 5
+    first = np.cumsum(more + 1) - more - 1
+    place = np.repeat(last, more + 1) + 5 * (np.arange(len(last) + int(more.sum())) - np.repeat(first, more + 1))
+    counts = np.zeros(len(place), bool)
+    counts[first] = True
+    return place, counts
+
 
-    A group that agrees so far is split by the next 8 bytes. What groups have in common beyond SHORT times 8 bytes is
-    found by bisection with hashes.
+def sort_directly(text: np.ndarray, small: np.ndarray, words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Small suffixes whose successors are not, sorted by the first depth bytes from each on; those that agree in all of them
+    stay as they are, and so do those that agree as far as a BREAK and in it. left: bytes from each place to a BREAK.
+
+    Samples are ranked by 7 bytes and the distance to the next sample: of two that agree in 7 bytes the one with the
+    nearer is smaller, as there it goes on with a larger suffix that is no small one. Then ranks are doubled: those that
+    agree are split by the ranks of the samples that follow as many samples later as they are known to agree in.
     """
-    hashes = span_hasher(text)
-    n = len(text)
-    out = some[np.argsort(words[some])]
-    key = words[out]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(out) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(out)])
-    spot = np.arange(len(out))
-    at = np.full(len(start), 8, np.int64)  # bytes that each group is known to agree in
-    stop = np.minimum(np.minimum.reduceat(left[out], start) + 1, depth) if len(out) else at
-    differs = np.full(len(start), -1, np.int64)  # bytes that it is known not to agree in
-    turn = 0
+    place, counts = samples(text, small)
+    m = len(place)
+    if not m:
+        return place
+    key = words[place] >> np.uint64(8) << np.uint64(8) | np.diff(np.append(place, len(text))).astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    spot = np.arange(m)  # of those not settled in order
+    fresh = np.append(True, key[1:] != key[:-1])
+    rank = np.zeros(m, np.uint32)
+    ends = np.concatenate([place, np.full(2 * depth, len(text))]).astype(np.int32)
+    stop = (place + np.minimum(left[place] + 1, depth)).astype(np.int32)
+    some, step = order, 1
     while True:
-        some_open = (size > 1) & (at < stop)
-        if not some_open.all():
-            spot = spot[np.repeat(some_open, size)]
-            size, at, stop, differs = size[some_open], at[some_open], stop[some_open], differs[some_open]
-            start = np.cumsum(size) - size
+        number = np.flatnonzero(fresh)
+        size = np.diff(np.append(number, len(spot)))
+        rank[some] = np.repeat(spot[number], size)
+        several = np.flatnonzero(np.repeat(size > 1, size))
+        several = several[ends[some[several] + step] < stop[some[several]]]
+        spot, some = spot[several], some[several]
         if not len(spot):
-            return out
-        place = out[spot]
-        turn += 1
-        split = np.full(len(size), turn <= SHORT)
-        if turn > SHORT:
-            split = (differs > 0) & (differs - at <= 8)
-            tried = np.flatnonzero(~split)
-            if len(tried):
-                probe = np.where(differs[tried] < 0, stop[tried], (at[tried] + differs[tried]) // 2)
-                here = place[np.repeat(~split, size)]
-                own = hashes(here, here + np.repeat(probe, size[tried]))
-                begin = np.cumsum(size[tried]) - size[tried]
-                same = np.minimum.reduceat(own, begin) == np.maximum.reduceat(own, begin)
-                at[tried[same]], differs[tried[~same]] = probe[same], probe[~same]
-                split = (differs > 0) & (differs - at <= 8)
-        if not split.any():
-            continue
-        part = np.flatnonzero(np.repeat(split, size))
-        sizes = size[split]
-        here = place[part]
-        ahead = here + np.repeat(at[split], sizes)
-        key = words[np.minimum(ahead, n - 1)]
-        key[ahead >= n] = 0
-        order = np.lexsort((key, np.repeat(np.arange(len(sizes)), sizes)))
-        out[spot[part]] = here = here[order]
-        key = key[order]
-        fresh = np.zeros(len(spot), bool)
-        fresh[start] = True
-        edge = np.zeros(len(part), bool)
-        edge[np.cumsum(sizes) - sizes] = True
-        edge[1:] |= key[1:] != key[:-1]
-        fresh[part[edge]] = True
-        of = np.repeat(np.arange(len(size)), size)[fresh]
-        at = np.where(split[of], at[of] + 8, at[of])
-        start = np.flatnonzero(fresh)
-        size = np.diff(np.r_[start, len(spot)])
-        stop, differs = stop[of], differs[of]
-        new = split[of]
-        lefts = np.minimum(np.minimum.reduceat(left[here], np.flatnonzero(edge)) + 1, depth)
-        stop[new], differs[new] = lefts, -1
-
-
-def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+            return place[order[counts[order]]]
+        key = rank[some].astype(np.uint64) << np.uint64(32) | rank[some + step]
+        turn = np.argsort(key)
+        some, key = some[turn], key[turn]
+        order[spot] = some
+        fresh = np.append(True, key[1:] != key[:-1])
+        step *= 2
+
+
+def layers(text: np.ndarray, bucket: np.ndarray, c: int) -> list[np.ndarray]:
+    """Suffixes that put ever more bytes c before those of bucket."""
+    out = []
+    while len(bucket):
+        before = bucket[bucket > 0] - 1
+        bucket = before[text[before] == c]
+        out.append(bucket)
+    return out
+
+
+def deal(queued: list[list[np.ndarray]], text: np.ndarray, before: np.ndarray) -> None:
+    """Put each place into the queue of its byte."""
+    first = text[before]
+    order = np.argsort(first, kind="stable")
+    before, first = before[order], first[order]
+    edge = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.zeros(0, np.int64)
+    for b, lo, hi in zip(first[edge].tolist(), edge.tolist(), np.append(edge[1:], len(first)).tolist()):
+        queued[b].append(before[lo:hi])
+
+
+def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of text, which ends with BREAK, in order of their first depth bytes, or as far as a BREAK. left: bytes to the next.
 
-    Suffixes smaller than their successors are sorted directly. Each other one is larger than its successor, so it is
-    known, bucket of first byte by bucket, once all smaller suffixes are: it follows the order of its successor.
+    Suffixes smaller than their successors are sorted directly where that is not so of the successor. A scan over the
+    buckets of first bytes from the last one on puts the other small ones in the order of their successors. Each other
+    suffix is larger than its successor, so it is known, bucket by bucket from the first one on, once all smaller suffixes are.
     """
     small = smaller_than_next(text)
-    direct = sort_directly(text, words_at(text), np.flatnonzero(small), left, depth)
+    direct = sort_directly(text, small, words_at(text) if words is None else words, left, depth)
     edge = np.searchsorted(text[direct], np.arange(257))
     queued: list[list[np.ndarray]] = [[] for _ in range(256)]
+    of_small: list[np.ndarray] = [direct[:0]] * 256
+    for c in range(255, -1, -1):
+        own = direct[edge[c] : edge[c + 1]]
+        if queued[c]:  # by their second byte; of equal ones those whose successor is no small suffix come first
+            own = np.concatenate([own, *queued[c]])
+            own = own[np.argsort(text[own + 1], kind="stable")]
+        queued[c] = []
+        if not len(own):
+            continue
+        of_small[c] = bucket = np.concatenate([*layers(text, own, c)[::-1], own])
+        before = bucket[bucket > 0] - 1
+        deal(queued, text, before[text[before] < c])
     queued[BREAK].append(np.array([len(text) - 1]))
     out = []
     for c in range(256):
-        layers = queued[c]
+        first = np.concatenate(queued[c]) if queued[c] else direct[:0]
         queued[c] = []
-        layer = np.concatenate(layers) if layers else np.zeros(0, np.int64)
-        larger = []
-        while len(layer):  # runs of one byte: each layer stands after the one it comes from
-            larger.append(layer)
-            before = layer[layer > 0] - 1
-            layer = before[text[before] == c]
-        bucket = np.concatenate([*larger, direct[edge[c] : edge[c + 1]]]) if larger or edge[c + 1] > edge[c] else np.zeros(0, np.int64)
+        # Runs of one byte: each layer stands after the one it comes from.
+        bucket = np.concatenate([first, *layers(text, first, c), of_small[c]])
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        first = text[before]
-        before = before[first > c]
-        first = text[before]
-        order = np.argsort(first, kind="stable")
-        before, first = before[order], first[order]
-        present, at = np.unique(first, return_index=True)
-        for b, lo, hi in zip(present.tolist(), at, np.r_[at[1:], len(first)]):
-            queued[b].append(before[lo:hi])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def common_prefixes(words: np.ndarray, array: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Common prefixes of neighbours in array, in whole 8 bytes up to length."""
-    out = np.zeros(max(0, len(array) - 1), np.int32)
-    pair = np.arange(len(out))
-    for d in range(0, length, 8):
-        d = min(d, length - 8)
-        pair = pair[words[array[pair] + d] == words[array[pair + 1] + d]]
-        if not len(pair):
-            break
-        out[pair] = d + 8
-    return out
+        deal(queued, text, before[text[before] > c])
+    return np.concatenate(out) if out else direct
 
 
-def repeated_starts(regions: list[bytes], counts: list[int], length: int = LENGTH, least: int = LEAST) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each region which of its first so many starts begin a string that starts elsewhere too: of length bytes, and of
-    least bytes. Each start has least bytes after it in its region."""
-    text = np.frombuffer(b"".join(r + bytes([BREAK]) for r in regions), np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in regions])
-    begins = np.r_[0, ends[:-1]]
-    n = len(text)
-    left = np.repeat(ends - 1, np.diff(np.r_[0, ends])) - np.arange(n)  # bytes to the end of the region
-    number = np.arange(n) - np.repeat(begins, np.diff(np.r_[0, ends]))
-    valid = number < np.repeat(counts, np.diff(np.r_[0, ends]))
-    array = suffix_array(text, left, length)
-    array = array[valid[array]]
-    words = np.concatenate([words_at(text), np.zeros(length, np.uint64)])
-    same = np.minimum(common_prefixes(words, array, length), np.minimum(left[array[:-1]], left[array[1:]]))
-    marks = []
-    for bound in (length, least):
-        twice = np.zeros(n, bool)
-        near = np.flatnonzero(same >= bound)
-        twice[array[near]] = True
-        twice[array[near + 1]] = True
-        marks.append(twice)
-    return [(marks[0][b : b + c], marks[1][b : b + c]) for b, c in zip(begins, counts)]
+def alike(text: np.ndarray, words: np.ndarray, one: np.ndarray, two: np.ndarray, bound: int) -> np.ndarray:
+    """Whether the bound bytes from each place of one on are those from the place of two on; bound is at least 8.
+
+    Pairs whose strings overlap at one distance share what is compared, a byte each.
+    """
+    out = words[one] == words[two]
+    for d in (bound - 8, bound // 2):
+        near = np.flatnonzero(out)
+        out[near] = words[one[near] + d] == words[two[near] + d]
+    near = np.flatnonzero(out)
+    if not len(near):
+        return out
+    low = np.minimum(one[near], two[near])
+    key = (np.abs(one[near] - two[near]) << 32) | low
+    turn = np.argsort(key)
+    near, low, key = near[turn], low[turn], key[turn]
+    edge = np.flatnonzero(np.append(True, np.diff(key) > bound))
+    size = low[np.append(edge[1:], len(near)) - 1] + bound - low[edge]
+    ends = np.cumsum(size)
+    for lo, hi in groups_of(np.append(0, ends), BATCH):
+        begin = ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo])
+        x = np.arange(begin[-1] + size[hi - 1], dtype=np.int32) + np.repeat((low[edge[lo:hi]] - begin).astype(np.int32), size[lo:hi])
+        apart = np.repeat((key[edge[lo:hi]] >> 32).astype(np.int32), size[lo:hi])
+        differ = np.append(0, np.cumsum(text[x] != text[x + apart], dtype=np.int32))
+        part = slice(edge[lo], edge[hi] if hi < len(edge) else len(near))
+        at = low[part] + np.repeat(begin - low[edge[lo:hi]], np.diff(np.append(edge[lo:hi], part.stop)))
+        out[near[part]] = differ[at] == differ[at + bound]
+    return out
 
 
-def runs(marked: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.r_[False, marked, False]))
-    return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
+def repeated_runs(regions: list[bytes], counts: list[int], length: int = LENGTH, least: int = LEAST) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """Runs of starts, among the first so many of each region, whose strings start elsewhere too: of length bytes, and of
+    least bytes. Each as its region's number, first and last start. A start has least bytes after it in its region."""
+    text = np.frombuffer(b"".join(x for r in regions for x in (r, bytes([BREAK]))), np.uint8)
+    sizes = np.array([len(r) + 1 for r in regions])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    left = np.repeat(ends - 1, sizes) - np.arange(len(text))  # bytes to the end of the region
+    valid = np.arange(len(text)) < np.repeat(begins + np.asarray(counts), sizes)
+    words = words_at(text)
+    array = suffix_array(text, left, length, words)
+    array = array[valid[array]]
+    one, two = array[:-1], array[1:]
+    found = []
+    for bound in (least, length):
+        whole = np.minimum(left[one], left[two]) >= bound
+        one, two = one[whole], two[whole]
+        same = alike(text, words, one, two, bound)
+        one, two = one[same], two[same]
+        twice = np.zeros(len(text) + 1, bool)  # False at each BREAK
+        twice[one] = True
+        twice[two] = True
+        edge = np.flatnonzero(twice != np.append(False, twice[:-1]))
+        first, last = edge[::2], edge[1::2] - 1
+        of = np.searchsorted(begins, first, side="right") - 1
+        found.insert(0, (of, first - begins[of], last - begins[of]))
+    return tuple(found)
+
+
+def as_lists(of: np.ndarray, first: np.ndarray, last: np.ndarray, n: int, names: tuple[str, str] = ("first", "last")) -> pa.Array:
+    """Lists of pairs for n rows; of: the row of each pair, in order."""
+    at = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=list(names)))
 
 
 RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def mark_intervals(texts: DataFrame, length: int, least: int) -> DataFrame:
@@ -341,19 +373,21 @@ def cut_regions(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sort_regions(regions: DataFrame, length: int, least: int) -> DataFrame:
-    """g, q and the runs of repeated starts (see repeated_starts) of each region (g, q, copy, n, region).
+    """g, q and the runs of repeated starts (see repeated_runs) of each region (g, q, copy, n, region).
 
     All regions of a group g are sorted together. What occurs several times comes twice, as copy 0 and 1, so that its
     strings have equal ones beside them; what is found goes to copy 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
+
         def done(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-            marks = repeated_starts([x[4] for x in rows], [x[3] for x in rows], length, least)
-            own = [i for i, x in enumerate(rows) if not x[2]]
-            rows, marks = [rows[i] for i in own], [marks[i] for i in own]
-            ids = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*ids, pa.array([runs(x) for x, _ in marks], _RUNS), pa.array([runs(x) for _, x in marks], _RUNS)], names=["g", "q", "runs", "passages"])
+            found = repeated_runs([x[4] for x in rows], [x[3] for x in rows], length, least)
+            own = np.flatnonzero([not x[2] for x in rows])
+            ids = [pa.array([rows[j][i] for j in own], pa.int64()) for i in (0, 1)]
+            lists = [as_lists(*x, len(rows)).take(pa.array(own)) for x in found]
+            return pa.RecordBatch.from_arrays([*ids, *lists], names=["g", "q", "runs", "passages"])
 
         rows: list[tuple[int, int, int, int, bytes]] = []
         size = 0
@@ -506,15 +540,19 @@ def repeated(base: DataFrame, length: int = LENGTH, least: int = LEAST, together
     return back.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("passages")).alias("passages"))
 
 
-def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Merged byte ranges that the strings of the runs cover."""
-    out: list[list[int]] = []
-    for a, b in sorted((x["first"], x["last"] + length) for x in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def covered(spans: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged byte ranges that the strings of each row's runs cover: their row, start and end, in order."""
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    values = spans.flatten()
+    first, end = values.field("first").to_numpy(), values.field("last").to_numpy() + length
+    order = np.lexsort((first, row))
+    row, first, end = row[order], first[order], end[order]
+    # Rows are put one behind the other, so that the furthest end so far is one of the row's own.
+    far = (int(end.max()) if len(end) else 0) + 1
+    reach = np.maximum.accumulate(end + row * far)
+    edge = np.flatnonzero(np.append(True, (first + row * far)[1:] > reach[:-1]) if len(row) else row)
+    last = np.append(edge[1:], len(row)) - 1
+    return row[edge], first[edge], reach[last] - row[edge] * far
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -544,24 +582,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def make():
         def compute(texts: pa.Array, all_runs: pa.Array, passages: pa.Array) -> list[pa.Array]:
-            sizes, gone, spans, hashes, shared, where, kept = [], [], [], [], [], [], []
-            for value, own, shorter in zip(texts, all_runs, passages):
-                raw = value.as_py().encode()
-                parts = covered(own.as_py(), length)
-                left, at = [], 0
-                for a, b in parts:
-                    left.append(raw[at:a])
-                    at = b
-                rest = b"".join([*left, raw[at:]])
-                sizes.append(len(raw))
-                gone.append(len(raw) - len(rest))
-                spans.append(len(parts))
-                hashes.append(hashlib.sha256(rest).hexdigest())
-                shared.append(sum(b - a for a, b in covered(shorter.as_py(), least)))
-                where.append([{"start": a, "end": b} for a, b in parts])
-                kept.append(rest)
-            out = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes, pa.string()), pa.array(shared, pa.int64()), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            return [*out, pa.array(kept, pa.binary())] if with_bytes else out
+            data, at = text_bytes(texts)
+            n = len(texts)
+            row, start, end = covered(all_runs, length)
+            total = lambda r, x: np.bincount(r, weights=x, minlength=n).astype(np.int64)
+            gone = total(row, end - start)
+            change = np.zeros(len(data) + 1, np.int8)
+            change[at[row] + start] += 1  # ranges of a row do not touch
+            change[at[row] + end] -= 1
+            rest = memoryview(data[np.cumsum(change[:-1], dtype=np.int8) == 0].tobytes())
+            to = np.append(0, np.cumsum(np.diff(at) - gone))
+            kept = [rest[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
+            hashes = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+            other, first, last = covered(passages, least)
+            counts = [np.diff(at), gone, np.bincount(row, minlength=n)]
+            out = [*[pa.array(x) for x in counts], hashes, pa.array(total(other, last - first)), as_lists(row, start, end, n, ("start", "end"))]
+            return [*out, pa.array([bytes(x) for x in kept], pa.binary())] if with_bytes else out
 
         return compute
 
