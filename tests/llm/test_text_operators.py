@@ -245,6 +245,13 @@ def test_suffix_array_sorts_long_near_copies_in_few_steps(monkeypatch):
     assert sum(moved) < 5 * len(text), sum(moved) / len(text)
 
 
+def test_ranges_of_many_rows_are_merged_within_each():
+    runs = [[(0, 3), (20, 20), (2, 5)], None, [(1, 1)], [], [(0, 0), (4, 4)]]
+    lists = pa.array([None if x is None else [{"first": a, "last": b} for a, b in x] for x in runs], substrings.as_lists(*[np.zeros(0, np.int64)] * 3, 0).type)
+    assert [list(map(int, x)) for x in zip(*substrings.covered(lists, 4))] == [[0, 0, 9], [0, 20, 24], [2, 1, 5], [4, 0, 8]]
+    assert [len(x) for x in substrings.covered(lists.slice(1, 1), 4)] == [0, 0, 0]
+
+
 def test_language(docs, rows, empty):
     labelled = docs.where(crc_mod("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     found = langid.identify(docs, langid.train(labelled)).collect()

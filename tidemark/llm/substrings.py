@@ -551,7 +551,7 @@ def covered(spans: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, n
     far = (int(end.max()) if len(end) else 0) + 1
     reach = np.maximum.accumulate(end + row * far)
     edge = np.flatnonzero(np.append(True, (first + row * far)[1:] > reach[:-1]) if len(row) else row)
-    last = np.append(edge[1:], len(row)) - 1
+    last = np.append(edge, len(row))[1:] - 1
     return row[edge], first[edge], reach[last] - row[edge] * far
 
 
