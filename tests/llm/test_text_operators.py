@@ -389,6 +389,16 @@ def test_lm_gradients(small_lm):
             assert np.isclose((ends[0] - ends[1]) / (2 * step), g.reshape(-1)[i], rtol=0.05, atol=2e-4), name
 
 
+def test_lm_attention_reads_blocks_where_they_lie(small_lm):
+    v, bias, w = small_lm
+    rows, classes, first = v.split(*lm.text_bytes(pa.array(["the word1 of thing2s a word3 " * 9, "in to a", "", "b " * 40])))
+    before, last, target = lm.windows(rows, classes, first)
+    f = lm.forward(w, bias, before, last, target >= 0, target, classes[np.maximum(target, 0)])
+    assert np.shares_memory(f["keys"], f["values"]) and np.shares_memory(f["keys"][0], f["keys"][1]) and np.shares_memory(f["q"], f["keys"])
+    assert f["keys"].shape == (len(before) // lm.STRIDE - 1, 2 * lm.STRIDE, lm.WIDTH) and sorted(f["number"]) == list(range(len(rows)))
+    assert all(np.isfinite(x[1] if k == "embed" else x).all() for k, x in lm.backward(w, f).items())
+
+
 def test_lm_learns_from_every_window(small_lm):
     v, bias, _ = small_lm
     texts = ["a " * 9000, "", "a", None, "b c " * 900, *["a b"] * 300]

@@ -201,34 +201,38 @@ def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], befor
     """The logarithm of the probability of every slot's label that has a target, with what backward needs if
     learn says so.
 
-    Slots come in whole blocks; seen are those that hold a word. A block with targets has its row's block before it.
+    Slots come in whole blocks; seen are those that hold a word. A block with targets has its row's block before it, so
+    targets of the first block are left out.
     bias: of groups, and of classes in their group, by the last class. label: classes by slot.
     """
     x = w["embed"].take(before, 0)
-    filled, goal = seen.reshape(-1, STRIDE), (target >= 0).reshape(-1, STRIDE)
-    mine = np.flatnonzero(goal.any(1))
-    qkv = (x @ w["mix"]).reshape(-1, STRIDE, 3 * WIDTH)
-    kv = np.concatenate([qkv[mine - 1, :, WIDTH:], qkv[mine, :, WIDTH:]], 1)
-    keys, values = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    xq = x.reshape(-1, STRIDE, WIDTH)[mine].reshape(-1, WIDTH)
-    q = qkv[mine, :, :WIDTH]
-    both = np.concatenate([filled[mine - 1], filled[mine]], 1)
+    filled, use = seen.reshape(-1, STRIDE), np.flatnonzero(target[STRIDE:] >= 0)
+    qkv = x @ w["mix"]
+    # Every block but the first, with the block before it: views of neighbours in memory, so that nothing is copied.
+    row, item = qkv.strides
+    pairs = np.lib.stride_tricks.as_strided(qkv, (len(filled) - 1, 2 * STRIDE, 3 * WIDTH), (STRIDE * row, row, item))
+    keys, values = pairs[:, :, WIDTH : 2 * WIDTH], pairs[:, :, 2 * WIDTH :]
+    q = pairs[:, STRIDE:, :WIDTH]
     hidden = np.float32(-1e9)
-    s = (q * np.float32(WIDTH**-0.5)) @ keys.transpose(0, 2, 1)
+    s = q @ keys.transpose(0, 2, 1)
+    s *= np.float32(WIDTH**-0.5)
     s += np.where(_AHEAD, hidden, w["near"][_BACK])
-    s += np.where(both, np.float32(0), hidden)[:, None, :]
+    if not filled.all():
+        s += np.where(np.concatenate([filled[:-1], filled[1:]], 1), np.float32(0), hidden)[:, None, :]
     e = np.exp(np.minimum(s, MOST, out=s), out=s)
-    share = e.sum(2, keepdims=True)
+    share = e @ np.ones((2 * STRIDE, 1), np.float32)
     share[share == 0] = 1  # slots without a word
-    z = xq + (e @ values / share).reshape(-1, WIDTH)
-    use = np.flatnonzero(goal[mine].reshape(-1))
+    e /= share
+    z = (e @ values).reshape(-1, WIDTH)
+    z += x[STRIDE:]
     if len(use) < len(z):
-        z = z[use]
-    u = z @ w["up"] + w["lift"]
-    r = np.maximum(u, 0)
-    h = z + r @ w["down"]
-    pick = lambda a: a.reshape(-1, STRIDE)[mine].reshape(-1)[use]
-    number, before_class, own = pick(target), pick(last), pick(label)
+        z = z.take(use, 0)
+    u = z @ w["up"]
+    u += w["lift"]
+    r = np.maximum(u, 0, out=u)
+    h = r @ w["down"]
+    h += z
+    number, before_class, own = (a[STRIDE:][use] for a in (target, last, label))
     group = own // GROUPS
     top = bias[0][before_class] + h @ w["group"]
     order = np.argsort(group.astype(np.uint8), kind="stable")
@@ -243,14 +247,14 @@ def forward(w: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], befor
         np.minimum(logits, MOST, out=logits)
         logs[of] += logits[n, chosen]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits @ np.ones(GROUPS, np.float32)
         logs[of] -= np.log(np.maximum(total, 1e-37))
         if learn:
             logits /= total[:, None]
             shares.append(logits)
     if not learn:
         return {"log": logs, "number": number}
-    return {"before": before, "x": x, "mine": mine, "xq": xq, "q": q, "keys": keys, "values": values, "e": e, "share": share, "z": z, "u": u, "r": r, "h": h, "hs": hs, "order": order, "edge": edge, "top": shares[0], "inner": shares[1], "label": own, "log": logs, "use": use, "number": number}
+    return {"before": before, "x": x, "q": q, "keys": keys, "values": values, "a": e, "z": z, "r": r, "h": h, "hs": hs, "order": order, "edge": edge, "top": shares[0], "inner": shares[1], "label": own, "log": logs, "use": use, "number": number}
 
 
 def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -271,31 +275,37 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray]) -> dict[str, np
         back[part] = inner[part] @ w["inner"][g].T
     dh[order] += back
     out["down"] = f["r"].T @ dh
-    du = (dh @ w["down"].T) * (f["u"] > 0)
+    du = dh @ w["down"].T
+    du *= f["r"] > 0
     out["up"], out["lift"] = f["z"].T @ du, du.sum(0)
-    dz = np.zeros_like(f["xq"])
-    dz[f["use"]] = dh + du @ w["up"].T
+    dh += du @ w["up"].T
+    dz = dh
+    if len(f["use"]) < len(f["x"]) - STRIDE:
+        dz = np.zeros((len(f["x"]) - STRIDE, WIDTH), np.float32)
+        dz[f["use"]] = dh
     da_out = dz.reshape(-1, STRIDE, WIDTH)
-    a, scale = f["e"] / f["share"], np.float32(WIDTH**-0.5)
+    a = f["a"]
     dvalues = a.transpose(0, 2, 1) @ da_out
-    da = da_out @ f["values"].transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    ds = da_out @ f["values"].transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds *= a
     out["near"] = np.bincount(_BACK.reshape(-1), weights=ds.sum(0).reshape(-1), minlength=2 * STRIDE).astype(np.float32)
-    blocks = len(f["x"]) // STRIDE
-    mixed = np.zeros((blocks, STRIDE, 3 * WIDTH), np.float32)
-    mixed[f["mine"], :, :WIDTH] = ds @ f["keys"] * scale
-    dkeys = ds.transpose(0, 2, 1) @ f["q"] * scale
+    mixed = np.empty((len(f["x"]) // STRIDE, STRIDE, 3 * WIDTH), np.float32)
+    mixed[0] = 0
+    ds *= np.float32(WIDTH**-0.5)
+    np.matmul(ds, f["keys"], out=mixed[1:, :, :WIDTH])
+    dkeys = ds.transpose(0, 2, 1) @ f["q"]
     for at, part in ((WIDTH, dkeys), (2 * WIDTH, dvalues)):
-        mixed[f["mine"], :, at : at + WIDTH] += part[:, STRIDE:]
-        mixed[f["mine"] - 1, :, at : at + WIDTH] += part[:, :STRIDE]
+        mixed[1:, :, at : at + WIDTH] = part[:, STRIDE:]
+        mixed[:-1, :, at : at + WIDTH] += part[:, :STRIDE]
     mixed = mixed.reshape(-1, 3 * WIDTH)
     out["mix"] = f["x"].T @ mixed
     dx = mixed @ w["mix"].T
-    dx.reshape(-1, STRIDE, WIDTH)[f["mine"]] += da_out
+    dx[STRIDE:] += dz
     order = np.argsort(f["before"].astype(np.uint16), kind="stable")
     rows = f["before"][order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    out["embed"] = (rows[first], np.add.reduceat(dx[order], first, axis=0))
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out["embed"] = (rows[first], np.add.reduceat(dx.take(order, 0), first, axis=0))
     return out
 
 
@@ -344,8 +354,9 @@ class Trainer:
         rate = self.rate * min(1.0, self.t / 8) / (1 + self.t / 400) ** 0.5
         for k, g in backward(self.w, f).items():
             rows, g = g if k == "embed" else (slice(None), g)
-            m = self.m[k][rows] + 0.1 * (g - self.m[k][rows])
-            s = self.s[k][rows] + 0.01 * (g * g - self.s[k][rows])
+            m, s = self.m[k][rows], self.s[k][rows]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
             self.m[k][rows], self.s[k][rows] = m, s
             self.w[k][rows] -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-8)
 
@@ -381,6 +392,13 @@ def log_gains(v: Vocabulary, bias: tuple[np.ndarray, np.ndarray], w: dict[str, n
     return (total[first[1:]] - total[first[:-1]]) / np.log(10)
 
 
+def alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of keys, and where in it each different key begins."""
+    order = np.argsort(keys)
+    own = keys[order]
+    return order, np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else order
+
+
 def counted(texts: DataFrame) -> DataFrame:
     """k, c and e: each word's key (END_KEY for the ends of texts), how often it stands in all texts, and its ending."""
     small_batches(texts.sparkSession)
@@ -389,10 +407,10 @@ def counted(texts: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged() -> pa.RecordBatch:
-            keys, at, place = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate([c for _, c, _ in held])).astype(np.int64)
-            endings = np.concatenate([e for _, _, e in held])[at]
+            keys, counts, endings = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            order, edge = alike(keys)
+            keys, n, endings = keys[order[edge]], np.add.reduceat(counts[order], edge), endings[order[edge]]
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(endings.astype(np.int32))], names=["k", "c", "e"])
 
         size = 0
@@ -401,10 +419,12 @@ def counted(texts: DataFrame) -> DataFrame:
             for lo, hi in groups_of(at, 1 << 20):
                 part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
                 starts, ends, _ = words_of(part, own)
-                keys, first, n = np.unique(word_keys(part, starts, ends), return_index=True, return_counts=True)
-                held.append((keys, n, word_endings(part, starts[first], ends[first])))
+                keys = word_keys(part, starts, ends)
+                order, edge = alike(keys)
+                first = order[edge]
+                held.append((keys[first], np.diff(np.append(edge, len(keys))), word_endings(part, starts[first], ends[first])))
                 held.append((np.array([END_KEY]), np.array([hi - lo]), np.array([0])))
-                size += len(keys)
+                size += len(edge)
             if size > 1_500_000:
                 yield merged()
                 size = 0
