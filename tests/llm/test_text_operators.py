@@ -546,6 +546,41 @@ def test_sets_of_similarity_08_share_a_golay_key():
     assert neardup.join_keys(a)[0, 0].tolist() == [c if c < 0 else piece >> golay.LENGTH << golay.DATA | c for c in codes.tolist()]
 
 
+def test_sets_that_share_no_more_than_a_key_are_not_near(spark):
+    r = np.random.default_rng(6)
+    prints = r.integers(0, 2**64, (3000, neardup.LANES + 1), dtype=np.uint64)
+    piece = np.uint64((1 << neardup.PIECE) - 1)
+    prints[:, 0] = prints[:, 0] & ~piece | prints[0, 0] & piece
+    prints[:, neardup.LANES] = 100
+    sketches = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node long, sketch binary")
+    shared = neardup.shared_bands(sketches, whole=False).where(F.col("k") < 1 << neardup.BLOCK + golay.DATA)  # of the first piece
+    assert shared.count() >= 3000 and neardup.candidates(shared, 0.8).count() < 100
+
+
+def test_runs_of_a_key_are_compared_in_blocks(monkeypatch):
+    r = np.random.default_rng(7)
+    size = np.r_[r.integers(1, 9, 200), r.integers(9, neardup.PAIRED + 1, 20), neardup.PAIRED, neardup.PAIRED + 1, 700, 2000]
+    edge = np.r_[0, np.cumsum(size)]
+    prints = r.integers(0, 2**64, (edge[-1], neardup.LANES + 1), dtype=np.uint64)
+    prints[:, neardup.LANES] = 100
+    prints[-2000:-10] = prints[-1]  # near copies
+    prints[-2000:-10, 0] ^= np.uint64(1) << r.integers(0, 64, 1990, dtype=np.uint64)
+    for lo, hi in zip(edge[:-1], edge[1:]):  # chains
+        prints[lo + 1 : hi : 5] = prints[lo : hi - 1 : 5]
+        prints[lo + 1 : hi : 5, :2] ^= np.uint64(0xFFFF)
+    low, calls, count = np.ascontiguousarray(prints[:, :2]), [], np.bitwise_count
+    near = np.zeros((0, 2), np.int64)
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        near = np.r_[near, lo + np.argwhere(np.triu(count(low[lo:hi, None] ^ low[None, lo:hi]).sum(2) <= 38, 1))]
+    monkeypatch.setattr(np, "bitwise_count", lambda x: calls.append(x.size) or count(x))
+    found = neardup.met_pairs(low, edge, 38)
+    assert len(calls) < len(low) / 4 and sum(calls) < 2.5 * (size * size / 2).sum()
+    assert found[:, 0].tolist() == np.unique(near).tolist() and {tuple(x) for x in np.sort(found, 1).tolist()} <= {tuple(x) for x in near.tolist()}
+    stars = neardup.near_stars(low, edge, prints, 38, 200)
+    near = near[count(prints[near[:, 0], :-1] ^ prints[near[:, 1], :-1]).sum(1) <= 200]
+    assert len(stars) < len(low) and neardup.joined(len(low), stars).tolist() == neardup.joined(len(low), near).tolist()
+
+
 @pytest.mark.parametrize("keep_one", [simhash.keep_one, neardup.keep_one])
 def test_each_component_keeps_a_row(spark, keep_one):
     r = np.random.default_rng(5)

@@ -5,8 +5,9 @@ The fingerprint of a set has a bit for each of several hashes: whether it is set
 similarity 0.8 about 15 % of these bits differ. TABLES pieces of a fingerprint are keys, each of a block of equal bits and of
 the codewords near a 23-bit piece (see golay). In one table two sets of that similarity share a key with probability 0.32, so
 in one of all with over 0.9999 (sets of 4 and 5 shingles, whose bits differ more: 0.997). Sets with a common key are held
-against each other by their fingerprints. What comes near is joined to clusters by stars, so no pairs are listed; within a
-cluster whole sets are held against each other where they lie, and only links that join two groups are given out.
+against each other by two words of their fingerprints that the key is not cut from. What comes near goes on with all of its
+fingerprint and is joined to clusters by stars, so no pairs are listed; within a cluster whole sets are held against each other
+where they lie, and only links that join two groups are given out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from math import acos, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +33,18 @@ SIMILARITY = 0.8
 #: Pieces of a fingerprint that are keys, and the bits of each that have to be equal beside its codeword.
 TABLES, BLOCK = 26, 4
 PIECE = golay.LENGTH + BLOCK
-#: Words of 64 bits of a fingerprint, and how many of them go with each key for a first estimate.
+#: Words of 64 bits of a fingerprint, and how many of them go with each key for a first estimate: the first of them, or the
+#: last if the key's piece lies in the first.
 LANES, CHECK = -(-TABLES * PIECE // 64), 2
+WITHIN = -(-64 * CHECK // PIECE)
 #: Sets of up to so many shingles are judged by the first estimate only, as more of their bits differ by chance.
 SMALL = 16
 #: A set has up to 6 keys in a table, 5.3 on average.
 BANDS = 6 * TABLES
-#: Runs of sets with a common key up to this long are compared all at once, longer ones set by set.
-PAIRED = 64
+#: Runs of sets with a common key up to this long are compared all at once, longer ones ROWS sets at a time.
+PAIRED, ROWS = 256, 64
+#: Comparisons made at once, whose arrays fit a CPU's cache.
+AT_ONCE = 1 << 16
 #: Characters of a part of a large cluster; two parts meet in a task.
 PART = 1 << 21
 _SALT = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -54,7 +60,10 @@ def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         runs = grams(hashes, words)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= words:
-                yield np.unique(runs[a : b - words + 1])
+                own = np.sort(runs[a : b - words + 1])
+                fresh = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                yield own[fresh]
             else:
                 yield grams(hashes[a:b], b - a)[:1] ^ np.uint64(b - a) if b > a else np.zeros(1, np.uint64)
 
@@ -90,78 +99,77 @@ def limits(least: float, bits: int = 64 * CHECK, sure: float = 4.7) -> tuple[int
     return floor(bits * p + sqrt(bits * p * (1 - p))), floor(bits * p + sure * sqrt(bits * p * (1 - p)))
 
 
-def nodes(docs: DataFrame, text: str, keep: list[str], words: int) -> DataFrame:
-    """docs' kept columns and __node, which is the same for texts of the same shingles."""
-
-    def make():
-        return lambda texts: [pa.array(np.array([node_of(s) for s in shingles(texts, words)], np.int64))]
-
-    return annotate(docs, [text], [T.StructField("__node", T.LongType())], make, keep)
-
-
 def distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ other).sum(-1, dtype=np.int16)
 
 
-def short_pairs(low: np.ndarray, k: np.ndarray, size: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i before j) within far of each other in the runs of equal k that are not longer than PAIRED, and how far."""
-    found, apart = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int16)]
-    short = np.flatnonzero(np.repeat(size <= PAIRED, size))
-    for shift in range(1, min(PAIRED, int(size.max(initial=1)))):
-        short = short[short + shift < len(k)]
-        short = short[k[short + shift] == k[short]]
-        if not len(short):
-            break
-        d = distance(low[short], low[short + shift])
-        near = d <= far
-        found.append(np.c_[short[near], short[near] + shift])
-        apart.append(d[near])
-    return np.concatenate(found), np.concatenate(apart)
-
-
-def tree_pairs(low: np.ndarray, near: int, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of two) within near that hold most of a long run's groups together, and all that are within far of another.
-    What is reached is held against the rest only, so there are fewer pairs than sets."""
-    left, out, met = np.arange(len(low)), [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            d = distance(low[left], low[x])
-            reached = left[d <= far]
-            if len(reached):
-                queue.extend(reached)
-                met += [[x], reached]
-                close = left[d <= near]
-                out.append(np.c_[np.full(len(close), x), close])
-                left = left[d > far]
-    return np.concatenate(out), np.concatenate(met)
-
-
-def trees(low: np.ndarray, k: np.ndarray, edge: np.ndarray, near: int, far: int) -> np.ndarray:
-    """Pairs that hold the groups of all runs together by estimate; what is within far of another but in none of these pairs
-    stands as a pair with itself."""
+def run_pairs(low: np.ndarray, edge: np.ndarray, far: int) -> Iterator[np.ndarray]:
+    """All pairs (rows of two, i before j) within far of each other in runs that are not longer than PAIRED, whole runs at a
+    time; edge: where runs begin. Runs of one length are compared together: each set with the half of its run that follows it
+    in a circle, so that sets just opposite each other come twice."""
     size = np.diff(edge)
-    pairs, apart = short_pairs(low, k, size, far)
-    met, close = [pairs.ravel()], pairs[apart <= near]
-    close = close[np.lexsort((close[:, 0], close[:, 1]))]
-    out = [close[np.r_[True, close[1:, 1] != close[:-1, 1]][: len(close)]]]
-    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
-        found, seen = tree_pairs(low[lo:hi], near, far)
-        out.append(found + lo)
-        met.append(seen + lo)
-    linked = np.concatenate(out)
-    alone = np.setdiff1d(np.concatenate(met), linked)
-    return np.concatenate([linked, np.c_[alone, alone]])
+    for n in np.unique(size[(size > 1) & (size <= PAIRED)]).tolist():
+        first, half = edge[:-1][size == n], n // 2
+        step = max(1, AT_ONCE // (n * half))
+        for at in range(0, len(first), step):
+            rows = first[at : at + step, None] + np.arange(n)
+            apart: np.ndarray | int = 0
+            for lane in low.T:
+                own = lane[rows]
+                after = sliding_window_view(np.concatenate([own[:, 1:], own[:, :half]], axis=1), half, axis=1)
+                apart = apart + np.bitwise_count(own[:, :, None] ^ after)
+            hit = np.flatnonzero(apart <= far)
+            if len(hit):
+                run, i, ahead = np.unravel_index(hit, (len(rows), n, half))
+                yield np.sort(np.c_[rows[run, i], rows[run, (i + ahead + 1) % n]], axis=1)
+
+
+def met_in(low: np.ndarray, far: int) -> np.ndarray:
+    """For each set of a long run another within far of it, -1 if there is none.
+
+    ROWS sets that none has met yet are held against all that are left, and are done with then. Sets that have been met need
+    not be, so a crowd of near copies takes few rounds, and any run at most half of all pairs, of which none are kept."""
+    met, left, lanes = np.full(len(low), -1), np.arange(len(low)), np.ascontiguousarray(low.T)
+    while True:
+        place = np.flatnonzero(met[left] < 0)[:ROWS]
+        if not len(place):
+            return met
+        own, step = lanes[:, place, None], AT_ONCE // ROWS
+        for at in range(0, len(left), step):
+            apart = sum(np.bitwise_count(x ^ lane[at : at + step]) for x, lane in zip(own, lanes))
+            hit = np.flatnonzero(apart <= far)
+            if len(hit):
+                i, j = np.divmod(hit, apart.shape[1])
+                other = place[i] != j + at
+                i, j = left[place[i[other]]], left[j[other] + at]
+                met[i], met[j] = j, i
+        rest = np.ones(len(left), bool)
+        rest[place] = False
+        left, lanes = left[rest], lanes[:, rest]
+
+
+def long_runs(edge: np.ndarray) -> list[tuple[int, int]]:
+    long = np.diff(edge) > PAIRED
+    return list(zip(edge[:-1][long].tolist(), edge[1:][long].tolist()))
+
+
+def met_pairs(low: np.ndarray, edge: np.ndarray, far: int) -> np.ndarray:
+    """For each set that is within far of another of its run one such pair."""
+    met = np.full(len(low), -1)
+    for pairs in run_pairs(low, edge, far):
+        met[pairs[:, 0]], met[pairs[:, 1]] = pairs[:, 1], pairs[:, 0]
+    for lo, hi in long_runs(edge):
+        own = met_in(low[lo:hi], far)
+        met[lo:hi] = np.where(own < 0, -1, own + lo)
+    found = np.flatnonzero(met >= 0)
+    return np.c_[found, met[found]]
 
 
 def cross_pairs(low: np.ndarray, k: np.ndarray, edge: np.ndarray, prints: np.ndarray, root: np.ndarray, far: int, farthest: int) -> np.ndarray:
     """All pairs of all runs with different roots, within far and (whole fingerprints) farthest, that have no smaller common key,
     where they are tried."""
-    size = np.diff(edge)
-    out = [short_pairs(low, k, size, far)[0]]
-    out[0] = out[0][root[out[0][:, 0]] != root[out[0][:, 1]]]
-    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
+    out = [np.zeros((0, 2), np.int64), *(p[root[p[:, 0]] != root[p[:, 1]]] for p in run_pairs(low, edge, far))]
+    for lo, hi in long_runs(edge):
         if (root[lo:hi] != root[lo]).any():
             for x in range(lo, hi - 1):
                 y = x + 1 + np.flatnonzero(root[x + 1 : hi] != root[x])
@@ -183,11 +191,8 @@ def cross_pairs(low: np.ndarray, k: np.ndarray, edge: np.ndarray, prints: np.nda
 
 
 def runs(held: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns of rows sorted by their first column and then their second, each pair of these once, and where runs of the
-    first begin."""
-    k, f, *rest = (np.concatenate(x) for x in zip(*held))
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])]
-    cols = [x[fresh] for x in (k, f, *rest)]
+    """Columns of rows sorted by their first column, and where its runs begin."""
+    cols = [np.concatenate(x) for x in zip(*held)]
     return cols, np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
 
 
@@ -207,27 +212,39 @@ def by_run(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[list[np.nd
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k").sortWithinPartitions("k", "node")
+    return rows.repartition("k").sortWithinPartitions("k")  # one number, so that Spark need not compare rows
 
 
 def sketches_of(docs: DataFrame, text: str, words: int) -> DataFrame:
     """node and sketch (fingerprint and number of shingles) of every text: about 100 bytes each, whatever the text's length."""
-    small_batches(docs.sparkSession)
+    return described(docs, text, words, []).dropDuplicates(["node"])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def described(docs: DataFrame, text: str, words: int, keep: list[str]) -> DataFrame:
+    """docs' kept columns, and of each text its node (the same for texts of the same shingles) and sketch."""
+
+    def make():
+        def describe(texts: pa.Array) -> list[pa.Array]:
             own, sketches = [], []
-            for s in shingles(batch.column(0), words):
+            for s in shingles(texts, words):
                 own.append(node_of(s))
                 sketches.append(fingerprint(s).tobytes() + np.uint64(len(s)).tobytes())
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)), pa.array(sketches, pa.binary())], names=["node", "sketch"])
+            return [pa.array(np.array(own, np.int64)), pa.array(sketches, pa.binary())]
+
+        return describe
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(emit), "node long, sketch binary").dropDuplicates(["node"])
+    return annotate(docs, [text], [T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType())], make, keep)
+
+
+def marked(doc_id: str, text: str) -> list[Column]:
+    """Two numbers that stand for a row's id and text, as columns i and h: what is known of a row is joined to it by these, so
+    that its shingles are made once."""
+    return [F.xxhash64(F.col(f"`{doc_id}`")).alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")]
 
 
 def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
-    """A row for every key (k) of every node: with the fingerprint's CHECK words (low), and the whole sketch if asked for.
+    """A row for every key (k) of every node: with CHECK words of the fingerprint (low) that the key's piece is not cut from, so
+    that sets which share no more than the key are no nearer in them than any two, and the whole sketch if asked for.
 
     A column root of sketches goes along.
     """
@@ -241,8 +258,10 @@ def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
                 prints = text_bytes(batch.column(1))[0].view(np.uint64).reshape(-1, LANES + 1)
                 keys = join_keys(prints).reshape(len(prints), -1)
                 row, column = np.nonzero(keys >= 0)
-                numbers = [batch.column(0).to_numpy(), *(prints[:, i].view(np.int64) for i in range(CHECK)), *(batch.column(2 + i).to_numpy() for i in range(len(more)))]
-                arrays = [pa.array(keys[row, column]), *(pa.array(x[row]) for x in numbers)]
+                start = np.where(column < 6 * WITHIN, LANES - CHECK, 0)
+                lows = [prints[row, start + i].view(np.int64) for i in range(CHECK)]
+                more_of = [batch.column(2 + i).to_numpy()[row] for i in range(len(more))]
+                arrays = [pa.array(x) for x in (keys[row, column], batch.column(0).to_numpy()[row], *lows, *more_of)]
                 yield pa.RecordBatch.from_arrays([*arrays, *([batch.column(1).take(pa.array(row))] if whole else [])], names=names)
 
     small_batches(sketches.sparkSession, 1024)
@@ -250,10 +269,9 @@ def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def candidates(shared: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes with a common key: trees of those that seem linked, and with itself each that may be linked but is in
-    none. With roots (of what trees have linked), or a column root, all pairs of different roots that may have a similarity of
-    least or more."""
-    near, far = limits(least)
+    """Pairs (a, b) of nodes with a common key: for each that may be linked to another one such pair. With roots, or a column
+    root, all pairs of different roots that may have a similarity of least or more."""
+    far = limits(least)[1]
     farthest = limits(least, 64 * LANES, 3.2)[1]
     if roots is not None:
         of = roots.select(F.col("node").alias("of"), "root")
@@ -269,7 +287,7 @@ def candidates(shared: DataFrame, least: float, roots: DataFrame | None = None)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k, f, low, *more), edge in by_run(batches, read):
-            found = cross_pairs(low, k, edge, more[1], more[0], far, farthest) if across else trees(low, k, edge, near, far)
+            found = cross_pairs(low, k, edge, more[1], more[0], far, farthest) if across else met_pairs(low, edge, far)
             if len(found):
                 ends = np.unique(np.sort(f[found], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
@@ -291,26 +309,35 @@ def joined(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_stars(low: np.ndarray, k: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int, farthest: int) -> np.ndarray:
-    """Pairs of each run's first and all others that a chain of sets within far and (whole fingerprints) farthest joins to it."""
-    size, tiny = np.diff(edge), prints[:, LANES] <= SMALL
-    pairs = short_pairs(low, k, size, far)[0]
-    near = [distance(prints[p[:, 0], :LANES], prints[p[:, 1], :LANES]) <= farthest for p in np.array_split(pairs, 1 + len(pairs) // (1 << 16))]
-    root = joined(len(k), pairs[tiny[pairs].any(1) | np.concatenate(near)])
-    for lo, hi in zip(edge[:-1][size > PAIRED].tolist(), edge[1:][size > PAIRED].tolist()):
-        left = np.arange(lo, hi)
+def stars_of(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of the first and all others of each group that pairs join."""
+    own, place = np.unique(pairs, return_inverse=True)
+    root = joined(len(own), place.reshape(-1, 2))
+    others = np.flatnonzero(root != np.arange(len(own)))
+    return np.c_[own[root[others]], own[others]]
+
+
+def near_stars(low: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int, farthest: int) -> np.ndarray:
+    """Pairs of the first and all others of each run's sets that a chain of sets within far and (whole fingerprints) farthest
+    joins."""
+    tiny, out = prints[:, LANES] <= SMALL, [np.zeros((0, 2), np.int64)]
+    for pairs in run_pairs(low, edge, far):
+        near = tiny[pairs].any(1) | (distance(prints[pairs[:, 0], :LANES], prints[pairs[:, 1], :LANES]) <= farthest)
+        out.append(stars_of(pairs[near]))
+    for lo, hi in long_runs(edge):
+        left = lo + np.flatnonzero(met_in(low[lo:hi], far) >= 0)
         while len(left):
             first, left = left[0], left[1:]
             queue = [first]
             while queue and len(left):
                 x = queue.pop()
-                y = left[distance(low[left], low[x]) <= far]
-                y = y[tiny[y] | tiny[x] | (distance(prints[y, :LANES], prints[x, :LANES]) <= farthest)]
-                root[y] = first
-                queue.extend(y.tolist())
-                left = left[root[left] != first]
-    others = np.flatnonzero(root != np.arange(len(k)))
-    return np.c_[root[others], others]
+                place = np.flatnonzero(distance(low[left], low[x]) <= far)
+                y = left[place]
+                place = place[tiny[y] | tiny[x] | (distance(prints[y, :LANES], prints[x, :LANES]) <= farthest)]
+                out.append(np.c_[np.full(len(place), first), left[place]])
+                queue.extend(left[place].tolist())
+                left = np.delete(left, place)
+    return np.concatenate(out)
 
 
 def clusters(shared: DataFrame, least: float) -> DataFrame:
@@ -324,13 +351,10 @@ def clusters(shared: DataFrame, least: float) -> DataFrame:
         return batch.column("k").to_numpy(), batch.column("node").to_numpy(), low, text_bytes(batch.column("sketch"))[0].view(np.uint64).reshape(-1, LANES + 1)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, f, low, prints), edge in by_run(batches, read):
-            found = f[near_stars(low, k, edge, prints, far, farthest)]
+        for (_, f, low, prints), edge in by_run(batches, read):
+            found = stars_of(f[near_stars(low, edge, prints, far, farthest)])  # of all these runs together
             if len(found):
-                own, place = np.unique(found, return_inverse=True)
-                root = joined(len(own), place.reshape(-1, 2))  # of all these runs together
-                others = np.flatnonzero(root != np.arange(len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[root[others]]), pa.array(own[others])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
     rows = _sorted(shared.select("k", "node", *lows, "sketch"))
     small_batches(shared.sparkSession, 1 << 15)
@@ -360,15 +384,16 @@ def exact_links(sets: list[np.ndarray], least: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def links(of: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
-    """Pairs (a, b) of exact similarity that hold the groups of each cluster together. of: node and root of every node of a cluster.
+def links(of: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of exact similarity that hold the groups of each cluster together. of: node and root of every node of a
+    cluster; known: node and marks of every row of docs, of which one for each node is read.
 
     A cluster of up to 2 * PART characters is read by one task. Larger ones are dealt by their nodes' hashes into parts of
     about PART, and every two parts meet in one task, so that memory is bounded and any number of tasks can share a cluster.
     """
-    members = of.select(F.col("node").alias("of"), "root")
-    source = nodes(docs.select(F.col(f"`{text}`").alias("text")), "text", ["text"], words)
-    texts = cut(source.join(members, source["__node"] == members["of"]).select(F.col("__node").alias("node"), "root", "text").dropDuplicates(["node"]))
+    one = known.select("node", "i", "h").join(of, "node").groupBy("node", "root").agg(F.min(F.struct("h", "i")).alias("at")).select("node", "root", "at.h", "at.i")
+    source = docs.select(F.col(f"`{text}`").alias("text"), *marked(doc_id, text))
+    texts = cut(source.join(one, ["h", "i"]).dropDuplicates(["h", "i"]).select("root", "node", "text"))
     large = texts.groupBy("root").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).where(F.col("n") > 2 * PART)
     large = large.select("root", F.ceil(F.col("n") / PART).cast("int").alias("parts"))  # one row for each 2 * PART characters at most
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -402,19 +427,19 @@ def links(of: DataFrame, docs: DataFrame, text: str, words: int, least: float) -
     return rows.mapInArrow(tidy(link), "a long, b long")
 
 
-def groups(docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
-    """node and root of every node that is linked to a smaller one.
+def groups(known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
+    """node and root of every node that is linked to a smaller one. known: marks, node and sketch of every row of docs.
 
     Nodes that may be near another by a part of their fingerprints go on with all of it. Those that may be linked make
     clusters, held together by stars, and each cluster's sets are compared exactly, but for those that links join already.
     So no link within a cluster is lost, and whatever a group's size, rows grow as its nodes.
     """
-    sketches = cut(sketches_of(docs, text, words))
+    sketches = cut(known.select("node", "sketch").dropDuplicates(["node"]))
     first = candidates(shared_bands(sketches, whole=False), least)
     near = cut(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     stars = components(clusters(shared_bands(sketches.join(near, "node")), least))
     of = cut(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()))
-    return components(links(of, docs, text, words, least))
+    return components(links(of, known, docs, doc_id, text, words, least))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -426,13 +451,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     row. Rows that repeat count as copies, and so do ties; an empty table stays empty. Whole texts count, however long.
     Columns of docs keep their names, whatever they are.
     """
-    known = cut(nodes(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", ["id"], words).distinct())
-    roots = groups(docs, text, words, least)
-    of = known.join(roots, known["__node"] == roots.node, "left").select("id", "__node", F.coalesce("root", "__node").alias("root"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("__node").alias("node"))
-    kept = of.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.node").alias("__of"))
-    kept = cut(kept)
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("content"))
-    rows = nodes(rows, "content", ["row", "id"], words)
-    return rows.join(kept, (rows["__node"] == kept["__of"]) & rows["id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["id", "__node"]).select("row.*")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *marked(doc_id, text), F.col(f"`{text}`").alias("text"))
+    known = cut(described(rows, "text", words, ["id", "i", "h"]))
+    roots = groups(known, docs, doc_id, text, words, least)
+    of = known.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "h", "i")
+    kept = cut(of.groupBy("root").agg(F.min(order).alias("x")).select("x.h", "x.i"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *marked(doc_id, text))
+    return rows.join(kept, ["h", "i"], "left_semi").dropDuplicates(["h", "i"]).select("row.*")
