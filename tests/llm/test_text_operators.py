@@ -557,6 +557,18 @@ def test_sets_that_share_no_more_than_a_key_are_not_near(spark):
     assert shared.count() >= 3000 and neardup.candidates(shared, 0.8).count() < 100
 
 
+def test_short_texts_make_no_clusters_by_chance(spark):
+    r = np.random.default_rng(8)
+    texts = [(" ".join(f"w{x}" for x in r.integers(0, 10**6, 5 + i % 8)),) for i in range(6000)]
+    pairs = [(f"a{i} b c d e f g h i", f"x a{i} b c d e f g h i") for i in range(50)]  # 5 and 6 shingles, 5 in common
+    sketches = neardup.sketches_of(spark.createDataFrame(texts, "text string"), "text", 5).cache()
+    assert neardup.clusters(neardup.shared_bands(sketches), 0.8).count() == 0
+    kept = neardup.keep_one(spark.createDataFrame([(i, t[j]) for j in (0, 1) for i, t in enumerate(pairs, 50 * j)], "doc_id long, text string"))
+    assert kept.count() < 60
+    few = neardup.shared_bands(sketches, least=0.8)
+    assert few.select("node").distinct().count() == sum(5 + i % 8 >= 8 for i in range(6000))  # 4 shingles and more
+
+
 def test_runs_of_a_key_are_compared_in_blocks(monkeypatch):
     r = np.random.default_rng(7)
     size = np.r_[r.integers(1, 9, 200), r.integers(9, neardup.PAIRED + 1, 20), neardup.PAIRED, neardup.PAIRED + 1, 700, 2000]
@@ -576,7 +588,7 @@ def test_runs_of_a_key_are_compared_in_blocks(monkeypatch):
     found = neardup.met_pairs(low, edge, 38)
     assert len(calls) < len(low) / 4 and sum(calls) < 2.5 * (size * size / 2).sum()
     assert found[:, 0].tolist() == np.unique(near).tolist() and {tuple(x) for x in np.sort(found, 1).tolist()} <= {tuple(x) for x in near.tolist()}
-    stars = neardup.near_stars(low, edge, prints, 38, 200)
+    stars = neardup.near_stars(low, edge, prints, 38, 0.8, (200, 180))
     near = near[count(prints[near[:, 0], :-1] ^ prints[near[:, 1], :-1]).sum(1) <= 200]
     assert len(stars) < len(low) and neardup.joined(len(low), stars).tolist() == neardup.joined(len(low), near).tolist()
 

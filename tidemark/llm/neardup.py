@@ -13,7 +13,7 @@ where they lie, and only links that join two groups are given out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, floor, pi, sqrt
+from math import acos, ceil, comb, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ PIECE = golay.LENGTH + BLOCK
 #: last if the key's piece lies in the first.
 LANES, CHECK = -(-TABLES * PIECE // 64), 2
 WITHIN = -(-64 * CHECK // PIECE)
-#: Sets of up to so many shingles are judged by the first estimate only, as more of their bits differ by chance.
+#: Sets of up to so many shingles are judged by limits of their own, as more of their bits differ by chance.
 SMALL = 16
 #: A set has up to 6 keys in a table, 5.3 on average.
 BANDS = 6 * TABLES
@@ -99,6 +99,21 @@ def limits(least: float, bits: int = 64 * CHECK, sure: float = 4.7) -> tuple[int
     return floor(bits * p + sqrt(bits * p * (1 - p))), floor(bits * p + sure * sqrt(bits * p * (1 - p)))
 
 
+def differing(n: int, m: int, common: int) -> float:
+    """The share of bits in which sets of n and m shingles with so many in common differ."""
+    over = lambda own, least: sum(comb(own, x) for x in range(max(0, least), own + 1)) / 2**own
+    ends = [(over(n - common, n // 2 + 1 - k), over(m - common, m // 2 + 1 - k), comb(common, k) / 2**common) for k in range(common + 1)]
+    return sum(share * (a * (1 - b) + b * (1 - a)) for a, b, share in ends)
+
+
+def small_limit(least: float, bits: int = 64 * LANES, sure: float = 4.7) -> int:
+    """The limit on so many bits for two sets of a similarity of least, one of them of up to SMALL shingles: over the mean as in
+    limits(), for those sizes that differ most."""
+    sizes = [(n, m, max(0, ceil(least * (n + m) / (1 + least) - 1e-9))) for n in range(1, SMALL + 1) for m in range(n, floor(n / least + 1e-9) + 1)]
+    p = max([0.0, *(differing(n, m, common) for n, m, common in sizes if common <= n)])
+    return floor(bits * p + sure * sqrt(bits * p * (1 - p)))
+
+
 def distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ other).sum(-1, dtype=np.int16)
 
@@ -242,12 +257,13 @@ def marked(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.col(f"`{doc_id}`")).alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h")]
 
 
-def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
+def shared_bands(sketches: DataFrame, whole: bool = True, least: float = 0) -> DataFrame:
     """A row for every key (k) of every node: with CHECK words of the fingerprint (low) that the key's piece is not cut from, so
     that sets which share no more than the key are no nearer in them than any two, and the whole sketch if asked for.
 
-    A column root of sketches goes along.
+    A column root of sketches goes along. Sets that are too small to have a similarity of least to any other have no rows.
     """
+    fewest = least / (1 - least) - 1e-9 if least < 1 else float("inf")  # one shingle more has to leave that similarity
     more = [c for c in ("root",) if c in sketches.columns]
     names = ["k", "node", *(f"low{i}" for i in range(CHECK)), *more, *(["sketch"] if whole else [])]
     kinds = {"k": "int", "sketch": "binary"}
@@ -257,7 +273,7 @@ def shared_bands(sketches: DataFrame, whole: bool = True) -> DataFrame:
             if batch.num_rows:
                 prints = text_bytes(batch.column(1))[0].view(np.uint64).reshape(-1, LANES + 1)
                 keys = join_keys(prints).reshape(len(prints), -1)
-                row, column = np.nonzero(keys >= 0)
+                row, column = np.nonzero((keys >= 0) & (prints[:, LANES:] >= fewest))
                 start = np.where(column < 6 * WITHIN, LANES - CHECK, 0)
                 lows = [prints[row, start + i].view(np.int64) for i in range(CHECK)]
                 more_of = [batch.column(2 + i).to_numpy()[row] for i in range(len(more))]
@@ -317,13 +333,18 @@ def stars_of(pairs: np.ndarray) -> np.ndarray:
     return np.c_[own[root[others]], own[others]]
 
 
-def near_stars(low: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int, farthest: int) -> np.ndarray:
-    """Pairs of the first and all others of each run's sets that a chain of sets within far and (whole fingerprints) farthest
-    joins."""
-    tiny, out = prints[:, LANES] <= SMALL, [np.zeros((0, 2), np.int64)]
+def may_link(one: np.ndarray, other: np.ndarray, least: float, farthest: tuple[int, int]) -> np.ndarray:
+    """Whether sets of these sketches may have a similarity of least or more: their sizes let them, and their whole fingerprints
+    are within farthest (the second if one of them is small)."""
+    smaller, larger = np.minimum(one[..., LANES], other[..., LANES]), np.maximum(one[..., LANES], other[..., LANES])
+    return (smaller >= least * larger - 1e-9) & (distance(one[..., :LANES], other[..., :LANES]) <= np.where(smaller <= SMALL, farthest[1], farthest[0]))
+
+
+def near_stars(low: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int, least: float, farthest: tuple[int, int]) -> np.ndarray:
+    """Pairs of the first and all others of each run's sets that a chain of sets joins which are within far and may_link()."""
+    out = [np.zeros((0, 2), np.int64)]
     for pairs in run_pairs(low, edge, far):
-        near = tiny[pairs].any(1) | (distance(prints[pairs[:, 0], :LANES], prints[pairs[:, 1], :LANES]) <= farthest)
-        out.append(stars_of(pairs[near]))
+        out.append(stars_of(pairs[may_link(prints[pairs[:, 0]], prints[pairs[:, 1]], least, farthest)]))
     for lo, hi in long_runs(edge):
         left = lo + np.flatnonzero(met_in(low[lo:hi], far) >= 0)
         while len(left):
@@ -332,8 +353,7 @@ def near_stars(low: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int,
             while queue and len(left):
                 x = queue.pop()
                 place = np.flatnonzero(distance(low[left], low[x]) <= far)
-                y = left[place]
-                place = place[tiny[y] | tiny[x] | (distance(prints[y, :LANES], prints[x, :LANES]) <= farthest)]
+                place = place[may_link(prints[left[place]], prints[x], least, farthest)]
                 out.append(np.c_[np.full(len(place), first), left[place]])
                 queue.extend(left[place].tolist())
                 left = np.delete(left, place)
@@ -343,7 +363,7 @@ def near_stars(low: np.ndarray, edge: np.ndarray, prints: np.ndarray, far: int,
 def clusters(shared: DataFrame, least: float) -> DataFrame:
     """Stars (a, b) of nodes that have a common key and may have a similarity of least or more, or that a chain of such joins:
     of each key fewer than it has nodes."""
-    far, farthest = limits(least)[1], limits(least, 64 * LANES, 3.2)[1]
+    far, farthest = limits(least)[1], (limits(least, 64 * LANES, 3.2)[1], small_limit(least))
     lows = [f"low{i}" for i in range(CHECK)]
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -352,7 +372,7 @@ def clusters(shared: DataFrame, least: float) -> DataFrame:
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, f, low, prints), edge in by_run(batches, read):
-            found = stars_of(f[near_stars(low, edge, prints, far, farthest)])  # of all these runs together
+            found = stars_of(f[near_stars(low, edge, prints, far, least, farthest)])  # of all these runs together
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
@@ -435,9 +455,9 @@ def groups(known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int
     So no link within a cluster is lost, and whatever a group's size, rows grow as its nodes.
     """
     sketches = cut(known.select("node", "sketch").dropDuplicates(["node"]))
-    first = candidates(shared_bands(sketches, whole=False), least)
+    first = candidates(shared_bands(sketches, whole=False, least=least), least)
     near = cut(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    stars = components(clusters(shared_bands(sketches.join(near, "node")), least))
+    stars = components(clusters(shared_bands(sketches.join(near, "node"), least=least), least))
     of = cut(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()))
     return components(links(of, known, docs, doc_id, text, words, least))
 
