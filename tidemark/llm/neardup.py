@@ -404,14 +404,14 @@ def exact_links(sets: list[np.ndarray], least: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def links(of: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
+def links(of: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
     """Pairs (a, b) of exact similarity that hold the groups of each cluster together. of: node and root of every node of a
-    cluster; known: node and marks of every row of docs, of which one for each node is read.
+    cluster; sets: node and marks of a row of docs for each node, whose text is read.
 
     A cluster of up to 2 * PART characters is read by one task. Larger ones are dealt by their nodes' hashes into parts of
     about PART, and every two parts meet in one task, so that memory is bounded and any number of tasks can share a cluster.
     """
-    one = known.select("node", "i", "h").join(of, "node").groupBy("node", "root").agg(F.min(F.struct("h", "i")).alias("at")).select("node", "root", "at.h", "at.i")
+    one = sets.select("node", "x.h", "x.i").join(of, "node")
     source = docs.select(F.col(f"`{text}`").alias("text"), *marked(doc_id, text))
     texts = cut(source.join(one, ["h", "i"]).dropDuplicates(["h", "i"]).select("root", "node", "text"))
     large = texts.groupBy("root").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).where(F.col("n") > 2 * PART)
@@ -447,19 +447,19 @@ def links(of: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: s
     return rows.mapInArrow(tidy(link), "a long, b long")
 
 
-def groups(known: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
-    """node and root of every node that is linked to a smaller one. known: marks, node and sketch of every row of docs.
+def groups(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
+    """node and root of every node that is linked to a smaller one. sets: node, sketch and a row's marks of every node of docs.
 
     Nodes that may be near another by a part of their fingerprints go on with all of it. Those that may be linked make
     clusters, held together by stars, and each cluster's sets are compared exactly, but for those that links join already.
     So no link within a cluster is lost, and whatever a group's size, rows grow as its nodes.
     """
-    sketches = cut(known.select("node", "sketch").dropDuplicates(["node"]))
+    sketches = sets.select("node", "sketch")
     first = candidates(shared_bands(sketches, whole=False, least=least), least)
     near = cut(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     stars = components(clusters(shared_bands(sketches.join(near, "node"), least=least), least))
     of = cut(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()))
-    return components(links(of, known, docs, doc_id, text, words, least))
+    return components(links(of, sets, docs, doc_id, text, words, least))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -472,10 +472,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     Columns of docs keep their names, whatever they are.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), *marked(doc_id, text), F.col(f"`{text}`").alias("text"))
-    known = cut(described(rows, "text", words, ["id", "i", "h"]))
-    roots = groups(known, docs, doc_id, text, words, least)
-    of = known.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node", "h", "i")
-    kept = cut(of.groupBy("root").agg(F.min(order).alias("x")).select("x.h", "x.i"))
+    sets = described(rows, "text", words, ["id", "i", "h"]).groupBy("node").agg(F.min(order).alias("x"), F.first("sketch").alias("sketch"))
+    sets = cut(sets)  # copies are summed up where they are read, and their first row stands for all
+    of = sets.join(groups(sets, docs, doc_id, text, words, least), "node", "left").select(F.coalesce("root", "node").alias("root"), "x")
+    kept = cut(of.groupBy("root").agg(F.min("x").alias("x")).select("x.h", "x.i"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *marked(doc_id, text))
     return rows.join(kept, ["h", "i"], "left_semi").dropDuplicates(["h", "i"]).select("row.*")
